@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .chat import rotate_perspectives
+from .minhash import near_duplicate_classes
 from .mixing import fair_queue_mix
 from .packing import pack_batches
 from .quality import repetition_coverage
 from .shared import Scratch, count_words, table
+from .suffixes import remove_repeats
 from .tokens import read_ans, write_ans
 
 
@@ -44,8 +46,16 @@ def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(table(spark, sf_dir, "documents")).drop("dup_line_share", "dup_ngram_shares")
 
 
+def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), Scratch(spark, "op9"), shingle=3, num=85, den=100)
+
+
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), length=200).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_perspectives, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage)
+    f.__name__: f for f in (op1_chat_perspectives, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op9_tensored_minhash, op10_suffix_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {
