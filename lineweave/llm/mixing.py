@@ -63,8 +63,10 @@ def fair_queue_mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights
     copies = rows.filter("size > 0 and target > 0").select("source", "row_key", "size", "target", "source_size", "source_to", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("copy"))
     finish = (F.col("copy") * F.col("source_size") + F.col("source_to")) / F.col("target")
     copies = copies.withColumn("finish", finish)
-    # Virtual time ends near 1; each slice of it holds about the same number of words.
-    slice_of = F.least(F.floor(F.col("finish") * CELLS), F.lit(4 * CELLS)).cast("long")
+    # Virtual time ends near 1, until where slices hold about equally many words; later ones, which the
+    # budget cuts off, get slices by the logarithm of the time.
+    late = CELLS * (2 + F.log2(F.greatest(F.col("finish") / 2, F.lit(1.0))))
+    slice_of = F.floor(F.when(F.col("finish") < 2, F.col("finish") * CELLS).otherwise(late)).cast("long")
     order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("row_key"), F.col("copy")]
     queue = running_sum(copies, [], slice_of, order, "size", "all_to")
     budget = rows.agg(F.sum("size")).first()[0] or 0
