@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .chat import rotate_perspectives
+from .hnsw import near_vectors
+from .licenses import license_scan
 from .minhash import near_duplicate_classes
 from .mixing import fair_queue_mix
 from .packing import pack_batches
@@ -16,6 +18,7 @@ from .quality import repetition_coverage
 from .shared import Scratch, count_words, table
 from .suffixes import remove_repeats
 from .tokens import read_ans, write_ans
+from .urls import filter_urls
 
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,10 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("conv_id", "speaker", "part", "n_turns", "n_trained", "text", spans.alias("spans"))
 
 
+def op2_hnsw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op2"))
+
+
 def op3_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +53,16 @@ def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(table(spark, sf_dir, "documents")).drop("dup_line_share", "dup_ngram_shares")
 
 
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+    labels = {c: F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")}
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", labels["base_labels"], labels["labels"], "score")
+
+
+def op8_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).drop("method")
+
+
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), Scratch(spark, "op9"), shingle=3, num=85, den=100)
 
@@ -55,12 +72,15 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_perspectives, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op9_tensored_minhash, op10_suffix_repeats)
+    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_perspectives": sql.OP1,
+    "op2_hnsw_vectors": sql.OP2,
     "op4_length_buckets": sql.op4(),
     "op5_fair_queue_mix": sql.OP5,
     "op6_repetition_coverage": sql.op6(),
+    "op7_license_join": sql.op7(),
+    "op9_tensored_minhash": sql.OP9,
 }

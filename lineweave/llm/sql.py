@@ -116,3 +116,69 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
        cast(n_repeat_words as bigint) n_repeat_words, base_failed, not (base_failed or {over} or coalesce(dup_chars, 0) / greatest(word_chars, 1) > {LINE_LIMIT}) kept
 from judged {joins}
 """
+
+
+#: Smallest node reachable over links(a, b), for nodes(id).
+REACH = """
+both_ways as (select a, b from links union select b, a from links),
+reach as (select id, id other from nodes union select r.id, l.b from reach r join both_ways l on r.other = l.a),
+classes as (select id, min(other) component from reach group by id)"""
+
+OP2 = f"""
+with recursive vectors as (
+  select vec_id, label, embedding, len(embedding) dim, coalesce(
+    vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) fit
+  from embeddings),
+units as (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) norm from vectors where fit),
+links as (
+  select x.vec_id a, y.vec_id b from units x join units y on x.label = y.label and x.dim = y.dim and x.vec_id < y.vec_id
+  where list_dot_product(x.embedding::double[], y.embedding::double[]) / (x.norm * y.norm) >= 0.93),
+nodes as (select distinct vec_id id from vectors where vec_id is not null),{REACH},
+degree as (select a, count(*) n from both_ways group by a)
+select v.vec_id, cast(coalesce(d.n, 0) as bigint) n_links, c.component component_id, coalesce(v.vec_id = c.component, true) kept
+from vectors v left join degree d on d.a = v.vec_id left join classes c on c.id = v.vec_id
+"""
+
+OP9 = rf"""
+with recursive docs as (select doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end s
+  from docs),
+items as (select doc_id, hash(x) x from (select doc_id, unnest(s) x from sets where doc_id is not null)),
+links as (
+  select a.doc_id a, b.doc_id b from items a join items b on a.x = b.x and a.doc_id < b.doc_id
+  join sets p on p.doc_id = a.doc_id join sets q on q.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, len(p.s), len(q.s) having 100 * count(*) >= 85 * (len(p.s) + len(q.s) - count(*))),
+nodes as (select distinct doc_id id from docs where doc_id is not null),{REACH}
+select s.doc_id, cast(len(s.s) as bigint) n_shingles, c.component component_id, coalesce(s.doc_id = c.component, true) kept
+from sets s left join classes c on c.id = s.doc_id
+"""
+
+
+def op7() -> str:
+    from .licenses import CONTAINMENT, PHRASES, TEMPLATES, tokens_of
+
+    lower = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', {tokens_of(text)})" for k, (label, text) in enumerate(TEMPLATES))
+    return f"""
+with docs as (select row_number() over () r, doc_id, text, {words.format("text")} w from documents),
+phrases as (select * from (values {phrases}) p(label, p)),
+templates as (select * from (values {templates}) t(k, label, t)),
+places as (
+  select r, label, i - 1 pos from (select r, label, w, p, unnest(range(1, len(w) - len(p) + 2)) i from docs, phrases) where w[i:i + len(p) - 1] = p),
+base as (select r, count(*) n, min(pos) a, max(pos) z, list_distinct(list(label)) labels from places group by r),
+lines as (select distinct r, line from (select r, unnest(string_split({lower.format("text")}, chr(10))) line from docs)),
+met as (
+  select r, label, len(list_intersect({words.format("line")}, t)) * 1.0::double / len(t) share from lines, templates
+  where len(list_intersect({words.format("line")}, t)) >= {CONTAINMENT} * len(t) - 1e-9),
+own as (select r, list_distinct(list(label)) labels, max(share) share from met group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(b.n, 0) as bigint) n_base, cast(b.a as bigint) first_word, cast(b.z as bigint) last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(o.labels, [])))), ','), '') labels,
+       case when coalesce(b.n, 0) > 0 then 1.0::double else coalesce(o.share, 0.0::double) end score
+from docs left join base b using (r) left join own o using (r)
+"""
