@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from fixtures import SF, frame, rows
@@ -34,13 +35,13 @@ def test_scaled_sums_up():
 def test_words_are_encoded_as_whole_texts(text):
     t = Tokenizer.from_file(PATH)
     for x in (text, text + " word's " + text, "1,000 don't_do 42nd" + text):
-        assert tokens._encoder(PATH)([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
+        assert tokens._encoder(PATH)(pa.array([x]))[0].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 @given(st.text(st.sampled_from(list(" \n\t aZé9'’s.,-_\x1c\x85漢🙂")), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_any_text(text):
-    assert tokens._encoder(PATH)([text])[0].tolist() == Tokenizer_().encode(text, add_special_tokens=False).ids
+    assert tokens._encoder(PATH)(pa.array([text]))[0].tolist() == Tokenizer_().encode(text, add_special_tokens=False).ids
 
 
 _kept = []
