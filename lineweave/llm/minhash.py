@@ -21,7 +21,7 @@ from .shared import SPACE, Scratch, components, mix, pieces, powers, span_hashes
 
 ROWS = 4  # minhashes in a half key
 MISS = 1e-4  # chance that a pair at the threshold meets in no table
-BLOCK_DOCS = 512  # documents compared in one task at a time
+BLOCK_DOCS = 4096  # documents compared in one task at a time
 BLOCK_SHINGLES = 2_000_000
 HUBS = 4  # documents of a large cluster that all its blocks share
 
@@ -104,43 +104,37 @@ def features(docs: DataFrame, shingle: int, m: int) -> DataFrame:
 def _linker(shingle: int, num: int, den: int):
     """Links inside one block: a forest of pairs (a, b) confirmed on the full sets.
 
-    Sketches order the pairs and leave out those five deviations below the threshold; pairs that
-    are connected already need no look at their sets.
+    Sketches leave out pairs five deviations below the threshold, and pairs that are connected
+    already need no look; the sets of all others are compared with one set in one pass.
     """
     t = num / den
 
     def link(block: pd.DataFrame) -> pd.DataFrame:
-        rep, known = block["rep"].to_numpy(), block["known"].to_numpy()
+        rep, known = block["rep"].to_numpy(np.int64), block["known"].to_numpy(np.int64)
         sets = shingle_sets(pa.array(block["text"], pa.large_string()), shingle)
         sketch = np.stack([np.frombuffer(s, np.uint8) for s in block["sketch"]])
         size, k = np.array([len(s) for s in sets]), sketch.shape[1]
         least = k * (t - 5 * math.sqrt(t * (1 - t) / k))
-        parent = list(range(len(rep)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        group: dict[int, int] = {}
-        for i, c in enumerate(known.tolist()):
-            parent[find(i)] = find(group.setdefault(c, i))
-        pairs = []
+        flat = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        label = np.unique(known, return_inverse=True)[1]  # what is connected, by the rows at hand
+        mask, out = np.zeros(int(flat.max(initial=0)) + 1, bool), []
         for i in range(len(rep) - 1):
-            agree = (sketch[i + 1 :] == sketch[i]).sum(1)
-            small, large = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-            j = np.flatnonzero((agree >= least) & (den * small >= num * large))
-            if len(j):
-                pairs.append(np.stack([agree[j], np.full(len(j), i), j + i + 1], 1))
-        out = []
-        if pairs:
-            pairs = np.concatenate(pairs)
-            for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-                if find(i) != find(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if den * both >= num * (size[i] + size[j] - both):
-                        parent[find(i)] = find(j)
-                        out.append((rep[i], rep[j]))
+            after = slice(i + 1, None)
+            small, large = np.minimum(size[after], size[i]), np.maximum(size[after], size[i])
+            open_ = np.flatnonzero((label[after] != label[i]) & (den * small >= num * large))
+            open_ = open_[(sketch[open_ + i + 1] == sketch[i]).sum(1) >= least] + i + 1
+            if not len(open_):
+                continue
+            n = size[open_]
+            to = np.cumsum(n) - n
+            mask[flat[start[i] : start[i] + size[i]]] = True
+            both = np.add.reduceat(mask[flat[np.arange(int(n.sum())) + np.repeat(start[open_] - to, n)]].astype(np.int64), to)
+            mask[flat[start[i] : start[i] + size[i]]] = False
+            near = open_[den * both >= num * (size[i] + n - both)]
+            for lab, j in zip(*np.unique(label[near], return_index=True), strict=True):
+                out.append((rep[i], rep[near[j]]))
+                label[label == lab] = label[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return link
@@ -152,8 +146,8 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
     Rows (doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id reachable by
     links, kept marks it.  Documents with equal sets count once from the start, so copies are never
     spread into pairs.  Table buckets give candidate clusters; a cluster is compared in blocks of
-    bounded size that share a few hubs, and members of a bucket that lie in different blocks and are
-    still apart are compared block by block.
+    bounded size that share a few hubs, and documents with an A key in common that lie in different
+    blocks and are still apart are compared block by block.
 
     Null and empty texts have no shingles and link with nothing.  Rows with a null doc_id link with
     nothing, have a null component_id and are kept.  Rows that share a doc_id are one document, linked
@@ -169,9 +163,8 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
     # Tables: spread over A keys, keep the keys that meet, then pair them with the B keys.
     by_a = reps.select("rep", F.explode("keys_a").alias("a"))
     met = by_a.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    met = by_a.join(met, "a", "left_semi")
-    by_ab = met.join(reps.select("rep", F.explode("keys_b").alias("b")), "rep")
-    tables = scratch.save(by_ab.select("rep", "a", "b").distinct(), "cells")
+    met = scratch.save(by_a.join(met, "a", "left_semi"), "met")
+    tables = met.join(reps.select("rep", "keys_b"), "rep").select("rep", "a", F.explode("keys_b").alias("b"))
     hubs = tables.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
     star = scratch.save(tables.join(hubs, ["a", "b"]).filter("rep <> hub").select("hub", "rep").distinct(), "star")
 
@@ -187,27 +180,28 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
     hub_rows = hub_rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = clusters.select("rep", "cluster", "block", "sketch").unionByName(hub_rows.select("rep", "cluster", "block", "sketch")).distinct()
 
-    member_texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select("rep"), "rep", "left_semi")
+    # Sorted merge at every size: the members grow with the corpus.
+    member_texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select("rep").hint("merge"), "rep", "left_semi")
     member_texts = scratch.save(member_texts, "texts")
     grouped = placed.join(member_texts, "rep").withColumn("known", F.col("rep")).groupBy("cluster", "block")
     links = scratch.save(grouped.applyInPandas(link, "a long, b long"), "links")
     found = scratch.save(components(links, scratch, "found"), "classes")
 
-    # Buckets across blocks whose members are still apart.
+    # Documents with one A key, in different blocks and still apart.
     label = large.select("rep", "block").join(found, F.col("rep") == F.col("node"), "left").select("rep", "block", F.coalesce("component", "rep").alias("known"))
-    cells = tables.join(label, "rep")
-    apart = cells.groupBy("a", "b").agg(
+    cells = met.join(label, "rep")
+    apart = cells.groupBy("a").agg(
         F.min("known").alias("k0"), F.max("known").alias("k1"), F.min("block").alias("b0"), F.max("block").alias("b1"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"),
     ).filter("k0 < k1 and b0 < b1")
-    apart = apart.groupBy("who", "n").agg(F.min(F.struct("a", "b")).alias("ab")).select("ab.a", "ab.b", F.ceil(F.col("n") / BLOCK_DOCS).alias("parts"))
+    apart = apart.groupBy("who", "n").agg(F.min("a").alias("a")).select("a", F.ceil(F.col("n") / BLOCK_DOCS).alias("parts"))
     apart = scratch.save(apart, "apart")
     if not apart.isEmpty():
-        rest = cells.join(apart, ["a", "b"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
+        rest = cells.join(apart, "a").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rest = rest.select("rep", "known", "a", "b", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).distinct()
+        rest = rest.select("rep", "known", "a", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).distinct()
         rest = rest.join(reps.groupBy("rep").agg(F.max("sketch").alias("sketch")), "rep").join(member_texts, "rep")
-        more = rest.groupBy("a", "b", "x", "y").applyInPandas(link, "a long, b long")
+        more = rest.groupBy("a", "x", "y").applyInPandas(link, "a long, b long")
         links = scratch.save(links.unionByName(more).unionByName(label.select(F.col("rep").alias("a"), F.col("known").alias("b"))), "more")
         found = scratch.save(components(links, scratch, "again"), "classes2")
 
