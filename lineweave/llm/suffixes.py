@@ -1,6 +1,6 @@
 """Repeated byte strings by longest-previous-factor arrays over partial suffix arrays.
 
-Every window of ``length`` bytes is routed by its minimiser, the least hash of the GRAM-byte strings in
+Every window of ``length`` bytes is routed by its minimiser, the least hash of the shorter strings in
 it, so equal windows meet.  Consecutive windows with one minimiser travel together as one context.
 Windows whose minimiser occurs once in the corpus are gone after a count; equal contexts count once; what
 is left is sorted into suffix arrays of bounded size, whose longest-previous-factor arrays (from the
@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, BYTE_CODE, Scratch, mix, pieces, text_bytes
+from .shared import BASE, BYTE_CODE, SPACE, Scratch, mix, pieces, text_bytes
 
-GRAM = 64  # a power of two
 RUN = 128  # windows in a context, at most
 BUCKET = 12_000  # contexts sorted in one suffix array
 HOT = 50_000  # contexts with one minimiser beyond which its windows are dealt out by their own hash
@@ -27,9 +26,17 @@ HOT = 50_000  # contexts with one minimiser beyond which its windows are dealt o
 RUN_SCHEMA = "did long, th long, m long, ch long, at int, n int, w int"
 
 
+def gram_bytes(length: int) -> int:
+    """Length of the strings that minimisers are taken from: a power of two up to 2 / 3 of a window.
+
+    Longer ones leave fewer windows that share a minimiser and still differ, shorter ones fewer runs.
+    """
+    return 1 << ((2 * length // 3).bit_length() - 1)
+
+
 def _grams(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all GRAM-byte and all ``length``-byte strings (by start; the last ones are void)."""
-    n = len(data)
+    """Hashes of all strings of gram_bytes and of ``length`` bytes (by start; the last ones are void)."""
+    n, gram_size = len(data), gram_bytes(length)
     level, size, power = BYTE_CODE[data], 1, BASE
     whole, done = np.zeros(n, np.uint64), 0
     gram = level
@@ -40,7 +47,7 @@ def _grams(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
             shifted[: max(0, n - done)] = level[done:] if done else level
             whole = whole * power + shifted
             done += size
-        if size == GRAM:
+        if size == gram_size:
             gram = level
         if size * 2 > length:
             return mix(gram), mix(whole)
@@ -71,7 +78,7 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
         return none
     with np.errstate(over="ignore"):
         gram, whole = _grams(data, length)
-        least = _sliding_least(gram, length - GRAM + 1)[: len(data) - length + 1]
+        least = _sliding_least(gram, length - gram_bytes(length) + 1)[: len(data) - length + 1]
     n = len(least)
     inside, edge = np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
     long_rows = off[1:] - off[:-1] >= length
@@ -92,7 +99,7 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     size = np.minimum(np.repeat(ends, cuts) - at, RUN)
     row = np.searchsorted(off, at, "right") - 1
     identity = mix(whole[at] * np.uint64(0x9FB21C651E98DF25) + whole[at + size - 1] + size.astype(np.uint64))
-    ordered = np.sort(gram[: len(data) - GRAM + 1])
+    ordered = np.sort(gram[: len(data) - gram_bytes(length) + 1])
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     weight = np.ones(len(at), np.int32)
     if len(twice):
@@ -147,7 +154,7 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
             touched = np.zeros(int(group[-1]) + 1, bool)
             touched[group[split]] = True
             some = np.flatnonzero(touched[group])
-            by = some[np.lexsort((key[some], group[some]))]
+            by = some[np.lexsort((key[some], group[some]))] if depth else np.argsort(key, kind="stable")
             order[some], key[some] = order[by], key[by]
             start[1:] |= key[1:] != key[:-1]
         alone = start.copy()
@@ -223,16 +230,19 @@ def _fetch(length: int):
 
     def run(batches):
         for batch in batches:
-            texts, wants = batch.column("text"), batch.column("wants").to_pylist()
-            for row, want in enumerate(wants):
-                raw = memoryview((texts[row].as_py() or "").encode())
-                did, th = batch.column("did")[row].as_py(), batch.column("th")[row].as_py()
-                cut = [bytes(raw[w["at"] : w["at"] + w["n"] + length - 1]) for w in want]
+            for part in pieces(batch):
+                data, off = text_bytes(part.column("text"))
+                raw, wants = data.tobytes(), part.column("wants")
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(wants.offsets)))
+                want = wants.flatten()
+                at, n = (np.asarray(want.field(c)).astype(np.int64) for c in ("at", "n"))
+                begin = off[row] + at
+                cut = [raw[a:b] for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["m"] for w in want], pa.int64()), pa.array([w["ch"] for w in want], pa.int64()), pa.array([did] * len(want), pa.int64()), pa.array([th] * len(want), pa.int64()),
-                     pa.array([w["at"] for w in want], pa.int32()), pa.array([w["n"] for w in want], pa.int32()), pa.array([w["slots"] for w in want], pa.int64()), pa.array(cut, pa.binary())],
+                    [want.field("m"), want.field("ch"), part.column("did").take(rows), part.column("th").take(rows), want.field("at"), want.field("n"), want.field("slots"), pa.array(cut, pa.binary())],
                     ["m", "ch", "did", "th", "at", "n", "slots", "bytes"],
-                )
+                )
 
     return run, schema
 
@@ -264,6 +274,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
     unique = slotted.withColumn("bucket", key)
     found = scratch.save(unique.groupBy("bucket").applyInPandas(_repeats(length, keep_first), "m long, ch long, a long, b long"), "found")
 
+    scratch.drop("contexts")
+
     in_sorted = found.select("m", "ch", "a", "b")
     copies = distinct.filter("c > 1").select("m", "ch", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
     r = runs.alias("r")
@@ -304,6 +316,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
     documents.  An empty table gives no rows.
     """
     spans = scratch.save(repeated_spans(docs, scratch, length, keep_first), "spans")
+    scratch.drop("runs", "distinct", "found")
     joined = _with_key(docs).join(spans, ["did", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>" + ", text string" * with_text
 
@@ -326,6 +339,38 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
     return joined.mapInArrow(cut, schema)
 
 
+def strip_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataFrame:
+    """Rows of docs with the later copies of repeated strings cut out of their text, all columns kept.
+
+    The first copy of a string stays (see ``repeated_spans``).  A document of which no word is left
+    goes; one that nothing was cut from stays as it is.
+    """
+    spans = scratch.save(repeated_spans(docs, scratch, length, True), "spans")
+    scratch.drop("runs", "distinct", "found")
+    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
+    spans = spans.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    joined = keyed.join(spans, ["_did", "_th"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+
+    def cut(batches):
+        for batch in batches:
+            at, names = batch.schema.get_field_index("text"), batch.schema.names
+            texts, kept = [], []
+            for text, spans in zip(batch.column(at), batch.column("_spans").to_pylist(), strict=True):
+                text = text.as_py()
+                if spans:
+                    raw, done, parts = text.encode(), 0, []
+                    for a, b in _merged(spans):
+                        parts.append(raw[done:a])
+                        done = b
+                    text = b"".join([*parts, raw[done:]]).decode("utf-8", "ignore")
+                texts.append(text)
+                kept.append(not spans or any(not SPACE[min(ord(c), 255)] for c in text))
+            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns[:-1], names[:-1]).filter(pa.array(kept))
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
 ARROW = [
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
     ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("text", pa.string()),
