@@ -116,3 +116,15 @@ def repetition_coverage(docs: DataFrame, ngram_limits: dict[int, float] | None =
                 yield measure(part.column("doc_id"), part.column("text"), limits, line_limit)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def keep_unrepetitive(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of docs that ``repetition_coverage`` keeps, with all their columns; one pass, no shuffle."""
+    limits = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                yield part.filter(measure(part.column("doc_id"), part.column("text"), limits, line_limit).column("kept"))
+
+    return docs.mapInArrow(run, docs.schema)
