@@ -1,0 +1,21 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from compare import assert_same, connection  # noqa: E402
+
+from lineweave.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connection(SF)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, con, name):
+    assert_same(QUERIES[name](spark, SF), con, ORACLE_SQL[name])
