@@ -1,6 +1,5 @@
 import json
 
-
 from lineweave.plans import config, works
 from lineweave.sources import writers
 
