@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .functions import names, text, timing
 from .operators import align, asof, layout, matching, model, scripts, segment, usage, windows
 from .functions.jsonrepair import answer_texts
-from .sources import subtitles
+from .sources import files, subtitles
 
 BOXES = "(1, 300, 10, 10, 60, 'a'), (1, 300, 90, 10, 50, 'b'), (1, 302, 400, 12, 50, 'c'), (1, 45, 20, 11, 40, 'd'), (1, 75, 10, 10, 44, 'e'), (1, 150, 610, 500, 20, 'a line that is long and wide'), (1, 20, 612, 700, 20, 'another line long and wide'), (2, 10, 10, 50, 10, 'x'), (2, 70, 12, 50, 10, 'y'), (2, 10, 44, 60, 12, 'z')"
 SPEECH = "('10 han', '一二三四五六七八九十あ'), ('ja', '一二三四五六七八九十ああ'), ('none', 'abc'), ('digits', '12 34'), ('kana', 'ありがとうございます')"
@@ -230,8 +230,8 @@ def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lrc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 then S2 in both time modes."""
-    files = lrc_files(spark, sf_dir)
-    a, b = subtitles.lrc_cues(files, "trunc"), subtitles.lrc_cues(files, "round").select("file", "seq", F.col("time_ms").alias("rounded_ms"))
+    lrc = lrc_files(spark, sf_dir)
+    a, b = subtitles.lrc_cues(lrc, "trunc"), subtitles.lrc_cues(lrc, "round").select("file", "seq", F.col("time_ms").alias("rounded_ms"))
     return a.join(b, ["file", "seq"]).select("file", "seq", "time_ms", "rounded_ms", F.md5("text").alias("text"))
 
 
@@ -245,8 +245,8 @@ def lrc_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cue_rows(spark, sf_dir).withColumn("body", F.when(F.col("seq") % 3 == 1, "").otherwise(F.concat(F.element_at(F.split("text", "\n"), 1), F.lit("\n"))))
     block = F.concat((F.col("seq") + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), "body")
-    files = c.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n").alias("content")).withColumn("ext", F.lit(".srt"))
-    return subtitles.without_blank_cues(files).select("file", "removed", F.md5("content").alias("content"))
+    srt = c.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n").alias("content")).withColumn("ext", F.lit(".srt"))
+    return subtitles.without_blank_cues(srt).select("file", "removed", F.md5("content").alias("content"))
 
 
 def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,6 +343,135 @@ def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", timing.ms_to_stamp(F.col("hit_tokens") * 977).alias("stamp"), timing.hms(F.col("miss_tokens") * 13).alias("shown"), F.round(timing.hit_rate(F.col("hit_tokens"), F.col("miss_tokens")), 6).alias("rate"), timing.show_tokens(F.col("hit_tokens") * 7).alias("tokens"))
 
 
+def work_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of works, some below a numbered folder."""
+    number = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("rj"), (F.col("page_id") + 100_000).cast("string"), F.lit("/"))).otherwise("")
+    paths = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("lib/"), number, F.lit("disc/"), F.col("page_id").cast("string"), F.lit(".lrc")).alias("path"))
+    return paths.select("page_id", files.work_root(F.col("path")).alias("root"), names.work_number(F.col("path")).alias("number"))
+
+
+def txt_over_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as scripts, two to a name."""
+    ext = F.when(F.col("page_id") % 2 == 0, ".txt").otherwise(".pdf")
+    stem = F.when(F.col("page_id") % 5 == 0, F.col("page_id")).otherwise(F.floor(F.col("page_id") / 2))
+    listed = read(spark, sf_dir, "pages").select(F.concat(F.lit("d"), (F.floor(F.col("page_id") / 20)).cast("string"), F.lit("/n"), stem.cast("string"), ext).alias("path"))
+    kept = files.prefer_txt(listed)
+    order = Window.partitionBy("dir").orderBy(names.first_number(F.col("stem")), "stem", "path")
+    return kept.select("path", F.row_number().over(order).alias("place"))
+
+
+def script_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 on names built from parts."""
+    word = F.element_at(F.array(*[F.lit(w) for w in ("台本", "readme", "Track", "01_", "plain", "credit_台本", "トラック３")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    stem = F.concat(word, F.col("p_partkey").cast("string"))
+    ext = F.when(F.col("p_partkey") % 11 == 0, ".doc").otherwise(".txt")
+    parent = F.when(F.col("p_partkey") % 13 == 0, "05.台本").otherwise("misc")
+    return read(spark, sf_dir, "part").select("p_partkey", files.is_script(F.concat(stem, ext), stem, ext, parent).alias("script"))
+
+
+def variant_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as tracks, each with an empty variant."""
+    n = read(spark, sf_dir, "nation")
+    base = n.select(F.col("n_regionkey").alias("work"), F.col("n_name").alias("track"), F.split("n_name", "_").alias("lines"))
+    empty = n.select(F.col("n_regionkey").alias("work"), F.concat("n_name", F.lit("（room）")).alias("track"), F.array().cast("array<string>").alias("lines"))
+    return matching.inherit_variants(base.unionByName(empty)).select("work", "track", F.array_join("lines", "|").alias("lines"))
+
+
+def coverage_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as tracks of regions, some with lines."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("work"), F.col("n_name").alias("track"), "n_nationkey")
+    a = n.filter(F.col("n_nationkey") % 3 == 0).select("work", "track", F.array(F.lit("a")).alias("lines"))
+    b = n.filter(F.col("n_nationkey") % 2 == 0).select("work", "track", F.array(F.lit("b"), F.lit("c")).alias("lines"))
+    return scripts.coverage(matching.fill_missing(a, b, n.select("work", "track"))).select("work", "tracks", "matched", "total", "accepted")
+
+
+def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as failed calls."""
+    e = read(spark, sf_dir, "events")
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 400, 429, 500, 402)]), (F.col("event_id") % 5 + 1).cast("int"))
+    said = F.element_at(F.array(*[F.lit(x) for x in ("ok", "Unsupported value", "rate limit", "connection reset", "no credit", "timed out")]), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = e.select(status.alias("status"), said.alias("said"))
+    return rows.groupBy("status", "said").agg(F.count("*").alias("n")).select("status", "said", "n", names.is_unsupported_parameter(F.col("status"), F.col("said")).alias("parameter"), names.is_quota_exhausted(F.col("status"), F.col("said")).alias("quota"))
+
+
+def usage_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as provider usage in two shapes."""
+    n = F.col("event_id").cast("string")
+    one = F.concat(F.lit('{"prompt_tokens": '), n, F.lit(', "prompt_cache_hit_tokens": 3, "prompt_cache_miss_tokens": 5, "completion_tokens": 2}'))
+    two = F.concat(F.lit('{"prompt_tokens": '), n, F.lit(', "prompt_tokens_details": {"cached_tokens": 7}, "completion_tokens_details": {"reasoning_tokens": 4}}'))
+    raw = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("usage"))
+    return usage.normal_usage(raw).drop("usage")
+
+
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as files, events as attempts, with and without chunks."""
+    e = usage_rows(spark, sf_dir).withColumnsRenamed({"user_id": "file", "seq": "attempt"})
+    every = usage.chunk_usage(e, True).select("file", F.col("hit_tokens").alias("all_hits"))
+    return every.join(usage.chunk_usage(e, False).select("file", F.col("hit_tokens").alias("last_hits")), "file")
+
+
+def box_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers as boxes on pages."""
+    b = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("page"), (F.col("o_totalprice") % 600).alias("cx"), (F.col("o_orderkey") % 900).cast("double").alias("cy"), F.lit(10.0).alias("w"), (F.col("o_orderkey") % 13 + 5).cast("double").alias("h"), F.col("o_orderpriority").alias("text"))
+    return layout.vertical_pages(b)
+
+
+def box_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3, W3 on boxes."""
+    boxes = spark.sql(f"SELECT page, cast(cx as double) cx, cast(cy as double) cy, cast(w as double) w, cast(h as double) h, text FROM VALUES {BOXES} AS t(page, cx, cy, w, h, text)")
+    return layout.vertical_order(boxes)
+
+
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A16 over documents and a few Japanese lines."""
+    extra = spark.sql("SELECT * FROM VALUES ('ja', '漢字かな交じり'), ('ja', '♡♪ab'), ('ja', '12') AS t(lang, text)")
+    out = layout.text_quality(doc_lines(spark, sf_dir).select("lang", "text").unionByName(extra), ["lang"])
+    return out.select("lang", F.round("quality", 9).alias("quality"))
+
+
+def speech_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken time of turns and whether they are too long."""
+    t = timed_words(spark, sf_dir)
+    return t.select("file", "seq", timing.speech_ms(F.col("words")).alias("speech_ms"), timing.is_too_long(F.col("text"), F.col("words")).alias("too_long"))
+
+
+def split_and_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long turns split inside their files."""
+    t = timed_words(spark, sf_dir)
+    items = t.select("file", F.col("seq").cast("int").alias("line_no"), F.lit("lyric").alias("item_type"), F.get("words", F.lit(0))["start"].alias("time_ms"), "text", F.lit(None).cast("string").alias("raw"))
+    dense = t.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("seq")) - 1)
+    new = segment.apply_cuts(items, segment.pieces_of(segment.plan_cuts(dense)))
+    return new.groupBy("file").agg(F.count_if(F.col("item_type") == "lyric").alias("lyrics"), F.count_if(F.col("item_type") == "clear").alias("clears"), F.bool_and("lossless").alias("lossless"))
+
+
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 on neighbouring part names."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("b")).filter("b is not null")
+    return part.select("p_partkey", names.similar_names(F.col("a"), F.col("b")).alias("similar"))
+
+
+def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F2, F5 on documents with a Japanese line."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nカタカナ、「かな」ヴヶ！")).alias("text"))
+    return d.select("doc_id", F.md5(text.align_normal("text")).alias("normal"), F.length(text.echo_normal("text")).alias("echo"), text.compact_length("text").alias("compact"))
+
+
+def archived_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as subtitle files, some archived, some gone."""
+    ext = F.element_at(F.array(F.lit(".lrc"), F.lit(".srt"), F.lit(".vtt")), (F.col("page_id") % 3 + 1).cast("int"))
+    base = F.concat(F.lit("w/d"), (F.col("page_id") % 4).cast("string"), F.lit("/"), F.col("page_id").cast("string"))
+    p = read(spark, sf_dir, "pages")
+    listed = p.filter("page_id % 5 <> 0").select(F.concat(base, ext).alias("path")).unionByName(p.filter("page_id % 2 = 0").select(F.concat(base, F.lit(".ja"), ext).alias("path"))).withColumn("mtime", F.lit(None).cast("timestamp"))
+    live, _, restore = files.subtitles(listed)
+    counted = files.count_by_extension(live)
+    again, todo, done = restore.groupBy("ext").agg(F.count("*").alias("restored")), files.to_archive(listed), files.with_original(listed).groupBy("ext").agg(F.count("*").alias("with_original"))
+    todo = todo.groupBy(F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("to_archive"))
+    out = counted
+    for other in (again, todo, done):
+        out = out.join(other, "ext", "left")
+    return out.na.fill(0)
+
+
 def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -351,7 +480,8 @@ def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             status_manifest, peak_cost_split, gap_sessions, asof_prev_event, interval_match, turn_context, chunk_fixed, chunk_budget, budget_cut, stride_sample, first_n_dedupe,
             numbered_lines, blank_tails, anti_semi_labels, dice_pairs, anchor_match, longest_prefix, name_tier_join, term_merge, natural_sort, usage_window_cum, lrc_roundtrip,
             lrc_structure, srt_clean, resegment_local, legal_cut_levels, align_spans, layout_order, layout_glyphs, glyph_histogram, json_ladder, translate_stub, script_marks,
-            pre_clean_merge, label_excel, time_stamps,
+            pre_clean_merge, label_excel, time_stamps, work_roots, txt_over_pdf, script_names, variant_inherit, coverage_fill, error_kinds, usage_normal, chunk_tokens, box_columns,
+            box_reading_order, line_quality, speech_time, split_and_render, name_similarity, normal_texts, archived_originals,
         )
     }
 

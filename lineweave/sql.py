@@ -220,4 +220,55 @@ select i, case when (i // 26 - 1) // 26 >= 1 then chr(cast(65 + ((i // 26 - 1) /
 with {USAGE}
 select seq, {stamp('hit * 977')} stamp, {hms('(miss * 13)')} shown, round(case when hit + miss > 0 then hit::double / (hit + miss)::double * 100.0::double else 0.0::double end, 6) rate,
        case when hit * 7 >= 10000 then regexp_replace((hit * 7)::varchar, '(\\d)(\\d{{3}})$', '\\1,\\2') else (hit * 7)::varchar end tokens from usage""",
+    "work_roots": """
+with p as (select page_id, 'lib/' || case when page_id % 3 = 0 then 'rj' || (page_id + 100000) || '/' else '' end || 'disc/' || page_id || '.lrc' path from pages)
+select page_id, case when page_id % 3 = 0 then 'lib/rj' || (page_id + 100000) else 'lib/disc' end root, case when page_id % 3 = 0 then 'RJ' || (page_id + 100000) end number from p""",
+    "txt_over_pdf": """
+with f as (select 'd' || (page_id // 20) dir, 'n' || case when page_id % 5 = 0 then page_id else page_id // 2 end stem, case when page_id % 2 = 0 then '.txt' else '.pdf' end ext from pages),
+k as (select *, max(ext = '.txt') over (partition by dir, stem) twin from f), r as (select * from k where not (ext = '.pdf' and twin))
+select dir || '/' || stem || ext path, cast(row_number() over (partition by dir order by cast(stem[2:] as bigint), stem, dir || '/' || stem || ext) as integer) place from r""",
+    "script_names": """
+select p_partkey, case when p_partkey % 11 = 0 then false when p_partkey % 7 in (1, 5) then false when p_partkey % 7 in (0, 2, 6) then true when p_partkey % 13 = 0 then true else p_partkey % 7 = 3 end script from part""",
+    "variant_inherit": """
+select n_regionkey as work, n_name track, replace(n_name, '_', '|') lines from nation union all select n_regionkey, n_name || '（room）', replace(n_name, '_', '|') from nation""",
+    "coverage_fill": """
+with n as (select n_regionkey as work, n_nationkey k, (n_nationkey % 3 = 0)::int a, avg((n_nationkey % 3 = 0)::int) over (partition by n_regionkey) c from nation),
+l as (select work, case when a = 1 then 1 when c < 0.5 and k % 2 = 0 then 2 else 0 end n from n)
+select work, count(*) tracks, count(*) filter (where n > 0) matched, cast(sum(n) as bigint) total, sum(n) > 0 and count(*) filter (where n > 0) * 1.0::double / count(*) >= 0.3 accepted from l group by work""",
+    "error_kinds": """
+with e as (select [200, 400, 429, 500, 402][event_id % 5 + 1] status, ['ok', 'Unsupported value', 'rate limit', 'connection reset', 'no credit', 'timed out'][event_id % 6 + 1] said from events)
+select status, said, count(*) n, status in (400, 422) or said = 'Unsupported value' parameter, said not in ('connection reset', 'timed out') and (status in (429, 402, 403) or said in ('rate limit', 'no credit')) quota
+from e group by status, said""",
+    "usage_normal": """
+select event_id, event_id prompt_tokens, case when event_id % 2 = 0 then 3 else 7 end::bigint hit_tokens, case when event_id % 2 = 0 then 5 when event_id > 0 then event_id - 7 else 0 end::bigint miss_tokens,
+       case when event_id % 2 = 0 then 2 else 0 end::bigint completion_tokens, case when event_id % 2 = 0 then 0 else 4 end::bigint reasoning_tokens from events""",
+    "chunk_tokens": f"with {USAGE} select user_id file, cast(sum(hit) as bigint) all_hits, arg_max(hit, seq) last_hits from usage group by user_id",
+    "box_columns": """
+with b as (select o_custkey % 40 page, o_totalprice % 600 cx, (o_orderkey % 13 + 5)::double h from orders),
+c as (select page, count(*) filter (where m >= 2) columns from (select page, round_even(cx / 30, 0) k, count(*) m from b group by 1, 2) group by page)
+select page, count(*) >= 4 and (avg((h > 12)::int) > 0.3 or max(columns) >= 2) vertical from b join c using (page) group by page""",
+    "box_reading_order": f"""
+with {_boxes()}, k as (select *, h > w * 1.2 tall, case when h > w * 1.2 then 'v' when w > h then case when length(text) < 20 then 'v' else 'w' end else 's' end kind from boxes),
+j as (select *, round_even(cx / 30, 0) col, case when cy - lag(cy) over (partition by page, kind <> 'w', round_even(cx / 30, 0) order by cy) > 100 then 1 else 0 end jump from k),
+g as (select *, sum(jump) over (partition by page, kind <> 'w', col order by cy rows unbounded preceding) grp from j),
+t as (
+  select page, 0 part, -col k1, grp k2, string_agg(text, '' order by cy, text) text from g where kind <> 'w' group by page, col, grp
+  union all
+  select page, 1, round_even(cy / 50, 0), cx, text from k where kind = 'w' and w <= 1000 and not exists (select 1 from k v where v.page = k.page and v.kind = 'v' and contains(v.text, k.text)))
+select page, cast(row_number() over (partition by page order by part, k1, k2, text) as integer) nth, text from t""",
+    "line_quality": f"""
+with {DOC_LINES}, every as (select lang, text from lines union all select * from (values ('ja', '漢字かな交じり'), ('ja', '♡♪ab'), ('ja', '12')) t(lang, text)),
+s as (select lang, {strip('text')} s from every), k as (select * from s where s <> '' and not regexp_matches(s, '^\\d+$'))
+select lang, round(sum({count('s', '[\\x{3040}-\\x{309f}\\x{30a0}-\\x{30fa}\\x{4e00}-\\x{9fff}]')} - 2.0::double * {count('s', '[♡♪/＝・…※✧⩌⩊]')}) / greatest(sum(length(s)), 1), 9) quality from k group by lang""",
+    "speech_time": f"""
+with {CUES}, w as (select file, seq, list_slice(string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' '), 1, 60) w from cues),
+n as (select file, seq, len(w) * 280 ms, length(array_to_string(w, '')) chars from w)
+select file, seq, cast(ms as bigint) speech_ms, chars > 0 and (chars > 40 or (chars >= 6 and ms / 1000.0 > 8.5)) too_long from n""",
+    "name_similarity": """
+with p as (select p_partkey, p_name a, lead(p_name) over (partition by p_brand order by p_partkey) b from part)
+select p_partkey, contains(a, b) or contains(b, a) or len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1))) * 1.0::double / least(length(a), length(b)) > 0.5 as similar
+from p where b is not null""",
+    "archived_originals": """
+with p as (select page_id, ['.lrc', '.srt', '.vtt'][page_id % 3 + 1] ext, page_id % 5 <> 0 live, page_id % 2 = 0 kept from pages)
+select ext, count(*) filter (where live or kept) n, count(*) filter (where kept and not live) restored, count(*) filter (where live and not kept) to_archive, count(*) filter (where live and kept) with_original from p group by ext""",
 }
