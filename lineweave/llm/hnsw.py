@@ -265,6 +265,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
     keys = ["label", "dim", "shard", "block"]
     found = graphs.select(*keys, "graph").groupBy(*keys).cogroup(blocks.select(*keys, "queries").groupBy(*keys)).applyInArrow(_search(threshold), "a long, b long")
     links = scratch.save(found.distinct(), "links")
+    scratch.drop("graphs")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = reps.groupBy("rep").agg(F.sum("copies").alias("copies"))

@@ -205,6 +205,8 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
         links = scratch.save(links.unionByName(more).unionByName(label.select(F.col("rep").alias("a"), F.col("known").alias("b"))), "more")
         found = scratch.save(components(links, scratch, "again"), "classes2")
 
+    scratch.drop("met", "star", "blocks", "texts", "links", "apart", "more")  # the result reads features, reps and classes
+
     class_of = reps.select(*same, "rep").join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     f, c = all_rows.select("doc_id", *same).alias("f"), class_of.alias("c")
     on = (F.col("f.n_shingles") == F.col("c.n_shingles")) & (F.col("f.s1") == F.col("c.s1")) & (F.col("f.s2") == F.col("c.s2")) & F.col("f.doc_id").isNotNull()
