@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, pieces, running_sum, span_hashes, text_bytes
 
 SCALE = 20  # frequencies sum to 2 ** SCALE
-LANES = 256
+LANES = 1024
 STRIDE = 256  # steps between checkpoints
 BLOCK = LANES * STRIDE * 4  # ids in a block, at least
 LOW = np.uint64(1 << 31)
