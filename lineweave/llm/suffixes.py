@@ -262,10 +262,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
     several = several.select("m", F.ceil(F.col("contexts") / HOT).alias("slots"))
     asked = distinct.drop("w").join(several, "m")
     wants = asked.groupBy("first.did", "first.th").agg(F.collect_list(F.struct("m", "ch", F.col("first.at").alias("at"), "n", "slots")).alias("wants"))
-    texts = _with_key(docs).select("did", "th", "text")
+    # Equal rows give equal contexts; only one of them is cut up and sorted.
+    texts = _with_key(docs).select("did", "th", "text").dropDuplicates(["did", "th"])
     source = texts.join(wants, ["did", "th"])
     fetch, schema = _fetch(length)
-    # Equal rows give equal contexts; one of each is sorted.
     sliced = scratch.save(source.select("did", "th", "text", "wants").mapInArrow(fetch, schema), "contexts")
     buckets = max(1, -(-sliced.count() // BUCKET))
     slotted = sliced.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))

@@ -8,7 +8,7 @@ from fixtures import SF, frame, rows
 
 from lineweave.llm import suffixes
 from lineweave.llm.shared import Scratch
-from lineweave.llm.suffixes import contexts, longest_previous, remove_repeats, suffix_order
+from lineweave.llm.suffixes import contexts, longest_previous, remove_repeats, strip_repeats, suffix_order
 
 
 def brute(data, length):
@@ -68,6 +68,17 @@ def test_keep_first(spark):
         assert got[i].text == "".join(c for c, h in zip(text, hit, strict=True) if not h), i
 
 
+def test_keep_first_of_repeated_rows(spark):
+    r = random.Random(3)
+    s = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    p = s(400)
+    a, b, c = s(150) + p + s(150), s(170) + p + s(100), s(90) + p[20:380] + s(250)
+    for key in (None, 1):
+        docs = spark.createDataFrame([(key, a), (key, a), (key, a), (5, b), (6, c)], "doc_id long, text string")
+        got = sorted((x.doc_id or 0, x.text) for x in strip_repeats(docs, Scratch(spark, "t"), 200).collect())
+        assert [x for _, x in got] == [a, a, a, b.replace(p, ""), c.replace(p[20:380], "")], key
+
+
 def test_cut_characters_are_dropped_whole(spark):
     p = "é" * 5 + "".join(chr(97 + i * i % 23) for i in range(210))
     docs = spark.createDataFrame([(1, "é" + p + "1"), (2, "ĩ" + p + "2")], "doc_id long, text string")
