@@ -6,8 +6,6 @@ matches map lines to closed ranges of script lines.
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,24 +24,72 @@ def _joined(lines: list[str]) -> tuple[str, np.ndarray]:
     return JOINT.join(lines), np.concatenate(owner).astype(np.int64)
 
 
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """What difflib's ``get_matching_blocks`` gives without junk: (place in a, place in b, size), no empty one.
+
+    The longest common string, the earliest in a and then in b, splits both sides, and so on.  Ranks of all
+    strings of 2, 4, 8... characters are made once; two of them tell any length apart exactly, so a split
+    costs some sorts of its range in place of a walk over all pairs of places.
+    """
+    n = len(a)
+    both = np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ranks = [np.unique(both, return_inverse=True)[1].astype(np.int64)]
+    while (width := 1 << len(ranks)) <= min(n, len(b)):
+        last, half = ranks[-1], width // 2
+        longer = np.unique(last[:-half] * len(both) + last[half:], return_inverse=True)[1].astype(np.int64)
+        ranks.append(longer)
+        if not np.isin(longer[: n - width + 1], longer[n:]).any():
+            break
+
+    def keys(lo: int, hi: int, size: int) -> np.ndarray:
+        rank, rest = ranks[size.bit_length() - 1], size - (1 << (size.bit_length() - 1))
+        return rank[lo : hi - size + 1] * len(both) + rank[lo + rest : hi - size + 1 + rest]
+
+    found, todo = [], [(0, n, 0, len(b), (1 << len(ranks)) - 1)]
+    while todo:
+        a0, a1, b0, b1, most = todo.pop()
+        least, most = 0, min(most, a1 - a0, b1 - b0)
+        where = None
+        while least < most:
+            size = (least + most + 1) // 2
+            left, right = keys(a0, a1, size), keys(n + b0, n + b1, size)
+            shared = np.isin(left, right)
+            if shared.any():
+                least, i = size, int(shared.argmax())
+                where = i, int((right == left[i]).argmax())
+            else:
+                most = size - 1
+        if where:
+            i, j = a0 + where[0], b0 + where[1]
+            found.append((i, j, least))
+            todo += [(a0, i, b0, j, least), (i + least, a1, j + least, b1, least)]
+    out: list[tuple[int, int, int]] = []
+    for i, j, size in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (*out[-1][:2], out[-1][2] + size)
+        else:
+            out.append((i, j, size))
+    return out
+
+
 def spans(spoken: list[str], script: list[str]) -> dict[int, tuple[int, int]]:
     """Closed range of script lines for each spoken line that has letters."""
     a, a_line = _joined(spoken)
     s, s_line = _joined(script)
     if not a or not s:
         return {}
-    found = [m for m in difflib.SequenceMatcher(a=a, b=s, autojunk=False).get_matching_blocks() if m.size]
-    begin = np.array([m.a for m in found])
+    found = matching_blocks(a, s)
+    begin = np.array([m[0] for m in found])
 
     def place(p: int) -> float:
         """Position in the script: one to one inside a match, on a line between matches."""
         k = int(np.searchsorted(begin, p, "right")) - 1 if found else -1
-        if k >= 0 and p < found[k].a + found[k].size:
-            return found[k].b + (p - found[k].a)
+        if k >= 0 and p < found[k][0] + found[k][2]:
+            return found[k][1] + (p - found[k][0])
         if not found:
             return 0.0
-        x0, y0 = (found[k].a + found[k].size, found[k].b + found[k].size) if k >= 0 else (0, 0)
-        x1, y1 = (found[k + 1].a, found[k + 1].b) if k + 1 < len(found) else (len(a), len(s))
+        x0, y0 = (found[k][0] + found[k][2], found[k][1] + found[k][2]) if k >= 0 else (0, 0)
+        x1, y1 = found[k + 1][:2] if k + 1 < len(found) else (len(a), len(s))
         if k < 0:
             return y1 * (p / x1) if x1 else 0.0
         return y0 + (p - x0) * (y1 - y0) / (x1 - x0) if x1 > x0 else 0.0
@@ -85,4 +131,6 @@ def align_script(spoken: DataFrame, script: DataFrame, reading=None) -> DataFram
     kinds = dict(a.dtypes)
     schema = f"track {kinds['track']}, seq {kinds['seq']}, norm string, lo int, hi int, sb string"
     got = a.groupBy("track").cogroup(s.groupBy("track")).applyInPandas(_align, schema)
-    return got.select("track", "seq", "sb", F.bround(dice(F.col("norm"), align_normal("sb", reading)), 3).alias("conf"), "lo", "hi")
+    # Bound to a name, as the expression would else be worked out again for every bigram.
+    conf = F.get(F.transform(F.array(align_normal("sb", reading)), lambda x: dice(F.col("norm"), x)), F.lit(0))
+    return got.select("track", "seq", "sb", F.bround(conf, 3).alias("conf"), "lo", "hi")

@@ -252,7 +252,7 @@ def srt_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with words timed 300 ms each and a pause after every seventh."""
     cues = cue_rows(spark, sf_dir).withColumn("line", F.trim(F.regexp_replace(F.col("text"), r"\s+", " ")))
-    words = F.transform(F.slice(F.split("line", " "), 1, 60), lambda w, i: F.struct((F.col("time_ms") + i * 300 + F.floor(i / 7) * 400).alias("start"), (F.col("time_ms") + i * 300 + F.floor(i / 7) * 400 + 280).alias("end"), w.alias("word")))
+    words = F.transform(F.split("line", " "), lambda w, i: F.struct((F.col("time_ms") + i * 300 + F.floor(i / 7) * 400).alias("start"), (F.col("time_ms") + i * 300 + F.floor(i / 7) * 400 + 280).alias("end"), w.alias("word")))
     out = cues.withColumn("words", words)
     return out.select("file", "seq", F.array_join(F.transform("words", lambda w: w["word"]), "").alias("text"), "words")
 
@@ -270,10 +270,10 @@ def legal_cut_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns against the script of their conversation, every fifth word changed."""
-    c = cue_rows(spark, sf_dir).withColumn("short", F.substring("text", 1, 120))
-    changed = F.array_join(F.transform(F.split("short", " "), lambda w, i: F.when(i % 5 == 2, "xx").otherwise(w)), " ")
+    c = cue_rows(spark, sf_dir)
+    changed = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 5 == 2, "xx").otherwise(w)), " ")
     line_no = F.row_number().over(Window.partitionBy("file").orderBy("seq")) - 1
-    return align.align_script(c.select(F.col("file").alias("track"), "seq", changed.alias("text")), c.select(F.col("file").alias("track"), line_no.alias("line_no"), F.col("short").alias("text")))
+    return align.align_script(c.select(F.col("file").alias("track"), "seq", changed.alias("text")), c.select(F.col("file").alias("track"), line_no.alias("line_no"), "text"))
 
 
 def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,12 +300,12 @@ def glyph_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns answered as JSON, some broken, read back."""
-    c = cue_rows(spark, sf_dir).withColumn("short", F.substring(F.regexp_replace("text", r'["\\\n]', " "), 1, 60))
-    grouped = c.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "short"))).alias("rows"))
-    items = F.transform("rows", lambda r, i: F.concat(F.lit('{"index": '), (i + 1).cast("string"), F.lit(', "text": "'), F.upper(r["short"]), F.lit('"}')))
+    c = cue_rows(spark, sf_dir).withColumn("plain", F.regexp_replace("text", r'["\\\n]', " "))
+    grouped = c.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "plain"))).alias("rows"))
+    items = F.transform("rows", lambda r, i: F.concat(F.lit('{"index": '), (i + 1).cast("string"), F.lit(', "text": "'), F.upper(r["plain"]), F.lit('"}')))
     broken = F.col("file").cast("long") % 3
     raw = F.when(broken == 0, F.concat(F.lit('{"translations": ['), F.array_join(items, ", "), F.lit("]}"))).when(broken == 1, F.array_join(items, "},\n")).otherwise(F.concat(F.lit('ok {"translations": ['), F.array_join(items, ", ")))
-    got = answer_texts(F.transform("rows", lambda r: r["short"]), raw)
+    got = answer_texts(F.transform("rows", lambda r: r["plain"]), raw)
     return grouped.withColumn("got", got).select("file", F.col("got.parsed").alias("parsed"), F.col("got.how").alias("how"), F.md5(F.array_join("got.texts", "|")).alias("texts"))
 
 
@@ -430,8 +430,8 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken time of turns and whether they are too long."""
-    t = timed_words(spark, sf_dir)
+    """Spoken time of turns' first 60 words, as in its SQL, and whether they are too long."""
+    t = timed_words(spark, sf_dir).withColumn("words", F.slice("words", 1, 60)).withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), ""))
     return t.select("file", "seq", timing.speech_ms(F.col("words")).alias("speech_ms"), timing.is_too_long(F.col("text"), F.col("words")).alias("too_long"))
 
 
