@@ -4,7 +4,8 @@ Every window of ``length`` bytes is routed by its minimiser, the least hash of t
 it, so equal windows meet.  Consecutive windows with one minimiser travel together as one context.
 Windows whose minimiser occurs once in the corpus are gone after a count; equal contexts count once; what
 is left is sorted into suffix arrays of bounded size, whose longest-previous-factor arrays (from the
-previous and next smaller text positions in suffix order) name the repeats.
+previous and next smaller text positions in suffix order) name the repeats.  Windows of a minimiser with
+too many contexts for that are counted by digest.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import BASE, BYTE_CODE, SPACE, Scratch, mix, pieces, text_bytes
 
 RUN = 128  # windows in a context, at most
 BUCKET = 12_000  # contexts sorted in one suffix array
-HOT = 50_000  # contexts with one minimiser beyond which its windows are dealt out by their own hash
+HOT = 50_000  # contexts with one minimiser beyond which its windows are counted by digest, not sorted
 
 RUN_SCHEMA = "did long, th long, m long, ch long, at int, n int, w int"
 
@@ -201,12 +203,6 @@ def _repeats(length: int, keep_first: bool):
         base = np.cumsum(n + length - 1) - (n + length - 1)
         owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + base[owner]
-        slots = bucket["slots"].to_numpy(np.uint64)
-        if (slots > 1).any():
-            with np.errstate(over="ignore"):
-                _, whole = _grams(data, length)
-            mine = whole[at] % slots[owner] == bucket["slot"].to_numpy(np.uint64)[owner]
-            at = at[mine]
         order, start = suffix_order(data, at, length)
         # Contexts stand in the order of their first occurrence, so places in data order positions.
         lcp = np.where(start, 0, length)
@@ -226,7 +222,7 @@ def _repeats(length: int, keep_first: bool):
 
 
 def _fetch(length: int):
-    schema = "m long, ch long, did long, th long, at int, n int, slots long, bytes binary"
+    schema = "m long, ch long, did long, th long, at int, n int, hot boolean, bytes binary"
 
     def run(batches):
         for batch in batches:
@@ -240,13 +236,47 @@ def _fetch(length: int):
                 cut = [raw[a:b] for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [want.field("m"), want.field("ch"), part.column("did").take(rows), part.column("th").take(rows), want.field("at"), want.field("n"), want.field("slots"), pa.array(cut, pa.binary())],
-                    ["m", "ch", "did", "th", "at", "n", "slots", "bytes"],
+                    [want.field("m"), want.field("ch"), part.column("did").take(rows), part.column("th").take(rows), want.field("at"), want.field("n"), want.field("hot"), pa.array(cut, pa.binary())],
+                    ["m", "ch", "did", "th", "at", "n", "hot", "bytes"],
                 )
 
     return run, schema
 
 
+def _windows(length: int):
+    """Windows of contexts, each once, by a digest of 128 bits."""
+    schema = "m long, ch long, did long, th long, at int, off int, key binary"
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                n = np.asarray(part.column("n")).astype(np.int64)
+                off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                keys = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for raw, many in zip(part.column("bytes").to_pylist(), n.tolist(), strict=True) for i in range(many)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("m", "ch", "did", "th", "at")), pa.array(off.astype(np.int32)), pa.array(keys, pa.binary())], ["m", "ch", "did", "th", "at", "off", "key"])
+
+    return run, schema
+
+
+def _counted(contexts_of_hot: DataFrame, scratch: Scratch, length: int, keep_first: bool) -> DataFrame:
+    """What ``_repeats`` gives, for minimisers with any number of contexts.
+
+    Every window travels once, as a digest; equal ones are counted, in part before they meet.
+    """
+    cut, schema = _windows(length)
+    windows = scratch.save(contexts_of_hot.select("m", "ch", "did", "th", "at", "n", "bytes").mapInArrow(cut, schema), "windows")
+    place = F.struct("did", "th", (F.col("at") + F.col("off")).alias("at"))
+    again = windows.groupBy("m", "key").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
+    hit = windows.join(again, ["m", "key"])
+    if keep_first:
+        hit = hit.filter(place != F.col("first"))
+    run = F.col("off") - F.row_number().over(Window.partitionBy("m", "ch").orderBy("off"))
+    spans = hit.select("m", "ch", "off", run.alias("run")).groupBy("m", "ch", "run").agg(F.min("off").cast("long").alias("a"), (F.max("off") + 1).cast("long").alias("b"))
+    return spans.select("m", "ch", "a", "b")
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, keep_first: bool = False) -> DataFrame:
     """Byte spans of windows that repeat: rows (did, th, spans array<struct<a,b>>), spans unmerged.
 
@@ -259,22 +289,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
     first = F.min(F.struct("did", "th", "at")).alias("first")
     distinct = scratch.save(runs.groupBy("m", "ch").agg(F.count("*").alias("c"), first, F.first("n").alias("n"), F.max("w").alias("w")), "distinct")
     several = distinct.groupBy("m").agg(F.count("*").alias("contexts"), F.max("w").alias("w")).filter("contexts > 1 or w > 1")
-    several = several.select("m", F.ceil(F.col("contexts") / HOT).alias("slots"))
+    several = several.select("m", (F.col("contexts") > HOT).alias("hot"))
     asked = distinct.drop("w").join(several, "m")
-    wants = asked.groupBy("first.did", "first.th").agg(F.collect_list(F.struct("m", "ch", F.col("first.at").alias("at"), "n", "slots")).alias("wants"))
+    wants = asked.groupBy("first.did", "first.th").agg(F.collect_list(F.struct("m", "ch", F.col("first.at").alias("at"), "n", "hot")).alias("wants"))
     # Equal rows give equal contexts; only one of them is cut up and sorted.
     texts = _with_key(docs).select("did", "th", "text").dropDuplicates(["did", "th"])
     source = texts.join(wants, ["did", "th"])
     fetch, schema = _fetch(length)
     sliced = scratch.save(source.select("did", "th", "text", "wants").mapInArrow(fetch, schema), "contexts")
-    buckets = max(1, -(-sliced.count() // BUCKET))
-    slotted = sliced.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    # A minimiser with many contexts is dealt out by window, the others stay together.
-    key = F.pmod(F.xxhash64("m", "slot"), F.lit(buckets))
-    unique = slotted.withColumn("bucket", key)
-    found = scratch.save(unique.groupBy("bucket").applyInPandas(_repeats(length, keep_first), "m long, ch long, a long, b long"), "found")
-
-    scratch.drop("contexts")
+    many = sliced.agg(F.count_if(~F.col("hot")).alias("cold"), F.count_if("hot").alias("hot")).first()
+    buckets = max(1, -(-many.cold // BUCKET))
+    # A minimiser's contexts stay together, if they are not too many.
+    together = sliced.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
+    marked = together.groupBy("bucket").applyInPandas(_repeats(length, keep_first), "m long, ch long, a long, b long")
+    if many.hot:
+        marked = marked.unionByName(_counted(sliced.filter("hot"), scratch, length, keep_first))
+    found = scratch.save(marked, "found")
+    scratch.drop("contexts", *["windows"] * bool(many.hot))
 
     in_sorted = found.select("m", "ch", "a", "b")
     copies = distinct.filter("c > 1").select("m", "ch", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))

@@ -117,3 +117,36 @@ def test_equal_windows_share_a_minimiser():
         for p in range(a, a + k):
             keys.setdefault(data[p : p + 200].tobytes(), set()).add(int(v))
     assert all(len(v) == 1 for v in keys.values())
+
+
+class Counting(Scratch):
+    """Keeps the number of rows of each table."""
+
+    def save(self, df, name):
+        out = super().save(df, name)
+        self.__dict__.setdefault("rows", {})[name] = out.count()
+        return out
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_windows_of_a_hot_minimiser_travel_once(spark, keep_first, monkeypatch):
+    """A common passage in 120 texts: as many rows as windows, and none in a suffix array by slot."""
+    monkeypatch.setattr(suffixes, "HOT", 10)
+    r = random.Random(4)
+    s = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    common, again = s(90), s(150)
+    data = [(i, s(120) + common + s(120)) for i in range(120)] + [(200 + i, s(40) + common + again + s(30)) for i in range(40)]
+    docs, scratch = spark.createDataFrame(data, "doc_id long, text string"), Counting(spark, "t")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, scratch, 100, keep_first).collect()}
+    assert 1000 < scratch.rows["windows"] <= sum(len(t) - 99 for _, t in data)
+    seen, want = Counter(), {}
+    for _, t in data:
+        seen.update(t[i : i + 100] for i in range(len(t) - 99) if not keep_first)
+    for i, t in data:
+        hit = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - 99):
+            hit[k : k + 100] |= seen[t[k : k + 100]] > (not keep_first)
+            seen[t[k : k + 100]] += keep_first
+        rest = "".join(c for c, h in zip(t, hit, strict=False) if not h)
+        want[i] = len(t), len(t) - len(rest), int((np.diff(np.concatenate([[0], hit.astype(int)])) > 0).sum()), hashlib.sha256(rest.encode()).hexdigest()
+    assert got == want
