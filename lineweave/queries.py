@@ -316,12 +316,13 @@ def translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language as a script with marks between them."""
-    d = read(spark, sf_dir, "documents").filter(F.col("doc_id").isNotNull()).withColumn("n", F.col("doc_id") % 9 + 1)
-    sections = d.groupBy("lang", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
+    """Nine documents of one language in a row as a script with marks between them; rows of one doc_id share a mark."""
+    d = read(spark, sf_dir, "documents").filter(F.col("doc_id").isNotNull()).withColumn("n", F.pmod("doc_id", F.lit(9)) + 1)
+    d = d.withColumn("work", F.concat_ws("/", "lang", F.expr("(doc_id - pmod(doc_id, 9)) div 9").cast("string")))
+    sections = d.groupBy("work", "n").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("トラック"), F.col("n").cast("string"), F.lit("\n"), "text").alias("t")))), lambda x: x["t"]), "\n")
-    s = sections.groupBy(F.col("lang").alias("work")).agg(content.alias("content"))
-    tracks = sections.select(F.col("lang").alias("work"), F.concat(F.lit("tr0"), F.col("n").cast("string")).alias("track"), F.col("n").alias("seq"))
+    s = sections.groupBy("work").agg(content.alias("content"))
+    tracks = sections.select("work", F.concat(F.lit("tr0"), F.col("n").cast("string")).alias("track"), F.col("n").alias("seq"))
     return scripts.split_by_marks(s, tracks).select("work", "track", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines"))
 
 

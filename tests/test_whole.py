@@ -64,3 +64,12 @@ def test_blocks_of_long_texts():
     b = [r.choice(WORDS) for _ in range(400)]
     a, b = " ".join("xx" if i % 5 == 2 else w for i, w in enumerate(b)), " ".join(b)
     assert matching_blocks(a, b) == [tuple(m) for m in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_matching_blocks() if m.size]
+
+
+def test_every_document_stands_in_a_script(spark, tmp_path):
+    docs = [(i, f"first of {i}\nsecond of {i}", "de" if i % 3 else "en") for i in range(60)] + [(7, "again\nof seven\nonce more", "de")]
+    spark.createDataFrame([*docs, (None, "no id", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["script_marks"](spark, str(tmp_path)).collect()
+    want = {(f"{lang}/{i // 9}", f"tr0{i % 9 + 1}"): [f"トラック{i % 9 + 1}", *(["again", "of seven", "once more"] if i == 7 else []), *text.split("\n")] for i, text, lang in docs[:60]}
+    assert {(r.work, r.track): (r.n_lines, r.lines) for r in got} == {k: (len(v), hashlib.md5("\n".join(v).encode()).hexdigest()) for k, v in want.items()}
+    assert len(got) == 60
