@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, pieces, running_sum, span_hashes, text_bytes
+from .shared import Scratch, pieces, running_sum
 
 SCALE = 20  # frequencies sum to 2 ** SCALE
 LANES = 1024
@@ -122,168 +122,30 @@ def _tables(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # --- tokenizer ---------------------------------------------------------------------------------------
 
-#: Word parts whose ids a worker keeps; the memory stays bounded, the ids are the tokenizer's either way.
-KEPT_PARTS = 2_000_000
-_CLASS = np.full(256, 2, np.uint8)  # 0 blank, 1 letter (or a byte of one), 2 other
-_CLASS[[10, 32]] = 0
-_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_ODD = np.zeros(256, bool)
-_ODD[[*range(10), *range(11, 32), 127, 0xC2, *range(0xCA, 256)]] = True
-
-
-def _plain_rows(data: np.ndarray, off: np.ndarray, special: list[bytes]) -> np.ndarray:
-    """Rows made of ASCII signs, single blanks and line feeds and the letters up to U+024F."""
-    rows = len(off) - 1
-    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
-    blank, odd = _CLASS[data] == 0, _ODD[data]
-    odd |= (before == 0xC3) & ((data == 0x97) | (data == 0xB7)) | (before == 0xC9) & (data >= 0x90)
-    edge = np.zeros(len(data) + 1, bool)
-    edge[off] = True
-    odd |= blank & (edge[:-1] | edge[1:] | (_CLASS[before] == 0))
-    plain = np.diff(off) > 0
-    plain[np.searchsorted(off, np.flatnonzero(odd), "right") - 1] = False
-    raw = data.tobytes()
-    for mark in special:
-        at = raw.find(mark)
-        while at >= 0:
-            plain[np.searchsorted(off, at, "right") - 1] = False
-            at = raw.find(mark, at + 1)
-    return plain[:rows]
-
-
-class _Encoder:
-    """Ids of whole texts.  Plain texts are put together from parts, each encoded once by the tokenizer.
-
-    The byte-level pattern always ends a word before a blank, after a line feed and after a run of
-    letters, so the ids of a plain text are those of its parts in turn.  Parts are told apart by a
-    64-bit hash.  Other texts are encoded whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.token_bytes[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.fresh = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # sorted
-        self.slot, self.fresh_slot = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self._index()
-
-    def _index(self) -> None:
-        self.bucket = np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
-        self.padded = np.append(self.keys, np.uint64(2**64 - 1))
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slots of hashes, -1 for those not known."""
-        out = np.full(len(h), -1, np.int64)
-        at = self.bucket[(h >> np.uint64(44)).astype(np.int64)]
-        open_ = np.arange(len(h))
-        while len(open_):
-            key, own = self.padded[at[open_]], h[open_]
-            same = key == own
-            out[open_[same]] = at[open_[same]]
-            open_ = open_[key < own]
-            at[open_] += 1
-        out[out >= len(self.keys)] = -1
-        hit = out >= 0
-        out[hit] = self.slot[out[hit]]
-        if len(self.fresh):
-            miss = np.flatnonzero(~hit)
-            at = np.minimum(np.searchsorted(self.fresh, h[miss]), len(self.fresh) - 1)
-            same = self.fresh[at] == h[miss]
-            out[miss[same]] = self.fresh_slot[at[same]]
-        return out
-
-    def _learn(self, h: np.ndarray, parts: list[bytes]) -> None:
-        ids = []
-        for at in range(0, len(parts), 4000):
-            some = [x.decode() for x in parts[at : at + 4000]]
-            # A line feed stands between them and is a token of its own.
-            all_ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, np.uint32)
-            stops = np.cumsum(np.array([len(x) for x in parts[at : at + 4000]]) + 1) - 1
-            ends = np.cumsum(self.token_bytes[all_ids])
-            last = np.searchsorted(ends, stops)
-            if len(last) and last[-1] < len(ends) and (ends[last] == stops).all() and (self.token_bytes[all_ids[last[:-1] + 1]] == 1).all():
-                ids += [all_ids[i : j + 1] for i, j in zip([0, *(last[:-1] + 2).tolist()], last.tolist(), strict=True)]
-            else:
-                ids += [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in some]
-        new = np.array([len(x) for x in ids], np.int64)
-        slots = len(self.size) + np.arange(len(new))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(new) - new])
-        self.size, self.pool = np.concatenate([self.size, new]), np.concatenate([self.pool, *ids])
-        self.fresh, self.fresh_slot = np.concatenate([self.fresh, h]), np.concatenate([self.fresh_slot, slots])
-        order = np.argsort(self.fresh)
-        self.fresh, self.fresh_slot = self.fresh[order], self.fresh_slot[order]
-        if len(self.fresh) > 5000 + len(self.keys) // 10:
-            keys, slots = np.concatenate([self.keys, self.fresh]), np.concatenate([self.slot, self.fresh_slot])
-            order = np.argsort(keys)
-            self.keys, self.slot = keys[order], slots[order]
-            self.fresh, self.fresh_slot = self.fresh[:0], self.fresh_slot[:0]
-            self._index()
-
-    def __call__(self, text: pa.Array) -> list[np.ndarray]:
-        data, off = text_bytes(text)
-        rows = len(off) - 1
-        out: list = [None] * rows
-        plain = _plain_rows(data, off, self.special)
-        if plain.any():
-            size = np.diff(off)
-            if not plain.all():
-                data_, off_ = data[np.repeat(plain, size)], np.concatenate([[0], np.cumsum(size[plain])])
-            else:
-                data_, off_ = data, off
-            for i, x in zip(np.flatnonzero(plain).tolist(), self._plain(data_, off_), strict=True):
-                out[i] = x
-        rest = np.flatnonzero(~plain).tolist()
-        texts = [(text[i].as_py() or "") for i in rest]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def _plain(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-        kind = _CLASS[data]
-        start = kind == 0
-        start[1:] |= (data[:-1] == 10) | (kind[1:] == 2) & (kind[:-1] == 1)
-        start[off[:-1]] = True
-        begin = np.flatnonzero(start)
-        end = np.append(begin[1:], len(data))
-        h = span_hashes(data, begin, end)
-        if len(self.size) > KEPT_PARTS:
-            self.forget()
-        slot = self._find(h)
-        miss = np.flatnonzero(slot < 0)
-        if len(miss):
-            new, at = np.unique(h[miss], return_index=True)
-            raw = data.tobytes()
-            self._learn(new, [raw[a:b] for a, b in zip(begin[miss[at]].tolist(), end[miss[at]].tolist(), strict=True)])
-            slot[miss] = self._find(h[miss])
-        size = self.size[slot]
-        to = np.cumsum(size)
-        ids = self.pool[np.arange(int(to[-1])) + np.repeat(self.first[slot] - (to - size), size)]
-        cuts = np.append(to, 0)[np.searchsorted(begin, off[1:-1]) - 1]
-        return np.split(ids, cuts)
+#: Bytes of text that a worker encodes at once (one text at least).
+ENCODE_BYTES = 1 << 20
 
 
 @functools.lru_cache(1)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """Rows (doc_id, n_tokens, width, ids): ids as little-endian binary of 2 bytes each if all fit, else 4."""
+    """Rows (doc_id, n_tokens, width, ids): ids as little-endian binary of 2 bytes each if all fit, else 4.
+
+    The tokenizer reads every text whole, without special tokens added; ``end_id`` follows each text.
+    """
 
     def run(batches):
-        encode = _encoder(tokenizer_path)
+        encode = _tokenizer(tokenizer_path).encode_batch_fast
         for batch in batches:
-            for part in pieces(batch):
-                ids = [np.append(x, np.uint32(end_id)) for x in encode(part.column("text"))]
+            for part in pieces(batch, ENCODE_BYTES):
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                ids = [np.array([*e.ids, end_id], np.uint32) for e in encode(texts, add_special_tokens=False)]
                 wide = [int(x.max()) >= 65536 for x in ids]
                 data = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -306,7 +168,9 @@ def write_ans(docs: DataFrame, path: str, tokenizer_path: str, scratch: Scratch,
 
     Ids stand in ascending doc_id order, null doc_ids first; rows with equal doc_ids are ordered by
     their ids' bytes.  Null and empty texts hold the end id alone.  An empty input gives empty datasets.
-    Special tokens inside a text become their ids, as the tokenizer does by default.
+    Special tokens inside a text become their ids, as the tokenizer does by default.  A text is never cut:
+    a very long one is encoded in one call and makes one block larger than the others.  Other columns of
+    docs, whatever their names, are not read.
     """
     spark = docs.sparkSession
     rows = scratch.save(token_table(docs, tokenizer_path, end_id), "tokens")
