@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -21,32 +23,71 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Parquet tables in the shared folder of ``spark.checkpoint.dir``, used to cut lineage.
 
-    Written tables survive the loss of executors.  Where the setting is absent (local tests) a
-    temporary folder takes its place.
+    Written tables survive the loss of executors.  A local session without the setting, as in tests,
+    gets a temporary folder; on a cluster, whose machines share no such folder, a missing setting is an
+    error.  A result may read tables of its scratch until it is written; ``close`` then deletes them all.
     """
 
+    _lock, _writers, _before = threading.Lock(), 0, "false"
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = f"file://{tempfile.gettempdir()}/lineweave-scratch"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        for made in getattr(_LOCAL, "made", []):
+            made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path, conf = f"{self.root}/{name}", self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")  # the shuffle files of the write go when it ends
+        path = f"{self.root}/{name}"
+        self._cleaning(1)  # the shuffle files of the write go when it ends
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            conf.set(CLEANUP, before)
+            self._cleaning(-1)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _cleaning(self, step: int) -> None:
+        """Turn the setting on with the first writer of the process and back with the last."""
+        conf = self.spark.conf
+        with Scratch._lock:
+            if step > 0 and not Scratch._writers:
+                Scratch._before = conf.get(CLEANUP, "false")
+                conf.set(CLEANUP, "true")
+            Scratch._writers += step
+            if step < 0 and not Scratch._writers:
+                conf.set(CLEANUP, Scratch._before)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no returned DataFrame reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Delete all tables; nothing that reads them can be used any more."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_LOCAL = threading.local()
+
+
+@contextlib.contextmanager
+def passing():
+    """Close every scratch that is opened inside, once what reads it has been written elsewhere."""
+    outer, made = getattr(_LOCAL, "made", []), []
+    _LOCAL.made = [*outer, made]
+    try:
+        yield
+    finally:
+        _LOCAL.made = outer
+        for scratch in made:
+            scratch.close()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +99,32 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    """A hexadecimal pseudo-random sort key that any SQL engine with md5 reproduces."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A hexadecimal pseudo-random sort key that any SQL engine with md5 reproduces.
+
+    The text takes part, so rows that share a doc_id, or have none, spread like others.
+    """
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
+
+
+def row_key(docs: DataFrame, seed: str) -> Column:
+    """``shuffle_key`` followed by a digest of all other columns: equal for equal rows only."""
+    rest = [F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    others = [F.coalesce(F.md5(F.to_json(F.struct(*rest)).cast("binary")), F.lit(""))] if rest else []
+    return F.concat(shuffle_key(F.col("doc_id"), F.col("text"), seed), F.when(F.col("text").isNull(), "n").otherwise("t"), *others)
+
+
+def repeated(df: DataFrame, times: Column, out: str, step: int = 4096) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``out``; no array holds more than ``step`` numbers or blocks of them."""
+    counted = df.withColumn("_times", times.cast("long")).filter("_times > 0")
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_times - 1) div {step}"))))
+    first = F.col("_block") * step
+    return blocks.withColumn(out, F.explode(F.sequence(first, F.least(F.col("_times") - 1, first + (step - 1))))).drop("_times", "_block")
 
 
 def running_sum(df: DataFrame, group: list[str], cell: Column, order: list[Column], value: str, out: str) -> DataFrame:
-    """Add ``out``, the running sum of ``value`` in each group, in cells of bounded size.
+    """Add ``out``, the running sum of the whole numbers ``value`` in each group, in cells of bounded size.
 
     ``cell`` is monotone in ``order`` and cuts a group into slices, so that a group holding a third of
     all rows is summed by many tasks: slices are summed first, their sums are accumulated (a small
@@ -85,6 +145,11 @@ def running_sum(df: DataFrame, group: list[str], cell: Column, order: list[Colum
     return joined.withColumn(out, (F.col("_before") + local).cast("long")).drop("_cell", "_before")
 
 
+def in_ranges(df: DataFrame, order: list[Column], scratch: Scratch, name: str, out: str = "cell") -> DataFrame:
+    """A table of df with ``out``, the number of its range in ``order``: a cell for ``running_sum``."""
+    return scratch.save(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()), name)
+
+
 def _contract(batches):
     """Replace the edges of a partition by a spanning forest of stars."""
     parent: dict[int, int] = {}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .packing import FINE
-
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = """
@@ -29,7 +27,6 @@ from placed group by conv_id, speaker, part
 
 def op4(buckets: int = 8, budget: int = 65536) -> str:
     """The dynamic program as one step of SQL for each bucket."""
-    bits = FINE.bit_length() - 1
     steps = "".join(
         f""",
 c{k} as (
@@ -43,10 +40,8 @@ c{k} as (
     ends = " union all ".join(f"select k, j from b{k}" for k in range(1, buckets + 1))
     return rf"""
 with docs as (
-  select doc_id, len({WORDS.format("text")}) n, md5('pack:' || coalesce(cast(doc_id as varchar), '')) || lpad(cast(len({WORDS.format("text")}) as varchar), 12, '0') k
-  from documents),
-grids as (select *, greatest(1, cast(ceil(n / s) as bigint) * cast(s as bigint)) g from (
-  select *, pow(2, greatest(0, case when n <= 1 then 1 else length(bin(n - 1)) end - {bits})) s from docs)),
+  select doc_id, len({WORDS.format("text")}) n, md5('pack:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) k from documents),
+grids as (select *, greatest(1, n) g from docs),
 hist as (select g, row_number() over (order by g) j, sum(c) over (order by g) upto from (select g, count(*) c from grids group by g)),
 n as (select max(j) n from hist),
 c1 as (select j, g * upto cost, 0 i from hist){steps},
@@ -62,7 +57,7 @@ from ranked r join ends using (bucket_length)
 
 OP5 = rf"""
 with docs as (
-  select doc_id, source, len({WORDS.format("text")}) size, md5('mix:' || coalesce(cast(doc_id as varchar), '')) || md5(coalesce(text, '')) k from documents),
+  select doc_id, source, len({WORDS.format("text")}) size, md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) k from documents),
 sources as (
   select source, sum(size) source_size, cast((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1 as double) weight from docs group by source),
 levels as (

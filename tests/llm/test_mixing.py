@@ -67,6 +67,30 @@ def test_equal_rows_and_one_tiny_source(spark):
     assert sum(words(r.text) for r in out.collect()) == sum(r.taken for r in got)
 
 
+def test_rows_that_share_id_and_text(spark):
+    """Copies go to the rows of the source that the queue took them for."""
+    big = [(100 + i, "w " * 50, None, "big", 0) for i in range(20)]
+    data = [(1, "the same text", None, "big", 0), (1, "the same text", None, "small", 0), (1, "the same text", "xx", "small", 0), *big]
+    got = fair_queue_mix(frame(spark, data), Scratch(spark, "t")).collect()
+    check(got, data)
+    want = Counter()
+    for r in got:
+        want[r.doc_id, r.source] += r.copies
+    out = mixed_documents(frame(spark, data), Scratch(spark, "t")).collect()
+    again = mixed_documents(frame(spark, data).repartition(3), Scratch(spark, "t")).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == +want
+    assert Counter(out) == Counter(again)
+
+
+def test_one_row_repeated_and_many_sources(spark):
+    data = [(7, "x y", "en", "hot", 3)] * 9000 + [(None, None, None, None, None)] * 50 + [(i, "a b c d", "en", f"host{i}", 7) for i in range(600)]
+    got = fair_queue_mix(frame(spark, data), Scratch(spark, "t")).collect()
+    check(got, data)
+    assert len(got) == len(data)
+    out = mixed_documents(frame(spark, data), Scratch(spark, "t"))
+    assert Counter(r.source for r in out.select("source").collect()) == Counter({s: sum(r.copies for r in got if r.source == s) for s in {r.source for r in got if r.copies}})
+
+
 def test_empty(spark):
     assert fair_queue_mix(frame(spark, []), Scratch(spark, "t")).count() == 0
     assert mixed_documents(frame(spark, []), Scratch(spark, "t")).count() == 0

@@ -1,10 +1,13 @@
 import itertools
+import re
 from collections import Counter, defaultdict
 
 from fixtures import frame, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lineweave.llm.packing import best_boundaries, grid, pack_batches
+from lineweave.llm.packing import best_boundaries, pack_batches
 from lineweave.llm.shared import Scratch, count_words
 
 
@@ -21,10 +24,48 @@ def test_boundaries_are_optimal():
     assert best_boundaries([], [], 3) == []
 
 
-def test_grid(spark):
-    got = spark.range(0, 5000).select("id", grid(F.col("id")).alias("g")).collect()
-    assert all(max(1, r.id) <= r.g <= max(1, r.id) * (1 + 2 / 256) + 1 for r in got)
-    assert all(r.g == max(1, r.id) for r in got if r.id <= 256)
+def plain_optimum(lengths, counts, buckets):
+    """Ends by the textbook recursion; ties go to the earliest boundary and the fewest buckets."""
+    n, before = len(lengths), [0, *itertools.accumulate(counts)]
+    cost = [{j: (lengths[j] * before[j + 1], None) for j in range(n)}]
+    for k in range(1, min(buckets, n)):
+        cost.append({j: min((cost[-1][i][0] + lengths[j] * (before[j + 1] - before[i + 1]), i) for i in range(k - 1, j)) for j in range(k, n)})
+    k = min(range(len(cost)), key=lambda x: (cost[x][n - 1][0], x))
+    j, out = n - 1, []
+    while j is not None:
+        out.append(lengths[j])
+        j, k = cost[k][j][1], k - 1
+    return out[::-1]
+
+
+@given(st.dictionaries(st.integers(1, 30_000), st.integers(1, 50), min_size=1, max_size=60), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_exact_on_raw_lengths(histogram, buckets):
+    lengths = sorted(histogram)
+    counts = [histogram[x] for x in lengths]
+    assert best_boundaries(lengths, counts, buckets) == plain_optimum(lengths, counts, buckets)
+
+
+def test_ends_of_the_documents_are_the_optimum(spark):
+    """No grid: lengths far above 256 are told apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = Counter(max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.select("text").collect())
+    lengths = sorted(sizes)
+    got = pack_batches(docs, Scratch(spark, "t"), count_words(F.col("text"))).select("bucket_length").distinct().collect()
+    assert sorted(r.bucket_length for r in got) == plain_optimum(lengths, [sizes[x] for x in lengths], 8)
+
+
+def test_many_lengths():
+    n = 200_000
+    assert len(best_boundaries(list(range(1, n + 1)), [1] * n, 8)) == 8
+
+
+def test_repeated_rows_and_carried_columns(spark):
+    data = [(1, "a b c", "en", "x", 5)] * 5000 + [(None, None, None, None, None)] * 300 + [(2, "w " * 70_000, "en", "y", 1), (1, "a b c", "en", "z", 5)]
+    got = pack_batches(frame(spark, data).withColumn("length", F.lit("clash")), Scratch(spark, "t"), count_words(F.col("text")), budget=300, carry=True).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(data)
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == len(got) and {r.node for r in got} == {None}
+    assert all(r.length == len((r.text or "").split()) <= r.bucket_length for r in got)
 
 
 def test_batches(spark):
