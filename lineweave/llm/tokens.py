@@ -145,7 +145,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
         for batch in batches:
             for part in pieces(batch, ENCODE_BYTES):
                 texts = [text or "" for text in part.column("text").to_pylist()]
-                ids = [np.array([*e.ids, end_id], np.uint32) for e in encode(texts, add_special_tokens=False)]
+                ids = [np.append(np.array(e.ids, np.uint32), np.uint32(end_id)) for e in encode(texts, add_special_tokens=False)]
                 wide = [int(x.max()) >= 65536 for x in ids]
                 data = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
                 yield pa.RecordBatch.from_arrays(
