@@ -2,10 +2,13 @@
 
 Every window of ``length`` bytes is routed by its minimiser, the least hash of the shorter strings in
 it, so equal windows meet.  Consecutive windows with one minimiser travel together as one context.
-Windows whose minimiser occurs once in the corpus are gone after a count; equal contexts count once; what
-is left is sorted into suffix arrays of bounded size, whose longest-previous-factor arrays (from the
-previous and next smaller text positions in suffix order) name the repeats.  Windows of a minimiser with
-too many contexts for that are counted by digest.
+Windows whose minimiser occurs once in the corpus are gone after a count.  Of what is left, the bytes of
+each context are sorted into suffix arrays of bounded size: the first occurrence of a context, and its
+last one, which stands for all later ones.  Their longest-previous-factor arrays, from the previous and
+next smaller text positions in suffix order and the common prefixes between, give the length of the
+longest earlier match at every place; matches of ``length`` bytes or more are repeats.  Where too many
+contexts share a minimiser, those of their windows that occur again are sorted in its place, each as a
+context of its own.
 """
 
 from __future__ import annotations
@@ -13,17 +16,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BASE, BYTE_CODE, SPACE, Scratch, mix, pieces, text_bytes
+from .shared import BASE, BYTE_CODE, SPACE, Scratch, mix, pieces, spans_where, text_bytes
 
 RUN = 128  # windows in a context, at most
-BUCKET = 12_000  # contexts sorted in one suffix array
-HOT = 50_000  # contexts with one minimiser beyond which its windows are counted by digest, not sorted
+BUCKET = 6_000  # contexts sorted in one suffix array, about
+HOT = 4_000  # contexts with one minimiser beyond which its windows are sorted one by one
 
 RUN_SCHEMA = "did long, th long, m long, ch long, at int, n int, w int"
 
@@ -130,39 +132,61 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
 # --- suffix arrays --------------------------------------------------------------------------------------
 
+_TOP = np.array([(0xFFFFFFFFFFFFFFFF << (64 - 8 * k)) & 0xFFFFFFFFFFFFFFFF if k else 0 for k in range(8)], np.uint64)
 
-def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that share ``length`` bytes with another one, in suffix order, and where classes start.
 
-    ``at``: the starts to sort, each with ``length`` bytes behind it.  The order is refined eight
-    bytes at a time; a suffix alone in its class is dropped, as no other shares ``length`` bytes.
+def suffix_array(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the strings data[at : at + size] as indices into ``at``, and common prefix lengths.
+
+    The second array holds the length of the prefix that each string shares with the one before it.  The
+    order is refined seven bytes at a time; the eighth byte of a key counts how many of them the string
+    has, so an end sorts before any byte.  A string that is told apart takes no further part; strings
+    that are equal to their end keep their order.
     """
     wide = np.zeros(len(data) + 8, np.uint64)
-    padded = np.concatenate([data, np.zeros(15, np.uint8)])
-    for j in range(8):
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    for j in range(7):
         wide |= padded[j : j + len(wide)].astype(np.uint64) << np.uint64(56 - 8 * j)
-    order, start = at.astype(np.int64), np.zeros(len(at), bool)
-    start[:1] = True
-    for depth in range(0, length, 8):
-        if not len(order):
-            break
-        key = wide[order + depth]
-        if length - depth < 8:
-            key = key >> np.uint64(8 * (8 - (length - depth)))
-        group = np.cumsum(start) - 1
-        split = np.zeros(len(order), bool)
-        split[1:] = (key[1:] != key[:-1]) & ~start[1:]
+    order, common = np.arange(len(at)), np.zeros(len(at), np.int64)
+    place, group, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+    while len(place):
+        own = order[place]
+        left = np.minimum(size[own] - depth, 7)
+        key = (wide[at[own] + depth] & _TOP[left]) | left.astype(np.uint64)
+        split = np.zeros(len(own), bool)
+        split[1:] = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
         if split.any():
             touched = np.zeros(int(group[-1]) + 1, bool)
             touched[group[split]] = True
             some = np.flatnonzero(touched[group])
             by = some[np.lexsort((key[some], group[some]))] if depth else np.argsort(key, kind="stable")
-            order[some], key[some] = order[by], key[by]
-            start[1:] |= key[1:] != key[:-1]
+            own[some], key[some], left[some] = own[by], key[by], left[by]
+            order[place] = own
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = group[1:] != group[:-1]
+        here = np.flatnonzero(~fresh)
+        differ = key[here] ^ key[here - 1]
+        # Equal leading bytes of two keys: where the counts alone differ, all bytes of the shorter one.
+        shared = np.minimum(np.minimum(left[here], left[here - 1]), _leading(differ))
+        told = (differ != 0) | (left[here] < 7)
+        common[place[here[told]]] = depth + shared[told]
+        # A new class starts where keys differ; equal strings that ended are settled, too.
+        start = fresh.copy()
+        start[here[told]] = True
         alone = start.copy()
         alone[:-1] &= start[1:]
-        order, start = order[~alone], start[~alone]
-    return order, start
+        group = np.cumsum(start) - 1
+        place, group = place[~alone], group[~alone]
+        depth += 7
+    return order, common
+
+
+def _leading(differ: np.ndarray) -> np.ndarray:
+    """Number of leading zero bytes of 64-bit integers."""
+    out = np.full(len(differ), 8, np.int64)
+    for k in range(8):
+        out[differ >> np.uint64(8 * k) != 0] = 7 - k
+    return out
 
 
 def longest_previous(text_position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -193,37 +217,87 @@ def longest_previous(text_position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(nearest_smaller(text_position, lcp), nearest_smaller(text_position[::-1], after)[::-1])
 
 
+def _twins(data: np.ndarray, base: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bytes of contexts a[i] and b[i] are equal."""
+    same = size[a] == size[b]
+    rows = np.flatnonzero(same)
+    if len(rows):
+        n = size[a[rows]]
+        to = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(to, n)
+        equal = data[np.repeat(base[a[rows]], n) + inner] == data[np.repeat(base[b[rows]], n) + inner]
+        same[rows] = np.logical_and.reduceat(equal, to)
+    return same
+
+
+SPANS = "array<struct<a:int,b:int>>"
+FOUND_SCHEMA = f"m long, ch long, did long, th long, at int, firsts {SPANS}, laters {SPANS}"
+
+
 def _repeats(length: int, keep_first: bool):
-    """Repeated windows of one bucket of distinct contexts: rows (m, ch, spans of window offsets)."""
-
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values(["did", "th", "at"], kind="stable").reset_index(drop=True)
-        data = np.frombuffer(b"".join(bucket["bytes"]), np.uint8)
-        n = bucket["n"].to_numpy(np.int64)
-        base = np.cumsum(n + length - 1) - (n + length - 1)
-        owner = np.repeat(np.arange(len(n)), n)
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + base[owner]
-        order, start = suffix_order(data, at, length)
-        # Contexts stand in the order of their first occurrence, so places in data order positions.
-        lcp = np.where(start, 0, length)
-        hit = longest_previous(order, lcp) >= length
+    """Repeated bytes of one bucket of contexts.
+
+    Rows (m, ch, place of the first occurrence, firsts, laters): the spans of the first occurrence of a
+    context, and those of its later ones, in bytes from the start of the context.
+    """
+
+    def run(bucket: pa.Table) -> pa.Table:
+        column = lambda c: bucket.column(c).to_numpy()
+        bucket = bucket.take(pa.array(np.lexsort([column(c) for c in ("rep", "at", "th", "did")])))
+        m, ch, rep, n = column("m"), column("ch"), column("rep"), column("n").astype(np.int64)
+        data, base = text_bytes(bucket.column("bytes"))
+        base, size = base[:-1], n + length - 1
+        # The suffixes of a context with equal bytes stand next to those of its twin, so they need no sorting.
+        by = np.lexsort((rep, ch, m))
+        pair = np.flatnonzero((m[by[1:]] == m[by[:-1]]) & (ch[by[1:]] == ch[by[:-1]]))
+        one, two = by[pair], by[pair + 1]
+        equal = _twins(data, base, size, one, two)
+        twin, sorted_ = np.full(len(n), -1), np.ones(len(n), bool)
+        twin[one[equal]] = two[equal]
+        sorted_[two[equal]] = False
+        own = np.flatnonzero(sorted_)
+        owner = np.repeat(own, n[own])
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+        left = size[owner] - inner
+        order, lcp = suffix_array(data, base[owner] + inner, left)
+        owner, inner, left = owner[order], inner[order], left[order]
+        has = twin[owner] >= 0
+        times = 1 + has
+        last = (np.cumsum(times) - 1)[has]
+        # Contexts stand in the order of their occurrence, so places in the data order text positions.
+        place, lcp = np.repeat(base[owner] + inner, times), np.repeat(lcp, times)
+        place[last], lcp[last] = base[twin[owner[has]]] + inner[has], left[has]
+        match = longest_previous(place, lcp)
         if not keep_first:
-            hit |= longest_previous(-order, lcp) >= length
-        marks = np.zeros(len(data) + 1, bool)
-        marks[order[hit]] = True
-        edge = np.diff(np.concatenate([[0], marks.astype(np.int8)]))
-        a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-        if not len(a):
-            return pd.DataFrame({"m": [], "ch": [], "a": [], "b": []}).astype("int64")
+            match = np.maximum(match, longest_previous(-place, lcp))
+        hit = match >= length
+        cover = np.zeros(len(data) + 1, np.int64)
+        np.add.at(cover, place[hit], 1)
+        np.add.at(cover, place[hit] + match[hit], -1)
+        inside = np.cumsum(cover[:-1]) > 0
+        a, b = spans_where(inside, np.append(base, len(data)))
         whose = np.searchsorted(base, a, "right") - 1
-        return pd.DataFrame({"m": bucket["m"].to_numpy()[whose], "ch": bucket["ch"].to_numpy()[whose], "a": a - base[whose], "b": b - base[whose]})
+        first_of = np.arange(len(n))  # the context that names the class of each one
+        first_of[two] = one
+        classes = np.flatnonzero(first_of == np.arange(len(n)))
+        nth = np.searchsorted(classes, first_of[whose])
+        lists = []
+        for later in (False, True):
+            mine = np.flatnonzero((first_of[whose] != whose) == later)
+            mine = mine[np.argsort(nth[mine], kind="stable")]
+            to = np.concatenate([[0], np.cumsum(np.bincount(nth[mine], minlength=len(classes)))])
+            spans = pa.StructArray.from_arrays([pa.array((x[mine] - base[whose[mine]]).astype(np.int32)) for x in (a, b)], ["a", "b"])
+            lists.append(pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), spans))
+        kept = bucket.take(pa.array(classes))
+        return pa.Table.from_arrays([*(kept.column(c).combine_chunks() for c in ("m", "ch", "did", "th", "at")), *lists], ["m", "ch", "did", "th", "at", "firsts", "laters"])
 
     return run
 
 
-def _fetch(length: int):
-    schema = "m long, ch long, did long, th long, at int, n int, hot boolean, bytes binary"
+CONTEXT_SCHEMA = "m long, ch long, rep int, did long, th long, at int, n int, hot boolean, bytes binary"
 
+
+def _fetch(length: int):
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
@@ -233,19 +307,20 @@ def _fetch(length: int):
                 want = wants.flatten()
                 at, n = (np.asarray(want.field(c)).astype(np.int64) for c in ("at", "n"))
                 begin = off[row] + at
-                cut = [raw[a:b] for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
+                end = begin + n + length - 1
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [want.field("m"), want.field("ch"), part.column("did").take(rows), part.column("th").take(rows), want.field("at"), want.field("n"), want.field("hot"), pa.array(cut, pa.binary())],
-                    ["m", "ch", "did", "th", "at", "n", "hot", "bytes"],
-                )
+                for k in range(0, len(row), 4096):
+                    some = slice(k, k + 4096)
+                    cut = pa.array([raw[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)], pa.binary())
+                    own = [want.field(c).slice(k, 4096) for c in ("m", "ch", "rep")]
+                    keys = [part.column(c).take(rows.slice(k, 4096)) for c in ("did", "th")]
+                    yield pa.RecordBatch.from_arrays([*own, *keys, *(want.field(c).slice(k, 4096) for c in ("at", "n", "hot")), cut], ["m", "ch", "rep", "did", "th", "at", "n", "hot", "bytes"])
 
-    return run, schema
+    return run
 
 
 def _windows(length: int):
-    """Windows of contexts, each once, by a digest of 128 bits."""
-    schema = "m long, ch long, did long, th long, at int, off int, key binary"
+    """Windows of contexts, each once, named by a digest of 128 bits in two integers."""
 
     def run(batches):
         for batch in batches:
@@ -254,74 +329,98 @@ def _windows(length: int):
                 n = np.asarray(part.column("n")).astype(np.int64)
                 off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 rows = pa.array(np.repeat(np.arange(len(n)), n))
-                keys = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for raw, many in zip(part.column("bytes").to_pylist(), n.tolist(), strict=True) for i in range(many)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("m", "ch", "did", "th", "at")), pa.array(off.astype(np.int32)), pa.array(keys, pa.binary())], ["m", "ch", "did", "th", "at", "off", "key"])
+                keys = b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for raw, many in zip(part.column("bytes").to_pylist(), n.tolist(), strict=True) for i in range(many))
+                key = np.frombuffer(keys, np.int64).reshape(-1, 2)
+                at = pa.array((np.asarray(part.column("at").take(rows)) + off).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("m", "ch", "rep", "did", "th")), at, pa.array(off.astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())], ["m", "ch", "rep", "did", "th", "at", "off", "k1", "k2"])
+
+    return run
+
+
+def _cut_windows(length: int):
+    """Bytes of the wanted windows of contexts, as contexts of one window."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                wants = part.column("wants")
+                rows = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(wants.offsets)))
+                want, raw = wants.flatten(), part.column("bytes").to_pylist()
+                off = np.asarray(want.field("off"))
+                cut = [raw[r][o : o + length] for r, o in zip(rows.tolist(), off.tolist(), strict=True)]
+                keys = [part.column(c).take(pa.array(rows)) for c in ("did", "th")]
+                yield pa.RecordBatch.from_arrays([*(want.field(c) for c in ("k1", "k2", "nth")), *keys, want.field("at"), pa.array(np.ones(len(off), np.int32)), pa.array(np.zeros(len(off), bool)), pa.array(cut, pa.binary())], ["m", "ch", "rep", "did", "th", "at", "n", "hot", "bytes"])
+
+    return run
 
-    return run, schema
 
+def _sorted(sliced: DataFrame, key: list[str], buckets: int, length: int, keep_first: bool) -> DataFrame:
+    together = sliced.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    return together.groupBy("bucket").applyInArrow(_repeats(length, keep_first), FOUND_SCHEMA)
 
-def _counted(contexts_of_hot: DataFrame, scratch: Scratch, length: int, keep_first: bool) -> DataFrame:
+
+def _window_by_window(hot: DataFrame, scratch: Scratch, length: int, keep_first: bool) -> DataFrame:
     """What ``_repeats`` gives, for minimisers with any number of contexts.
 
-    Every window travels once, as a digest; equal ones are counted, in part before they meet.
+    Windows that occur once are gone after a count of digests; the first and the last occurrence of the
+    others are sorted, in buckets by their digest.
     """
-    cut, schema = _windows(length)
-    windows = scratch.save(contexts_of_hot.select("m", "ch", "did", "th", "at", "n", "bytes").mapInArrow(cut, schema), "windows")
-    place = F.struct("did", "th", (F.col("at") + F.col("off")).alias("at"))
-    again = windows.groupBy("m", "key").agg(F.count("*").alias("c"), F.min(place).alias("first")).filter("c > 1")
-    hit = windows.join(again, ["m", "key"])
-    if keep_first:
-        hit = hit.filter(place != F.col("first"))
-    run = F.col("off") - F.row_number().over(Window.partitionBy("m", "ch").orderBy("off"))
-    spans = hit.select("m", "ch", "off", run.alias("run")).groupBy("m", "ch", "run").agg(F.min("off").cast("long").alias("a"), (F.max("off") + 1).cast("long").alias("b"))
-    return spans.select("m", "ch", "a", "b")
+    windows = "m long, ch long, rep int, did long, th long, at int, off int, k1 long, k2 long"
+    windows = scratch.save(hot.select("m", "ch", "rep", "did", "th", "at", "n", "bytes").mapInArrow(_windows(length), windows), "windows")
+    place, key = F.struct("did", "th", "at", "rep", "m", "ch", "off"), ["k1", "k2"]
+    again = windows.groupBy(*key).agg(F.count("*").alias("c"), F.min(place).alias("x"), F.max(place).alias("y")).filter("c > 1")
+    again = scratch.save(again, "again")
+    both = again.select(*key, F.posexplode(F.array("x", "y")).alias("nth", "w")).select(*key, "nth", "w.*")
+    wants = both.groupBy("m", "ch", "rep").agg(F.collect_list(F.struct(*key, "nth", "at", "off")).alias("wants"))  # RUN windows at most, twice
+    cut = hot.select("m", "ch", "rep", "did", "th", "bytes").join(wants, ["m", "ch", "rep"]).select("did", "th", "bytes", "wants")
+    cut = scratch.save(cut.mapInArrow(_cut_windows(length), CONTEXT_SCHEMA), "cut")
+    found = _sorted(cut, ["m", "ch"], max(1, -(-again.count() * 2 // BUCKET)), length, keep_first)
+    found = found.select(F.col("m").alias("k1"), F.col("ch").alias("k2"), "firsts", "laters")
+    hit = windows.join(again.select(*key, "x"), key).join(found, key)
+    hit = hit.filter(F.size(F.when(place == F.col("x"), F.col("firsts")).otherwise(F.col("laters"))) > 0)
+    run = F.col("off") - F.row_number().over(Window.partitionBy("m", "ch", "rep").orderBy("off"))
+    spans = hit.select("m", "ch", "rep", "off", run.alias("run")).groupBy("m", "ch", "rep", "run").agg(F.struct(F.min("off").alias("a"), (F.max("off") + length).alias("b")).alias("span"))
+    each = [F.collect_list(F.when(F.col("rep") == r, F.col("span"))).cast(SPANS).alias(name) for r, name in ((0, "firsts"), (1, "laters"))]
+    named = hot.filter("rep = 0").select("m", "ch", "did", "th", "at")
+    return named.join(spans.groupBy("m", "ch").agg(*each), ["m", "ch"])
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, keep_first: bool = False) -> DataFrame:
     """Byte spans of windows that repeat: rows (did, th, spans array<struct<a,b>>), spans unmerged.
 
     Without ``keep_first`` every occurrence is named; with it the first one in the order of (doc_id,
-    text hash, position) is left out.  Texts are judged as they come, overlaps count.
+    text hash, position) is left out.  Texts are judged as they come, overlaps count.  A context is told
+    apart by two 64-bit hashes of its bytes; the bytes of its first and last occurrence are compared.
     """
     runs = _runs(docs, length)
     often = runs.groupBy("m").agg(F.sum("w").alias("c")).filter("c > 1").select("m")
     runs = scratch.save(runs.join(often, "m", "left_semi"), "runs")
-    first = F.min(F.struct("did", "th", "at")).alias("first")
-    distinct = scratch.save(runs.groupBy("m", "ch").agg(F.count("*").alias("c"), first, F.first("n").alias("n"), F.max("w").alias("w")), "distinct")
-    several = distinct.groupBy("m").agg(F.count("*").alias("contexts"), F.max("w").alias("w")).filter("contexts > 1 or w > 1")
-    several = several.select("m", (F.col("contexts") > HOT).alias("hot"))
-    asked = distinct.drop("w").join(several, "m")
-    wants = asked.groupBy("first.did", "first.th").agg(F.collect_list(F.struct("m", "ch", F.col("first.at").alias("at"), "n", "hot")).alias("wants"))
+    place = F.struct("did", "th", "at")
+    distinct = runs.groupBy("m", "ch").agg(F.count("*").alias("c"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"))
+    again = F.col("first") != F.col("last") if keep_first else F.col("c") > 1
+    distinct = scratch.save(distinct.withColumn("reps", 1 + again.cast("int")), "distinct")
+    hot = distinct.groupBy("m").agg(F.sum("reps").alias("contexts")).filter(F.col("contexts") > HOT).select("m", F.lit(True).alias("hot"))
+    asked = distinct.join(hot, "m", "left").select("m", "ch", "n", F.coalesce("hot", F.lit(False)).alias("hot"), F.posexplode(F.expr("slice(array(first, last), 1, reps)")).alias("rep", "w"))
+    wants = asked.groupBy("w.did", "w.th").agg(F.collect_list(F.struct("m", "ch", "rep", F.col("w.at").alias("at"), "n", "hot")).alias("wants"))
     # Equal rows give equal contexts; only one of them is cut up and sorted.
     texts = _with_key(docs).select("did", "th", "text").dropDuplicates(["did", "th"])
-    source = texts.join(wants, ["did", "th"])
-    fetch, schema = _fetch(length)
-    sliced = scratch.save(source.select("did", "th", "text", "wants").mapInArrow(fetch, schema), "contexts")
+    sliced = texts.join(wants, ["did", "th"]).select("did", "th", "text", "wants").mapInArrow(_fetch(length), CONTEXT_SCHEMA)
+    sliced = scratch.save(sliced, "contexts")
     many = sliced.agg(F.count_if(~F.col("hot")).alias("cold"), F.count_if("hot").alias("hot")).first()
-    buckets = max(1, -(-many.cold // BUCKET))
     # A minimiser's contexts stay together, if they are not too many.
-    together = sliced.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)))
-    marked = together.groupBy("bucket").applyInPandas(_repeats(length, keep_first), "m long, ch long, a long, b long")
+    found = _sorted(sliced.filter("not hot"), ["m"], max(1, -(-many.cold // BUCKET)), length, keep_first)
     if many.hot:
-        marked = marked.unionByName(_counted(sliced.filter("hot"), scratch, length, keep_first))
-    found = scratch.save(marked, "found")
-    scratch.drop("contexts", *["windows"] * bool(many.hot))
-
-    in_sorted = found.select("m", "ch", "a", "b")
-    copies = distinct.filter("c > 1").select("m", "ch", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
-    r = runs.alias("r")
-    place = F.struct((F.col("r.at") + F.col("a")).alias("a"), (F.col("r.at") + F.col("b") + (length - 1)).alias("b")).alias("span")
-    if keep_first:
-        # Later occurrences of a context repeat whole, the first one as far as something precedes it.
-        at_first = distinct.select("m", "ch", F.col("first.did").alias("did"), F.col("first.th").alias("th"), F.col("first.at").alias("at"))
-        keys = ["m", "ch", "did", "th", "at"]
-        firsts = runs.join(at_first, keys, "left_semi").alias("r").join(in_sorted, ["m", "ch"]).select("r.did", "r.th", place)
-        later = runs.join(at_first, keys, "left_anti").alias("r").join(copies, ["m", "ch"]).select("r.did", "r.th", place)
-        spans = firsts.unionByName(later)
-    else:
-        marks = in_sorted.unionByName(copies)
-        spans = r.join(marks, ["m", "ch"]).select("r.did", "r.th", place)
-    return spans.groupBy("did", "th").agg(F.collect_set("span").alias("spans"))
+        found = found.unionByName(_window_by_window(sliced.filter("hot"), scratch, length, keep_first))
+    found = scratch.save(found.filter("size(firsts) > 0 or size(laters) > 0"), "found")
+    scratch.drop("contexts", "distinct", *["windows", "again", "cut"] * bool(many.hot))
+
+    r, f = runs.alias("r"), found.alias("f")
+    first = (F.col("r.did") == F.col("f.did")) & (F.col("r.th") == F.col("f.th")) & (F.col("r.at") == F.col("f.at"))
+    own = F.when(first, F.col("f.firsts")).otherwise(F.col("f.laters"))
+    spans = r.join(f, (F.col("r.m") == F.col("f.m")) & (F.col("r.ch") == F.col("f.ch"))).select("r.did", "r.th", F.col("r.at").alias("at"), F.explode(own).alias("own"))
+    span = F.struct((F.col("at") + F.col("own.a")).cast("long").alias("a"), (F.col("at") + F.col("own.b")).cast("long").alias("b"))
+    return spans.groupBy("did", "th").agg(F.collect_set(span).alias("spans"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -347,7 +446,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
     documents.  An empty table gives no rows.
     """
     spans = scratch.save(repeated_spans(docs, scratch, length, keep_first), "spans")
-    scratch.drop("runs", "distinct", "found")
+    scratch.drop("runs", "found")
     joined = _with_key(docs).join(spans, ["did", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>" + ", text string" * with_text
 
@@ -377,7 +476,7 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataF
     goes; one that nothing was cut from stays as it is.
     """
     spans = scratch.save(repeated_spans(docs, scratch, length, True), "spans")
-    scratch.drop("runs", "distinct", "found")
+    scratch.drop("runs", "found")
     keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
     spans = spans.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
     joined = keyed.join(spans, ["_did", "_th"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")

@@ -3,12 +3,17 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import SF, frame, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pyspark.sql import functions as F
 
 from lineweave.llm import suffixes
 from lineweave.llm.shared import Scratch
-from lineweave.llm.suffixes import contexts, longest_previous, remove_repeats, strip_repeats, suffix_order
+from lineweave.llm.suffixes import contexts, longest_previous, remove_repeats, strip_repeats, suffix_array
 
 
 def brute(data, length):
@@ -95,16 +100,34 @@ def test_empty(spark):
     assert run(spark, frame(spark, []), 200) == []
 
 
-def test_arrays():
-    text = np.frombuffer(b"mississippi_mississippi$issi", np.uint8)
-    n = 4
-    at = np.arange(len(text) - n + 1)
-    order, start = suffix_order(text, at, n)
-    lcp = np.where(start, 0, n)
-    lpf = dict(zip(order.tolist(), longest_previous(order, lcp).tolist(), strict=True))
-    b = text.tobytes()
-    for i in at.tolist():
-        assert (lpf.get(i, 0) >= n) == (b.find(b[i : i + n]) < i)
+def plain_common(x, y):
+    return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+
+@given(st.lists(st.binary(max_size=3).map(lambda b: bytes(c % 3 for c in b) * 7), min_size=1, max_size=8), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_arrays(texts, least):
+    """Suffix order, common prefixes and longest previous factors of a few texts, all by comparison."""
+    data = b"".join(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    at = np.array([e - len(t) + i for t, e in zip(texts, ends, strict=True) for i in range(len(t) - least + 1)], np.int64)
+    size = ends[np.searchsorted(ends, at, "right")] - at if len(at) else at
+    order, lcp = suffix_array(np.frombuffer(data, np.uint8), at, size)
+    own = [data[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+    assert [own[i] for i in order] == sorted(own) and sorted(order) == list(range(len(at)))
+    assert lcp.tolist() == [0 if not i else plain_common(own[order[i - 1]], own[order[i]]) for i in range(len(order))]
+    factor = dict(zip(order.tolist(), longest_previous(at[order], lcp).tolist(), strict=True))
+    assert factor == {i: max((plain_common(own[j], own[i]) for j in range(len(own)) if at[j] < at[i]), default=0) for i in range(len(own))}
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_hashes_that_collide(keep_first):
+    """Contexts taken for equal by their hashes are told apart by the bytes of the first and the last one."""
+    r = random.Random(9)
+    s = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    bucket = pa.table({"m": [1, 1], "ch": [1, 1], "rep": pa.array([0, 1], pa.int32()), "did": [1, 2], "th": [0, 0], "at": pa.array([0, 0], pa.int32()), "n": pa.array([11, 11], pa.int32()), "bytes": [s(110).encode(), s(110).encode()]})
+    got = suffixes._repeats(100, keep_first)(bucket).to_pylist()
+    assert [(x["firsts"], x["laters"]) for x in got] == [([], [])]
 
 
 def test_equal_windows_share_a_minimiser():
@@ -125,13 +148,20 @@ class Counting(Scratch):
     def save(self, df, name):
         out = super().save(df, name)
         self.__dict__.setdefault("rows", {})[name] = out.count()
+        groups = self.__dict__.setdefault("groups", [])
+        if name in ("contexts", "cut"):
+            key = ["m"] if name == "contexts" else ["m", "ch"]
+            cold = out.filter("not hot")
+            buckets = max(1, -(-cold.count() // suffixes.BUCKET))
+            groups += [r["count"] for r in cold.groupBy(F.pmod(F.xxhash64(*key), F.lit(buckets))).count().collect()]
         return out
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_windows_of_a_hot_minimiser_travel_once(spark, keep_first, monkeypatch):
-    """A common passage in 120 texts: as many rows as windows, and none in a suffix array by slot."""
+    """A common passage in 120 texts: a row for each window, and suffix arrays no larger than the bound."""
     monkeypatch.setattr(suffixes, "HOT", 10)
+    monkeypatch.setattr(suffixes, "BUCKET", 40)
     r = random.Random(4)
     s = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
     common, again = s(90), s(150)
@@ -139,6 +169,8 @@ def test_windows_of_a_hot_minimiser_travel_once(spark, keep_first, monkeypatch):
     docs, scratch = spark.createDataFrame(data, "doc_id long, text string"), Counting(spark, "t")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, scratch, 100, keep_first).collect()}
     assert 1000 < scratch.rows["windows"] <= sum(len(t) - 99 for _, t in data)
+    # Contexts are dealt out by minimiser, a hot one's windows by their own hash.
+    assert scratch.groups and max(scratch.groups) <= 40 + 4 * 10
     seen, want = Counter(), {}
     for _, t in data:
         seen.update(t[i : i + 100] for i in range(len(t) - 99) if not keep_first)
