@@ -49,15 +49,20 @@ def check(spark, docs, data):
     longest = max((words(r[1]) for r in data), default=0)
     for source, want in target.items():
         assert abs(sum(words(r[1]) * c for r, c in copies.items() if r[3] == source) - want) <= longest
-    assert Counter(r.doc_id for r in kept["pack"]) == Counter(r[0] for r in kept["mix"])
+    packed = kept["pack"]  # the texts of every batch are in the table, each row with a key of its own
+    assert Counter(tuple(r)[:5] for r in packed) == Counter(kept["mix"])
+    assert len({(r.bucket, r.batch, r.slot) for r in packed}) == len(packed)
+    for r in packed:
+        assert r.length == words(r.text) and r.padding == r.bucket_length - r.length >= 0
     return kept
 
 
 def test_stages_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = check(spark, docs, [tuple(r) for r in docs.collect()])
-    run = corpus_pipeline.run(spark, SF).collect()
-    assert Counter(run) == Counter(kept["pack"])
+    run = corpus_pipeline.run(spark, SF)
+    assert Counter(run.collect()) == Counter(kept["pack"])
+    assert {"doc_id", "text", "source", "bucket", "batch", "slot"} <= set(run.columns)
 
 
 def test_awkward_rows(spark):
