@@ -1,8 +1,9 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Every shard of a label is queried with all vectors of the label.  Beams widen until an audit of each
-block of queries against brute force reaches the wanted recall; cosines are verified in double
-precision; linked vectors are united into components.
+block of queries against brute force reaches the wanted recall, and a block that fails at the widest beam
+is compared with the whole shard; cosines are verified in double precision on vectors as they came;
+links leave a task as counts and as a forest, which are united into components.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from .shared import Scratch, components
 
 THRESHOLD = 0.93
 SHARD = 20_000  # vectors in a graph, about
-BLOCK = 2048  # queries in a task, about
+BLOCK = 2048  # queries searched and audited at once, and in a task, about; where there are more
+BLOCKS = 32  # than so many blocks of a label, tasks take more queries, up to SHARD, and graphs travel less
 LINKS = 12  # neighbours kept on upper layers, twice as many on the lowest
 BUILD_BEAM, QUERY_BEAM = 48, 96
-AUDIT, RECALL = 64, 0.999  # queries audited in a block, share of their links to find
+#: A block's audit takes the ids divisible by EVERY, and AUDIT queries at least; share of their links to find.
+EVERY, AUDIT, RECALL = 100, 64, 1.0
 
 
 class Graph:
@@ -176,43 +179,85 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return wide / np.sqrt((wide * wide).sum(1, keepdims=True))
 
 
-def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, threshold: float, beam: int = QUERY_BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, float]:
-    """Verified pairs (query, node) with cosine >= threshold; beams double until the audit passes."""
+def _verified(unit: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    ok = [np.einsum("ij,ij->i", q[a[i : i + 65536]], unit[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)]
+    ok = np.concatenate(ok) if ok else np.zeros(0, bool)
+    return a[ok], b[ok]
+
+
+def _every_link(unit: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) by comparing all, a few queries at a time."""
+    parts = []
+    for i in range(0, len(q), 128):
+        r, c = np.nonzero(q[i : i + 128] @ unit.T >= threshold - 1e-9)
+        parts.append(_verified(unit, q, r + i, c, threshold))
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def linked(graph: Graph, unit: np.ndarray, q: np.ndarray, ids: np.ndarray, threshold: float, beam: int = QUERY_BEAM, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, tuple[int, float, int]]:
+    """Verified pairs (query, node) with cosine >= threshold, and the audit: queries, recall, beam.
+
+    Recall is the mean over audited queries with a link, so that no dense group hides the others.  Beams
+    double until it is reached.  If the widest one, as large as the graph, does not reach it, all pairs
+    are compared and the audit notes beam 0.
+    """
     least, q32 = threshold - 1e-4, q.astype(np.float32)
-    checked = np.arange(0, len(q), max(1, -(-len(q) // audit)))
-    true = [set(np.flatnonzero(unit @ q[i] >= threshold).tolist()) for i in checked]
-    total = sum(map(len, true))
+    checked = np.union1d(np.flatnonzero(ids % EVERY == 0), np.arange(0, len(q), max(1, -(-len(q) // AUDIT))))
+    i, j = _every_link(unit, q[checked], threshold)
+    true = np.unique(checked[i] * len(unit) + j)
+    links = np.bincount(true // len(unit), minlength=len(q))
     while True:
-        a, b = graph.at_least(q32, least, beam)
-        ok = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], unit[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
-        a, b = a[ok], b[ok]
-        found: dict[int, set] = {}
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            found.setdefault(i, set()).add(j)
-        share = sum(len(t & found.get(int(i), set())) for i, t in zip(checked, true, strict=True)) / total if total else 1.0
-        if share >= recall or beam >= len(unit):
-            return a, b, share
+        a, b = _verified(unit, q, *graph.at_least(q32, least, beam), threshold)
+        hits = np.bincount(true[np.isin(true, a * len(unit) + b)] // len(unit), minlength=len(q))
+        share = float((hits[links > 0] / links[links > 0]).mean()) if len(true) else 1.0
+        if share >= recall:
+            return a, b, (len(checked), share, beam)
+        if beam >= len(unit):
+            return *_every_link(unit, q, threshold), (len(checked), share, 0)
         beam *= 2
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) that connect what the pairs (a, b) connect."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
 def _pack(**arrays) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
 
 
+def _raw(rows: pd.DataFrame) -> np.ndarray:
+    """The vectors in the element type of the column: single precision, or double for anything wider."""
+    raw = np.stack(rows["embedding"].to_numpy())
+    return raw if raw.dtype == np.float32 else raw.astype(np.float64)
+
+
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("rep")
-    raw = np.stack(rows["embedding"].to_numpy()).astype(np.float32)
+    raw = _raw(rows)
     g = Graph(_units(raw))
-    data = _pack(ids=rows["rep"].to_numpy(np.int64), raw=raw, entry=np.array(g.entry), **{f"near{k}": x for k, x in enumerate(g.near)})
+    data = _pack(ids=rows["rep"].to_numpy(np.int64), copies=rows["copies"].to_numpy(np.int64), raw=raw, entry=np.array(g.entry), **{f"near{k}": x for k, x in enumerate(g.near)})
     first = rows.iloc[0]
     return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "shard": [first["shard"]], "blocks": [first["blocks"]], "graph": [data]})
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     first = rows.iloc[0]
-    data = _pack(ids=rows["rep"].to_numpy(np.int64), raw=np.stack(rows["embedding"].to_numpy()).astype(np.float32))
+    data = _pack(ids=rows["rep"].to_numpy(np.int64), raw=_raw(rows))
     return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "block": [first["block"]], "shards": [first["shards"]], "queries": [data]})
 
 
@@ -220,42 +265,52 @@ def _load(data: bytes) -> dict:
     return dict(np.load(io.BytesIO(data)))
 
 
+FOUND = "what string, a long, b long, n long, recall double, beam int"
+
+
 def _search(threshold: float):
+    """Rows of one graph and one block: edges (a, b) of a forest, the copies ``n`` that query ``a`` links with,
+    and audits of ``n`` queries (a: shard, b: block)."""
+
     def run(graphs: pa.Table, blocks: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out = []
         if graphs.num_rows and blocks.num_rows:
             g, block = _load(graphs.column("graph")[0].as_py()), _load(blocks.column("queries")[0].as_py())
             graph, unit = Graph.__new__(Graph), _units(g["raw"])
             near = [g[f"near{k}"] for k in range(sum(x.startswith("near") for x in g))]
             graph.unit, graph.links, graph.near, graph.top, graph.entry = unit.astype(np.float32), near[0].shape[1] // 2, near, len(near) - 1, int(g["entry"])
-            i, j, _ = linked(graph, unit, _units(block["raw"]), threshold)
-            x, y = block["ids"][i], g["ids"][j]
-            a.append(np.minimum(x, y)[x != y])
-            b.append(np.maximum(x, y)[x != y])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at in range(0, len(block["ids"]), BLOCK):
+                ids = block["ids"][at : at + BLOCK]
+                i, j, (audited, recall, beam) = linked(graph, unit, _units(block["raw"][at : at + BLOCK]), ids, threshold)
+                other = ids[i] != g["ids"][j]
+                i, j = i[other], j[other]
+                copies = np.zeros(len(ids), np.int64)
+                np.add.at(copies, i, g["copies"][j])
+                out += [("count", int(x), None, int(n), None, None) for x, n in zip(ids[copies > 0], copies[copies > 0], strict=True)]
+                out.append(("audit", graphs.column("shard")[0].as_py(), blocks.column("block")[0].as_py(), audited, recall, beam))
+                a, b = forest(np.concatenate([a, ids[i]]), np.concatenate([b, g["ids"][j]]))
+            out += [("edge", x, y, None, None, None) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        names = ["what", "a", "b", "n", "recall", "beam"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """Links and components of rows (vec_id, embedding, label) with equal labels and cosine >= threshold.
-
-    Rows (vec_id, n_links, component_id, kept): n_links counts the other vectors linked directly,
-    component_id is the smallest vec_id reachable, kept marks it.  Equal vectors of a label count once
-    in the graphs and keep their number, so copies are never spread into pairs.
-
-    A vector links with nothing if it or its label is null, it is empty or zero, or a component is null
-    or not finite; so do vectors of different length.  A null vec_id has a null component_id and is kept.
-    Repeated rows are vectors of their own.  An empty table gives no rows.
-    """
+def _representatives(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     reps = rows.filter("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = scratch.save(reps.withColumn("dim", F.size("embedding")), "reps")
-    counts = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / SHARD).alias("shards"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return rows, scratch.save(reps.withColumn("dim", F.size("embedding")), "reps")
+
+
+def _found(reps: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    each = F.least(F.greatest(F.lit(BLOCK), F.col("n") / BLOCKS), F.lit(SHARD))
+    counts = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / SHARD).alias("shards"), F.ceil(F.col("n") / each).alias("blocks"))
     spread = reps.join(counts, ["label", "dim"]).withColumns({"shard": F.pmod(F.xxhash64("rep"), F.col("shards")), "block": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks"))})
     kind = dict(reps.dtypes)["label"]
     graphs = spread.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {kind}, dim int, shard long, blocks long, graph binary")
@@ -263,14 +318,39 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
     blocks = spread.groupBy("label", "dim", "block").applyInPandas(_block, f"label {kind}, dim int, block long, shards long, queries binary")
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     keys = ["label", "dim", "shard", "block"]
-    found = graphs.select(*keys, "graph").groupBy(*keys).cogroup(blocks.select(*keys, "queries").groupBy(*keys)).applyInArrow(_search(threshold), "a long, b long")
-    links = scratch.save(found.distinct(), "links")
+    found = graphs.select(*keys, "graph").groupBy(*keys).cogroup(blocks.select(*keys, "queries").groupBy(*keys)).applyInArrow(_search(threshold), FOUND)
+    found = scratch.save(found, "links")
     scratch.drop("graphs")
+    return found
+
+
+def recall_audit(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (shard, block, audited, recall, beam): what the audit of each block of queries found.
+
+    Audited are the vec_ids divisible by 100, and at least 64 queries a block.  beam is the one that the
+    block's links were searched with, 0 where all pairs were compared since ``recall`` was too low.
+    """
+    _, reps = _representatives(vectors, scratch)
+    return _found(reps, scratch, threshold).filter("what = 'audit'").select(F.col("a").alias("shard"), F.col("b").alias("block"), F.col("n").alias("audited"), "recall", "beam")
+
 
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = reps.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    n_links = both.join(copies, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("copies").alias("others"))
-    classes = components(links, scratch)
+def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Links and components of rows (vec_id, embedding, label) with equal labels and cosine >= threshold.
+
+    Rows (vec_id, n_links, component_id, kept): n_links counts the other vectors linked directly,
+    component_id is the smallest vec_id reachable, kept marks it.  Equal vectors of a label count once
+    in the graphs and keep their number, so copies are never spread into pairs.
+
+    A vector links with nothing if it or its label is null, it is empty or zero, or a component is null
+    or not finite; so do vectors of different length.  Elements of any number type are compared in double
+    precision as they are; a cosine equal to the threshold is a link.  A null vec_id has a null
+    component_id and is kept.  Repeated rows are vectors of their own.  Very long vectors make larger
+    graphs, of as many vectors.  An empty table gives no rows; other columns are not read.
+    """
+    rows, reps = _representatives(vectors, scratch)
+    found = _found(reps, scratch, threshold)
+    n_links = found.filter("what = 'count'").groupBy("a").agg(F.sum("n").alias("others"))
+    classes = components(found.filter("what = 'edge'").select("a", "b"), scratch)
     named = reps.select("label", "embedding", "rep", "copies").join(n_links, F.col("rep") == F.col("a"), "left").join(classes, F.col("rep") == F.col("node"), "left")
     named = named.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     linked_rows = rows.filter("fit").join(named, ["label", "embedding"]).select("vec_id", "n_links", F.col("component").alias("component_id"))

@@ -3,9 +3,11 @@ from collections import defaultdict
 
 import numpy as np
 from fixtures import SF
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lineweave.llm import hnsw
-from lineweave.llm.hnsw import Graph, _units, linked, near_vectors
+from lineweave.llm.hnsw import Graph, _units, forest, linked, near_vectors, recall_audit
 from lineweave.llm.shared import Scratch
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -72,12 +74,63 @@ def test_graph_recall_and_widening():
     near = r.normal(size=32) + r.normal(size=(700, 32)) * 0.1  # one tight group larger than any first beam
     u = _units(np.concatenate([r.normal(size=(1500, 32)), near]).astype(np.float32))
     g = Graph(u)
-    a, b, share = linked(g, u, u, 0.93)
+    a, b, (audited, recall, beam) = linked(g, u, u, np.arange(len(u)), 0.93)
     true = int((u @ u.T >= 0.93).sum())
-    assert share >= 0.99 and len(a) >= 0.99 * true
+    assert audited >= 64 and recall == 1.0 and (beam == 0 or len(a) >= 0.99 * true)
     assert (np.einsum("ij,ij->i", u[a], u[b]) >= 0.93).all()
 
 
+def test_a_failed_audit_compares_all_pairs():
+    """Nodes without a path from the entry are found by the exact way."""
+    r = np.random.default_rng(2)
+    u = _units((r.normal(size=16) + r.normal(size=(300, 16)) * 0.05).astype(np.float32))
+    g = Graph(u)
+    for layer in g.near:
+        layer[:] = -1
+    a, b, (_, recall, beam) = linked(g, u, u, np.arange(300), 0.93)
+    assert beam == 0 and recall < 1 and set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(u @ u.T >= 0.93)), strict=True))
+
+
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_forest(pairs):
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    a, b = forest(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {x: m for x, m in root.items() if m != x}
+
+
+def test_double_precision(spark):
+    """Vectors of doubles within 1e-9 of the threshold are judged as they are, not rounded."""
+    r, rows, want = np.random.default_rng(3), [], {}
+    for k in range(60):
+        x = r.normal(size=8)
+        y = r.normal(size=8)
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = 0.93 + (1e-9 if k % 2 else -1e-9) * r.uniform(0.1, 1)
+        rows += [(2 * k, x.tolist(), k), (2 * k + 1, (c * x + math.sqrt(1 - c * c) * y).tolist(), k)]
+        want[2 * k] = want[2 * k + 1] = k % 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {x.vec_id: x.n_links for x in near_vectors(df, Scratch(spark, "t")).collect()} == want
+
+
+def test_links_of_a_dense_group_leave_as_counts_and_forest(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "BLOCK", 200)
+    monkeypatch.setattr(hnsw, "BLOCKS", 4)
+    r = np.random.default_rng(4)
+    rows = [(i, (np.ones(8) + r.normal(size=8) * 0.02).tolist(), 0) for i in range(1200)]
+    scratch = Scratch(spark, "t")
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA), scratch).collect()
+    assert {x.n_links for x in got} == {1199} and {x.component_id for x in got} == {0}
+    assert spark.read.parquet(f"{scratch.root}/links").count() < 10 * len(rows)
+    audit = recall_audit(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()
+    assert len(audit) >= 4 and all(x.audited >= 12 and (x.recall == 1.0 or x.beam == 0) for x in audit)
+
+
 def test_table_and_empty(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     check(spark, rows)
