@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, Scratch, components, mix, pieces, powers, span_hashes, spans_where, text_bytes, window_hashes
+from .shared import SPACE, Scratch, components, mix, pieces, powers, row_key, span_hashes, spans_where, text_bytes, window_hashes
 
 ROWS = 4  # minhashes in a half key
 MISS = 1e-4  # chance that a pair at the threshold meets in no table
-BLOCK_DOCS = 4096  # documents compared in one task at a time
-BLOCK_SHINGLES = 2_000_000
+BLOCK_DOCS = 1024  # documents compared in one task at a time
+BLOCK_SHINGLES = 1_000_000
 HUBS = 4  # documents of a large cluster that all its blocks share
 
 FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, keys_a array<long>, keys_b array<long>, sketch binary"
@@ -101,25 +101,27 @@ def features(docs: DataFrame, shingle: int, m: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
-def _linker(shingle: int, num: int, den: int):
+def _linker(shingle: int, num: int, den: int, exact: bool = False):
     """Links inside one block: a forest of pairs (a, b) confirmed on the full sets.
 
-    Sketches leave out pairs five deviations below the threshold, and pairs that are connected
-    already need no look; the sets of all others are compared with one set in one pass.
+    Each row that asks is compared with all others.  Unless ``exact``, sketches leave out pairs five
+    deviations below the threshold; pairs that are connected already need no look; the sets of all
+    others are compared with one set in one pass.
     """
     t = num / den
 
     def link(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("ask", ascending=False, kind="stable")
         rep, known = block["rep"].to_numpy(np.int64), block["known"].to_numpy(np.int64)
         sets = shingle_sets(pa.array(block["text"], pa.large_string()), shingle)
         sketch = np.stack([np.frombuffer(s, np.uint8) for s in block["sketch"]])
         size, k = np.array([len(s) for s in sets]), sketch.shape[1]
-        least = k * (t - 5 * math.sqrt(t * (1 - t) / k))
+        least = 0 if exact else k * (t - 5 * math.sqrt(t * (1 - t) / k))
         flat = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
         start = np.cumsum(size) - size
         label = np.unique(known, return_inverse=True)[1]  # what is connected, by the rows at hand
         mask, out = np.zeros(int(flat.max(initial=0)) + 1, bool), []
-        for i in range(len(rep) - 1):
+        for i in range(min(int(block["ask"].sum()), len(rep) - 1)):
             after = slice(i + 1, None)
             small, large = np.minimum(size[after], size[i]), np.maximum(size[after], size[i])
             open_ = np.flatnonzero((label[after] != label[i]) & (den * small >= num * large))
@@ -140,21 +142,23 @@ def _linker(shingle: int, num: int, den: int):
     return link
 
 
-def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
     """Classes of documents linked at ``den * |A & B| >= num * |A | B|`` on sets of word shingles.
 
     Rows (doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id reachable by
     links, kept marks it.  Documents with equal sets count once from the start, so copies are never
     spread into pairs.  Table buckets give candidate clusters; a cluster is compared in blocks of
-    bounded size that share a few hubs, and documents with an A key in common that lie in different
-    blocks and are still apart are compared block by block.
+    bounded size that share a few hubs.  Where documents of different blocks meet in a table and are still
+    apart, those outside its largest class are compared with all of the bucket, block by block.
+    ``exact`` compares the sets of all candidates, without the look at their sketches first.
 
     Null and empty texts have no shingles and link with nothing.  Rows with a null doc_id link with
     nothing, have a null component_id and are kept.  Rows that share a doc_id are one document, linked
-    by each of its texts; repeated rows repeat in the result.  An empty table gives no rows.
+    by each of its texts; repeated rows repeat in the result.  Very long texts are compared by all their
+    shingles, in blocks of fewer documents.  An empty table gives no rows; other columns are not read.
     """
     m = half_keys(num, den)
-    link = _linker(shingle, num, den)
+    link = _linker(shingle, num, den, exact)
     all_rows = scratch.save(features(docs, shingle, m), "features")
     same = ["n_shingles", "s1", "s2"]
     linkable = all_rows.filter("n_shingles > 0 and doc_id is not null")
@@ -183,29 +187,34 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
     # Sorted merge at every size: the members grow with the corpus.
     member_texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select("rep").hint("merge"), "rep", "left_semi")
     member_texts = scratch.save(member_texts, "texts")
-    grouped = placed.join(member_texts, "rep").withColumn("known", F.col("rep")).groupBy("cluster", "block")
+    grouped = placed.join(member_texts, "rep").withColumns({"known": F.col("rep"), "ask": F.lit(True)}).groupBy("cluster", "block")
     links = scratch.save(grouped.applyInPandas(link, "a long, b long"), "links")
     found = scratch.save(components(links, scratch, "found"), "classes")
 
-    # Documents with one A key, in different blocks and still apart.
+    # Documents that meet in a table, lie in different blocks and are still apart.
     label = large.select("rep", "block").join(found, F.col("rep") == F.col("node"), "left").select("rep", "block", F.coalesce("component", "rep").alias("known"))
     cells = met.join(label, "rep")
-    apart = cells.groupBy("a").agg(
-        F.min("known").alias("k0"), F.max("known").alias("k1"), F.min("block").alias("b0"), F.max("block").alias("b1"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"),
-    ).filter("k0 < k1 and b0 < b1")
-    apart = apart.groupBy("who", "n").agg(F.min("a").alias("a")).select("a", F.ceil(F.col("n") / BLOCK_DOCS).alias("parts"))
-    apart = scratch.save(apart, "apart")
-    if not apart.isEmpty():
-        rest = cells.join(apart, "a").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rest = rest.select("rep", "known", "a", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).distinct()
-        rest = rest.join(reps.groupBy("rep").agg(F.max("sketch").alias("sketch")), "rep").join(member_texts, "rep")
-        more = rest.groupBy("a", "x", "y").applyInPandas(link, "a long, b long")
+    apart = lambda df, *key: df.groupBy(*key).agg(F.min("known").alias("k0"), F.max("known").alias("k1"), F.min("block").alias("b0"), F.max("block").alias("b1")).filter("k0 < k1 and b0 < b1").select(*key)
+    cells = cells.join(apart(cells, "a"), "a", "left_semi").join(reps.select("rep", F.col("keys_b").alias("b")), "rep").withColumn("b", F.explode("b"))
+    cells = scratch.save(cells.join(apart(cells, "a", "b"), ["a", "b"], "left_semi"), "cells")
+    if not cells.isEmpty():
+        classes = cells.groupBy("a", "b", "known").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+        tables = classes.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("who").alias("who"), F.max("n").alias("most"), F.max_by("known", F.struct("n", "known")).alias("largest"))
+        # Tables with the same documents are one; those of its largest class need not ask.
+        tables = tables.groupBy("who", "n", "most", "largest").agg(F.min(F.struct("a", "b")).alias("t")).select("t.a", "t.b", "largest", F.ceil(F.col("n") / BLOCK_DOCS).alias("parts"), F.ceil((F.col("n") - F.col("most")) / BLOCK_DOCS).alias("askers"))
+        rest = cells.select("a", "b", "rep", "known").join(tables, ["a", "b"])
+        asks = rest.filter("known <> largest").withColumns({"x": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("askers")), "ask": F.lit(True)})
+        asks = asks.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        told = rest.withColumns({"y": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")), "ask": F.lit(False)})
+        told = told.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)))
+        both = asks.select("a", "b", "x", "y", "rep", "known", "ask").unionByName(told.select("a", "b", "x", "y", "rep", "known", "ask"))
+        both = both.groupBy("a", "b", "x", "y", "rep", "known").agg(F.max("ask").alias("ask"))
+        both = both.join(reps.groupBy("rep").agg(F.max("sketch").alias("sketch")), "rep").join(member_texts, "rep")
+        more = both.groupBy("a", "b", "x", "y").applyInPandas(link, "a long, b long")
         links = scratch.save(links.unionByName(more).unionByName(label.select(F.col("rep").alias("a"), F.col("known").alias("b"))), "more")
         found = scratch.save(components(links, scratch, "again"), "classes2")
 
-    scratch.drop("met", "star", "blocks", "texts", "links", "apart", "more")  # the result reads features, reps and classes
+    scratch.drop("met", "star", "blocks", "texts", "links", "cells", "more")  # the result reads features, reps and classes
 
     class_of = reps.select(*same, "rep").join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     f, c = all_rows.select("doc_id", *same).alias("f"), class_of.alias("c")
@@ -215,9 +224,13 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
 
 
 def keep_one_of_each(docs: DataFrame, scratch: Scratch, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of docs without near copies: the smallest doc_id of each class stays, once."""
+    """Rows of docs without near copies: the smallest doc_id of each class stays, once.
+
+    Of rows that share a doc_id one stays, the first by a digest of all columns.  Rows without a doc_id
+    stay, all of them.
+    """
     classes = near_duplicate_classes(docs, scratch, shingle, num, den)
     gone = classes.filter("not kept").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_n = 1").drop("_n")
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(row_key(docs, "near")))).filter("_n = 1").drop("_n")
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -68,6 +68,33 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got == Counter(brute(data, 3, 85, 100))
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_hot_half_key(spark, monkeypatch, exact):
+    """Many documents around one template meet in tables; most are linked, some only to a few, some to none."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, data = [word() for _ in range(140)], []
+    for i in range(160):
+        copy = list(base)
+        for _ in range((1, 4, 9, 14)[i % 4]):
+            copy[r.randrange(140)] = word()
+        data.append((i, " ".join(copy), None, None, 0))
+    data += [(1000 + i, data[i][1] + " " + word(), None, None, 0) for i in range(0, 160, 7)]
+    scratch = Scratch(spark, "t")
+    got = Counter(map(tuple, near_duplicate_classes(frame(spark, data), scratch, 3, 85, 100, exact).collect()))
+    want = Counter(brute(data, 3, 85, 100))
+    assert got == want and 3 < len({w[2] for w in want}) < len(data)
+
+
+def test_one_row_of_a_doc_id_stays_whatever_the_order(spark):
+    data = [(1, "a b c d e f g", "en", "x", 1), (1, "q r s t u v w", "en", "y", 2), (1, "a b c d e f g", "fr", "x", 1), (None, None, None, None, None), (None, None, None, None, None), (2, "long " * 40_000, "en", "z", 3)]
+    one = Counter(keep_one_of_each(frame(spark, data), Scratch(spark, "t")).collect())
+    assert one == Counter(keep_one_of_each(frame(spark, data[::-1]).repartition(3), Scratch(spark, "t")).collect())
+    assert sorted((r.doc_id or 0) for r in one.elements()) == [0, 0, 1, 2]
+
+
 def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     data = [tuple(r) for r in docs.collect()]
