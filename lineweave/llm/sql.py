@@ -153,23 +153,25 @@ from sets s left join classes c on c.id = s.doc_id
 
 
 def op7() -> str:
-    from .licenses import CONTAINMENT, PHRASES, TEMPLATES, tokens_of
+    from .license_texts import TEMPLATES
+    from .licenses import CONTAINMENT, PHRASES
 
     lower = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES.items())
-    templates = ", ".join(f"({k}, '{label}', {tokens_of(text)})" for k, (label, text) in enumerate(TEMPLATES))
+    quoted = lambda x: x.replace("'", "''")
+    templates = ", ".join(f"('{label}', '{quoted(text)}')" for label, text in TEMPLATES)
     return f"""
 with docs as (select row_number() over () r, doc_id, text, {words.format("text")} w from documents),
 phrases as (select * from (values {phrases}) p(label, p)),
-templates as (select * from (values {templates}) t(k, label, t)),
+templates as (select label, list_distinct(t) t, len(t) span from (select label, {words.format("text")} t from (values {templates}) t(label, text))),
 places as (
   select r, label, i - 1 pos from (select r, label, w, p, unnest(range(1, len(w) - len(p) + 2)) i from docs, phrases) where w[i:i + len(p) - 1] = p),
 base as (select r, count(*) n, min(pos) a, max(pos) z, list_distinct(list(label)) labels from places group by r),
-lines as (select distinct r, line from (select r, unnest(string_split({lower.format("text")}, chr(10))) line from docs)),
-met as (
-  select r, label, len(list_intersect({words.format("line")}, t)) * 1.0::double / len(t) share from lines, templates
-  where len(list_intersect({words.format("line")}, t)) >= {CONTAINMENT} * len(t) - 1e-9),
+blocks as (
+  select r, label, t, w[b * span + 1 : b * span + 2 * span] own
+  from (select r, w, label, t, span, unnest(range(0, (len(w) + span - 1) // span)) b from docs, templates)),
+met as (select r, label, len(list_intersect(own, t)) * 1.0::double / len(t) share from blocks where len(list_intersect(own, t)) >= {CONTAINMENT} * len(t) - 1e-9),
 own as (select r, list_distinct(list(label)) labels, max(share) share from met group by r)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(b.n, 0) as bigint) n_base, cast(b.a as bigint) first_word, cast(b.z as bigint) last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') base_labels,
