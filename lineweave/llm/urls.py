@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .licenses import UPPER
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Parts of the sample: a row's log odds while fitting come from the other parts.
+FOLDS = 5
 #: Labelled rows that the trees are fitted on, at most: a bounded sample in a pseudo-random order.
 SAMPLE = 20_000
 TREES, DEPTH = 12, 4
@@ -66,34 +68,44 @@ class UrlFilter:
             rows = rows.join(F.broadcast(self.odds[name]), f"_{name}", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
         return rows
 
+    def features(self, rows: DataFrame) -> DataFrame:
+        """Rows with url, host and path and the vector that the trees read, ``_features``."""
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(self._with_odds(lexical(rows)))
+
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """Add ``method`` (allow or block) to rows with url, host and path."""
         if self.trees is None:
             return rows.withColumn("method", F.lit(self.default))
-        named = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(self._with_odds(lexical(rows)))
-        judged = self.trees.transform(named)
+        judged = self.trees.transform(self.features(rows))
         return judged.select(*rows.columns, F.when(F.col("_prediction") > 0.5, "block").otherwise("allow").alias("method"))
 
 
 def fit_urls(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, default: str = "allow") -> UrlFilter:
     """Fit on rows (url, host, path, label) with label allow or block.
 
-    At most ``sample`` rows are used, in the order of a hash of the url.  Without rows of both labels
-    there is nothing to learn: every verdict is then the one label seen, or ``default``.
+    At most ``sample`` rows are used, in the order of a hash of the url, ties by url and label.  A suffix's
+    log odds are those of its rows in the sample; for a row of the sample itself, of those rows only that
+    lie in other folds, so the trees do not see its own label in them.  Without rows of both labels there
+    is nothing to learn: every verdict is then the one label seen, or ``default``.
     """
     spark = labelled.sparkSession
     rows = labelled.select("url", "host", "path", (F.col("label") == "block").cast("double").alias("_label"))
-    bounded = rows.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    bounded = rows.orderBy(F.xxhash64("url"), "url", "_label").limit(sample).collect()
     seen = {r._label for r in bounded}
     if len(seen) < 2:
         return UrlFilter(None, {}, {0.0: "allow", 1.0: "block"}[seen.pop()] if seen else default)
-    rows = lexical(spark.createDataFrame(bounded, "url string, host string, path string, _label double").coalesce(1)).persist()
-    odds = {}
+    rows = lexical(spark.createDataFrame(bounded, "url string, host string, path string, _label double").coalesce(1))
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS))).persist()
+    log_odds = lambda blocked, n: F.log((blocked + 1) / (n - blocked + 1))
+    odds, known = {}, rows
     for name in SUFFIXES:
         stats = rows.groupBy(f"_{name}").agg(F.sum("_label").alias("b"), F.count("*").alias("n"))
-        odds[name] = stats.select(f"_{name}", F.log((F.col("b") + 1) / (F.col("n") - F.col("b") + 1)).alias(name))
+        odds[name] = stats.select(f"_{name}", log_odds(F.col("b"), F.col("n")).alias(name))
+        in_fold = rows.groupBy(f"_{name}", "_fold").agg(F.sum("_label").alias("fb"), F.count("*").alias("fn"))
+        others = in_fold.join(stats, f"_{name}").select(f"_{name}", "_fold", log_odds(F.col("b") - F.col("fb"), F.col("n") - F.col("fn")).alias(name))
+        known = known.join(F.broadcast(others), [f"_{name}", "_fold"])
     model = UrlFilter(None, odds, default)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(model._with_odds(rows)).select("_features", "_label").coalesce(1).persist()
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(known).select("_features", "_label").coalesce(1).persist()
     grower = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, seed=7)
     model.trees = grower.fit(vectors)
     vectors.unpersist()
@@ -106,8 +118,10 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest wins.
     Other pages get the verdict of trees fitted on ``labelled`` (url, label), by default the pages that
-    a rule decides.  A null url, or one without ``://``, has an empty host and path and is judged by
-    the trees.  Repeated rows, null and repeated page_ids each give one row; an empty table gives none.
+    a rule decides; those labels are weak ones, which the trees carry over to pages that no rule fits.  A
+    null url, or one without ``://``, has an empty host and path and is judged by the trees.  Very long urls
+    are judged whole.  Repeated rows, null and repeated page_ids each give one row; an empty table gives
+    none.  Other columns, whatever their names, are not read.
     """
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))

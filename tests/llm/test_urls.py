@@ -1,8 +1,12 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 from fixtures import SF
+from pyspark.sql import functions as F
 
-from lineweave.llm.urls import RULES, filter_urls
+from lineweave.llm.urls import RULES, filter_urls, fit_urls, split_url
 
 URLS = [
     None, "", "no scheme", "https://A.Example.ORG/en/1?x=1", "https://example.org/en/12#a", "https://example.org/es/9", "http://notexample.org/es/", "http://a.b.com/fr/x", "http://com/de/x",
@@ -37,6 +41,67 @@ def test_held_out_accuracy(spark):
     assert joined.a > 0.9
 
 
+def plain_features(url):
+    """The features that need no training, and the three suffixes."""
+    host, path = base(url)[:2]
+    counts = Counter(url)
+    entropy = -sum(c / len(url) * math.log2(c / len(url)) for c in counts.values()) if url else 0.0
+    numbers = [len(url), len(host), path.count("/"), len(re.findall("[0-9]", url)) / len(url) if url else 0.0, entropy, len(re.findall(r"[?&][^?&=#]*=", url)), host.count("-"), host.count(".")]
+    suffixes = [host.rsplit(".", 1)[-1], (re.search(r"(\.[^./]*|/)$", path) or [""])[0], (re.match(r"/([^/]*)/", path) or ["", ""])[1]]
+    return numbers, suffixes
+
+
+def walk(lines):
+    """A function of the features for the indented text of a tree's nodes."""
+    head = lines.pop(0).strip()
+    if head.startswith("Predict"):
+        value = float(head.split(":")[1])
+        return lambda x: value
+    feature, limit = re.match(r"If \(feature (\d+) <= (\S+)\)", head).groups()
+    left = walk(lines)
+    assert lines.pop(0).strip().startswith("Else")
+    right = walk(lines)
+    return lambda x: left(x) if x[int(feature)] <= float(limit) else right(x)
+
+
+def test_verdicts_are_those_of_the_trees(spark):
+    """Features, log odds and tree walks in plain Python, for labels that no rule gives."""
+    r = random.Random(12)
+    urls = [f"http://{r.choice(('a', 'b-c', 'd.e'))}.{r.choice(('org', 'com', 'net'))}/{r.choice(('x', 'y', 'de'))}/{r.randint(0, 10 ** r.randint(1, 6))}{r.choice(('', '/', '.html', '?a=1', '?a=1&b=2'))}" for _ in range(500)]
+    label = ["block" if (len(u) % 7 < 3) ^ (r.random() < 0.1) else "allow" for u in urls]
+    labelled = spark.createDataFrame(list(zip(urls, label, strict=True)), "url string, label string")
+    host, path = split_url(F.col("url"))
+    model = fit_urls(labelled.select("url", host.alias("host"), path.alias("path"), "label"))
+    odds = [defaultdict(lambda: [0, 0]) for _ in range(3)]
+    for u, lab in zip(urls, label, strict=True):
+        for table, suffix in zip(odds, plain_features(u)[1], strict=True):
+            table[suffix][0] += lab == "block"
+            table[suffix][1] += 1
+    trees = re.split(r"\n\s*Tree \d+ \(weight (\S+)\):\n", model.trees.toDebugString)[1:]
+    trees = [(float(w), walk([x for x in t.split("\n") if x.strip()])) for w, t in zip(trees[::2], trees[1::2], strict=True)]
+    assert len(trees) == 12
+    test = [*urls, *(u + "x" for u in urls[:50]), "", "http://" + "long/" * 30_000]
+    pages = spark.createDataFrame(list(enumerate(test)), "page_id long, url string")
+    got = {x.page_id: x.verdict for x in model.verdicts(pages.select("page_id", "url", host.alias("host"), path.alias("path"))).withColumnRenamed("method", "verdict").collect()}
+    wrong = []
+    for i, u in enumerate(test):
+        numbers, suffixes = plain_features(u)
+        logs = [math.log((b + 1) / (n - b + 1)) for b, n in (t.get(s, (0, 0)) for t, s in zip(odds, suffixes, strict=True))]
+        margin = sum(w * t([*numbers, *logs]) for w, t in trees)
+        if got[i] != ("block" if margin > 0 else "allow"):
+            wrong.append((u[:50], margin))
+    assert not [x for x in wrong if abs(x[1]) > 1e-9]
+
+
+def test_odds_of_the_sample_come_from_other_folds(spark):
+    """A folder that occurs once has no odds while fitting, so the trees cannot read a label from it."""
+    urls = [(f"http://h.net/{i}/p", "block" if i % 2 else "allow") for i in range(300)]
+    labelled = spark.createDataFrame(urls, "url string, label string")
+    pages = spark.createDataFrame([(i, f"http://h.net/{i}/p") for i in range(300)], "page_id long, url string")
+    verdicts = filter_urls(pages, (), labelled).collect()
+    assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in verdicts) < 270
+
+
 def test_one_label_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://x.net/a")], "page_id long, url string")
     assert filter_urls(pages).first().verdict == "allow"
