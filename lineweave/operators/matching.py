@@ -101,36 +101,64 @@ def segments_fit(cues: DataFrame, segments: DataFrame) -> DataFrame:
 # --- fuzzy and tiered names ------------------------------------------------------------------------------
 
 
-def anchors(samples: DataFrame, script: DataFrame, score=dice, first: int = 5, longer_than: int = 8, least: float = 0.5) -> DataFrame:
+def _ranked_grams(df: DataFrame, key: list[str], text: str, counts: DataFrame) -> DataFrame:
+    """``df`` with ``grams``, the distinct bigrams of a text, rarest first by counts(gram, places)."""
+    each = df.select(*key, F.explode(bigrams(text)).alias("gram")).join(counts, "gram")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("places", "gram"))), lambda g: g["gram"])
+    return df.join(each.groupBy(*key).agg(ordered.alias("grams")), key)
+
+
+def anchors(samples: DataFrame, script: DataFrame, first: int = 5, longer_than: int = 8, least: float = 0.5) -> DataFrame:
     """Rows (track, anchor): where a track's first lines stand in the script.
 
-    samples(track, seq, text), script(line_no, text).  Each of the first lines takes the best scoring
-    script line (the earliest of equals); the anchor is the median, cut to an integer.  Lines meet on a
-    shared bigram first, since without one the score is 0.  ``score`` is a column function.
+    samples(track, seq, text), script(line_no, text).  Each of the first lines takes the script line of
+    the best Dice score (the earliest of equals) if it reaches ``least``; the anchor is the median of their
+    numbers, cut to an integer.  The join is exact: lines of x and y bigrams that reach the score t share
+    t / 2 * (x + y) of them, at least t / (2 - t) of either, so they share one of the rarest x - need + 1.
     """
     lines = samples.withColumn("text", strip("text")).filter(F.length("text") > longer_than)
-    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("seq"))).filter(F.col("n") <= first)
-    left = lines.select("track", "n", "text", F.explode(bigrams("text")).alias("gram"))
-    right = script.withColumn("text", strip("text")).filter("text <> ''").select("line_no", F.col("text").alias("script_text"), F.explode(bigrams("text")).alias("gram"))
-    met = left.join(right, "gram").select("track", "n", "text", "line_no", "script_text").distinct()
-    best = met.withColumn("score", score(F.col("text"), F.col("script_text"))).groupBy("track", "n").agg(F.max_by(F.struct("line_no", "score"), F.struct("score", -F.col("line_no"))).alias("best"))
-    return best.filter(F.col("best.score") >= least).groupBy("track").agg(F.median("best.line_no").cast("int").alias("anchor"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("seq"))).filter(F.col("n") <= first).select("track", "n", "text")
+    other = script.select("line_no", strip("text").alias("text")).filter(F.length("text") > 1)
+    counts = other.select(F.explode(bigrams("text")).alias("gram")).groupBy("gram").agg(F.count("*").alias("places"))
+    wanted = lines.select(F.explode(bigrams("text")).alias("gram")).distinct()
+    counts = wanted.join(counts, "gram", "left").select("gram", F.coalesce("places", F.lit(0)).alias("places")).unionByName(counts.join(wanted, "gram", "left_anti"))
+    share = least / (2 - least)
+    prefix = lambda: F.posexplode(F.slice("grams", F.lit(1), F.size("grams") - F.ceil(F.size("grams") * share - 1e-9).cast("int") + 1)).alias("at", "gram")
+    a = _ranked_grams(lines, ["track", "n"], "text", counts).withColumn("size", F.size("grams"))
+    b = _ranked_grams(other, ["line_no"], "text", counts).withColumn("size", F.size("grams"))
+    left = a.select("track", "n", "size", prefix())
+    right = b.select("line_no", F.col("size").alias("other"), prefix())
+    near = (F.col("size") >= F.col("other") * share - 1e-9) & (F.col("other") >= F.col("size") * share - 1e-9)  # length filter
+    met = left.join(right, "gram").filter(near).select("track", "n", "line_no").distinct()
+    scored = met.join(a.select("track", "n", "grams"), ["track", "n"]).join(b.select("line_no", F.col("grams").alias("theirs")), "line_no")
+    score = 2.0 * F.size(F.array_intersect("grams", "theirs")) / (F.size("grams") + F.size("theirs"))
+    best = scored.select("track", "n", "line_no", score.alias("score")).filter(F.col("score") >= least).groupBy("track", "n").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"))
+    return best.groupBy("track").agg(F.median("line_no").cast("long").alias("anchor"))
 
 
 def tiered_names(wanted: DataFrame, have: DataFrame, compose: bool = False) -> DataFrame:
     """Rows (name, seq, match, tier): equal keys first, else the first key that holds or is held.
 
-    wanted(name, seq), have(match, match_seq).  Containment only looks at names that equality left over
-    and meets on bigrams of the keys (one-letter keys on the letter).
+    wanted(name, seq), have(match, match_seq).  Containment only looks at names that equality left over.
+    A key inside another has all its bigrams there, so the rarest bigram of either side meets all bigrams
+    of the other (one-letter keys have their letter for it).
     """
     w = wanted.withColumn("key", name_key(F.col("name"), compose))
     h = have.withColumn("match_key", name_key(F.col("match"), compose)).filter("match_key <> ''")
     exact = w.join(h, F.col("key") == F.col("match_key")).withColumn("tier", F.lit(1))
     rest = w.join(exact.select("name", "seq"), ["name", "seq"], "left_anti").filter("key <> ''")
-    grams = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(F.concat(bigrams(c), F.split(c, "")))
-    met = rest.select("name", "seq", "key", F.explode(grams(F.col("key"))).alias("g")).join(h.select("match", "match_seq", "match_key", F.explode(grams(F.col("match_key"))).alias("g")), "g")
-    met = met.drop("g").distinct().filter(F.contains("key", F.col("match_key")) | F.contains("match_key", F.col("key"))).withColumn("tier", F.lit(2))
-    both = exact.select("name", "seq", "match", "match_seq", "tier").unionByName(met.select("name", "seq", "match", "match_seq", "tier"))
+    own = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(bigrams(c))
+    every = lambda c: F.array_union(bigrams(c), F.filter(F.split(c, ""), lambda x: x != ""))
+    keys = rest.select("key").distinct().unionByName(h.select(F.col("match_key").alias("key")).distinct())
+    counts = keys.select(F.explode(every(F.col("key"))).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    rare = keys.distinct().select("key", F.explode(own(F.col("key"))).alias("g")).join(counts, "g").groupBy("key").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
+    theirs = h.select("match_key").distinct()
+    inside = rest.select("key").distinct().join(rare, "key").join(theirs.select("match_key", F.explode(every(F.col("match_key"))).alias("g")), "g").filter(F.contains("match_key", F.col("key")))
+    around = theirs.join(rare.withColumnRenamed("key", "match_key"), "match_key").join(rest.select("key").distinct().select("key", F.explode(every(F.col("key"))).alias("g")), "g").filter(F.contains("key", F.col("match_key")))
+    pairs = inside.select("key", "match_key").unionByName(around.select("key", "match_key")).distinct()
+    first = pairs.join(h, "match_key").groupBy("key").agg(F.min(F.struct("match_seq", "match")).alias("m"))
+    met = rest.join(first, "key").select("name", "seq", "m.match", "m.match_seq", F.lit(2).alias("tier"))
+    both = exact.select("name", "seq", "match", "match_seq", "tier").unionByName(met)
     best = both.groupBy("name", "seq").agg(F.min(F.struct("tier", "match_seq", "match")).alias("best"))
     return wanted.select("name", "seq").join(best, ["name", "seq"], "left").select("name", "seq", "best.match", "best.tier")
 

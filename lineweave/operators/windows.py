@@ -126,15 +126,17 @@ WORD_BREAKS = r"(?U)[\s,.\!?、。！？…　]+"
 def text_statistics(lines: DataFrame, by: str) -> DataFrame:
     """Rows, characters without blanks, kana rows and distinct words of two letters and more."""
     words = F.filter(F.split(strip("text"), WORD_BREAKS), lambda w: F.length(w) >= 2)
-    per_line = lines.select(by, compact_length("text").alias("chars"), F.coalesce(has_kana("text"), F.lit(False)).alias("kana"), words.alias("words"))
-    base = per_line.groupBy(by).agg(F.count("*").alias("total_lines"), F.sum("chars").cast("long").alias("total_chars"), F.count_if("kana").alias("japanese_lines"))
-    distinct = per_line.select(by, F.explode("words").alias("w")).groupBy(by).agg(F.count_distinct("w").alias("unique_words"))
-    return base.join(distinct, by, "left").withColumn("unique_words", F.coalesce("unique_words", F.lit(0)))
+    per_line = lines.select(by, compact_length("text").alias("chars"), F.coalesce(has_kana("text"), F.lit(False)).cast("int").alias("kana"), words.alias("words"))
+    # One pass: a line's figures stand in the row of its first word, and meet with the words' counts.
+    each = per_line.select(by, "chars", "kana", F.posexplode_outer("words").alias("at", "word"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    by_word = each.groupBy(by, "word").agg(F.count_if(first).alias("n"), F.sum(F.when(first, F.col("chars"))).alias("c"), F.sum(F.when(first, F.col("kana"))).alias("k"))
+    return by_word.groupBy(by).agg(F.sum("n").alias("total_lines"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("total_chars"), F.coalesce(F.sum("k"), F.lit(0)).alias("japanese_lines"), F.count("word").alias("unique_words"))
 
 
 def frequent_words(lines: DataFrame, by: str, most: int = 50, least: int = 2) -> DataFrame:
     """The most frequent words; of equals, those seen first.  lines(by, seq, text)."""
     words = F.filter(F.split(strip("text"), WORD_BREAKS), lambda w: F.length(w) >= 2)
-    each = lines.select(by, "seq", F.posexplode(words).alias("at", "word")).groupBy(by, "word").agg(F.count("*").alias("n"), F.min(F.struct("seq", "at")).alias("first"))
+    each = lines.select(by, "seq", F.posexplode(words).alias("at", "word")).groupBy(by, "word").agg(F.count("*").alias("n"), F.min(F.struct("seq", "at")).alias("first")).filter(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
-    return each.withColumn("rank", rank).filter((F.col("rank") <= most) & (F.col("n") >= least)).select(by, "word", "n", "rank")
+    return each.withColumn("rank", rank).filter(F.col("rank") <= most).select(by, "word", "n", "rank")

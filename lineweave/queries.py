@@ -35,6 +35,13 @@ def cue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("seq"), (F.col("turn") * 2500 + 17).alias("time_ms"), "role", "text")
 
 
+def cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every turn as a cue: (file, turn, k, role, text, seq, time_ms)."""
+    c = cue_rows(spark, sf_dir).select("file", F.col("seq").alias("turn"), "role", F.posexplode(F.split("text", "\n", -1)).alias("k", "text"))
+    seq = F.row_number().over(Window.partitionBy("file").orderBy("turn", "k")) - 1
+    return c.withColumns({"seq": seq, "time_ms": F.col("turn") * 2500 + 17 + F.col("k") * 100})
+
+
 def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as usage."""
     e = read(spark, sf_dir, "events")
@@ -55,7 +62,7 @@ def line_explode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = doc_lines(spark, sf_dir).select("lang", (F.col("doc_id") * 1_000_000 + F.col("seq")).alias("seq"), "text")
+    lines = doc_lines(spark, sf_dir).select("lang", F.struct("doc_id", "seq").alias("seq"), "text")
     return windows.frequent_words(lines, "lang")
 
 
@@ -79,8 +86,8 @@ def repetition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dropped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P11, P13, W6 over the turns of conversations: lines dropped by reason."""
-    rows = windows.position_share(cue_rows(spark, sf_dir).withColumn("text", F.element_at(F.split("text", "\n"), 1)))
+    """P11, P13, W6 over the lines of conversations: lines dropped by reason."""
+    rows = windows.position_share(cue_lines(spark, sf_dir))
     rows = rows.withColumn("reason", F.coalesce(text.drop_reason("text", F.col("position")), F.lit("kept")))
     return rows.groupBy("role", "reason").agg(F.count("*").alias("n"))
 
@@ -186,9 +193,9 @@ def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J7 with Dice: where benchmark passages stand among the supplier and customer names as script."""
-    tracks = read(spark, sf_dir, "nation").select(F.col("n_name").alias("track"), F.lit(0).alias("seq"), F.concat(F.lit("the nation "), F.col("n_name")).alias("text"))
-    script = read(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).alias("line_no"), F.concat(F.lower(F.lit("THE NATION ")), F.col("n_name"), F.lit(" stands here")).alias("text"))
+    """J7, A12 with Dice: where benchmark passages stand among the lines of all documents."""
+    tracks = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("track"), F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
+    script = doc_lines(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("seq")).alias("line_no"), "text")
     return matching.anchors(tracks, script)
 
 
@@ -198,18 +205,21 @@ def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_tier_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = read(spark, sf_dir, "nation").select(F.concat(F.lit("Tr-"), F.col("n_name")).alias("name"), F.col("n_nationkey").alias("seq"))
-    wanted = wanted.unionByName(read(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), (F.col("n_nationkey") + 100).alias("seq")))
-    have = read(spark, sf_dir, "nation").select(F.col("n_name").alias("match"), F.col("n_nationkey").alias("match_seq"))
-    return matching.tiered_names(wanted, have)
+    """Names of parts in other spellings, shortened or with a number, against the names themselves."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    short = F.element_at(F.split("p_name", " "), -1)
+    name = F.when(F.col("p_partkey") % 4 == 0, F.upper("p_name")).when(F.col("p_partkey") % 4 == 1, short).when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("no-such "), F.col("p_partkey").cast("string")))
+    have = part.groupBy(F.col("p_name").alias("match")).agg(F.min("p_partkey").alias("match_seq"))
+    return matching.tiered_names(part.select(name.alias("name"), F.col("p_partkey").alias("seq")), have)
 
 
 def term_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region, nation = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
-    own = nation.select((F.col("n_regionkey") % 2).alias("work"), F.col("n_name").alias("src"), F.lit("nation").alias("tgt"))
-    world = region.select((F.col("r_regionkey") % 2).alias("work"), F.col("r_name").alias("src"), F.lit("region").alias("tgt"))
-    shared = nation.select(F.lit(0).alias("work"), F.col("n_name").alias("src"), F.lit("global").alias("tgt"))
-    return matching.merge_terms(own, world, shared)
+    """Types of parts as a work's own terms, its world's and shared ones; the first source that has a term wins."""
+    part = read(spark, sf_dir, "part").select(F.col("p_size").alias("work"), F.concat_ws(" ", "p_type", "p_brand").alias("src"), "p_name", "p_partkey")
+    named = lambda df, by, tgt: df.groupBy("work", "src").agg(F.concat(F.lit(tgt), F.max(by)).alias("tgt"))
+    own = named(part.filter("p_partkey % 3 = 0"), "p_name", "own ")
+    world = named(part.filter("p_partkey % 3 <> 1"), "p_name", "world ")
+    return matching.merge_terms(own, world, named(part, "p_name", "shared "))
 
 
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,10 +234,23 @@ def usage_window_cum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = cue_rows(spark, sf_dir).select("file", F.col("seq").cast("int").alias("line_no"), F.lit("lyric").alias("item_type"), "time_ms", F.element_at(F.split("text", "\n"), 1).alias("text"), F.lit(None).cast("string").alias("raw"))
+    cues = cue_lines(spark, sf_dir).select("file", F.col("seq").alias("line_no"), F.lit("lyric").alias("item_type"), "time_ms", "text", F.lit(None).cast("string").alias("raw"))
     return subtitles.render_items(cues).withColumn("ext", F.lit(".lrc"))
 
 
+def whole_files(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """Conversations as subtitle files of any format: a turn is one cue of as many lines as it has."""
+    c = cue_rows(spark, sf_dir)
+    number, stamp = (F.col("seq") + 1).cast("string"), timing.ms_to_stamp(F.col("time_ms"))
+    block = {
+        ".lrc": F.concat(stamp, "text"), ".srt": F.concat(number, F.lit("\n00:00:01,000 --> 00:00:02,000\n"), "text", F.lit("\n")),
+        ".vtt": F.concat(F.when(F.col("seq") % 2 == 0, F.concat(number, F.lit("\n"))).otherwise(""), F.lit("00:00:01.000 --> 00:00:02.000\n"), "text", F.lit("\n")),
+    }[ext]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n")
+    head = {".lrc": "[ti:title]\n", ".srt": "", ".vtt": "WEBVTT\n\n"}[ext]
+    return c.groupBy("file").agg(F.concat(F.lit(head), body, F.lit("\n")).alias("content")).withColumn("ext", F.lit(ext))
+
+
 def lrc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 then S2 in both time modes."""
     lrc = lrc_files(spark, sf_dir)
@@ -236,14 +259,15 @@ def lrc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lrc_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 then K1 with changed texts."""
-    lines = subtitles.structure(lrc_files(spark, sf_dir))
+    """S3 then K1 with changed texts, on cues whose further lines continue the first."""
+    lines = subtitles.structure(whole_files(spark, sf_dir, ".lrc"))
     new = subtitles.replace_texts(lines, lines.filter("slot is not null").select("file", "slot", F.replace("text", F.lit("e"), F.lit("EE")).alias("new_text")))
     return new.select("file", F.length("content").alias("chars"), F.md5("content").alias("content"))
 
 
 def srt_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cue_rows(spark, sf_dir).withColumn("body", F.when(F.col("seq") % 3 == 1, "").otherwise(F.concat(F.element_at(F.split("text", "\n"), 1), F.lit("\n"))))
+    """C7 on SRT files with every third cue emptied and all lines of the others."""
+    c = cue_rows(spark, sf_dir).withColumn("body", F.when(F.col("seq") % 3 == 1, "").otherwise(F.concat("text", F.lit("\n"))))
     block = F.concat((F.col("seq") + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), "body")
     srt = c.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n").alias("content")).withColumn("ext", F.lit(".srt"))
     return subtitles.without_blank_cues(srt).select("file", "removed", F.md5("content").alias("content"))
@@ -276,10 +300,20 @@ def align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_script(c.select(F.col("file").alias("track"), "seq", changed.alias("text")), c.select(F.col("file").alias("track"), line_no.alias("line_no"), "text"))
 
 
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers as boxes on pages, tall, wide and square ones, and pages of a few known boxes."""
+    text = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" of order number "), F.col("o_orderkey").cast("string"))).otherwise(""))
+    orders = read(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 40 + 100).alias("page"), (F.col("o_totalprice") % 600).alias("cx"), (F.col("o_orderkey") % 900).cast("double").alias("cy"),
+        (F.col("o_orderkey") % 17 * 3).cast("double").alias("w"), (F.col("o_orderkey") % 13 * 3 + 5).cast("double").alias("h"), text.alias("text"),
+    )
+    known = spark.sql(f"SELECT cast(page as bigint) page, cast(cx as double) cx, cast(cy as double) cy, cast(w as double) w, cast(h as double) h, text FROM VALUES {BOXES} AS t(page, cx, cy, w, h, text)")
+    return orders.unionByName(known)
+
+
 def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3, O4, A18 on boxes."""
-    boxes = spark.sql(f"SELECT page, cast(cx as double) cx, cast(cy as double) cy, cast(w as double) w, cast(h as double) h, text FROM VALUES {BOXES} AS t(page, cx, cy, w, h, text)")
-    return layout.horizontal_order(boxes).select("page", "text", "nth")
+    """O4 on boxes."""
+    return layout.horizontal_order(page_boxes(spark, sf_dir)).select("page", "text", "nth")
 
 
 def layout_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,19 +405,18 @@ def script_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as tracks, each with an empty variant."""
-    n = read(spark, sf_dir, "nation")
-    base = n.select(F.col("n_regionkey").alias("work"), F.col("n_name").alias("track"), F.split("n_name", "_").alias("lines"))
-    empty = n.select(F.col("n_regionkey").alias("work"), F.concat("n_name", F.lit("（room）")).alias("track"), F.array().cast("array<string>").alias("lines"))
-    return matching.inherit_variants(base.unionByName(empty)).select("work", "track", F.array_join("lines", "|").alias("lines"))
+    """Parts as tracks, each with an empty variant."""
+    p = read(spark, sf_dir, "part").select(F.col("p_size").alias("work"), F.concat_ws(" ", "p_name", "p_partkey").alias("track"), F.split("p_name", " ").alias("lines"))
+    empty = p.select("work", F.concat("track", F.lit("（room）")).alias("track"), F.array().cast("array<string>").alias("lines"))
+    return matching.inherit_variants(p.unionByName(empty)).select("work", "track", F.array_join("lines", "|").alias("lines"))
 
 
 def coverage_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as tracks of regions, some with lines."""
-    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("work"), F.col("n_name").alias("track"), "n_nationkey")
-    a = n.filter(F.col("n_nationkey") % 3 == 0).select("work", "track", F.array(F.lit("a")).alias("lines"))
-    b = n.filter(F.col("n_nationkey") % 2 == 0).select("work", "track", F.array(F.lit("b"), F.lit("c")).alias("lines"))
-    return scripts.coverage(matching.fill_missing(a, b, n.select("work", "track"))).select("work", "tracks", "matched", "total", "accepted")
+    """Parts as tracks of works, some with lines."""
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("work"), "p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("track"))
+    a = p.filter("p_partkey % (work % 3 + 2) = 0").select("work", "track", F.array(F.lit("a")).alias("lines"))
+    b = p.filter("p_partkey % 2 = 0").select("work", "track", F.array(F.lit("b"), F.lit("c")).alias("lines"))
+    return scripts.coverage(matching.fill_missing(a, b, p.select("work", "track"))).select("work", "tracks", "matched", "total", "accepted")
 
 
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,8 +452,7 @@ def box_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3, W3 on boxes."""
-    boxes = spark.sql(f"SELECT page, cast(cx as double) cx, cast(cy as double) cy, cast(w as double) w, cast(h as double) h, text FROM VALUES {BOXES} AS t(page, cx, cy, w, h, text)")
-    return layout.vertical_order(boxes)
+    return layout.vertical_order(page_boxes(spark, sf_dir))
 
 
 def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,8 +463,8 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken time of turns' first 60 words, as in its SQL, and whether they are too long."""
-    t = timed_words(spark, sf_dir).withColumn("words", F.slice("words", 1, 60)).withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), ""))
+    """Spoken time of turns, and whether they are too long."""
+    t = timed_words(spark, sf_dir)
     return t.select("file", "seq", timing.speech_ms(F.col("words")).alias("speech_ms"), timing.is_too_long(F.col("text"), F.col("words")).alias("too_long"))
 
 

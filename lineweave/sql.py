@@ -22,6 +22,8 @@ def count(x: str, pattern: str) -> str:
 
 DOC_LINES = "lines as (select doc_id, lang, generate_subscripts(string_split(text, chr(10)), 1) - 1 seq, unnest(string_split(text, chr(10))) text from documents)"
 CUES = "cues as (select cast(conv_id as varchar) file, turn seq, turn * 2500 + 17 time_ms, role, text from conversations)"
+CUE_LINES = """lines as (select *, row_number() over (partition by file order by turn, k) - 1 seq, turn * 2500 + 17 + k * 100 time_ms from (
+  select cast(conv_id as varchar) file, turn, role, generate_subscripts(string_split(text, chr(10)), 1) - 1 k, unnest(string_split(text, chr(10))) text from conversations))"""
 USAGE = """usage as (
   select event_id seq, event_type request_type, 'works/w' || (user_id % 50) work_key, ts, user_id, value, event_id * 37 % 5000 hit, event_id * 53 % 7000 miss,
          event_id * 11 % 3000 completion, event_id % 7 * 10 reasoning, event_id * 37 % 5000 + event_id * 53 % 7000 prompt,
@@ -66,7 +68,9 @@ def _phrases(words: tuple[str, ...]) -> str:
 
 
 def _boxes() -> str:
-    return f"boxes as (select page, cx::double cx, cy::double cy, w::double w, h::double h, text from (values {BOXES}) t(page, cx, cy, w, h, text))"
+    return f"""boxes as (select page, cx::double cx, cy::double cy, w::double w, h::double h, text from (values {BOXES}) t(page, cx, cy, w, h, text) union all
+  select o_custkey % 40 + 100, o_totalprice % 600, (o_orderkey % 900)::double, (o_orderkey % 17 * 3)::double, (o_orderkey % 13 * 3 + 5)::double,
+         o_orderpriority || case when o_orderkey % 3 = 0 then ' of order number ' || o_orderkey else '' end from orders)"""
 
 
 SQL = {
@@ -77,8 +81,8 @@ select lang, count(*) total_lines, cast(sum(length(regexp_replace(text, '[{S}]',
        count(*) filter (where regexp_matches(text, '{KANA}')) japanese_lines, max(coalesce(words.n, 0)) unique_words
 from k left join words using (lang) group by lang""",
     "word_frequency_topk": f"""
-with {DOC_LINES}, each as (select lang, doc_id * 1000000 + seq seq, w, i from (select lang, doc_id, seq, unnest({WORDS}) w, generate_subscripts({WORDS}, 1) i from lines)),
-ranked as (select lang, w word, count(*) n, row_number() over (partition by lang order by count(*) desc, min((seq::hugeint * 100000 + i))) rank from each group by lang, w)
+with {DOC_LINES}, each as (select lang, doc_id, seq, unnest({WORDS}) w, generate_subscripts({WORDS}, 1) i from lines),
+ranked as (select lang, w word, count(*) n, row_number() over (partition by lang order by count(*) desc, min((doc_id, seq, i))) rank from each group by lang, w)
 select lang, word, n, cast(rank as integer) rank from ranked where rank <= 50 and n >= 2""",
     "lang_detect": f"""
 with docs as (select cast(doc_id as varchar) id, text from documents union all select * from (values {SPEECH}) t(id, text)),
@@ -98,7 +102,7 @@ with {DOC_LINES}, every as (select doc_id, text from lines union all select * fr
 h as (select doc_id, text, {HEADS} from every)
 select doc_id, count(*) n_lines, count(*) filter (where {REPEATS}) n_repetitive from h group by doc_id""",
     "dropped_lines": f"""
-with {CUES}, t as (select role, {strip("regexp_replace(string_split(text, chr(10))[1], '^\\d{2,3}:\\s*', '')")} text, row_number() over (partition by file order by seq) * 1.0::double / count(*) over (partition by file) p from cues),
+with {CUE_LINES}, t as (select role, {strip("regexp_replace(text, '^\\d{2,3}:\\s*', '')")} text, (seq + 1) * 1.0::double / count(*) over (partition by file) p from lines),
 f as (select *, {HEADS}, list_filter({_phrases(ENDINGS)}, lambda w: contains(lower(text), lower(w)) or contains(text, w))[1] e, list_filter({_phrases(OPENINGS)}, lambda w: contains(lower(text), lower(w)) or contains(text, w))[1] o from t),
 r as (select role, case when text = '' then 'kept' when p < 0.9 and e is not null then 'mid_file_ending:' || e when p > 0.1 and o is not null then 'late_file_opening:' || o
   when p < 0.9 and regexp_matches(lower(text), '^thank\\s*you[。．.]?$|^thanks[。．.]?$|^bye[。．.]?$|^goodbye[。．.]?$|^hello[。．.]?$|^hi[。．.]?$|^welcome[。．.]?$') then 'short_ending_pattern'
@@ -175,20 +179,27 @@ select lang, case when exists (select 1 from labels l where l.doc_id = d.doc_id)
 with p as (select p_partkey, p_name a, lead(p_name) over (partition by p_brand order by p_partkey) b from part)
 select p_partkey, round({dice('a', 'b')}, 9) dice from p where b is not null""",
     "anchor_match": f"""
-with t as (select n_name track, 'the nation ' || n_name text from nation), s as (select n_nationkey * 10 line_no, 'the nation ' || n_name || ' stands here' text from nation),
-x as (select track, line_no, {dice('t.text', 's.text')} score from t, s), b as (select *, row_number() over (partition by track order by score desc, line_no) r from x)
-select track, cast(line_no as integer) anchor from b where r = 1 and score >= 0.5""",
+with {DOC_LINES}, t as (select track, text, row_number() over (partition by track order by seq) n from (
+  select item_id track, generate_subscripts(string_split(text, chr(10)), 1) seq, {strip("unnest(string_split(text, chr(10)))")} text from benchmark) where length(text) > 8),
+g as (select track, n, list_distinct(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) a from t where n <= 5),
+s as (select doc_id * 100000 + seq line_no, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) b from (select doc_id, seq, {strip('text')} t from lines) where length(t) > 1),
+x as (select track, n, line_no, 2.0::double * len(list_intersect(a, b)) / (len(a) + len(b)) score from g, s),
+best as (select *, row_number() over (partition by track, n order by score desc, line_no) r from x)
+select track, cast(trunc(median(line_no)) as bigint) anchor from best where r = 1 and score >= 0.5 group by track""",
     "longest_prefix": """
 with e as (select * from (values ('http', 'any'), ('https://blog', 'blog'), ('HTTPS://', 'secure'), ('http://www.', 'www'), ('https://blog.th', 'th')) t(key, entry))
 select page_id, (select entry from e where starts_with(lower(url), lower(key)) order by length(key) desc limit 1) entry from pages""",
     "name_tier_join": """
-with w as (select 'Tr-' || n_name as name, n_nationkey seq from nation union all select lower(n_name), n_nationkey + 100 from nation),
-k as (select name, seq, lower(regexp_replace(name, '[\\s_\\-]', '', 'g')) key from w), h as (select n_name as match, n_nationkey match_seq, lower(regexp_replace(n_name, '[\\s_\\-]', '', 'g')) match_key from nation),
+with w as (select p_partkey seq, case p_partkey % 4 when 0 then upper(p_name) when 1 then string_split(p_name, ' ')[-1] when 2 then p_name || '_' || p_partkey else 'no-such ' || p_partkey end as name from part),
+k as (select name, seq, lower(regexp_replace(name, '[\\s_\\-]', '', 'g')) key from w),
+h as (select p_name as match, min(p_partkey) match_seq, lower(regexp_replace(p_name, '[\\s_\\-]', '', 'g')) match_key from part group by p_name),
 m as (select name, seq, match, match_seq, case when key = match_key then 1 when contains(key, match_key) or contains(match_key, key) then 2 end tier from k, h),
 b as (select *, row_number() over (partition by name, seq order by tier, match_seq) r from m where tier is not null)
 select w.name, w.seq, b.match, b.tier from w left join b on b.name = w.name and b.seq = w.seq and b.r = 1""",
     "term_merge": """
-with u as (select n_regionkey % 2 as work, n_name src, 'nation' tgt, 0 p from nation union all select r_regionkey % 2, r_name, 'region', 1 from region union all select 0, n_name, 'global', 2 from nation)
+with p as (select p_size as work, p_type || ' ' || p_brand src, p_name, p_partkey from part),
+u as (select work, src, 'own ' || max(p_name) tgt, 0 p from p where p_partkey % 3 = 0 group by work, src
+  union all select work, src, 'world ' || max(p_name), 1 from p where p_partkey % 3 <> 1 group by work, src union all select work, src, 'shared ' || max(p_name), 2 from p group by work, src)
 select work, src, arg_min(tgt, p) tgt from u group by work, src""",
     "natural_sort": """
 with s as (select s_suppkey, (s_suppkey % 3)::varchar dir, regexp_replace(s_name, '0*([0-9]+)$', '\\1') stem from supplier)
@@ -198,16 +209,21 @@ with t as (select user_id cue, event_id seq, event_type word, event_id * 10 as s
 select cue, seq, coalesce(s - lag(e) over w, 0) gap, cast(sum(length(word)) over (partition by cue order by seq rows unbounded preceding) as bigint) chars_to, e - first(s) over (partition by cue order by seq rows unbounded preceding) elapsed
 from t window w as (partition by cue order by seq)""",
     "lrc_roundtrip": f"""
-with {CUES}, l as (select file, seq, ((time_ms + 5) // 10) * 10 ms, {strip('string_split(text, chr(10))[1]')} text from cues),
-r as (select *, row_number() over (partition by file order by seq) - 1 n, ms // 60000 m, (ms % 60000 // 10) / 100.0::double s from l)
-select file, cast(n as integer) seq, cast(trunc((m * 60 + s) * 1000) as bigint) time_ms, cast(ms as bigint) rounded_ms, md5(text) text from r""",
+with {CUE_LINES}, l as (select file, seq, ((time_ms + 5) // 10) * 10 ms, {strip('text')} text from lines),
+r as (select *, ms // 60000 m, (ms % 60000 // 10) / 100.0::double s from l)
+select file, cast(seq as integer) seq, cast(trunc((m * 60 + s) * 1000) as bigint) time_ms, cast(ms as bigint) rounded_ms, md5(text) text from r""",
     "lrc_structure": f"""
-with {CUES}, l as (select file, seq, {stamp('time_ms')} || replace(regexp_replace(string_split(text, chr(10))[1], '^\\s+', ''), 'e', 'EE') line from cues),
-f as (select file, string_agg(line, chr(10) order by seq) || chr(10) content from l group by file)
+with {CUE_LINES}, slots as (
+  select file, turn, 0 k, {stamp('min(time_ms) filter (where k = 0)')} || replace(array_to_string(list(case when k = 0 then regexp_replace(text, '^\\s+', '') else {strip('text')} end order by k) filter (where k = 0 or {strip('text')} <> ''), ' '), 'e', 'EE') line
+  from lines group by file, turn),
+every as (select * from slots union all select file, turn, k, text from lines where k > 0 and {strip('text')} = '' union all select distinct file, -1, 0, '[ti:title]' from lines),
+f as (select file, string_agg(line, chr(10) order by turn, k) || chr(10) content from every group by file)
 select file, cast(length(content) as integer) chars, md5(content) content from f""",
     "srt_clean": f"""
-with {CUES}, b as (select file, seq, (seq + 1) || chr(10) || '00:00:01,000 --> 00:00:02,000' || case when seq % 3 = 1 then '' else chr(10) || {strip('string_split(text, chr(10))[1]')} end b, seq % 3 = 1 gone from cues)
-select file, count(*) filter (where gone) removed, md5(coalesce(string_agg(b, chr(10) || chr(10) order by seq) filter (where not gone) || chr(10), '')) content from b group by file""",
+with {CUES}, f as (select file, string_agg((seq + 1) || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || case when seq % 3 = 1 then '' else text || chr(10) end, chr(10) order by seq) content from cues group by file),
+b as (select file, list_filter(list_transform(string_split_regex(regexp_replace(content, '^\\n+|\\n+$', '', 'g'), '\\n[ \\t]*\\n'), lambda x: {strip('x')}), lambda x: x <> '') b from f),
+k as (select file, b, list_filter(b, lambda x: not (contains(x, '-->') and {strip("regexp_replace(x, '(?s)^.*?-->[^\\n]*', '')")} = '')) kept from b)
+select file, len(b) - len(kept) removed, md5(case when len(kept) > 0 then array_to_string(kept, chr(10) || chr(10)) || chr(10) else '' end) content from k""",
     "layout_order": f"with {_boxes()} select page, text, cast(row_number() over (partition by page order by round_even(cy / 30, 0), cx, cy, text) as integer) nth from boxes",
     "glyph_histogram": """
 with g as (select l_returnflag doc, l_quantity x, floor(l_extendedprice / 100) y from lineitem)
@@ -230,10 +246,11 @@ select dir || '/' || stem || ext path, cast(row_number() over (partition by dir
     "script_names": """
 select p_partkey, case when p_partkey % 11 = 0 then false when p_partkey % 7 in (1, 5) then false when p_partkey % 7 in (0, 2, 6) then true when p_partkey % 13 = 0 then true else p_partkey % 7 = 3 end script from part""",
     "variant_inherit": """
-select n_regionkey as work, n_name track, replace(n_name, '_', '|') lines from nation union all select n_regionkey, n_name || '（room）', replace(n_name, '_', '|') from nation""",
+with p as (select p_size as work, p_name || ' ' || p_partkey track, replace(p_name, ' ', '|') lines from part)
+select * from p union all select work, track || '（room）', lines from p""",
     "coverage_fill": """
-with n as (select n_regionkey as work, n_nationkey k, (n_nationkey % 3 = 0)::int a, avg((n_nationkey % 3 = 0)::int) over (partition by n_regionkey) c from nation),
-l as (select work, case when a = 1 then 1 when c < 0.5 and k % 2 = 0 then 2 else 0 end n from n)
+with n as (select p_partkey % 97 as work, p_partkey k, (p_partkey % (p_partkey % 97 % 3 + 2) = 0)::int a from part),
+c as (select *, avg(a) over (partition by work) c from n), l as (select work, case when a = 1 then 1 when c < 0.5 and k % 2 = 0 then 2 else 0 end n from c)
 select work, count(*) tracks, count(*) filter (where n > 0) matched, cast(sum(n) as bigint) total, sum(n) > 0 and count(*) filter (where n > 0) * 1.0::double / count(*) >= 0.3 accepted from l group by work""",
     "error_kinds": """
 with e as (select [200, 400, 429, 500, 402][event_id % 5 + 1] status, ['ok', 'Unsupported value', 'rate limit', 'connection reset', 'no credit', 'timed out'][event_id % 6 + 1] said from events)
@@ -261,7 +278,7 @@ with {DOC_LINES}, every as (select lang, text from lines union all select * from
 s as (select lang, {strip('text')} s from every), k as (select * from s where s <> '' and not regexp_matches(s, '^\\d+$'))
 select lang, round(sum({count('s', '[\\x{3040}-\\x{309f}\\x{30a0}-\\x{30fa}\\x{4e00}-\\x{9fff}]')} - 2.0::double * {count('s', '[♡♪/＝・…※✧⩌⩊]')}) / greatest(sum(length(s)), 1), 9) quality from k group by lang""",
     "speech_time": f"""
-with {CUES}, w as (select file, seq, list_slice(string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' '), 1, 60) w from cues),
+with {CUES}, w as (select file, seq, string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' ') w from cues),
 n as (select file, seq, len(w) * 280 ms, length(array_to_string(w, '')) chars from w)
 select file, seq, cast(ms as bigint) speech_ms, chars > 0 and (chars > 40 or (chars >= 6 and ms / 1000.0 > 8.5)) too_long from n""",
     "name_similarity": """
