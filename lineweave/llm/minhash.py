@@ -149,7 +149,7 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
     links, kept marks it.  Documents with equal sets count once from the start, so copies are never
     spread into pairs.  Table buckets give candidate clusters; a cluster is compared in blocks of
     bounded size that share a few hubs.  Where documents of different blocks meet in a table and are still
-    apart, those outside its largest class are compared with all of the bucket, block by block.
+    apart, they are compared once for their A key, block by block: those outside its largest class with all.
     ``exact`` compares the sets of all candidates, without the look at their sketches first.
 
     Null and empty texts have no shingles and link with nothing.  Rows with a null doc_id link with
@@ -198,23 +198,26 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, shingle: int = 5,
     cells = cells.join(apart(cells, "a"), "a", "left_semi").join(reps.select("rep", F.col("keys_b").alias("b")), "rep").withColumn("b", F.explode("b"))
     cells = scratch.save(cells.join(apart(cells, "a", "b"), ["a", "b"], "left_semi"), "cells")
     if not cells.isEmpty():
-        classes = cells.groupBy("a", "b", "known").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-        tables = classes.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("who").alias("who"), F.max("n").alias("most"), F.max_by("known", F.struct("n", "known")).alias("largest"))
-        # Tables with the same documents are one; those of its largest class need not ask.
-        tables = tables.groupBy("who", "n", "most", "largest").agg(F.min(F.struct("a", "b")).alias("t")).select("t.a", "t.b", "largest", F.ceil(F.col("n") / BLOCK_DOCS).alias("parts"), F.ceil((F.col("n") - F.col("most")) / BLOCK_DOCS).alias("askers"))
-        rest = cells.select("a", "b", "rep", "known").join(tables, ["a", "b"])
-        asks = rest.filter("known <> largest").withColumns({"x": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("askers")), "ask": F.lit(True)})
+        part = cells.groupBy("a", "rep", "known").agg(F.count("*").alias("tables"))
+        largest = part.groupBy("a", "known").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("known", F.struct("n", "known")).alias("largest"))
+        part = scratch.save(part.join(largest, "a").select("a", "rep", "known", (F.col("known") != F.col("largest")).alias("ask")), "part")
+        # A keys with the same documents are one; the largest class of a key need not ask.
+        who = F.sum(F.xxhash64("rep", "ask").cast("decimal(38,0)")).alias("who")
+        keys = part.groupBy("a").agg(F.count("*").alias("n"), F.count_if("ask").alias("asking"), who).groupBy("n", "asking", "who").agg(F.min("a").alias("a"))
+        keys = keys.select("a", F.ceil(F.col("n") / BLOCK_DOCS).alias("parts"), F.ceil(F.col("asking") / BLOCK_DOCS).alias("askers"))
+        rest = part.join(keys, "a")
+        asks = rest.filter("ask").withColumn("x", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("askers")))
         asks = asks.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         told = rest.withColumns({"y": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")), "ask": F.lit(False)})
         told = told.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)))
-        both = asks.select("a", "b", "x", "y", "rep", "known", "ask").unionByName(told.select("a", "b", "x", "y", "rep", "known", "ask"))
-        both = both.groupBy("a", "b", "x", "y", "rep", "known").agg(F.max("ask").alias("ask"))
+        both = asks.select("a", "x", "y", "rep", "known", "ask").unionByName(told.select("a", "x", "y", "rep", "known", "ask"))
+        both = both.groupBy("a", "x", "y", "rep", "known").agg(F.max("ask").alias("ask"))
         both = both.join(reps.groupBy("rep").agg(F.max("sketch").alias("sketch")), "rep").join(member_texts, "rep")
-        more = both.groupBy("a", "b", "x", "y").applyInPandas(link, "a long, b long")
+        more = both.groupBy("a", "x", "y").applyInPandas(link, "a long, b long")
         links = scratch.save(links.unionByName(more).unionByName(label.select(F.col("rep").alias("a"), F.col("known").alias("b"))), "more")
         found = scratch.save(components(links, scratch, "again"), "classes2")
 
-    scratch.drop("met", "star", "blocks", "texts", "links", "cells", "more")  # the result reads features, reps and classes
+    scratch.drop("met", "star", "blocks", "texts", "links", "cells", "part", "more")  # the result reads features, reps and classes
 
     class_of = reps.select(*same, "rep").join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component"))
     f, c = all_rows.select("doc_id", *same).alias("f"), class_of.alias("c")
