@@ -229,7 +229,8 @@ def presplit_works(files: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def same_reading(terms: DataFrame, reading: Column | None = None) -> DataFrame:
-    """Terms grouped by equal readings, groups of two and more first; no reading, no group (Q12)."""
+    """Terms grouped by equal readings; ``nth`` puts groups of two and more first; no reading, no group (Q12)."""
     key = reading if reading is not None else F.concat(F.lit("\0"), "src")
     groups = terms.groupBy("work", key.alias("reading")).agg(F.sort_array(F.collect_list(F.struct("line_no", "src", "tgt"))).alias("members"))
-    return groups.withColumns({"single": F.size("members") < 2, "first_seen": F.get("members", F.lit(0))["line_no"]}).orderBy("work", "single", "first_seen")
+    groups = groups.withColumns({"single": F.size("members") < 2, "first_seen": F.get("members", F.lit(0))["line_no"]})
+    return groups.withColumn("nth", F.row_number().over(Window.partitionBy("work").orderBy("single", "first_seen")))

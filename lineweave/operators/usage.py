@@ -82,6 +82,17 @@ def manifest_json(manifest_rows: DataFrame) -> DataFrame:
     return manifest_rows.select("work", F.to_json(F.struct(*manifest_rows.columns)).alias("json"))
 
 
+def expected_tracks(files: DataFrame) -> DataFrame:
+    """Rows (work, n) with the distinct tracks of files(work, track), what ``manifest`` expects of a work."""
+    return files.groupBy("work").agg(F.count_distinct("track").alias("n"))
+
+
+def batch_totals(manifest_rows: DataFrame) -> DataFrame:
+    """K9: the totals of a batch over its works, elapsed time to one digit."""
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "succeeded", "failed", "skipped")]
+    return manifest_rows.agg(F.count("*").alias("works"), F.count_if("complete").alias("complete"), *counts, F.round(F.coalesce(F.sum("elapsed"), F.lit(0.0)), 1).alias("elapsed"))
+
+
 def work_deltas(runs: DataFrame) -> DataFrame:
     """Files, lines and time per work of a run log with a column lines."""
     return runs.groupBy("work").agg(F.count_distinct("file").alias("files"), F.sum("lines").alias("lines"), F.sum("elapsed").alias("elapsed"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,21 +72,22 @@ def world_of_files(files: DataFrame) -> DataFrame:
     return rows.groupBy("work").agg(F.max_by(F.when(F.col("kind") == "worldview", F.col("value")), F.when(F.col("kind") == "worldview", F.col("rank"))).alias("worldview"), F.max_by(F.when(F.col("kind") == "scene", F.col("value")), F.when(F.col("kind") == "scene", F.col("rank"))).alias("scene"))
 
 
-def work_terms(own: DataFrame, worlds: DataFrame, shared: DataFrame) -> DataFrame:
+def work_terms(own: DataFrame, worlds: DataFrame, shared: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """terms(work, src, tgt): own, then characters of the world, its special terms, global ones.
 
-    worlds(work, content) are JSON documents; bracketed notes are cut from names.  shared(src, tgt)
-    is the global glossary, a settings file of bounded size that holds for every work.
+    worlds(work, content) are JSON documents; bracketed notes are cut from names.  shared(src, tgt) is the
+    global glossary, a table joined by source word to asked(work, src), the words that works look up; so
+    no work carries a copy of it.
     """
     people = characters(worlds).select("work", strip("name").alias("src"), without_brackets("name_cn").alias("tgt"))
     special = worlds.select("work", F.explode(F.from_json(F.get_json_object("content", "$.special_terms"), "map<string,string>")).alias("src", "tgt")).select("work", strip("src").alias("src"), without_brackets("tgt").alias("tgt"))
-    works = own.select("work").unionByName(worlds.select("work")).distinct()
-    # One list for all works, folded to a row: each work takes it as a whole.
-    listed = shared.agg(F.collect_list(F.struct("src", "tgt")).alias("all")).first()["all"]
-    held = F.from_json(F.lit(json.dumps([r.asDict() for r in listed], ensure_ascii=False)), "array<struct<src:string,tgt:string>>")
-    everywhere = works.select("work", F.explode(held).alias("t")).select("work", "t.src", "t.tgt")
     full = lambda df: df.filter("src <> '' and tgt <> ''")
-    return merge_terms(own, full(people), full(special), everywhere)
+    mine = merge_terms(own, full(people), full(special))
+    if shared is None:
+        return mine
+    # A shared term holds for every work that names it in its texts: the pairs are asked for, never multiplied.
+    held = asked.join(shared, "src").select("work", "src", "tgt")
+    return merge_terms(mine, held)
 
 
 def needs_world(works: DataFrame) -> DataFrame:

@@ -40,14 +40,19 @@ def with_parts(files: DataFrame) -> DataFrame:
 
 
 def subtitles(files: DataFrame, excluded_dir: str = "bug_collection") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Live subtitle files by time, archived originals (``.ja``), and archives to restore."""
+    """Live subtitle files, archived originals (``.ja``), and archives to restore."""
     parts = with_parts(files).filter(F.col("ext").isin(*SUBTITLES)).filter(~F.array_contains(F.split("path", "/"), excluded_dir))
     archived = parts.filter(F.endswith("stem", F.lit(".ja"))).withColumn("base", F.regexp_replace("stem", r"\.ja$", ""))
     live = parts.filter(~F.endswith("stem", F.lit(".ja")))
     restore = archived.join(live.select("dir", F.col("stem").alias("base"), "ext"), ["dir", "base", "ext"], "left_anti")
     restore = restore.withColumn("target", F.concat("dir", F.lit("/"), "base", "ext"))
     all_live = live.select("path", "mtime", "dir", "ext").unionByName(restore.select(F.col("target").alias("path"), "mtime", "dir", "ext"))
-    return all_live.orderBy("mtime", "path"), archived, restore
+    return all_live, archived, restore
+
+
+def in_time_order(live: DataFrame) -> DataFrame:
+    """O2: files with ``nth``, their place by time inside their folder; ties by path."""
+    return live.withColumn("nth", F.row_number().over(Window.partitionBy("dir").orderBy("mtime", "path")))
 
 
 def count_by_extension(live: DataFrame) -> DataFrame:
@@ -107,9 +112,9 @@ def is_script(name: Column, stem: Column, ext: Column, parent: Column) -> Column
 
 
 def script_candidates(files: DataFrame) -> DataFrame:
-    """Texts and PDFs that the program did not write, by path."""
+    """Texts and PDFs that the program did not write."""
     parts = with_parts(files).filter(F.col("ext").isin(".txt", ".pdf"))
-    return parts.filter(~F.rlike("stem", F.lit("_cleaned|_processed|_export|_scriptbook_export"))).orderBy("path")
+    return parts.filter(~F.rlike("stem", F.lit("_cleaned|_processed|_export|_scriptbook_export")))
 
 
 def discover_scripts(files: DataFrame, root: Column) -> DataFrame:
@@ -130,9 +135,9 @@ def work_root(path: Column, levels: int = 5) -> Column:
 
 
 def track_stems(files: DataFrame) -> DataFrame:
-    """Distinct track names from audio and live subtitles, in order."""
+    """Distinct track names from audio and live subtitles."""
     parts = with_parts(files).filter(F.col("ext").isin(*AUDIO, *SUBTITLES)).filter(~F.endswith("stem", F.lit(".ja")))
-    return parts.select("stem").distinct().orderBy("stem")
+    return parts.select("stem").distinct()
 
 
 def words_file(tracks: DataFrame, files: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_ATTEMPTS = 3
+KEEP_MS = 24 * 3600 * 1000  # state of a file is kept so long after its last run
 
 
 def progress(runs: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -18,26 +19,61 @@ def progress(runs: DataFrame, window: str = "5 minutes", late: str = "10 minutes
 
 
 def _count_attempts(key, batches, state):
+    if state.hasTimedOut:
+        state.remove()
+        return
     attempts, status = state.get if state.exists else (0, "")
     rows = pd.concat(list(batches)).sort_values("ts")
     for s in rows["status"]:
         if status != "success":
             attempts, status = attempts + 1, s
-    state.update((int(attempts), status))
     final = status != "success" and attempts >= MOST_ATTEMPTS
+    state.update((int(attempts), status))
+    # A file that nothing was heard of for so long is forgotten, so state holds live files only.
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + KEEP_MS)
     yield pd.DataFrame({"work": [key[0]], "file": [key[1]], "attempts": [int(attempts)], "status": ["failed_for_good" if final else status], "retry": [status != "success" and not final]})
 
 
-def retry_queue(runs: DataFrame) -> DataFrame:
+def retry_queue(runs: DataFrame, late: str = "10 minutes") -> DataFrame:
     """After every change of a file its attempts, status and whether to try again.
 
-    State is one row per file: upserts by key, at most three attempts.
+    State is one row per file: upserts by key, at most three attempts.  It goes a day after the file's
+    last run, by event time.  ``retry_table`` is the batch form.
     """
     out, kept = "work string, file string, attempts int, status string, retry boolean", "attempts int, status string"
-    return runs.groupBy("work", "file").applyInPandasWithState(_count_attempts, out, kept, "update", "NoTimeout")
+    return runs.withWatermark("ts", late).groupBy("work", "file").applyInPandasWithState(_count_attempts, out, kept, "update", "EventTimeTimeout")
+
+
+def retry_table(runs: DataFrame) -> DataFrame:
+    """T1 / T5 over a whole log: rows (work, file, attempts, status, retry) as the stream leaves them."""
+    by_time = F.array_sort(F.collect_list(F.struct("ts", "status")))
+    seen = runs.groupBy("work", "file").agg(by_time.alias("r"))
+    won = F.array_position(F.transform("r", lambda x: x["status"]), F.lit("success"))
+    attempts = F.when(won > 0, won).otherwise(F.size("r")).cast("int")
+    seen = seen.withColumns({"attempts": attempts, "last": F.element_at("r", attempts)["status"]})
+    final = (F.col("last") != "success") & (F.col("attempts") >= MOST_ATTEMPTS)
+    return seen.select("work", "file", "attempts", F.when(final, "failed_for_good").otherwise(F.col("last")).alias("status"), ((F.col("last") != "success") & ~final).alias("retry"))
+
+
+def _count_files(key, batches, state):
+    seen = set(state.get[0]) if state.exists else set()
+    rows = pd.concat(list(batches))
+    due = (state.get[1] if state.exists else False) or False
+    seen |= set(rows["file"])
+    complete = len(seen) >= int(rows["n"].iloc[0])
+    state.update((sorted(seen), complete))
+    if complete and not due:
+        yield pd.DataFrame({"work": [key[0]]})
 
 
 def completed_works(runs: DataFrame, expected: DataFrame) -> DataFrame:
-    """T4: works whose number of distinct files reached expected(work, n)."""
-    seen = runs.groupBy("work").agg(F.approx_count_distinct("file", 0.01).alias("seen")) if runs.isStreaming else runs.groupBy("work").agg(F.count_distinct("file").alias("seen"))
-    return seen.join(expected, "work").filter("seen >= n").select("work")
+    """T4: works whose number of distinct files reached expected(work, n), exactly.
+
+    On a stream a work is named once, when its last file arrives; state is the set of a work's files,
+    whose number is bounded by what is expected of it.
+    """
+    if not runs.isStreaming:
+        return runs.groupBy("work").agg(F.count_distinct("file").alias("seen")).join(expected, "work").filter("seen >= n").select("work")
+    kind = dict(runs.dtypes)["work"]
+    rows = runs.select("work", "file").join(expected, "work")
+    return rows.groupBy("work").applyInPandasWithState(_count_files, f"work {kind}", "files array<string>, complete boolean", "append", "NoTimeout")
