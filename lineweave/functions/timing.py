@@ -26,10 +26,27 @@ def ms_to_stamp(ms: Column) -> Column:
     return F.format_string("[%02d:%02d.%02d]", F.floor(cs / 6000), F.floor(cs % 6000 / 100), (cs % 100).cast("long"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number from 0 to a billion with so many decimals, rounded by its binary value, exact halves to even.
+
+    Where the shortest decimal form lies half-way, the part of the product that a double cannot hold tells
+    on which side the number is.
+    """
+    scaled = x.cast("decimal(27,18)") * F.lit(10**digits).cast("decimal(7,0)")
+    down = F.floor(scaled)
+    rest, ten, factor = scaled - down, (down * 10 + 5).cast("double"), float(10 ** (digits + 1))
+    c = x * 134217729.0
+    high = c - (c - x)
+    side = (high * factor - ten) + (x - high) * factor
+    up = (rest > 0.5) | ((rest == 0.5) & ((side > 0) | ((side == 0) & (down % 2 == 1))))
+    q, unit = down.cast("long") + up.cast("long"), 10**digits
+    return F.concat(F.floor(q / unit).cast("string"), F.lit("."), F.lpad((q % unit).cast("string"), digits, "0"))
+
+
 def ms_to_float_stamp(ms: Column) -> Column:
     """``[mm:ss.ss]`` with rounded seconds, which may show 60.00 (Q2)."""
     seconds = ms / 1000.0
-    return F.format_string("[%02d:%05.2f]", F.floor(seconds / 60).cast("long"), seconds % 60)
+    return F.concat(F.format_string("[%02d:", F.floor(seconds / 60).cast("long")), F.lpad(fixed(seconds % 60, 2), 5, "0"), F.lit("]"))
 
 
 def beijing(ts: Column) -> Column:
@@ -88,7 +105,7 @@ def show_tokens(n: Column) -> Column:
 
 def show_cost(x: Column) -> Column:
     """six, four or two decimals by magnitude."""
-    return F.concat(F.lit("¥"), F.when(x < 0.0001, F.format_string("%.6f", x)).when(x < 0.01, F.format_string("%.4f", x)).otherwise(F.format_string("%.2f", x)))
+    return F.concat(F.lit("¥"), F.when(x < 0.0001, fixed(x, 6)).when(x < 0.01, fixed(x, 4)).otherwise(fixed(x, 2)))
 
 
 def speech_ms(words: Column, cap: int = WORD_CAP_MS) -> Column:

@@ -126,13 +126,10 @@ def gap_cuts(words: Column, morphemes: Column) -> Column:
 class _Cue:
     """Word lengths and times of a cue, with sizes and durations of any piece."""
 
-    def __init__(self, words):
-        self.n = len(words)
-        self.start = [int(w["start"]) for w in words]
-        self.end = [int(w["end"]) for w in words]
-        self.chars = [0]
-        for w in words:
-            self.chars.append(self.chars[-1] + len("".join((w["word"] or "").split())))
+    def __init__(self, letters, start, end):
+        self.n, self.start, self.end, self.chars = len(letters), list(start), list(end), [0]
+        for n in letters:
+            self.chars.append(self.chars[-1] + int(n))
 
     def size(self, a: int, b: int) -> int:
         return self.chars[b] - self.chars[a]
@@ -199,13 +196,13 @@ def plan_udf(max_seconds: float, max_chars: int):
     """C11: proposed cuts if they are valid, else the best path, else none; redundant ones go."""
 
     @F.pandas_udf(_PLAN)
-    def plan(words: pd.Series, legal: pd.Series, weak: pd.Series, gap: pd.Series, proposed: pd.Series) -> pd.DataFrame:
+    def plan(letters: pd.Series, start: pd.Series, end: pd.Series, legal: pd.Series, weak: pd.Series, gap: pd.Series, proposed: pd.Series) -> pd.DataFrame:
         out = []
-        for w, *levels, wish in zip(words, legal, weak, gap, proposed, strict=True):
-            cue, allowed = _Cue(w), set()
+        for n, a, b, *levels, wish in zip(letters, start, end, legal, weak, gap, proposed, strict=True):
+            cue, allowed = _Cue(n, a, b), set()
             for more in levels:  # C13: weaker levels only where letters exceed the limit and nothing else fits
                 if more is not None:
-                    allowed |= {int(c["k"]) for c in more}
+                    allowed |= {int(k) for k in more}
                 if cue.size(0, cue.n) <= max_chars or feasible(cue, allowed, max_chars):
                     break
             errors = cut_errors(cue, wish, allowed, max_chars) if wish is not None else ["none_proposed"]
@@ -231,7 +228,12 @@ def plan_cuts(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int =
         "gap": gap_cuts(F.col("words"), morphemes) if morphemes is not None else none,
         "proposed": F.col("proposed") if "proposed" in long.columns else F.lit(None).cast("array<int>"),
     })
-    return long.withColumn("plan", plan_udf(max_seconds, max_chars)("words", "legal", "weak", "gap", "proposed")).select("file", "seq", "words", "legal", "plan")
+    # Python sees numbers only; a file's cues are searched by many tasks, however the files are stored.
+    long = long.repartition("file", "seq")
+    numbers = lambda c: F.transform(c, lambda x: x["k"])
+    flat = [F.transform("words", lambda w: F.length(compact(F.coalesce(w["word"], F.lit(""))))), F.transform("words", lambda w: w["start"].cast("long")), F.transform("words", lambda w: w["end"].cast("long"))]
+    plan = plan_udf(max_seconds, max_chars)(*flat, numbers("legal"), numbers("weak"), numbers("gap"), F.col("proposed"))
+    return long.withColumn("plan", plan).select("file", "seq", "words", "legal", "plan")
 
 
 def pieces_of(plans: DataFrame) -> DataFrame:

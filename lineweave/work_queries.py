@@ -74,7 +74,7 @@ def spoken_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: stamps of cues with new texts, where there are any."""
     c = cue_lines(spark, sf_dir)
-    new = c.filter("seq % 5 <> 4").select("file", "seq", F.upper("text").alias("new_text"))
+    new = c.filter("seq % 5 <> 4").select("file", "seq", F.replace("text", F.lit("e"), F.lit("EE")).alias("new_text"))
     return subtitles.timeline(c.select("file", "seq", "time_ms"), new).select("file", F.md5("content").alias("content"))
 
 
@@ -89,7 +89,7 @@ def sibling_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max("slot").over(Window.partitionBy("file"))
     number = F.regexp_extract("file", r"(\d+)\.", 1).cast("long")
     mine = mine.withColumn("last", last).filter((number % 4 != 0) | (F.col("slot") < F.col("last")))
-    new = mine.select(F.regexp_replace("file", r"\.srt$", ".lrc").alias("file"), F.col("slot").alias("seq"), F.upper("text").alias("new_text"))
+    new = mine.select(F.regexp_replace("file", r"\.srt$", ".lrc").alias("file"), F.col("slot").alias("seq"), F.replace("text", F.lit("e"), F.lit("EE")).alias("new_text"))
     return subtitles.sibling_texts(lines, new).select("file", "slot", F.md5("new_text").alias("new_text"))
 
 
@@ -414,7 +414,7 @@ def float_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_extendedprice") % 500).alias("x"), (F.floor(F.col("l_quantity") / 10) * 8).alias("y"),
+        F.col("l_returnflag").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_extendedprice") % 500).alias("x"), (F.floor(F.col("l_quantity") / 13) * 8).alias("y"),
         F.col("l_linestatus").alias("text"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("part"),
     )
 
@@ -542,7 +542,7 @@ def retried_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers by index with a wrong escape in every text, put right first."""
     c = cue_lines(spark, sf_dir).withColumn("n", F.col("seq") + 1)
-    item = F.concat(F.lit('{"index": '), F.col("n").cast("string"), F.lit(', "text": "'), F.upper("text"), F.lit('\\q"}'))
+    item = F.concat(F.lit('{"index": '), F.col("n").cast("string"), F.lit(', "text": "'), F.replace("text", F.lit("e"), F.lit("EE")), F.lit('\\q"}'))
     raw = F.concat(F.lit('{"translations": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("o"), F.when(F.col("seq") % 3 != 1, item).alias("v")))), lambda x: x["v"]), ", "), F.lit("]}"))
     g = c.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("originals"), raw.alias("raw"))
     return g.select("file", F.md5(F.array_join(jsonrepair.answers_by_index(F.col("originals"), jsonrepair.repair_backslashes(F.col("raw"))), "|")).alias("texts"))

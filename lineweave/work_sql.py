@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.text import ALIGN_SYMBOLS, ECHO_SYMBOLS, HIRAGANA, KATAKANA
 from .sql import CUE_LINES, CUES, DOC_LINES, HAN, KANA_LETTERS, S, count, stamp, strip
 from .work_queries import NOISE
 
@@ -22,9 +23,12 @@ LOG = """log as (
   select 'lib/w' || (user_id % 20) as work, 'f' || user_id || '.lrc' file, row_number() over (partition by user_id order by event_id) - 1 attempt, event_id % 9 lines, event_id,
          case when event_id % 3 = 0 then 'success' when event_id % 11 = 0 then 'skipped' else 'failed' end status, (event_id % 100)::double elapsed, event_type from events)"""
 LATEST = "latest as (select work, file, arg_max(status, attempt) status, arg_max(elapsed, attempt) elapsed from log group by work, file)"
-GLYPHS = "g as (select l_returnflag doc, l_linenumber page, l_extendedprice % 500 x, floor(l_quantity / 10) * 8 y, l_linestatus text, l_orderkey * 10 + l_linenumber seq, l_partkey part from lineitem)"
-#: A script document's lines without what the cleaning of whole texts takes out.
-CLEAN_LINE = f"not regexp_matches(x, '^\\d{{1,4}}[{S}]*$')"
+GLYPHS = "g as (select l_returnflag doc, l_linenumber page, l_extendedprice % 500 x, floor(l_quantity / 13) * 8 y, l_linestatus text, l_orderkey * 10 + l_linenumber seq, l_partkey part from lineitem)"
+
+
+def quoted(pattern: str) -> str:
+    """A Java pattern of one character class as RE2 in a SQL string."""
+    return pattern.replace("\\s", S).replace("'", "''")
 
 
 def noise(x: str) -> str:
@@ -43,17 +47,40 @@ WORK_SQL = {
 with {CUE_LINES}, l as (select file, seq, case k % 4 when 1 then text when 2 then {stamp('time_ms')} when 3 then {stamp('time_ms')} || '  ' || text else {stamp('time_ms')} || text end line from lines),
 m as (select *, regexp_extract(line, '^\[(\d+):(\d+(?:\.\d+)?)\](.*)$', ['a', 'b', 'c']) x, regexp_matches(line, '^\[(\d+):(\d+(?:\.\d+)?)\](.*)$') timed from l)
 select file, cast(seq as integer) line_no, case when not timed then 'raw' when {strip('x.c')} = '' then 'clear' else 'lyric' end item_type,
-       case when timed then cast(round_even((cast(x.a as bigint) * 60 + cast(x.b as double)) * 1000, 0) as bigint) end time_ms, md5(case when timed then {strip('x.c')} else '-' end) text from m""",
+       case when timed then cast(round_even((try_cast(x.a as bigint) * 60 + try_cast(x.b as double)) * 1000, 0) as bigint) end time_ms, md5(case when timed then {strip('x.c')} else '-' end) text from m""",
     "spoken_text_scan": f"""
 with {SPOKEN}, each as (
   select file || ext file, turn, ext, case when ext = '.lrc' then [{strip(f"{MARK} || one")}] else list_transform(l, lambda x, i: {strip(f"case when i = 1 then {MARK} || x else x end")}) end t from spoken, (values ('.lrc'), ('.srt'), ('.vtt')) e(ext)),
 f as (select file, flatten(list(t order by turn)) t from each group by file),
 c as (select file, t, {count("array_to_string(t, '')", KANA_LETTERS)} kana, {count("array_to_string(t, '')", HAN)} han from f)
 select file, len(t) n, md5(array_to_string(t, '|')) texts, case when len(t) = 0 then 'empty' when (kana > 0 and han > 0 and kana * 1.0::double / han > 0.1) or (kana > 0 and han = 0) then 'japanese' when han > 0 then 'chinese' else 'unknown' end as language from c""",
-    "timeline_files": f"with {CUE_LINES} select file, md5(string_agg({stamp('time_ms')} || upper(text), chr(10) order by seq)) content from lines where seq % 5 <> 4 group by file",
+    "normal_texts": f"""
+with d as (select doc_id, text || chr(10) || 'カタカナ、「かな」ヴヶ！' t from documents)
+select doc_id, md5(translate(regexp_replace(t, '{quoted(ALIGN_SYMBOLS)}', '', 'g'), '{KATAKANA}', '{HIRAGANA}')) normal, cast(length(regexp_replace(t, '{quoted(ECHO_SYMBOLS)}', '', 'g')) as integer) echo,
+       cast(length(regexp_replace(t, '[{S}]', '', 'g')) as integer) compact from d""",
+    "legal_cut_levels": f"""
+with {CUES}, w as (select file, seq, string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' ') w from cues),
+k as (select file, seq, w[k] l, w[k + 1] r, k, k * 300 + k // 7 * 400 - ((k - 1) * 300 + (k - 1) // 7 * 400 + 280) gap from (select *, unnest(range(1, len(w))) k from w)),
+c as (select file, seq, k, case when regexp_matches(l, '[。！？!?、，,…]$') then case when not regexp_matches(r, '^[。！？!?、，,…]') then 'S' end when gap >= 300 then 'P' end as level from k)
+select file, seq, count(*) filter (where level = 'S') stops, count(*) filter (where level = 'P') pauses, cast(sum(k) as bigint) places from c where level is not null group by file, seq""",
+    "pre_clean_merge": f"""
+with d as (select doc_id, {pre_clean("'<!-- page 3 -->' || chr(10) || 'SE: bang' || chr(10) || '12' || chr(10) || '3/4' || repeat(chr(10), 4) || text || chr(10) || 'short' || chr(10) || '■mark' || chr(10) || '12abc（note）'")} t from documents),
+m as (
+  select *, list_reduce(list_transform(string_split(t, chr(10)), lambda x: [{strip('x')}]), lambda acc, x:
+    case when x[1] <> '' and coalesce(acc[-1], '') <> '' and length(x[1]) < 10 and not regexp_matches(x[1], '^[◆■○●]') then list_concat(acc[:-2], [acc[-1] || x[1]]) else list_concat(acc, x) end, []::varchar[]) merged,
+    list_transform(string_split(t, chr(10)), lambda x: case when {strip('x')} = '' or starts_with({strip('x')}, '<!--') or regexp_matches({strip('x')}, '^\\d+$') then x
+      else case when regexp_matches(regexp_replace({strip('x')}, '^\\d{{1,3}}([^\\d{S}])', '\\1'), '^\\d+$') then '' else regexp_replace({strip('x')}, '^\\d{{1,3}}([^\\d{S}])', '\\1') end end) numbers from d)
+select doc_id, cast(length(t) as integer) cleaned, cast(length(array_to_string(list_filter(merged, lambda x: x <> ''), chr(10))) as integer) merged, cast(length(array_to_string(numbers, chr(10))) as integer) numbers,
+       cast(length({strip("regexp_replace(regexp_replace(t, '[（(][^）)]*[）)]', '', 'g'), '[（(].*$', '')")}) as integer) bare from m""",
+    "script_marks": f"""
+with d as (select concat_ws('/', lang, ((doc_id - (doc_id % 9 + 9) % 9) // 9)::varchar) as work, (doc_id % 9 + 9) % 9 + 1 n, text from documents where doc_id is not null),
+s as (select work, n, string_agg(text, chr(10) order by text) text from d group by work, n),
+l as (select work, n, list_filter(list_transform(string_split('トラック' || n || chr(10) || text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '' and not starts_with(x, '※') and not regexp_matches(x, '^[《【].*[》】]$')) l from s)
+select work, 'tr0' || n track, cast(len(l) as integer) n_lines, md5(array_to_string(l, chr(10))) lines from l""",
+    "timeline_files": f"with {CUE_LINES} select file, md5(string_agg({stamp('time_ms')} || replace(text, 'e', 'EE'), chr(10) order by seq)) content from lines where seq % 5 <> 4 group by file",
     "sibling_files": f"""
 with {SPOKEN}, s as (select file, flatten(list(l order by turn)) t from spoken group by file)
-select 'd/c' || file || ext file, cast(i - 1 as integer) slot, md5(upper(t[i])) new_text from (select file, t, unnest(range(1, len(t) + 1)) i from s where cast(file as bigint) % 4 <> 0), (values ('.srt'), ('.vtt')) e(ext)""",
+select 'd/c' || file || ext file, cast(i - 1 as integer) slot, md5(replace(t[i], 'e', 'EE')) new_text from (select file, t, unnest(range(1, len(t) + 1)) i from s where cast(file as bigint) % 4 <> 0), (values ('.srt'), ('.vtt')) e(ext)""",
     "blank_cue_writer": f"""
 with {CUES}, c as (select *, seq % 3 = 1 and cast(file as bigint) % 5 <> 0 gone, (seq + 1) || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) head from cues where cast(file as bigint) % 2 = 0),
 f as (select file, count(*) filter (where gone) n, string_agg(head || case when gone then '' else text || chr(10) end, chr(10) order by seq) backup,
@@ -87,7 +114,7 @@ with {PARTS}, t as (select work, k seq, 'Tr.' || (k % 40) || ' ' || name || k tr
 select p.work, p.k::varchar path, arg_min(t.track, t.seq) track from p join t on t.work = p.work and t.n = p.k % 30 group by p.work, p.k""",
     "free_talk_works": f"with {PARTS} select k as work from p where k % 6 not in (0, 2, 4)",
     "noise_lines": f"with {DOC_LINES}, every as (select lang, text from lines union all select * from (values {NOISE}) t(lang, text)) select lang, count(*) n, count(*) filter (where {noise('text')}) noise from every group by lang",
-    "decoded_scripts": f"select doc_id, md5(case when doc_id % 5 = 0 then 'テストxB 1' when doc_id % 7 = 0 or {strip('text')} = '' then 'none' else text end) text from documents",
+    "decoded_scripts": f"select doc_id, md5(case when doc_id % 5 = 0 then 'テスト。 1' when doc_id % 7 = 0 or {strip('text')} = '' then 'none' else text end) text from documents",
     "raw_script_tracks": f"""
 with d as (select lang as work, row_number() over (partition by lang order by doc_id) track, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') l from documents)
 select work, cast(track as integer) track, len(l) n, md5(array_to_string(l, chr(10))) lines from d where len(l) > 0""",
@@ -217,5 +244,5 @@ with {LOG}, {LATEST} select work, '{{"work":"' || work || '","total":' || count(
 with {CUE_LINES}, n as (select file, count(*) n from lines group by file)
 select (cast(file as bigint) % 10)::varchar dir, file, cast(i as integer) seq, case when cast(file as bigint) % 3 > 0 and i = 1 then 'one ' || file when cast(file as bigint) % 3 > 0 and i = 3 then 'three' else '' end text from (select file, unnest(range(1, n + 1)) i from n)""",
     "retried_chunks": f"with {CUE_LINES} select file, seq, md5('» ' || text) new_text, 'json' how from lines",
-    "indexed_answers": f"with {CUE_LINES} select file, md5(string_agg(case when seq % 3 <> 1 then upper(text) || '\\q' else '' end, '|' order by seq)) texts from lines group by file",
+    "indexed_answers": f"with {CUE_LINES} select file, md5(string_agg(case when seq % 3 <> 1 then replace(text, 'e', 'EE') || '\\q' else '' end, '|' order by seq)) texts from lines group by file",
 }

@@ -15,6 +15,10 @@ WORDS = "array<struct<start:bigint,end:bigint,word:string>>"
 X19 = [(0, 1000, "aaaa。"), (1000, 2000, "bbbb"), (2400, 3000, "cccc")]
 
 
+def as_cue(words):
+    return _Cue([len("".join(w["word"].split())) for w in words], [w["start"] for w in words], [w["end"] for w in words])
+
+
 def cue(spark, words, seq=0):
     return spark.createDataFrame([("f", seq, "".join(w for _, _, w in words), words)], f"file string, seq int, text string, words {WORDS}")
 
@@ -36,7 +40,7 @@ def test_levels_and_plan(spark):  # X19
 
 
 def test_validation(spark):  # X20
-    c = _Cue(as_dicts(X19))
+    c = as_cue(as_dicts(X19))
     assert cut_errors(c, [], {1, 2}, 10) == ["empty"]
     assert cut_errors(c, [3], {1, 2}, 10) == ["out_of_range:3"]
     assert cut_errors(c, [1], {1, 2}, 10) == []
@@ -76,7 +80,7 @@ def test_search_is_optimal(seed):
         n = r.randint(100, 4000)
         words.append({"start": at, "end": at + n, "word": "x" * r.randint(1, 9)})
         at += n + r.randint(0, 900)
-    c = _Cue(words)
+    c = as_cue(words)
     cuts = {k for k in range(1, c.n) if r.random() < 0.7}
     options, got = brute(c, cuts, 15), best_cuts(c, cuts, 8.0, 15)
     assert feasible(c, cuts, 15) == bool(options)

@@ -1,6 +1,7 @@
 import pytest
 from compare import assert_same, connection
 
+from lineweave.queries import QUERIES
 from lineweave.work_queries import WORK_QUERIES
 from lineweave.work_sql import WORK_SQL
 
@@ -14,8 +15,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(WORK_SQL))
 def test_against_sql(spark, con, name):
-    assert_same(WORK_QUERIES[name](spark, SF), con, WORK_SQL[name])
+    assert_same({**QUERIES, **WORK_QUERIES}[name](spark, SF), con, WORK_SQL[name])
 
 
 def test_every_query_has_sql():
-    assert set(WORK_QUERIES) == set(WORK_SQL)
+    assert set(WORK_QUERIES) <= set(WORK_SQL) <= set(WORK_QUERIES) | set(QUERIES)

@@ -54,7 +54,7 @@ def test_works(spark):
     own = spark.createDataFrame([("w", "a", "1")], "work string, src string, tgt string")
     world = spark.createDataFrame([("w", '{"characters": [{"name": "a", "name_cn": "x"}, {"name": "b", "name_cn": "y（note）"}], "special_terms": {"c": "z"}}')], "work string, content string")
     shared = spark.createDataFrame([("c", "global"), ("d", "g")], "src string, tgt string")
-    terms = works.work_terms(own, world, shared)
+    terms = works.work_terms(own, world, shared, shared.selectExpr("'w' work", "src"))
     assert {r.src: r.tgt for r in terms.collect()} == {"a": "1", "b": "y", "c": "z", "d": "g"}
     assert works.with_context(spark.createDataFrame([("w",)], "work string"), terms, 2).first().terms == ["a→1", "b→y"]
     paths = spark.createDataFrame([("w", "x/a free talk"), ("v", "x/main")], "work string, path string")
