@@ -39,7 +39,7 @@ def _phrase(spaced: Column, phrase: str, n_words: Column) -> tuple[Column, Colum
     return F.when(has, F.size(parts) - 1).otherwise(0).cast("long"), F.when(has, words_in(parts[0])), F.when(has, last)
 
 
-def ordered_templates(templates: DataFrame, rows: DataFrame, containment: float) -> DataFrame:
+def ordered_templates(templates: DataFrame, rows: DataFrame, scratch: Scratch, containment: float) -> DataFrame:
     """Templates (label, text) with their distinct words by rising number of places in ``rows`` (words).
 
     Rows (template, label, size, need, span, prefix, tokens): a match holds ``need`` of the ``size`` words,
@@ -47,6 +47,8 @@ def ordered_templates(templates: DataFrame, rows: DataFrame, containment: float)
     """
     sets = templates.select("label", "text", words_of(F.col("text")).alias("all")).filter("size(all) > 0").dropDuplicates(["label", "text"])
     sets = sets.select("label", F.xxhash64("label", "text").alias("template"), F.size("all").alias("span"), F.explode(F.array_distinct("all")).alias("word"))
+    # Written first, so that its size is known: a small one is broadcast by Spark, a large one is not.
+    sets = scratch.save(sets, "template_words")
     counts = rows.select(F.explode("words").alias("word")).join(sets.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("places"))
     sets = sets.join(counts, "word", "left").withColumn("key", F.struct(F.coalesce("places", F.lit(0)).alias("places"), "word"))
     sets = sets.groupBy("template", "label", "span").agg(F.transform(F.sort_array(F.collect_list("key")), lambda k: k["word"]).alias("tokens"))
@@ -106,12 +108,14 @@ def license_scan(docs: DataFrame, scratch: Scratch, templates=TEMPLATES, phrases
         F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c > 0, F.lit(label)) for label, (c, _, _) in found.items()])))).alias("base_labels"),
     )
     rows = scratch.save(rows, "rows")
-    sets = scratch.save(ordered_templates(templates, rows, containment), "templates")
+    sets = scratch.save(ordered_templates(templates, rows, scratch, containment), "templates")
 
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
     asked = candidate_blocks(rows, sets).groupBy("doc_id", "row", "template").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    asked = scratch.save(asked, "asked")
+    texts = rows.select("doc_id", "row", "words").alias("t").join(asked.select("doc_id", "row").alias("a"), same("t", "a"), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "row"])  # repeated rows have one set of matches
     asked = asked.join(sets.select("template", "label", "span", "size", "need", "tokens"), "template")
-    texts = rows.select("doc_id", "row", "words").dropDuplicates(["doc_id", "row"])  # repeated rows have one set of matches
     joined = asked.alias("a").join(texts.alias("t"), same("a", "t")).select("a.*", "t.words")
     shared = lambda b: F.size(F.array_intersect(F.slice("words", b * F.col("span") + 1, 2 * F.col("span")), "tokens"))
     met = F.filter(F.transform("blocks", lambda b: F.struct((b * F.col("span")).alias("word"), shared(b).alias("n"))), lambda x: x["n"] >= F.col("need"))
