@@ -162,3 +162,35 @@ def test_streams(spark, tmp_path):
     assert {(r.status, r.n) for r in spark.table("progress").collect()} == {("failed", 2), ("success", 1), ("failed", 1)}
     assert {(r.file, r.attempts, r.status, r.retry) for r in spark.table("queue").collect()} == {("a", 3, "failed_for_good", False), ("b", 1, "success", False)}
     assert [r.work for r in streams.completed_works(df, spark.createDataFrame([("w", 2)], "work string, n int")).collect()] == ["w"]
+
+
+def test_works_complete_on_a_stream_when_their_last_file_arrives(spark, tmp_path):
+    """Exact: the same file twice is one file, and a work is named once."""
+    from lineweave.streaming import runs as streams
+
+    schema = "ts timestamp, work string, file string, status string"
+    rows = [("2024-01-01 00:00:00", "w", "a", "success"), ("2024-01-01 00:01:00", "w", "a", "failed"), ("2024-01-01 00:02:00", "v", "x", "success")]
+    more = [("2024-01-01 00:03:00", "w", "b", "success"), ("2024-01-01 00:04:00", "v", "x", "success"), ("2024-01-01 00:05:00", "w", "c", "success")]
+    for part in (rows, more):
+        spark.createDataFrame(part, "ts string, work string, file string, status string").selectExpr("cast(ts as timestamp) ts", "work", "file", "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    expected = spark.createDataFrame([("w", 2), ("v", 2)], "work string, n int")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streams.completed_works(stream, expected).writeStream.format("memory").queryName("done_works").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [r.work for r in spark.table("done_works").collect()] == ["w"]
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    assert [r.work for r in streams.completed_works(batch, expected).collect()] == ["w"]
+
+
+def test_retry_table_is_what_the_stream_leaves(spark, tmp_path):
+    from lineweave.streaming import runs as streams
+
+    rows = [(f"2024-01-01 00:{i:02d}:00", "w", "abc"[i % 3], "success" if i == 6 else "failed") for i in range(11)]
+    log = spark.createDataFrame(rows, "ts string, work string, file string, status string").selectExpr("cast(ts as timestamp) ts", "work", "file", "status")
+    log.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    query = streams.retry_queue(stream).writeStream.format("memory").queryName("retries").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = {tuple(r) for r in streams.retry_table(log).collect()}
+    assert want == {("w", "a", 3, "success", False), ("w", "b", 4, "failed_for_good", False), ("w", "c", 3, "failed_for_good", False)}
+    assert want <= {tuple(r) for r in spark.table("retries").collect()}
