@@ -24,7 +24,7 @@ from .urls import filter_urls
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return views.select("conv_id", "speaker", "part", "n_turns", "n_trained", "text", spans.alias("spans"))
+    return views.select("conv_id", "speaker", "part", "slice", "n_turns", "n_trained", "text", spans.alias("spans"))
 
 
 def op2_hnsw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,23 +5,24 @@ from __future__ import annotations
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = """
-with turns as (
+with named as (
   select conv_id, coalesce(turn, -4611686018427387904) t, coalesce(role, '') name, coalesce(text, '') content, role is null unknown,
          coalesce(cast(floor(turn / 64.0) as bigint), -1) part
   from conversations),
+turns as (select *, (row_number() over (partition by conv_id, part order by t, name, content, unknown) - 1) // 64 slice from named),
 speakers as (select distinct conv_id, role speaker from conversations where role is not null and role <> 'system'),
 pieces as (
-  select s.conv_id, s.speaker, m.part, m.t, m.name, m.content, m.unknown, not m.unknown and m.name = s.speaker own,
+  select s.conv_id, s.speaker, m.part, m.slice, m.t, m.name, m.content, m.unknown, not m.unknown and m.name = s.speaker own,
          '<|im_start|>' || case when not m.unknown and m.name = s.speaker then 'assistant' when m.unknown then 'user name=unknown'
               when m.name = 'system' then 'system' else 'user name=' || m.name end || chr(10) head,
          m.content || '<|im_end|>' || chr(10) body
   from turns m join speakers s on m.conv_id is not distinct from s.conv_id),
 placed as (
   select *, sum(length(head) + length(body)) over w - length(body) start_at, row_number() over w n
-  from pieces window w as (partition by conv_id, speaker, part order by t, name, content, unknown rows unbounded preceding))
-select conv_id, speaker, part, count(*) n_turns, count(*) filter (where own) n_trained, string_agg(head || body, '' order by n) as text,
+  from pieces window w as (partition by conv_id, speaker, part, slice order by t, name, content, unknown rows unbounded preceding))
+select conv_id, speaker, part, slice, count(*) n_turns, count(*) filter (where own) n_trained, string_agg(head || body, '' order by n) as text,
        coalesce(string_agg(cast(start_at as bigint) || '-' || cast(start_at + length(body) - 1 as bigint), ',' order by n) filter (where own), '') spans
-from placed group by conv_id, speaker, part
+from placed group by conv_id, speaker, part, slice
 """
 
 
