@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .chat import rotate_perspectives
 from .hnsw import near_vectors
+from .infill import fill_in_middle, restored
 from .licenses import license_scan
 from .minhash import near_duplicate_classes
 from .mixing import fair_queue_mix
@@ -71,8 +72,14 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"), length=200).drop("spans")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats)
+    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats, op11_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_repetition_coverage": sql.op6(),
     "op7_license_join": sql.op7(),
     "op9_tensored_minhash": sql.OP9,
+    "op11_fill_in_middle": sql.OP11,
 }

@@ -180,3 +180,22 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(b.n, 0) as bigint)
        case when coalesce(b.n, 0) > 0 then 1.0::double else coalesce(o.share, 0.0::double) end score
 from docs left join base b using (r) left join own o using (r)
 """
+
+
+OP11 = r"""
+with docs as (
+  select doc_id, coalesce(text, '') body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') units, sha256('1:' || coalesce(cast(doc_id as varchar), '')) s from documents),
+drawn as (
+  select *, len(units) n, cast('0x' || substr(s, 1, 8) as bigint) h1, cast('0x' || substr(s, 9, 8) as bigint) h2,
+         cast('0x' || substr(s, 17, 8) as bigint) h3, cast('0x' || substr(s, 25, 8) as bigint) h4 from docs),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+         case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end form from drawn),
+parts as (
+  select doc_id, body, n, form, array_to_string(units[1:a], '') p, array_to_string(units[a + 1:b], '') m, array_to_string(units[b + 1:], '') s from cut)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+       sha256(case form when 'plain' then body when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+       sha256(body) restored_sha256
+from parts
+"""
