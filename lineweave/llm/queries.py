@@ -15,8 +15,9 @@ from .licenses import license_scan
 from .minhash import near_duplicate_classes
 from .mixing import fair_queue_mix
 from .packing import pack_batches
+from .periods import periodic_runs
 from .quality import repetition_coverage
-from .shared import Scratch, count_words, table
+from .shared import WORD, Scratch, count_words, table
 from .suffixes import remove_repeats
 from .tokens import read_ans, write_ans
 from .urls import filter_urls
@@ -78,8 +79,30 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents of op12: where crc32(doc_id) ends in 0, the words from some place on repeat a phrase."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w")
+    docs = docs.select("doc_id", "text", "g", words).select("*", F.when(F.size("w") > 0, F.col("g") % F.size("w")).alias("a"))
+    docs = docs.withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, int(a + 1), int(p)), int((size(w) - a) div p + 1))), 1, int(size(w) - a))")
+    text = F.array_join(F.concat(F.expr("slice(w, 1, int(a))"), tail), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs(looped(table(spark, sf_dir, "documents")))
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda best, r: F.when(best.isNull() | (r["length"] > best["length"]), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    runs = runs.select("*", best.alias("best"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"))
+    longest = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *longest, exponent, F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats, op11_fill_in_middle)
+    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats, op11_fill_in_middle, op12_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +114,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_join": sql.op7(),
     "op9_tensored_minhash": sql.OP9,
     "op11_fill_in_middle": sql.OP11,
+    "op12_periodic_runs": sql.op12(),
 }

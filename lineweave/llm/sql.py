@@ -199,3 +199,43 @@ select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(
        sha256(body) restored_sha256
 from parts
 """
+
+
+def op12(levels: int = 15) -> str:
+    """Runs from equal windows of 1, 2, 4, ... words, up to periods of 2 ** (levels - 1) words.
+
+    A window of k words, k not under the period, comes next exactly one period later inside a run, so
+    consecutive places with one distance to the next equal window are a run.
+    """
+    named = "".join(
+        f""",
+w{k} as materialized (
+  select a.doc_id, a.i, dense_rank() over (order by a.doc_id, a.r, b.r) r from w{k - 1} a join w{k - 1} b on b.doc_id = a.doc_id and b.i = a.i + {1 << k >> 1})"""
+        for k in range(1, levels)
+    )
+    found = " union all ".join(
+        f"select doc_id, i, {1 << k} k, lead(i) over (partition by doc_id, r order by i) - i q from w{k}" for k in range(levels)
+    )
+    return rf"""
+with digits as (select doc_id, {WORDS.format("text")} w, coalesce(cast(doc_id as varchar), '') s from documents),
+sums as (
+  select doc_id, w, len(w) n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(s, ''), lambda c: [cast(ascii(c) as bigint), 0, 0, 0, 0, 0, 0, 0]))),
+         lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1)))) h from digits),
+cuts as (select *, h // 10 g, case when h % 10 = 0 and n > 0 then (h // 10) % n end a from sums),
+lows as (select *, 1 + (n - a) // (3 + g % 8) p from cuts),
+words as (
+  select doc_id, i, w[1 + case when i >= a then a + (i - a) % p else i end] word from (select *, unnest(range(n)) i from lows)),
+w0 as materialized (select doc_id, i, dense_rank() over (order by doc_id, word) r from words){named},
+next as (select * from ({found}) where q <= k and 2 * q > k),
+islands as (
+  select doc_id, min(i) as start, max(i) - min(i) + q + k as length, q as period from (select *, i - row_number() over (partition by doc_id, k, q order by i) g from next) group by doc_id, k, q, g),
+runs as (select * from islands where length >= greatest(6, 4 * period)),
+kept as (select * from words w where not exists (select 1 from runs r where r.doc_id = w.doc_id and w.i >= r.start + r.period and w.i < r.start + r.length)),
+texts as (select doc_id, sha256(string_agg(word, ' ' order by i)) collapsed_sha256 from kept group by doc_id),
+firsts as (
+  select doc_id, count(*) n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) best,
+         sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)) runs_sha256 from runs group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) n_runs, best.s as start, best.l as length, best.p as period, 1000 * best.l // best.p exponent_milli,
+       coalesce(runs_sha256, sha256('')) runs_sha256, coalesce(collapsed_sha256, sha256('')) collapsed_sha256
+from documents d left join firsts using (doc_id) left join texts using (doc_id)
+"""
