@@ -21,6 +21,7 @@ from .shared import WORD, Scratch, count_words, table
 from .suffixes import remove_repeats
 from .tokens import read_ans, write_ans
 from .urls import filter_urls
+from .warc import read_pages, write_pages
 
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +102,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *longest, exponent, F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'op13').root}/warc"
+    write_pages(table(spark, sf_dir, "pages"), path)
+    return read_pages(spark, path, payload=False).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats, op11_fill_in_middle, op12_periodic_runs)
+    f.__name__: f for f in (op1_chat_perspectives, op2_hnsw_vectors, op3_ans_tokens, op4_length_buckets, op5_fair_queue_mix, op6_repetition_coverage, op7_license_join, op8_url_trees, op9_tensored_minhash, op10_suffix_repeats, op11_fill_in_middle, op12_periodic_runs, op13_warc_zstd)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +122,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_tensored_minhash": sql.OP9,
     "op11_fill_in_middle": sql.OP11,
     "op12_periodic_runs": sql.op12(),
+    "op13_warc_zstd": sql.OP13,
 }

@@ -239,3 +239,12 @@ select d.doc_id, coalesce(n_runs, 0) n_runs, best.s as start, best.l as length,
        coalesce(runs_sha256, sha256('')) runs_sha256, coalesce(collapsed_sha256, sha256('')) collapsed_sha256
 from documents d left join firsts using (doc_id) left join texts using (doc_id)
 """
+
+
+OP13 = """
+with payloads as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, ''))) n from pages),
+lasts as (select *, case when n >= 1000 then max(page_id) over (partition by n >= 1000, h) end last from payloads)
+select page_id, n payload_bytes, sha1(h) payload_digest, case when last <> page_id then 'revisit' else 'response' end record_type,
+       case when last <> page_id then last end refers_to
+from lasts
+"""
