@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, Scratch, components, mix, pieces, powers, row_key, span_hashes, spans_where, text_bytes, window_hashes
+from .shared import SPACE, Scratch, components, mix, pieces, powers, row_key, span_hashes, spans_where, text_bytes, window_hashes, whole_row
 
 ROWS = 4  # minhashes in a half key
 MISS = 1e-4  # chance that a pair at the threshold meets in no table
@@ -230,10 +230,11 @@ def keep_one_of_each(docs: DataFrame, scratch: Scratch, shingle: int = 5, num: i
     """Rows of docs without near copies: the smallest doc_id of each class stays, once.
 
     Of rows that share a doc_id one stays, the first by a digest of all columns.  Rows without a doc_id
-    stay, all of them.
+    stay, all of them.  Other columns pass through, whatever their names and types.
     """
     classes = near_duplicate_classes(docs, scratch, shingle, num, den)
     gone = classes.filter("not kept").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(row_key(docs, "near")))).filter("_n = 1").drop("_n")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = docs.select("doc_id", row_key(docs, "near").alias("key"), whole_row(docs))
+    kept = rows.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
+    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))).filter("nth = 1")
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, count_words, in_ranges, repeated, row_key, running_sum
+from .shared import Scratch, count_words, in_ranges, repeated, row_key, running_sum, whole_row
 
 #: A source's documents are taken this many times at most.
 REPEATS = 3
@@ -85,8 +85,9 @@ def fair_queue_mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights
 def mixed_documents(docs: DataFrame, scratch: Scratch, seed: str = "mix") -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken (see ``fair_queue_mix``).
 
-    Equal rows share a key, by which they meet their copies; rows that differ in any column do not.
+    Equal rows share a key, by which they meet their copies; rows that differ in any column do not.  Other
+    columns pass through, whatever their names and types.
     """
     copies = fair_queue_mix(docs, scratch, seed).groupBy("row_key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    one = docs.select(row_key(docs, seed).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["row_key"])
+    one = docs.select(row_key(docs, seed).alias("row_key"), whole_row(docs)).dropDuplicates(["row_key"])
     return repeated(one.join(copies, "row_key"), F.col("copies"), "copy").select("row.*")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, repeated, row_key, running_sum, shuffle_key
+from .shared import Scratch, quoted, repeated, row_key, running_sum, shuffle_key, whole_row
 
 
 def _best_starts(before: np.ndarray, ends: np.ndarray, cost: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def pack_batches(docs: DataFrame, scratch: Scratch, length: Column, budget: int
     columns = [c for c in docs.columns if c not in places] if carry else ["doc_id"]
     size = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).cast("long")
     key = row_key(docs, seed) if carry else F.concat(shuffle_key(F.col("doc_id"), F.col("text"), seed), F.lpad(size.cast("string"), 20, "0"))
-    rows = docs.select(key.alias("key"), size.alias("length"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    rows = docs.select(key.alias("key"), size.alias("length"), whole_row(docs.select(*map(quoted, columns))))
     rows = scratch.save(rows.groupBy("key", "length").agg(F.first("row").alias("row"), F.count("*").alias("of")), "lengths")
     ends = length_buckets(rows, "length", buckets, "of")
     ends = ends or [1]  # an empty table has no rows to place

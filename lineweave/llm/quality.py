@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import SPACE, mix, pieces, span_hashes, spans_where, text_bytes, window_hashes
+from .shared import SPACE, mix, pieces, span_hashes, spans_where, text_bytes, whole_row, window_hashes
 
 #: Largest share of word characters inside later occurrences of n-grams, by n, and of lines.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -103,7 +103,7 @@ def repetition_coverage(docs: DataFrame, ngram_limits: dict[int, float] | None =
     ``ngram_limits`` allow, or lines equal to earlier ones hold more than ``line_limit``.
 
     Null and empty texts have no words and fail the base rule.  Rows stay as they are: null or repeated
-    doc_ids and repeated rows each give one result row.  Other columns are ignored.  Texts are whole:
+    doc_ids and repeated rows each give one result row.  Other columns are ignored, an empty table gives no rows.  Texts are whole:
     memory is bounded by one slice of a batch, or the longest text if larger.
     """
     limits = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits)
@@ -119,12 +119,15 @@ def repetition_coverage(docs: DataFrame, ngram_limits: dict[int, float] | None =
 
 
 def keep_unrepetitive(docs: DataFrame, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
-    """The rows of docs that ``repetition_coverage`` keeps, with all their columns; one pass, no shuffle."""
-    limits = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits)
+    """The rows of docs that ``repetition_coverage`` keeps, with all their columns; one pass, no shuffle.
+
+    Other columns pass through, whatever their names and types; an empty table gives no rows.
+    """
+    limits, names = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits), docs.columns
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(pa.RecordBatch.from_arrays(batch.column("row").flatten(), names)):
                 yield part.filter(measure(part.column("doc_id"), part.column("text"), limits, line_limit).column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select(whole_row(docs)).mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: One word of the whitespace definition used here: anything but space and \t \n \v \f \r.
@@ -108,11 +109,45 @@ def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs in one, so that no name of theirs meets one of an operator's; ``row.*`` gives them back."""
+    return F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("row")
+
+
+def exact_form(value: Column, kind: T.DataType) -> Column:
+    """Text that differs wherever values of a type do: timestamps to the microsecond, binaries as hex, nested
+    values part by part with their lengths.  Null gives null; maps are read in the order they are stored."""
+
+    def part(x: Column, of: T.DataType) -> Column:
+        text = exact_form(x, of)
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(value, lambda x: part(x, kind.elementType)), "")
+    if isinstance(kind, T.MapType):
+        return F.array_join(F.transform(F.map_entries(value), lambda x: F.concat(part(x["key"], kind.keyType), part(x["value"], kind.valueType))), "")
+    if isinstance(kind, T.StructType):
+        inner = F.concat(F.lit(""), *[part(value.getField(f.name), f.dataType) for f in kind])
+        return F.when(value.isNotNull(), inner)
+    return F.to_json(value) if isinstance(kind, T.VariantType) else value.cast("string")
+
+
 def row_key(docs: DataFrame, seed: str) -> Column:
-    """``shuffle_key`` followed by a digest of all other columns: equal for equal rows only."""
-    rest = [F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
-    others = [F.coalesce(F.md5(F.to_json(F.struct(*rest)).cast("binary")), F.lit(""))] if rest else []
-    return F.concat(shuffle_key(F.col("doc_id"), F.col("text"), seed), F.when(F.col("text").isNull(), "n").otherwise("t"), *others)
+    """``shuffle_key`` followed by 128 bits of the SHA-256 of all columns: equal for equal rows only."""
+    parts = [exact_form(quoted(f.name), f.dataType) for f in docs.schema]
+    whole = [F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("n")) for x in parts]
+    return F.concat(shuffle_key(F.col("doc_id"), F.col("text"), seed), F.left(F.sha2(F.concat(*whole), 256), F.lit(32)))
 
 
 def repeated(df: DataFrame, times: Column, out: str, step: int = 4096) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BASE, BYTE_CODE, SPACE, Scratch, mix, pieces, spans_where, text_bytes
+from .shared import BASE, BYTE_CODE, SPACE, Scratch, mix, pieces, spans_where, text_bytes, whole_row
 
 RUN = 128  # windows in a context, at most
 BUCKET = 6_000  # contexts sorted in one suffix array, about
@@ -111,9 +111,9 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     return row, at - off[row], size, least[at], identity, weight
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, did, th, text): did and th name a document; equal ones are equal rows."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64("text").alias("th"), "text")
+def _with_key(docs: DataFrame, *more: str) -> DataFrame:
+    """Rows (doc_id, did, th, text, *more): did and th name a document; equal ones are equal rows."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64("text").alias("th"), "text", *more)
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
@@ -473,19 +473,19 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataF
     """Rows of docs with the later copies of repeated strings cut out of their text, all columns kept.
 
     The first copy of a string stays (see ``repeated_spans``).  A document of which no word is left
-    goes; one that nothing was cut from stays as it is.
+    goes; one that nothing was cut from stays as it is.  Null and empty texts stay, equal rows stay
+    together, an empty table gives no rows; other columns pass through, whatever their names and types.
     """
     spans = scratch.save(repeated_spans(docs, scratch, length, True), "spans")
     scratch.drop("runs", "found")
-    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
-    spans = spans.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, ["_did", "_th"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    joined = _with_key(docs.select("doc_id", "text", whole_row(docs)), "row").join(spans, ["did", "th"], "left").select("row", "spans")
+    names = docs.columns
 
     def cut(batches):
         for batch in batches:
-            at, names = batch.schema.get_field_index("text"), batch.schema.names
-            texts, kept = [], []
-            for text, spans in zip(batch.column(at), batch.column("_spans").to_pylist(), strict=True):
+            columns, texts, kept = batch.column("row").flatten(), [], []
+            at = names.index("text")
+            for text, spans in zip(columns[at], batch.column("spans").to_pylist(), strict=True):
                 text = text.as_py()
                 if spans:
                     raw, done, parts = text.encode(), 0, []
@@ -495,8 +495,8 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataF
                     text = b"".join([*parts, raw[done:]]).decode("utf-8", "ignore")
                 texts.append(text)
                 kept.append(not spans or any(not SPACE[min(ord(c), 255)] for c in text))
-            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns[:-1], names[:-1]).filter(pa.array(kept))
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(kept))
 
     return joined.mapInArrow(cut, docs.schema)
 
