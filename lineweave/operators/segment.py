@@ -1,17 +1,16 @@
 """Splitting over-long cues at legal places.
 
-cue_tokens(file, seq, text, words array<struct<start,end,word>>[, morphemes, proposed]).  Rules that
-look at neighbours are column expressions; the path search over one cue's cuts is a small pandas UDF.
+cue_tokens(file, seq, text, words array<struct<start,end,word>>[, morphemes, proposed]).  Everything is a
+column expression: a table of a cue's cuts, and folds over it for the path search.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.nested import let, pairs_of, running
 from ..functions.text import compact
 from ..functions.timing import is_too_long
 
@@ -34,23 +33,6 @@ def _cuts(words: Column) -> Column:
     return F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _at(words: Column, k: Column) -> Column:
-    return F.get(words, k)
-
-
-def ends_punctuated(words: Column, k: Column) -> Column:
-    """the word before cut k ends in punctuation."""
-    return F.coalesce(F.rlike(_at(words, k - 1)["word"], F.lit(f"[{PUNCTUATION}]$")), F.lit(False))
-
-
-def starts_punctuated(words: Column, k: Column) -> Column:
-    return F.coalesce(F.rlike(_at(words, k)["word"], F.lit(f"^[{PUNCTUATION}]")), F.lit(False))
-
-
-def gap_at(words: Column, k: Column) -> Column:
-    return _at(words, k)["start"] - _at(words, k - 1)["end"]
-
-
 def boundary_ok(left: Column, right: Column) -> Column:
     """Whether a cut between two morphemes leaves no clinging word at either side."""
     lemma = lambda m: F.element_at(F.split(F.coalesce(m["lemma"], F.lit("")), "-"), 1)
@@ -66,155 +48,212 @@ def ends_clause(left: Column) -> Column:
 
 def with_offsets(words: Column) -> Column:
     """Start of each word in the joined text."""
-    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.aggregate(F.slice(words, F.lit(1), i - 1), F.lit(0), lambda acc, w: acc + F.length(w["word"])))
+    return let(running(words, lambda w: F.length(w["word"])), lambda sums: F.slice(sums, F.lit(1), F.size(words)))
 
 
-def _sides(words: Column, morphemes: Column, k: Column) -> tuple[Column, Column]:
-    offset = F.aggregate(F.slice(words, F.lit(1), k), F.lit(0), lambda acc, w: acc + F.length(w["word"]))
-    left = F.get(F.filter(morphemes, lambda m: m["end"] == offset), F.lit(0))
-    right = F.get(F.filter(morphemes, lambda m: m["start"] == offset), F.lit(0))
-    return left, right
+# --- the cuts of a cue -------------------------------------------------------------------------------
 
 
-def legal_cuts(words: Column, morphemes: Column | None = None) -> Column:
-    """C4: structs (k, level): S after punctuation, P at a pause, C after a clause.
+def _owners(morphemes: Column) -> Column:
+    """Number of the morpheme that each letter of the text belongs to, -1 for none."""
+    ends = lambda i: F.coalesce(F.get(morphemes, i - 1)["end"], F.lit(0))
+    own = lambda m, i: F.concat(F.array_repeat(F.lit(-1), (m["start"] - ends(i)).cast("int")), F.array_repeat(i, (m["end"] - m["start"]).cast("int")))
+    return F.flatten(F.transform(morphemes, own))
+
+
+def cut_table(words: Column, morphemes: Column | None = None) -> Column:
+    """Every place between words, as structs (k, c, rest, e, s, level, weak, long).
 
-    Without morphemes only S and P; with them a cut must fall between two and pass C3.
+    c and rest count the letters before and after it, e and s are the times when the word before ends and
+    the one after starts.  ``level`` is S after punctuation, P at a pause, C after a clause, null if the place
+    is no legal cut; ``weak`` and ``long`` mark W and G.  Offsets are running sums, made once for a cue, and
+    the morphemes at a place are looked up by the letters beside it, so the work grows with the text.
+    Without morphemes only S and P.
     """
+    letters = running(words, lambda w: F.length(compact(w["word"])))
+    offsets = running(words, lambda w: F.length(F.coalesce(w["word"], F.lit(""))))
+    none = F.lit(None)
 
-    def level(k):
-        stop = ends_punctuated(words, k)
-        pause = gap_at(words, k) >= SAFE_GAP
-        plain = F.when(stop, F.when(~starts_punctuated(words, k), "S")).when(pause, "P")
-        if morphemes is None:
-            return plain
-        left, right = _sides(words, morphemes, k)
-        fine = left.isNotNull() & right.isNotNull() & boundary_ok(left, right)
-        full = F.when(right.isNull(), None).when(stop, F.when(~starts_punctuated(words, k), "S")).when(fine & pause, "P").when(fine & ends_clause(left), "C")
-        return F.when(morphemes.isNull(), plain).otherwise(full)
+    def place(k: Column, c: Column, total: Column, left: Column | None, right: Column | None) -> Column:
+        before, after = F.get(words, k - 1), F.get(words, k)
+        stop, opens = F.coalesce(F.rlike(before["word"], F.lit(f"[{PUNCTUATION}]$")), F.lit(False)), F.coalesce(F.rlike(after["word"], F.lit(f"^[{PUNCTUATION}]")), F.lit(False))
+        gap = after["start"] - before["end"]
+        level, weak, long = F.when(stop, F.when(~opens, "S")).when(gap >= SAFE_GAP, "P"), F.lit(False), F.lit(False)
+        if left is not None:
+            fine, clause = left.isNotNull() & right.isNotNull() & boundary_ok(left, right), ends_clause(left)
+            tagged = F.when(right.isNull(), none).when(stop, F.when(~opens, "S")).when(fine & (gap >= SAFE_GAP), "P").when(fine & clause, "C")
+            level = F.when(morphemes.isNull(), level).otherwise(tagged)
+            weak = fine & ~stop & (gap < SAFE_GAP) & ~clause
+            long = fine & (gap >= HARD_GAP) & ~stop & ~opens & (c >= LEAST_GAP_CHARS) & (total - c >= LEAST_GAP_CHARS)
+        return F.struct(
+            k.cast("int").alias("k"), c.alias("c"), (total - c).alias("rest"), before["end"].cast("long").alias("e"), after["start"].cast("long").alias("s"),
+            level.alias("level"), F.coalesce(weak, F.lit(False)).alias("weak"), F.coalesce(long, F.lit(False)).alias("long"),
+        )
 
-    levels = F.transform(_cuts(words), lambda k: F.struct(k.cast("int").alias("k"), level(k).alias("level")))
-    return F.filter(levels, lambda c: c["level"].isNotNull())
+    def plain(sums: Column) -> Column:
+        return F.transform(_cuts(words), lambda k: place(k, F.get(sums, k), F.element_at(sums, -1), None, None))
 
+    def tagged(sums: Column) -> Column:
+        def at(k: Column, offset: Column, own: Column) -> Column:
+            left, right = F.get(morphemes, F.get(own, offset - 1)), F.get(morphemes, F.get(own, offset))
+            sides = F.struct(F.when(left["end"] == offset, left).alias("left"), F.when(right["start"] == offset, right).alias("right"))
+            return let(sides, lambda x: place(k, F.get(sums, k), F.element_at(sums, -1), x["left"], x["right"]))
+
+        known = F.struct(offsets.alias("offsets"), F.coalesce(_owners(morphemes), F.array().cast("array<int>")).alias("own"))
+        return let(known, lambda x: F.transform(_cuts(words), lambda k: at(k, F.get(x["offsets"], k), x["own"])))
+
+    return let(letters, plain if morphemes is None else tagged)
 
-def weak_cuts(words: Column, morphemes: Column) -> Column:
-    """W, grammatical places that are neither punctuation, pause nor clause end."""
 
-    def ok(k):
-        left, right = _sides(words, morphemes, k)
-        return left.isNotNull() & right.isNotNull() & ~ends_punctuated(words, k) & (gap_at(words, k) < SAFE_GAP) & ~ends_clause(left) & boundary_ok(left, right)
+def _named(cuts: Column, keep, level) -> Column:
+    return F.transform(F.filter(cuts, keep), lambda c: F.struct(c["k"].alias("k"), level(c).alias("level")))
 
-    return F.transform(F.filter(_cuts(words), ok), lambda k: F.struct(k.cast("int").alias("k"), F.lit("W").alias("level")))
 
+def legal_of(cuts: Column) -> Column:
+    """C4: structs (k, level) of a cut table: S, P and C."""
+    return _named(cuts, lambda c: c["level"].isNotNull(), lambda c: c["level"])
+
+
+def weak_of(cuts: Column) -> Column:
+    """W, grammatical places that are neither punctuation, pause nor clause end."""
+    return _named(cuts, lambda c: c["weak"], lambda c: F.lit("W"))
 
-def gap_cuts(words: Column, morphemes: Column) -> Column:
+
+def gaps_of(cuts: Column) -> Column:
     """G, long silences between morphemes with three letters on either side."""
-    spoken = lambda part: F.length(compact(F.array_join(F.transform(part, lambda w: w["word"]), "")))
+    return _named(cuts, lambda c: c["long"], lambda c: F.lit("G"))
 
-    def ok(k):
-        left, right = _sides(words, morphemes, k)
-        fine = left.isNotNull() & right.isNotNull() & boundary_ok(left, right) & (gap_at(words, k) >= HARD_GAP)
-        fine = fine & ~ends_punctuated(words, k) & ~starts_punctuated(words, k)
-        return fine & (spoken(F.slice(words, F.lit(1), k)) >= LEAST_GAP_CHARS) & (spoken(F.slice(words, k + 1, F.size(words))) >= LEAST_GAP_CHARS)
 
-    return F.transform(F.filter(_cuts(words), ok), lambda k: F.struct(k.cast("int").alias("k"), F.lit("G").alias("level")))
+def legal_cuts(words: Column, morphemes: Column | None = None) -> Column:
+    """C4 of words with times, without the other columns of ``cut_table``."""
+    return let(cut_table(words, morphemes), legal_of)
 
 
 # --- path search over the cuts of one cue ------------------------------------------------------------
 
 
-class _Cue:
-    """Word lengths and times of a cue, with sizes and durations of any piece."""
-
-    def __init__(self, letters, start, end):
-        self.n, self.start, self.end, self.chars = len(letters), list(start), list(end), [0]
-        for n in letters:
-            self.chars.append(self.chars[-1] + int(n))
-
-    def size(self, a: int, b: int) -> int:
-        return self.chars[b] - self.chars[a]
-
-    def seconds(self, a: int, b: int) -> float:
-        return (self.end[b - 1] - self.start[a]) / 1000.0
-
-
-def feasible(cue: _Cue, cuts, max_chars: int) -> bool:
-    """Some choice of cuts gives pieces of 2 to ``max_chars`` letters."""
-    reached = {0}
-    for b in [*sorted(k for k in set(cuts) if 0 < k < cue.n), cue.n]:
-        if any(LEAST_CHARS <= cue.size(a, b) <= max_chars for a in reached):
-            reached.add(b)
-    return cue.n in reached
-
-
-def best_cuts(cue: _Cue, cuts, max_seconds: float, max_chars: int) -> list[int]:
-    """Cuts of least cost: 1000 a piece and 1000 a second beyond the limit and its tolerance."""
-    if cue.n < 2 or not cuts:
-        return []
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for b in [*sorted(k for k in set(cuts) if 0 < k < cue.n), cue.n]:
-        for a in sorted(best):
-            if LEAST_CHARS <= cue.size(a, b) <= max_chars:
-                price = best[a][0] + OVER_COST * max(0.0, cue.seconds(a, b) - max_seconds - OVER_S) + CUT_COST
-                if b not in best or price < best[b][0]:
-                    best[b] = (price, [*best[a][1], b])
-    return best.get(cue.n, (0.0, []))[1][:-1]
-
-
-def cut_errors(cue: _Cue, proposed, legal, max_chars: int) -> list[str]:
-    """Why proposed cuts cannot be used; empty if they can."""
-    ks = sorted({int(k) for k in proposed})
-    if not ks:
-        return ["empty"]
-    errors = [f"out_of_range:{k}" if not 0 < k < cue.n else f"illegal:{k}" for k in ks if not 0 < k < cue.n or k not in legal]
-    if errors:
-        return errors
-    for a, b in zip([0, *ks], [*ks, cue.n], strict=True):
-        if cue.size(a, b) > max_chars:
-            errors.append(f"too_long:{a}-{b}")
-        if cue.size(a, b) < LEAST_CHARS:
-            errors.append(f"too_short:{a}-{b}")
-    return errors
-
-
-def without_redundant(cue: _Cue, cuts, max_seconds: float, max_chars: int) -> list[int]:
-    """Drop, earliest first and again from the start, cuts that the limits do not need."""
-    ks = sorted({int(k) for k in cuts})
-
-    def within(trial: list[int]) -> bool:
-        return all(cue.seconds(a, b) <= max_seconds + 0.05 and LEAST_CHARS <= cue.size(a, b) <= max_chars for a, b in zip([0, *trial], [*trial, cue.n], strict=True))
-
-    while (k := next((k for k in ks if within([x for x in ks if x != k])), None)) is not None:
-        ks.remove(k)
-    return ks
-
-
-_PLAN = T.StructType([T.StructField("cuts", T.ArrayType(T.IntegerType())), T.StructField("how", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
-
-
-def plan_udf(max_seconds: float, max_chars: int):
-    """C11: proposed cuts if they are valid, else the best path, else none; redundant ones go."""
-
-    @F.pandas_udf(_PLAN)
-    def plan(letters: pd.Series, start: pd.Series, end: pd.Series, legal: pd.Series, weak: pd.Series, gap: pd.Series, proposed: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, a, b, *levels, wish in zip(letters, start, end, legal, weak, gap, proposed, strict=True):
-            cue, allowed = _Cue(n, a, b), set()
-            for more in levels:  # C13: weaker levels only where letters exceed the limit and nothing else fits
-                if more is not None:
-                    allowed |= {int(k) for k in more}
-                if cue.size(0, cue.n) <= max_chars or feasible(cue, allowed, max_chars):
-                    break
-            errors = cut_errors(cue, wish, allowed, max_chars) if wish is not None else ["none_proposed"]
-            if not errors:
-                cuts, how = [int(k) for k in wish], "proposed"
-            else:
-                cuts = best_cuts(cue, allowed, max_seconds, max_chars)
-                how = "searched" if cuts else "rejected" if cue.size(0, cue.n) > max_chars else "kept"
-            out.append((without_redundant(cue, cuts, max_seconds, max_chars) if cuts else [], how, errors))
-        return pd.DataFrame(out, columns=["cuts", "how", "errors"])
-
-    return plan
+def _size_fits(size: Column, max_chars: int) -> Column:
+    return (size >= LEAST_CHARS) & (size <= max_chars)
+
+
+def best_path(places: Column, last: Column, start: Column, max_seconds: float, max_chars: int) -> Column:
+    """The places (k, c, e, s) of the cheapest way through a cue, the last one included; null if there is none.
+
+    A fold over the places.  Its state is the window of places reached so far that pieces of at most
+    ``max_chars`` letters can start from, each with its cost and the way to it: 1000 a piece, and 1000 a
+    second beyond the limit and its tolerance.  Of equal costs the earliest place wins.
+    """
+    way = "array<struct<k:int,c:int,e:bigint,s:bigint>>"
+    state = f"array<struct<cost:double,k:int,c:int,s:bigint,way:{way}>>"
+    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("k"), F.lit(0).alias("c"), start.cast("long").alias("s"), F.array().cast(way).alias("way"))).cast(state)
+
+    def step(reached: Column, b: Column) -> Column:
+        def priced(a: Column) -> Column:
+            over = F.greatest(F.lit(0.0), (b["e"] - a["s"]) / 1000.0 - max_seconds - OVER_S)
+            return F.struct((a["cost"] + over * OVER_COST + CUT_COST).alias("cost"), a["k"].alias("k"), a["way"].alias("way"))
+
+        near = F.filter(reached, lambda a: b["c"] - a["c"] <= max_chars)
+        best = F.array_min(F.transform(F.filter(reached, lambda a: _size_fits(b["c"] - a["c"], max_chars)), priced))
+        made = lambda x: F.struct(x["cost"].alias("cost"), b["k"].alias("k"), b["c"].alias("c"), b["s"].alias("s"), F.array_append(x["way"], b).alias("way"))
+        return let(best, lambda x: F.when(x.isNull(), near).otherwise(F.array_append(near, made(x)))).cast(state)
+
+    ends = F.aggregate(F.array_append(places, last), zero, step)
+    return F.get(F.filter(ends, lambda x: x["k"] == last["k"]), F.lit(0))["way"]
+
+
+def path_errors(places: Column, wish: Column, allowed: Column, first: Column, last: Column, max_chars: int) -> Column:
+    """Why proposed cuts cannot be used; empty if they can.  places: all of the cue's, allowed: numbers of legal ones."""
+    ks = F.array_sort(F.array_distinct(wish))
+    said = lambda what, *of: F.concat(F.lit(what), *[x if isinstance(x, Column) else F.lit(x) for x in of])
+
+    def checked(ks: Column) -> Column:
+        wrong = F.filter(ks, lambda k: ~((k > 0) & (k < last["k"])) | ~F.array_contains(allowed, k))
+        wrong = F.transform(wrong, lambda k: said(F.when((k > 0) & (k < last["k"]), "illegal:").otherwise("out_of_range:"), k.cast("string")))
+        bounds = F.concat(F.array(first), F.filter(places, lambda c: F.array_contains(ks, c["k"])), F.array(last))
+
+        def sized(p: Column) -> Column:
+            size, where = p["b"]["c"] - p["a"]["c"], lambda what: said(F.lit(what), p["a"]["k"].cast("string"), "-", p["b"]["k"].cast("string"))
+            return F.when(size > max_chars, where("too_long:")).when(size < LEAST_CHARS, where("too_short:"))
+
+        sizes = F.filter(F.transform(pairs_of(bounds), sized), lambda x: x.isNotNull())
+        return F.when(F.size(ks) == 0, F.array(F.lit("empty"))).otherwise(let(wrong, lambda w: F.when(F.size(w) > 0, w).otherwise(sizes)))
+
+    return F.when(wish.isNull(), F.array(F.lit("none_proposed"))).otherwise(let(ks, checked))
+
+
+def without_redundant(path: Column, first: Column, last: Column, max_seconds: float, max_chars: int) -> Column:
+    """The places of a path without those that the limits do not need, the earliest dropped first.
+
+    A place can go if all pieces are then within the limits.  Once that holds, dropping a place only makes
+    the pieces beside it longer, so one pass from the start decides the rest; before, only a place between
+    the pieces that break a limit can go.
+    """
+
+    def fits(a: Column, b: Column) -> Column:
+        return ((b["e"] - a["s"]) / 1000.0 <= max_seconds + 0.05) & _size_fits(b["c"] - a["c"], max_chars)
+
+    def lean(path: Column) -> Column:
+        state = "struct<at:struct<k:int,c:int,e:bigint,s:bigint>,kept:array<struct<k:int,c:int,e:bigint,s:bigint>>>"
+        ahead = pairs_of(F.array_append(path, last))
+        kept = lambda t, p: F.when(fits(t["at"], p["b"]), t).otherwise(F.struct(p["a"].alias("at"), F.array_append(t["kept"], p["a"]).alias("kept")).cast(state))
+        return F.aggregate(ahead, F.struct(first.alias("at"), F.array().alias("kept")).cast(state), kept)["kept"]
+
+    def mended(path: Column, bad: Column) -> Column:
+        n = F.aggregate(bad, F.lit(0), lambda total, x: total + x)
+        bounds = F.concat(F.array(first), path, F.array(last))
+        free = lambda i: (n == F.get(bad, i) + F.get(bad, i + 1)) & fits(F.get(bounds, i), F.get(bounds, i + 2))
+        at = F.get(F.filter(F.sequence(F.lit(0), F.size(path) - 1), free), F.lit(0))
+        less = lambda i: F.when(i.isNull(), path).otherwise(lean(F.filter(path, lambda x, j: j != i)))
+        return F.when(n == 0, lean(path)).otherwise(let(at, less))
+
+    bad = F.transform(pairs_of(F.concat(F.array(first), path, F.array(last))), lambda p: F.when(fits(p["a"], p["b"]), 0).otherwise(1))
+    return F.when(F.size(path) == 0, path).otherwise(let(bad, lambda b: mended(path, b)))
+
+
+def plan_of(words: Column, cuts: Column, weaker: bool, proposed: Column | None, max_seconds: float, max_chars: int) -> Column:
+    """Struct (cuts, how, errors): proposed cuts if valid, else the best path, else none; redundant ones go.
+
+    Weaker levels (W, then G) join only where the letters exceed the limit and nothing else fits.
+    """
+    node = lambda k, c, e, s: F.struct(k.cast("int").alias("k"), c.cast("int").alias("c"), e.cast("long").alias("e"), s.cast("long").alias("s"))
+    bare = lambda c: node(c["k"], c["c"], c["e"], c["s"])
+    total = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(compact(w["word"])))
+    start, none = F.get(words, F.lit(0))["start"], F.lit(None).cast("long")
+    ends = F.struct(node(F.lit(0), F.lit(0), none, start).alias("first"), node(F.size(words), total, F.element_at(words, -1)["end"], none).alias("last"))
+
+    def with_ends(first: Column, last: Column) -> Column:
+        def level(keep) -> tuple[Column, Column]:
+            places = F.transform(F.filter(cuts, keep), bare)
+            return F.transform(places, lambda c: c["k"]), best_path(places, last, start, max_seconds, max_chars)
+
+        def ladder(steps: list) -> Column:
+            allowed, path = level(steps[0])
+            here = F.struct(allowed.alias("allowed"), path.alias("path"))
+            if len(steps) == 1:
+                return here
+            return let(here, lambda x: F.when((last["c"] <= max_chars) | x["path"].isNotNull(), x).otherwise(ladder(steps[1:])))
+
+        steps = [lambda c: c["level"].isNotNull()]
+        if weaker:
+            steps += [lambda c: c["level"].isNotNull() | c["weak"], lambda c: c["level"].isNotNull() | c["weak"] | c["long"]]
+
+        def decided(found: Column, errors: Column) -> Column:
+            searched = F.coalesce(F.slice(found["path"], F.lit(1), F.size(found["path"]) - 1), F.array().cast("array<struct<k:int,c:int,e:bigint,s:bigint>>"))
+            path, how = searched, F.when(F.size(searched) > 0, "searched").when(last["c"] > max_chars, "rejected").otherwise("kept")
+            if proposed is not None:
+                path = F.when(F.size(errors) == 0, F.transform(F.filter(cuts, lambda c: F.array_contains(proposed, c["k"])), bare)).otherwise(searched)
+                how = F.when(F.size(errors) == 0, "proposed").otherwise(how)
+            lean = let(path, lambda p: without_redundant(p, first, last, max_seconds, max_chars))
+            return F.struct(F.transform(lean, lambda c: c["k"]).alias("cuts"), how.alias("how"), errors.alias("errors"))
+
+        def judged(found: Column) -> Column:
+            if proposed is None:
+                return decided(found, F.array(F.lit("none_proposed")))
+            return let(path_errors(F.transform(cuts, bare), proposed, found["allowed"], first, last, max_chars), lambda errors: decided(found, errors))
+
+        return let(ladder(steps), judged)
+
+    return let(ends, lambda x: with_ends(x["first"], x["last"]))
 
 
 def plan_cuts(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int = 40) -> DataFrame:
@@ -222,18 +261,11 @@ def plan_cuts(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int =
     spelled = F.array_join(F.transform("words", lambda w: w["word"]), "")
     long = cue_tokens.filter((F.size("words") > 0) & is_too_long(spelled, F.col("words"), max_seconds, max_chars)).filter(compact(spelled) == compact("text"))
     morphemes = F.col("morphemes") if "morphemes" in long.columns else None
-    none = F.lit(None).cast("array<struct<k:int,level:string>>")
-    long = long.withColumns({
-        "legal": legal_cuts(F.col("words"), morphemes), "weak": weak_cuts(F.col("words"), morphemes) if morphemes is not None else none,
-        "gap": gap_cuts(F.col("words"), morphemes) if morphemes is not None else none,
-        "proposed": F.col("proposed") if "proposed" in long.columns else F.lit(None).cast("array<int>"),
-    })
-    # Python sees numbers only; a file's cues are searched by many tasks, however the files are stored.
-    long = long.repartition("file", "seq")
-    numbers = lambda c: F.transform(c, lambda x: x["k"])
-    flat = [F.transform("words", lambda w: F.length(compact(F.coalesce(w["word"], F.lit(""))))), F.transform("words", lambda w: w["start"].cast("long")), F.transform("words", lambda w: w["end"].cast("long"))]
-    plan = plan_udf(max_seconds, max_chars)(*flat, numbers("legal"), numbers("weak"), numbers("gap"), F.col("proposed"))
-    return long.withColumn("plan", plan).select("file", "seq", "words", "legal", "plan")
+    proposed = F.col("proposed") if "proposed" in long.columns else None
+    # A file's cues are searched by many tasks, however the files are stored.
+    long = long.repartition("file", "seq").withColumn("cuts", cut_table(F.col("words"), morphemes))
+    plan = plan_of(F.col("words"), F.col("cuts"), morphemes is not None, proposed, max_seconds, max_chars)
+    return long.select("file", "seq", "words", legal_of(F.col("cuts")).alias("legal"), plan.alias("plan"))
 
 
 def pieces_of(plans: DataFrame) -> DataFrame:
@@ -241,7 +273,9 @@ def pieces_of(plans: DataFrame) -> DataFrame:
     cuts = F.array_sort(F.array_distinct(F.col("plan.cuts")))
     bounds = F.concat(F.array(F.lit(0)), cuts, F.array(F.size("words")))
     ranges = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    each = plans.filter(F.size("plan.cuts") > 0).select("file", "seq", "words", F.posexplode(ranges).alias("piece", "r"))
+    # A filter on the plan, or the one that Spark infers for an inner explode, would work the plan out twice.
+    some = F.when(F.size("plan.cuts") > 0, ranges)
+    each = plans.select("file", "seq", "words", F.posexplode_outer(some).alias("piece", "r")).filter("r is not null")
     part = F.slice("words", F.col("r.a") + 1, F.col("r.b") - F.col("r.a"))
     return each.select("file", "seq", "piece", F.element_at(part, 1)["start"].alias("time_ms"), F.element_at(part, -1)["end"].alias("end_ms"), F.array_join(F.transform(part, lambda w: w["word"]), "").alias("text")).filter("text <> ''")
 

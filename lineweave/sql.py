@@ -33,6 +33,35 @@ USAGE = """usage as (
 TYPE_NAME = "case request_type " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPES.items()) + " else request_type end"
 
 
+#: Long turns and the pieces that the cheapest path cuts them into: one place after another joins the window of
+#: places reached so far, and takes its best predecessor there.
+PIECES = f"""{CUES}, timed as (
+  select file, seq, time_ms, string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' ') w from cues),
+long as (select *, len(w) n, length(array_to_string(w, '')) chars from timed where length(array_to_string(w, '')) > 40 or (length(array_to_string(w, '')) >= 6 and len(w) * 280 / 1000.0::double > 8.5)),
+places as (
+  select file, seq, k, k = n final, length(array_to_string(w[1:k], '')) c, time_ms + (k - 1) * 300 + (k - 1) // 7 * 400 + 280 e, time_ms + k * 300 + k // 7 * 400 s, w[k] l, w[k + 1] r from (select *, unnest(range(1, n + 1)) k from long)),
+legal as (
+  select *, row_number() over (partition by file, seq order by k) t from places
+  where final or case when regexp_matches(l, '[。！？!?、，,…]$') then not regexp_matches(r, '^[。！？!?、，,…]') else s - e >= 300 end),
+reached as (
+  select file, seq, cast(0 as bigint) t, cast(0 as bigint) k, cast(0 as bigint) c, time_ms s, 0.0::double cost, cast([] as struct(k bigint, c bigint, e bigint, s bigint)[]) way, false final from long
+  union all
+  select file, seq, t, k, c, s, cost, way, final from (
+    select r.file, r.seq, i.t, r.k came, f, if(f, i.k, r.k) k, if(f, i.c, r.c) c, if(f, i.s, r.s) s, if(f, r.cost + greatest(0.0::double, (i.e - r.s) / 1000.0::double - 8.0::double - 0.5::double) * 1000 + 1000, r.cost) cost,
+           if(f, list_append(r.way, {{'k': i.k, 'c': i.c, 'e': i.e, 's': i.s}}), r.way) way, f and i.final final
+    from reached r join legal i on i.file = r.file and i.seq = r.seq and i.t = r.t + 1, (values (false), (true)) v(f) where i.c - r.c <= 40 and (not f or i.c - r.c >= 2))
+  qualify not f or row_number() over (partition by file, seq, f order by cost, came) = 1),
+best as (select r.file, r.seq, l.w, l.n, l.time_ms, way, list_prepend({{'k': 0, 'c': 0, 'e': 0, 's': l.time_ms}}, way) ends from reached r join long l using (file, seq) where r.final and len(way) > 1),
+lean as (
+  select *, case when len(list_filter(range(1, len(ends)), lambda i: (ends[i + 1].e - ends[i].s) / 1000.0::double > 8.05)) > 0 then list_transform(way[:-2], lambda x: x.k)
+    else list_transform(list_reduce(list_transform(range(1, len(way)), lambda i: [{{'a': way[i], 'b': way[i + 1]}}]), lambda kept, x:
+      case when (x[1].b.e - kept[-1].a.s) / 1000.0::double <= 8.05 and x[1].b.c - kept[-1].a.c <= 40 then kept else list_concat(kept, x) end, [{{'a': ends[1], 'b': ends[1]}}])[2:], lambda x: x.a.k) end cuts from best),
+bounds as (select *, list_concat([0], cuts, [n]) ks from lean where len(cuts) > 0),
+pieces as (
+  select file, seq, piece, time_ms + a * 300 + a // 7 * 400 time_ms, time_ms + (b - 1) * 300 + (b - 1) // 7 * 400 + 280 end_ms, array_to_string(w[a + 1:b], '') text
+  from (select *, ks[piece + 1] a, ks[piece + 2] b from (select *, unnest(range(len(ks) - 1)) piece from bounds)))"""
+
+
 def page_noise(x: str) -> str:
     s = strip(x)
     runs = "|".join(str(d) * 4 for d in range(10))
@@ -281,6 +310,12 @@ select lang, round(sum({count('s', '[\\x{3040}-\\x{309f}\\x{30a0}-\\x{30fa}\\x{4
 with {CUES}, w as (select file, seq, string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' ') w from cues),
 n as (select file, seq, len(w) * 280 ms, length(array_to_string(w, '')) chars from w)
 select file, seq, cast(ms as bigint) speech_ms, chars > 0 and (chars > 40 or (chars >= 6 and ms / 1000.0 > 8.5)) too_long from n""",
+    "resegment_local": f"with recursive {PIECES} select file, seq, cast(piece as integer) piece, time_ms, end_ms, text from pieces where text <> ''",
+    "split_and_render": f"""
+with recursive {PIECES}, items as (
+  select file, seq, piece, coalesce(p.time_ms, t.time_ms) time_ms, end_ms from timed t left join pieces p using (file, seq)),
+next as (select *, lead(time_ms) over (partition by file order by seq, piece) follow from items)
+select file, count(*) lyrics, count(*) filter (where piece is not null and (follow is null or follow - end_ms >= 800)) clears, true lossless from next group by file""",
     "name_similarity": """
 with p as (select p_partkey, p_name a, lead(p_name) over (partition by p_brand order by p_partkey) b from part)
 select p_partkey, contains(a, b) or contains(b, a) or len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1))) * 1.0::double / least(length(a), length(b)) > 0.5 as similar

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions.nested import running
 from .functions import jsonrepair, names, text, timing
 from .operators import layout, matching, model, scripts, segment, usage, windows
 from .plans import tracks as track_plans
@@ -386,13 +387,14 @@ def morpheme_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = F.filter(F.split("text", " "), lambda w: w != "")
     start = lambda i: (i * 300 + F.floor(i / 5) * 900).cast("long")
     words = F.transform(ws, lambda w, i: F.struct(start(i).alias("start"), (start(i) + F.when(i % 3 == 0, 290).otherwise(0 + 280)).alias("end"), w.alias("word")))
-    before = lambda i: F.length(F.array_join(F.slice(ws, F.lit(1), i), ""))
+    c = c.select("file", "seq", words.alias("words"), running(ws, F.length).alias("before"))
     pos1 = lambda i: pick(i, "名詞", "助詞", "動詞", "助動詞", "形容詞")
     pos2 = lambda i: F.when(i % 10 == 1, "終助詞").when(i % 7 == 3, "助数詞").otherwise("一般")
-    morphemes = F.transform(ws, lambda w, i: F.struct(before(i).alias("start"), (before(i) + F.length(w)).alias("end"), pos1(i).alias("pos1"), pos2(i).alias("pos2"), F.concat(w, F.lit("-x")).alias("lemma"), w.alias("surface")))
-    c = c.select("file", "seq", words.alias("words"), morphemes.alias("morphemes"))
-    w, m = F.col("words"), F.col("morphemes")
-    cuts = c.select("file", "seq", F.explode(F.concat(segment.legal_cuts(w, m), segment.weak_cuts(w, m), segment.gap_cuts(w, m))).alias("c"))
+    at = lambda i: F.get("before", i)
+    morphemes = F.transform("words", lambda w, i: F.struct(at(i).alias("start"), at(i + 1).alias("end"), pos1(i).alias("pos1"), pos2(i).alias("pos2"), F.concat(w["word"], F.lit("-x")).alias("lemma"), w["word"].alias("surface")))
+    c = c.select("file", "seq", "words", morphemes.alias("morphemes")).withColumn("cuts", segment.cut_table(F.col("words"), F.col("morphemes")))
+    every = F.concat(segment.legal_of(F.col("cuts")), segment.weak_of(F.col("cuts")), segment.gaps_of(F.col("cuts")))
+    cuts = c.select("file", "seq", F.explode_outer(every).alias("c")).filter("c is not null")
     return cuts.groupBy("file", "seq", F.col("c.level").alias("level")).agg(F.count("*").alias("n"), F.sum("c.k").alias("places"))
 
 

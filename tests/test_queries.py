@@ -37,3 +37,5 @@ def test_plans(spark):
     assert "EqualTo(event_type,click)" in plan("asof_prev_event")
     for name in ("asof_prev_event", "interval_match", "name_tier_join", "anchor_match", "longest_prefix"):
         assert "NestedLoop" not in plan(name) and "Cartesian" not in plan(name)
+    for name in ("resegment_local", "split_and_render", "legal_cut_levels"):  # folds of columns, no Python worker
+        assert "EvalPython" not in plan(name)

@@ -5,9 +5,10 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from segment_model import Cue as _Cue
+from segment_model import best_cuts, cut_errors, feasible, plan, without_redundant
 
 from lineweave.operators import align, layout, segment
-from lineweave.operators.segment import _Cue, best_cuts, cut_errors, feasible, without_redundant
 from lineweave.plans.tracks import resegment
 from lineweave.sources.subtitles import lrc_items
 
@@ -57,7 +58,78 @@ def test_morphemes(spark):
     assert [(c.k, c.level) for c in df.select(segment.legal_cuts(F.col("words"), F.col("morphemes")).alias("c")).first().c] == [(2, "P")]
     close = [(a, 599 if b == 200 else b, w) for a, b, w in words]
     df = spark.createDataFrame([(close, ms)], f"words {WORDS}, morphemes {morph}")
-    assert [c.k for c in df.select(segment.weak_cuts(F.col("words"), F.col("morphemes")).alias("c")).first().c] == [2]
+    table = segment.cut_table(F.col("words"), F.col("morphemes"))
+    assert [c.k for c in df.select(segment.weak_of(table).alias("c")).first().c] == [2]
+
+
+MORPHEMES = "array<struct<surface:string,start:int,end:int,pos1:string,pos2:string,lemma:string>>"
+
+
+def tagged(r, words):
+    """Morphemes that tile the words' text, at times with a gap or across two words."""
+    text, out, at = "".join(w for _, _, w in words), [], 0
+    while at < len(text):
+        n = r.randint(1, 3)
+        if r.random() < 0.9:
+            out.append((text[at : at + n], at, min(len(text), at + n), r.choice(["名詞", "助詞", "動詞", "助動詞", "接頭辞"]), r.choice(["一般", "終助詞", "助数詞", "数詞"]), r.choice(["x-y", "の", None])))
+        at += n
+    return out
+
+
+def by_hand(words, ms):
+    """Numbers of legal, weak and long-gap cuts, place by place."""
+    legal, weak, gap = [], [], []
+    content = {"名詞", "動詞"}
+    for k in range(1, len(words)):
+        offset = len("".join(w for _, _, w in words[:k]))
+        left, right = next((m for m in ms if m[2] == offset), None), next((m for m in ms if m[1] == offset), None)
+        stop, opens, pause = words[k - 1][2][-1:] in list("。、"), words[k][2][:1] in list("。、"), words[k][0] - words[k - 1][1]
+        lemma = lambda m: (m[5] or "").split("-")[0]
+        fine = bool(left and right) and right[3] in content and left[3] not in ("接頭辞", "助動詞") and left[0] != "の" and lemma(left) != "の"
+        fine = fine and right[0] != "ん" and not (right[0] == left[0] and len(right[0]) >= 2) and not (left[4] in ("数詞", "助数詞") and right[4] == "助数詞")
+        clause = bool(left) and left[3] == "助詞" and left[4] == "終助詞"
+        if right and (not opens if stop else fine and (pause >= 300 or clause)):
+            legal.append(k)
+        if fine and not stop and pause < 300 and not clause:
+            weak.append(k)
+        if fine and pause >= 800 and not stop and not opens and offset >= 3 and len("".join(w for _, _, w in words[k:])) >= 3:
+            gap.append(k)
+    return legal, weak, gap
+
+
+def random_words(r):
+    at, words = r.randint(0, 500), []
+    for _ in range(r.randint(1, 30)):
+        n = r.randint(50, 3000)
+        words.append((at, at + n, r.choice(["あ", "ab", "cde", "f。", "、gh", "のん", "ijklmno", "ab"])))
+        at += n + r.choice([0, 0, 100, 299, 300, 400, 800, 1000])
+    return words
+
+
+def test_plans_against_plain_python(spark):
+    """Cuts by morphemes, the search, its ladder, proposals and what is dropped again, on random cues."""
+    r, rows = random.Random(11), []
+    for i in range(400):
+        words = random_words(r)
+        ks = [r.randint(-1, len(words) + 1) for _ in range(r.randint(0, 4))]
+        legal = [k for k in range(1, len(words)) if words[k - 1][2].endswith("。") or words[k][0] - words[k - 1][1] >= 300]
+        wish = r.choice([None, [], ks, ks, [k for k in legal if r.random() < 0.6]])
+        rows.append((str(i), i, "".join(w for _, _, w in words), words, tagged(r, words) if i % 2 else None, wish))
+    cues = spark.createDataFrame(rows, f"file string, seq int, text string, words {WORDS}, morphemes {MORPHEMES}, proposed array<int>")
+    kinds = set()
+    for seconds, chars in ((8.0, 12), (3.0, 7), (20.0, 25), (8.0, 4)):
+        for tags, wishes in ((True, True), (False, False), (True, False), (False, True)):
+            some = cues.drop(*(["morphemes"] if not tags else []), *(["proposed"] if not wishes else []))
+            got = {x.seq: (list(x.plan.cuts), x.plan.how, list(x.plan.errors)) for x in segment.plan_cuts(some, seconds, chars).collect()}
+            assert len(got) > 100
+            for seq, found in got.items():
+                _, _, _, words, ms, wish = rows[seq]
+                plain = [k for k in range(1, len(words)) if (words[k - 1][2][-1] in "。、" and words[k][2][0] not in "。、") or (words[k - 1][2][-1] not in "。、" and words[k][0] - words[k - 1][1] >= 300)]
+                legal, weak, gap = by_hand(words, ms) if tags and ms is not None else (plain, [], [])
+                want = plan(as_dicts(words), legal, weak, gap, wish if wishes else None, seconds, chars)
+                assert found == (list(want[0]), want[1], list(want[2])), (seq, words, legal, weak, gap, wish)
+                kinds.add(want[1])
+    assert kinds == {"proposed", "searched", "rejected", "kept"}
 
 
 def brute(c, cuts, max_chars):
