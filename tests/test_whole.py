@@ -7,7 +7,10 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from lineweave.functions.text import align_normal
+from lineweave.operators import align
 from lineweave.operators.align import matching_blocks
 from lineweave.queries import QUERIES
 
@@ -45,6 +48,55 @@ def test_alignment_of_whole_turns(spark, turns):
     assert {k: (r.lo, r.hi, r.sb) for k, r in got.items()} == {(str(c), t): (t, t, text) for c, t, _, text in rows}
 
 
+def by_difflib(said, script):
+    """Closed ranges of script lines by difflib's own matcher, walking the marks between lines."""
+    a, s = "␟".join(said), "␟".join(script)
+    blocks = [m for m in difflib.SequenceMatcher(a=a, b=s, autojunk=False).get_matching_blocks() if m.size]
+    owner = [i for i, x in enumerate(script) for _ in (*x, *("-" if i < len(script) - 1 else ""))]
+    marks = [c == "␟" for c in s]
+
+    def line(p, step):
+        before, after = [m for m in blocks if m.a <= p], [m for m in blocks if m.a > p]
+        if before and p < before[-1].a + before[-1].size:
+            x = before[-1].b + p - before[-1].a
+        else:
+            x1, y1 = (after[0].a, after[0].b) if after else (len(a), len(s))
+            if before:
+                x0, y0 = before[-1].a + before[-1].size, before[-1].b + before[-1].size
+                x = y0 + (p - x0) * (y1 - y0) / (x1 - x0)
+            else:
+                x = y1 * (p / x1) if x1 else 0
+        q = max(0, min(len(s) - 1, int(x)))
+        while marks[q] and 0 < q < len(s) - 1:
+            q += step
+        return None if marks[q] else owner[q]
+
+    out, at = {}, 0
+    for i, x in enumerate(said):
+        if x and s:
+            lo, hi = line(at, 1), line(at + len(x) - 1, -1)
+            lo, hi = lo or 0, len(script) - 1 if hi is None else hi
+            if lo <= hi:
+                out[i] = (lo, hi)
+        at += len(x) + 1
+    return out
+
+
+def test_alignment_of_all_conversations(spark):
+    """The query over its whole table against difflib."""
+    rows, norm = {}, {}
+    c = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    changed = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 5 == 2, "xx").otherwise(w)), " ")
+    for r in c.select("conv_id", "turn", "text", align_normal("text").alias("script"), align_normal(changed).alias("said")).orderBy("conv_id", "turn").collect():
+        rows.setdefault(str(r.conv_id), []).append((r.turn, r.text))
+        norm.setdefault(str(r.conv_id), []).append((r.said, r.script))
+    want = {}
+    for track, pairs in norm.items():
+        for i, (lo, hi) in by_difflib([a for a, _ in pairs], [s for _, s in pairs]).items():
+            want[track, rows[track][i][0]] = (lo, hi, "｜".join(t for _, t in rows[track][lo : hi + 1][:6]))
+    assert {(r.track, r.seq): (r.lo, r.hi, r.sb) for r in QUERIES["align_spans"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def test_answers_hold_whole_turns(spark, turns):
     top, rows = turns
     want = {str(c): hashlib.md5("|".join(text.upper() for k, _, _, text in rows if k == c).encode()).hexdigest() for c in range(3)}
@@ -66,6 +118,27 @@ def test_blocks_of_long_texts():
     assert matching_blocks(a, b) == [tuple(m) for m in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_matching_blocks() if m.size]
 
 
+def test_long_tracks_are_split_alike(spark, monkeypatch):
+    """Tracks cut at their seeds into many small parts give the lines that one task gives for each."""
+    monkeypatch.setattr(align, "BLOCK", 64)
+    r, spoken, script = random.Random(8), [], []
+    for track in range(12):
+        lines = [" ".join(r.choice(WORDS[: 10 + 30 * (track % 3)]) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 60))]
+        lines = [x for x in lines for _ in range(r.choice([1, 1, 1, 2 if track % 2 else 1]))]
+        said = [x if r.random() < 0.7 else x.replace("1", "7") if r.random() < 0.7 else "" for x in lines if r.random() < 0.9] + ["", "and this"] * (track % 2)
+        if track == 3:
+            said, lines = ["", *said[::-1]], ["", "", *lines, ""]
+        spoken += [(track, i, x) for i, x in enumerate(said)]
+        script += [(track, i, x) for i, x in enumerate(lines)]
+    spoken += [(20, 0, "only spoken " * 30), (21, 0, "quite different"), (22, 0, "x" * 300)]
+    script += [(21, 0, "ABCDEFGH" * 40), (22, 0, ""), (22, 1, "x" * 300), (22, 2, "")]
+    a, s = spark.createDataFrame(spoken, "track int, seq int, text string"), spark.createDataFrame(script, "track int, line_no int, text string")
+    whole = sorted(map(tuple, align.align_script(a, s).collect()))
+    for limit, seed in ((40, 6), (150, 12), (400, 5)):
+        assert sorted(map(tuple, align.align_script(a, s, limit=limit, seed=seed).collect())) == whole
+    assert len(whole) > 200
+
+
 def test_every_document_stands_in_a_script(spark, tmp_path):
     docs = [(i, f"first of {i}\nsecond of {i}", "de" if i % 3 else "en") for i in range(60)] + [(7, "again\nof seven\nonce more", "de")]
     spark.createDataFrame([*docs, (None, "no id", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
