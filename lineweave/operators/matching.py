@@ -6,79 +6,71 @@ large tables.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.names import name_key
+from ..functions.nested import let, running
 from ..functions.text import bigrams, compact, dice, strip
+from .cut import checkpointed
 
 NEAR_MS, LONGEST_MS = 80, 60_000
 
 
-def _first_unused(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Cues of one file take, in order, their first candidate segment that is still free."""
-    used, out = set(), []
-    for (file, seq), group in pairs.sort_values(["seq", "rank", "seg"]).groupby(["file", "seq"], sort=True):
-        free = next((s for s in group["seg"] if s not in used), None)
-        if free is not None:
-            used.add(free)
-            out.append((file, seq, free))
-    return pd.DataFrame(out, columns=["file", "seq", "seg"])
+def first_free(pairs: DataFrame) -> DataFrame:
+    """Cues of a file take, in order of seq, their first segment (by rank, then seg) that no earlier cue took.
+
+    pairs(file, seq, rank, seg).  Where a cue's first choice has no earlier cue that could take it, the two
+    belong together whatever the others do; all such pairs leave at once, with every other pair of theirs,
+    and the rest goes on.  The first cue left always finds its segment, so this ends; the rounds are as many
+    as cues of one text compete in a row.
+    """
+    out, rest = None, checkpointed(pairs)
+    while True:
+        wish = rest.groupBy("file", "seq").agg(F.min(F.struct("rank", "seg")).alias("m")).select("file", "seq", "m.seg")
+        heir = rest.groupBy("file", "seg").agg(F.min("seq").alias("seq"))
+        taken = checkpointed(wish.join(heir, ["file", "seg", "seq"]).select("file", "seq", "seg"))
+        out = taken if out is None else out.unionByName(taken)
+        rest = checkpointed(rest.join(taken.select("file", "seq"), ["file", "seq"], "left_anti").join(taken.select("file", "seg"), ["file", "seg"], "left_anti"))
+        if rest.isEmpty():
+            return out
 
 
 def match_segments(cues: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows (file, seq, seg): start within 80 ms and equal text without blanks, each segment once.
 
-    Joined on file, text and 80-ms bucket, so only real candidates meet; the greedy choice sees the
-    candidates of one file.
+    Joined on file, text and 80-ms bucket, so only real candidates meet.
     """
     bucket = lambda c: F.floor(c / NEAR_MS)
     c = cues.select("file", "seq", "time_ms", compact("text").alias("key"), F.posexplode(F.array(*[bucket(F.col("time_ms")) + d for d in (-1, 0, 1)])).alias("rank", "bucket"))
     s = segments.filter("start >= 0").select("file", "seg", "start", compact("text").alias("key"), bucket(F.col("start")).alias("bucket"))
     near = c.join(s, ["file", "key", "bucket"]).filter(F.abs(F.col("start") - F.col("time_ms")) <= NEAR_MS)
-    kinds = dict(near.dtypes)
-    return near.select("file", "seq", "rank", "seg").groupBy("file").applyInPandas(_first_unused, f"file {kinds['file']}, seq {kinds['seq']}, seg {kinds['seg']}")
-
-
-def _token_run(words, time_ms: int, text: str):
-    """First run of words that starts near a time and spells a text; (start, end) or None."""
-    for a, first in enumerate(words):
-        if abs(int(first["start"]) - time_ms) <= NEAR_MS:
-            spelled = ""
-            for b in range(a, len(words)):
-                spelled += "".join((words[b]["word"] or "").split())
-                if spelled == text:
-                    return a, b + 1
-                if len(spelled) > len(text) + 2:
-                    break
-    return None
-
-
-_RUN = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
-
-
-@F.pandas_udf(_RUN)
-def token_run_udf(words: pd.Series, time_ms: pd.Series, text: pd.Series) -> pd.DataFrame:
-    found = [_token_run(w, int(t), x) if w is not None and len(w) and x else None for w, t, x in zip(words, time_ms, text, strict=True)]
-    return pd.DataFrame({"a": pd.array([f and f[0] for f in found], "Int32"), "b": pd.array([f and f[1] for f in found], "Int32")})
+    return first_free(near.select("file", "seq", "rank", "seg"))
 
 
 def as_of_segments(cues: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows (file, seq, seg, words) for cues inside a longer segment.
 
     The segment starts at most 60 s before the cue and ends no earlier than 80 ms before it; the latest
-    such segment counts whose words hold the cue's text as a run starting near the cue.
+    such segment counts whose words hold the cue's text as a run starting near the cue.  Where each word
+    starts in a segment's letters is summed once: a run begins at a word whose letters go on with the
+    text, and ends where another word starts.
     """
     bucket = lambda c: F.floor(c / LONGEST_MS)
-    c = cues.select("file", "seq", "time_ms", compact("text").alias("key"), F.explode(F.array(bucket(F.col("time_ms")), bucket(F.col("time_ms")) - 1)).alias("bucket"))
-    s = segments.select("file", "seg", "start", "end", "words", bucket(F.col("start")).alias("bucket"))
+    c = cues.select("file", "seq", "time_ms", compact("text").alias("key"), F.explode(F.array(bucket(F.col("time_ms")), bucket(F.col("time_ms")) - 1)).alias("bucket")).filter("key <> ''")
+    s = segments.select(
+        "file", "seg", "start", "end", "words", bucket(F.col("start")).alias("bucket"), F.transform("words", lambda w: w["start"]).alias("begins"),
+        running(F.col("words"), lambda w: F.length(compact(w["word"]))).alias("sums"), compact(F.array_join(F.transform("words", lambda w: F.coalesce(w["word"], F.lit(""))), "")).alias("letters"),
+    )
     inside = c.join(s, ["file", "bucket"]).filter((F.col("start") <= F.col("time_ms")) & (F.col("start") >= F.col("time_ms") - LONGEST_MS) & (F.col("end") >= F.col("time_ms") - NEAR_MS))
-    runs = inside.withColumn("run", token_run_udf("words", "time_ms", "key")).filter("run.a is not null")
-    part = F.slice("words", F.col("run.a") + 1, F.col("run.b") - F.col("run.a"))
-    return runs.groupBy("file", "seq").agg(F.max_by(F.struct("seg", part.alias("words")), F.struct("start", "seg")).alias("best")).select("file", "seq", "best.*")
+    n = F.length("key")
+    stop = lambda a: F.array_position("sums", F.get("sums", a) + n)
+    starts = lambda a: (F.abs(F.get("begins", a) - F.col("time_ms")) <= NEAR_MS) & (F.substring(F.col("letters"), F.get("sums", a) + 1, n) == F.col("key")) & (stop(a) > 0)
+    places = F.when(F.contains("letters", "key") & (F.size("words") > 0), F.sequence(F.lit(0), F.size("words") - 1))
+    first = let(F.get(F.filter(places, starts), F.lit(0)), lambda a: F.slice("words", a + 1, (stop(a) - 1 - a).cast("int")))
+    runs = inside.select("file", "seq", "seg", "start", first.alias("run"))
+    return runs.groupBy("file", "seq").agg(F.max_by(F.struct("seg", F.col("run").alias("words")), F.when(F.col("run").isNotNull(), F.struct("start", "seg"))).alias("best")).filter("best is not null").select("file", "seq", "best.*")
 
 
 def cue_words(cues: DataFrame, segments: DataFrame) -> DataFrame:
