@@ -5,16 +5,17 @@ boxes(page, cx, cy, w, h, text); glyphs(doc, page, x, y, w, h, text, page_w, pag
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.nested import let
 from ..functions.text import strip
 from .windows import gap_groups
 
 TALL, TALL_SHARE, X_TOLERANCE, Y_TOLERANCE, WIDE_ROWS, MERGE_GAP = 1.2, 0.3, 30, 30, 50, 100
 COLUMN_GAP, ROW_GAP, ORPHANS = 24.0, 8.0, 5
+# Character classes of the quality score.
 QUALITY = r"[぀-ゟ゠-ヺ一-鿿⺀-⻿㈀-㋿㐀-䶿豈-﫿]"
 SYMBOLS = r"[♡♪/＝・…※✧⩌⩊]"
 
@@ -55,24 +56,24 @@ def bucket_orphans(buckets: DataFrame, least: int = ORPHANS) -> DataFrame:
     """buckets(doc, page, bucket, n, seen) to their target bucket, seen being the order of first glyphs.
 
     A bucket of under ``least`` glyphs joins the nearest larger one; of equally near ones that holding
-    more by then, then the lower.  Earlier orphans count, so a page is one group (Q16).
+    more by then, then the lower.  Earlier orphans count (Q16): a fold over a page's orphans, by seen, then
+    bucket, whose state is the larger buckets with their sizes.  A page has as many buckets as columns.
     """
-
-    def assign(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("seen")
-        large = {k: n for k, n in zip(page["bucket"], page["n"], strict=True) if n >= least}
-        target = {}
-        for k, n in zip(page["bucket"], page["n"], strict=True):
-            if n >= least or not large or len(page) == 1:
-                target[k] = k
-            else:
-                best = min(sorted(large), key=lambda b: (abs(k - b), -large[b]))
-                target[k] = best
-                large[best] += n
-        return page.assign(target=[float(target[k]) for k in page["bucket"]])[["doc", "page", "bucket", "target"]]
-
-    kinds = dict(buckets.dtypes)
-    return buckets.groupBy("doc", "page").applyInPandas(assign, f"doc {kinds['doc']}, page {kinds['page']}, bucket double, target double")
+    sized = lambda keep, *order: F.array_sort(F.collect_list(F.when(keep, F.struct(*order))))
+    large, small = F.col("n") >= least, F.col("n") < least
+    pages = buckets.groupBy("doc", "page").agg(sized(large, "bucket", "n").alias("large"), sized(small, "seen", "bucket", "n").alias("small"))
+    state = "struct<large:array<struct<bucket:double,n:bigint>>,out:array<struct<bucket:double,target:double>>>"
+
+    def joined(s: Column, orphan: Column) -> Column:
+        near = F.array_min(F.transform(s["large"], lambda b: F.struct(F.abs(orphan["bucket"] - b["bucket"]).alias("far"), (-b["n"]).alias("less"), b["bucket"].alias("bucket"))))
+        grown = lambda to: F.transform(s["large"], lambda b: F.struct(b["bucket"], F.when(b["bucket"] == to, b["n"] + orphan["n"]).otherwise(b["n"]).alias("n")))
+        return let(near["bucket"], lambda to: F.struct(grown(to).alias("large"), F.array_append(s["out"], F.struct(orphan["bucket"], to.alias("target"))).alias("out")).cast(state))
+
+    own = lambda c: F.transform(c, lambda b: F.struct(b["bucket"].cast("double").alias("bucket"), b["bucket"].cast("double").alias("target")))
+    zero = F.struct(F.transform("large", lambda b: F.struct(b["bucket"].cast("double").alias("bucket"), b["n"].cast("long").alias("n"))).alias("large"), F.array().alias("out")).cast(state)
+    moved = F.aggregate("small", zero, joined)["out"]
+    every = F.concat(own(F.col("large")), F.when((F.size("large") > 0) & (F.size("small") > 0), moved).otherwise(own(F.col("small"))))
+    return pages.select("doc", "page", F.explode_outer(every).alias("b")).select("doc", "page", "b.bucket", "b.target")
 
 
 def glyph_lines(glyphs: DataFrame, vertical: bool = True, gap: float | None = None, drop_digits: bool = False) -> DataFrame:

@@ -316,14 +316,24 @@ def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.horizontal_order(page_boxes(spark, sf_dir)).select("page", "text", "nth")
 
 
-def layout_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as glyphs, x from the quantity and y from the price."""
-    li = read(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 50).cast("string").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_quantity") * 5).alias("x"), F.col("l_extendedprice").alias("y"),
-        F.col("l_returnflag").alias("text"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+def page_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as glyphs: some 32 orders are a document, their line numbers its pages; x from the quantity, y from the price."""
+    letter = F.element_at(F.array(*[F.lit(c) for c in ("あ", "7", "漢", "1", "♪", " ", "字", "22")]), (F.col("l_partkey") % 8 + 1).cast("int"))
+    return read(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey div 128").cast("string").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_quantity") * 5).alias("x"), (F.col("l_extendedprice") % 90).alias("y"),
+        F.col("l_returnflag").alias("flag"), letter.alias("letter"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
     )
-    lines = layout.glyph_lines(li, True)
-    return lines.groupBy("doc", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("glyphs"))
+
+
+def layout_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs to columns, those of few glyphs joined to their nearest."""
+    lines = layout.glyph_lines(page_glyphs(spark, sf_dir).withColumn("text", F.col("flag")), True)
+    return lines.select("doc", "page", "line", F.length("text").alias("glyphs"), F.md5("text").alias("text"))
+
+
+def page_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first pages of a document read better across than down."""
+    return layout.is_horizontal(page_glyphs(spark, sf_dir).withColumn("text", F.col("letter")), 3, 20)
 
 
 def glyph_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,7 +522,7 @@ def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             line_explode_stats, word_frequency_topk, lang_detect, page_noise_filter, repetition_filter, dropped_lines, usage_cost_by_work, usage_by_type, usage_totals, usage_reconcile,
             status_manifest, peak_cost_split, gap_sessions, asof_prev_event, interval_match, turn_context, chunk_fixed, chunk_budget, budget_cut, stride_sample, first_n_dedupe,
             numbered_lines, blank_tails, anti_semi_labels, dice_pairs, anchor_match, longest_prefix, name_tier_join, term_merge, natural_sort, usage_window_cum, lrc_roundtrip,
-            lrc_structure, srt_clean, resegment_local, legal_cut_levels, align_spans, layout_order, layout_glyphs, glyph_histogram, json_ladder, translate_stub, script_marks,
+            lrc_structure, srt_clean, resegment_local, legal_cut_levels, align_spans, layout_order, layout_glyphs, page_votes, glyph_histogram, json_ladder, translate_stub, script_marks,
             pre_clean_merge, label_excel, time_stamps, work_roots, txt_over_pdf, script_names, variant_inherit, coverage_fill, error_kinds, usage_normal, chunk_tokens, box_columns,
             box_reading_order, line_quality, speech_time, split_and_render, name_similarity, normal_texts, archived_originals,
         )

@@ -62,6 +62,32 @@ pieces as (
   from (select *, ks[piece + 1] a, ks[piece + 2] b from (select *, unnest(range(len(ks) - 1)) piece from bounds)))"""
 
 
+PAGE_GLYPHS = """glyphs as (
+  select cast(l_orderkey // 128 as varchar) doc, l_linenumber page, cast(l_quantity * 5 as double) x, cast(l_extendedprice % 90 as double) y, l_returnflag flag,
+         ['あ', '7', '漢', '1', '♪', ' ', '字', '22'][l_partkey % 8 + 1] letter, {'a': l_orderkey, 'b': l_partkey, 'c': l_suppkey, 'd': l_extendedprice} seq from lineitem)"""
+
+
+def glyph_lines(out: str, source: str, down: bool, text: str) -> str:
+    """Columns (or rows) of glyphs as CTEs: small ones join their nearest in a fold over the page's orphans."""
+    across, along, gap = ("x", "y", 24) if down else ("y", "x", 8)
+    near = "list_sort(list_transform(s.large, lambda l: {'d': abs(o.large[1].b - l.b), 'm': -l.n, 'b': l.b}))[1].b"
+    return f"""{out}_g as (select *, {text} t, round_even({across} / {gap}, 0) * {gap} bucket from {source}),
+{out}_b as (select doc, page, bucket, count(*) n, min(seq) seen from {out}_g group by doc, page, bucket),
+{out}_p as (
+  select doc, page, list({{'b': bucket, 'n': n}} order by bucket) filter (n >= 5) large, list({{'large': [{{'b': bucket, 'n': n}}], 'moved': [{{'b': bucket, 't': bucket}}]}} order by seen, bucket) filter (n < 5) small from {out}_b group by doc, page),
+{out}_f as (
+  select doc, page, unnest(list_reduce(small, lambda s, o: {{'large': list_transform(s.large, lambda l: {{'b': l.b, 'n': l.n + if(l.b = {near}, o.large[1].n, 0)}}), 'moved': list_append(s.moved, {{'b': o.large[1].b, 't': {near}}})}},
+    {{'large': large, 'moved': [{{'b': -1.0::double, 't': -1.0::double}}]}}).moved) m from {out}_p where large is not null and small is not null),
+{out}_j as (
+  select g.*, coalesce(f.m.t, bucket) target from {out}_g g left join {out}_f f on f.doc = g.doc and f.page = g.page and f.m.b = g.bucket),
+{out}_l as (select doc, page, target, {strip(f"string_agg(t, '' order by {along}, seq)")} as text from {out}_j group by doc, page, target),
+{out} as (select doc, page, row_number() over (partition by doc, page order by target {'desc' if down else 'asc'}) line, text from {out}_l where text <> '' and not regexp_matches(text, '^\\d+$'))"""
+
+
+def quality(lines: str) -> str:
+    return f"""select doc, page, sum(len(regexp_extract_all(text, '[ぁ-ん一-鿿]')) - 2.0::double * len(regexp_extract_all(text, '[♪]'))) / greatest(sum(length(text)), 1) q from {lines} group by doc, page"""
+
+
 def page_noise(x: str) -> str:
     s = strip(x)
     runs = "|".join(str(d) * 4 for d in range(10))
@@ -316,6 +342,14 @@ with recursive {PIECES}, items as (
   select file, seq, piece, coalesce(p.time_ms, t.time_ms) time_ms, end_ms from timed t left join pieces p using (file, seq)),
 next as (select *, lead(time_ms) over (partition by file order by seq, piece) follow from items)
 select file, count(*) lyrics, count(*) filter (where piece is not null and (follow is null or follow - end_ms >= 800)) clears, true lossless from next group by file""",
+    "layout_glyphs": f"with {PAGE_GLYPHS}, {glyph_lines('lines', 'glyphs', True, 'flag')} select doc, page, cast(line as integer) line, cast(length(text) as integer) glyphs, md5(text) as text from lines",
+    "page_votes": f"""
+with {PAGE_GLYPHS}, ranks as (select *, dense_rank() over (partition by doc order by page) r, count(*) over (partition by doc, page) n from glyphs),
+first as (select * from ranks where r <= 3 and n >= 20), shown as (select * from first where {strip('letter')} <> ''),
+{glyph_lines('down', 'shown', True, 'letter')}, {glyph_lines('across', 'first', False, "case when letter in ('7', '1', '22') then '' else letter end")},
+v as ({quality('down')}), h as ({quality('across')}),
+votes as (select doc, sum(sign(coalesce(h.q, 0) - coalesce(v.q, 0))) votes from v full join h using (doc, page) group by doc)
+select doc, coalesce(votes, 0) > 0 horizontal from (select distinct doc from glyphs) left join votes using (doc)""",
     "name_similarity": """
 with p as (select p_partkey, p_name a, lead(p_name) over (partition by p_brand order by p_partkey) b from part)
 select p_partkey, contains(a, b) or contains(b, a) or len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1))) * 1.0::double / least(length(a), length(b)) > 0.5 as similar
