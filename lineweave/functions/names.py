@@ -64,11 +64,15 @@ def short_id(path: Column) -> Column:
 
 
 def sheet_label(i: Column) -> Column:
-    """0 is A, 25 Z, 26 AA, 702 AAA."""
-    letter = lambda n: F.char((F.lit(65) + n).cast("long"))
-    one, two = letter(i % 26), F.floor(i / 26) - 1
-    three = F.floor(two / 26) - 1
-    return F.concat(F.when(three >= 0, letter(three % 26)).otherwise(""), F.when(two >= 0, letter(two % 26)).otherwise(""), one)
+    """0 is A, 25 Z, 26 AA, 702 AAA, and so on for any number."""
+    state = "struct<n:bigint,label:string>"
+
+    def letter(s: Column, _: Column) -> Column:
+        longer = F.concat(F.char(F.lit(65) + F.pmod(s["n"], F.lit(26))), s["label"])
+        return F.when(s["n"] < 0, s).otherwise(F.struct((F.floor(s["n"] / 26) - 1).alias("n"), longer.alias("label")).cast(state))
+
+    # 14 letters hold every long below 2 ** 53, where division is exact.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(i.cast("long").alias("n"), F.lit("").alias("label")).cast(state), letter)["label"]
 
 
 def is_blank(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nested import let
+
 # Character classes that decide languages and scripts.
 KANA = r"[぀-ゟ゠-ヿㇰ-ㇿｦ-ﾟ]"
 KANA_LETTERS = r"[぀-ゟ゠-ヺヽ-ヿ]"
@@ -252,9 +254,9 @@ def without_brackets(x: Column | str) -> Column:
 
 
 def bigrams(x: Column | str) -> Column:
-    x = _c(x)
-    at = F.when(F.length(x) > 1, F.sequence(F.lit(1), F.length(x) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(x, i, F.lit(2))))
+    """Distinct pairs of neighbouring letters; the text is taken apart once, not searched for every place."""
+    pairs = lambda c, n: F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b))
+    return let(F.split(_c(x), ""), lambda c: F.array_distinct(pairs(c, F.greatest(F.size(c) - 1, F.lit(0)))))
 
 
 def dice(a: Column | str, b: Column | str) -> Column:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back from there.
 
-    The folder is the session's ``spark.checkpoint.dir``, which all machines of a cluster share; without one
-    this fails, as a folder of one machine would be lost with it.
+    The folder is the session's ``spark.checkpoint.dir``, which all machines of a cluster share.  A local
+    session without the setting gets a folder of its own; on a cluster a missing setting is an error, as a
+    folder of one machine would be lost with it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()

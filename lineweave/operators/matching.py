@@ -6,8 +6,11 @@ large tables.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.names import name_key
@@ -93,39 +96,73 @@ def segments_fit(cues: DataFrame, segments: DataFrame) -> DataFrame:
 # --- fuzzy and tiered names ------------------------------------------------------------------------------
 
 
-def _ranked_grams(df: DataFrame, key: list[str], text: str, counts: DataFrame) -> DataFrame:
-    """``df`` with ``grams``, the distinct bigrams of a text, rarest first by counts(gram, places)."""
-    each = df.select(*key, F.explode(bigrams(text)).alias("gram")).join(counts, "gram")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("places", "gram"))), lambda g: g["gram"])
-    return df.join(each.groupBy(*key).agg(ordered.alias("grams")), key)
+class _Samples:
+    """Sample lines of a group as the columns of a table: which of their bigrams, by code, each one holds."""
 
+    def __init__(self, rows):
+        self.size = np.array([len(r.grams) for r in rows])
+        codes = [_pair_codes(g) for r in rows for g in r.grams]
+        self.codes, at = np.unique(np.array(codes, np.int64), return_inverse=True)
+        self.holds = np.zeros((len(self.codes), len(rows)), np.uint8)
+        self.holds[at, np.repeat(np.arange(len(rows)), self.size)] = 1
 
-def anchors(samples: DataFrame, script: DataFrame, first: int = 5, longer_than: int = 8, least: float = 0.5) -> DataFrame:
-    """Rows (track, anchor): where a track's first lines stand in the script.
+    def scores(self, text: str) -> np.ndarray:
+        """Dice of a line with every sample."""
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.unique(letters[:-1] << 21 | letters[1:])
+        at = np.searchsorted(self.codes, codes)
+        at = at[self.codes[np.minimum(at, len(self.codes) - 1)] == codes]
+        return 2.0 * self.holds[at].sum(0, dtype=np.uint32) / (self.size + len(codes))
 
-    samples(track, seq, text), script(line_no, text).  Each of the first lines takes the script line of
-    the best Dice score (the earliest of equals) if it reaches ``least``; the anchor is the median of their
-    numbers, cut to an integer.  The join is exact: lines of x and y bigrams that reach the score t share
-    t / 2 * (x + y) of them, at least t / (2 - t) of either, so they share one of the rarest x - need + 1.
+
+def _pair_codes(gram: str) -> int:
+    return ord(gram[0]) << 21 | ord(gram[1])
+
+
+def anchors(samples: DataFrame, script: DataFrame, first: int = 5, longer_than: int = 8, least: float = 0.5, by: tuple[str, ...] = (), group: int = 2048) -> DataFrame:
+    """Rows (track, *by, anchor): where a track's first lines stand in a script.
+
+    samples(track, seq, text), script(*by, line_no, text), ``by`` telling scripts apart.  Each of the first
+    lines takes the line of a script with the best Dice score (the earliest of equals) if it reaches
+    ``least``; the anchor is the median of their numbers, cut to an integer.
+
+    Only the samples are indexed, by bigram, in groups of ``group`` lines, each small enough to go to all
+    tasks; lines of the script are read once for a group, taken apart once and scored with the whole group
+    at a time.  Only those that reach ``least`` are shuffled.  (At a score of one half a prefix filter would
+    let two thirds of a line's bigrams through, so nearly every pair would meet.)
     """
     lines = samples.withColumn("text", strip("text")).filter(F.length("text") > longer_than)
-    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("seq"))).filter(F.col("n") <= first).select("track", "n", "text")
-    other = script.select("line_no", strip("text").alias("text")).filter(F.length("text") > 1)
-    counts = other.select(F.explode(bigrams("text")).alias("gram")).groupBy("gram").agg(F.count("*").alias("places"))
-    wanted = lines.select(F.explode(bigrams("text")).alias("gram")).distinct()
-    counts = wanted.join(counts, "gram", "left").select("gram", F.coalesce("places", F.lit(0)).alias("places")).unionByName(counts.join(wanted, "gram", "left_anti"))
-    share = least / (2 - least)
-    prefix = lambda: F.posexplode(F.slice("grams", F.lit(1), F.size("grams") - F.ceil(F.size("grams") * share - 1e-9).cast("int") + 1)).alias("at", "gram")
-    a = _ranked_grams(lines, ["track", "n"], "text", counts).withColumn("size", F.size("grams"))
-    b = _ranked_grams(other, ["line_no"], "text", counts).withColumn("size", F.size("grams"))
-    left = a.select("track", "n", "size", prefix())
-    right = b.select("line_no", F.col("size").alias("other"), prefix())
-    near = (F.col("size") >= F.col("other") * share - 1e-9) & (F.col("other") >= F.col("size") * share - 1e-9)  # length filter
-    met = left.join(right, "gram").filter(near).select("track", "n", "line_no").distinct()
-    scored = met.join(a.select("track", "n", "grams"), ["track", "n"]).join(b.select("line_no", F.col("grams").alias("theirs")), "line_no")
-    score = 2.0 * F.size(F.array_intersect("grams", "theirs")) / (F.size("grams") + F.size("theirs"))
-    best = scored.select("track", "n", "line_no", score.alias("score")).filter(F.col("score") >= least).groupBy("track", "n").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"))
-    return best.groupBy("track").agg(F.median("line_no").cast("long").alias("anchor"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("track").orderBy("seq"))).filter(F.col("n") <= first)
+    lines = lines.select("track", "n", bigrams("text").alias("grams"))
+    numbered = checkpointed(lines.withColumn("part", F.pmod(F.xxhash64("track", "n"), F.lit(max(1, -(-lines.count() // group))))))
+    other = script.select(*by, "line_no", strip("text").alias("text")).filter(F.length("text") > 1)
+    kinds = dict(numbered.dtypes) | dict(other.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("track", "n", *by, "line_no")) + ", score double"
+    tracks = {f.name: f.dataType for f in numbered.schema}["track"]
+
+    def scored(rows) -> DataFrame:
+        """Rows of the script that reach the score with a sample of a group (at most ``group`` lines or so)."""
+        index, names, places = _Samples(rows), [r.track for r in rows], [r.n for r in rows]
+        track_type = to_arrow_type(tracks)
+
+        def run(batches):
+            for batch in batches:
+                found = [(i, k, float(s[k])) for i, text in enumerate(batch.column("text").to_pylist()) for s in [index.scores(text)] for k in np.flatnonzero(s >= least)]
+                at = pa.array([i for i, _, _ in found], pa.int64())
+                columns = [pa.array([names[k] for _, k, _ in found], track_type), pa.array([places[k] for _, k, _ in found], pa.int32())]
+                columns += [batch.column(c).take(at) for c in (*by, "line_no")] + [pa.array([s for _, _, s in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["track", "n", *by, "line_no", "score"])
+
+        return other.mapInArrow(run, schema)
+
+    met = None
+    for part in [r.part for r in numbered.select("part").distinct().orderBy("part").collect()]:
+        some = scored(numbered.filter(F.col("part") == part).collect())
+        met = some if met is None else met.unionByName(some)
+    if met is None:
+        met = other.select(F.lit(None).cast(kinds["track"]).alias("track"), F.lit(0).alias("n"), *by, "line_no", F.lit(0.0).alias("score")).limit(0)
+    best = met.groupBy("track", "n", *by).agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"))
+    return best.groupBy("track", *by).agg(F.median("line_no").cast("long").alias("anchor"))
 
 
 def tiered_names(wanted: DataFrame, have: DataFrame, compose: bool = False) -> DataFrame:

@@ -193,10 +193,10 @@ def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J7, A12 with Dice: where benchmark passages stand among the lines of all documents."""
+    """J7, A12 with Dice: where benchmark passages stand among the lines of each document."""
     tracks = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("track"), F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
-    script = doc_lines(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("seq")).alias("line_no"), "text")
-    return matching.anchors(tracks, script)
+    script = doc_lines(spark, sf_dir).select("doc_id", F.col("seq").alias("line_no"), "text")
+    return matching.anchors(tracks, script.repartition("doc_id", "line_no"), by=("doc_id",))  # the table may be one row group
 
 
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,8 +378,7 @@ def pre_clean_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = read(spark, sf_dir, "part").select((F.col("p_partkey") % 2000).alias("i"))
-    return ids.distinct().select("i", names.sheet_label(F.col("i")).alias("label"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), names.sheet_label(F.col("p_partkey")).alias("label"))
 
 
 def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,10 +237,10 @@ select p_partkey, round({dice('a', 'b')}, 9) dice from p where b is not null""",
 with {DOC_LINES}, t as (select track, text, row_number() over (partition by track order by seq) n from (
   select item_id track, generate_subscripts(string_split(text, chr(10)), 1) seq, {strip("unnest(string_split(text, chr(10)))")} text from benchmark) where length(text) > 8),
 g as (select track, n, list_distinct(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) a from t where n <= 5),
-s as (select doc_id * 100000 + seq line_no, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) b from (select doc_id, seq, {strip('text')} t from lines) where length(t) > 1),
-x as (select track, n, line_no, 2.0::double * len(list_intersect(a, b)) / (len(a) + len(b)) score from g, s),
-best as (select *, row_number() over (partition by track, n order by score desc, line_no) r from x)
-select track, cast(trunc(median(line_no)) as bigint) anchor from best where r = 1 and score >= 0.5 group by track""",
+s as (select doc_id, seq line_no, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) b from (select doc_id, seq, {strip('text')} t from lines) where length(t) > 1),
+x as (select track, n, doc_id, line_no, 2.0::double * len(list_intersect(a, b)) / (len(a) + len(b)) score from g, s),
+best as (select *, row_number() over (partition by track, n, doc_id order by score desc, line_no) r from x where score >= 0.5)
+select track, doc_id, cast(trunc(median(line_no)) as bigint) anchor from best where r = 1 group by track, doc_id""",
     "longest_prefix": """
 with e as (select * from (values ('http', 'any'), ('https://blog', 'blog'), ('HTTPS://', 'secure'), ('http://www.', 'www'), ('https://blog.th', 'th')) t(key, entry))
 select page_id, (select entry from e where starts_with(lower(url), lower(key)) order by length(key) desc limit 1) entry from pages""",
@@ -285,8 +285,9 @@ with g as (select l_returnflag doc, l_quantity x, floor(l_extendedprice / 100) y
 select doc, 'x' axis, cast(floor(x / 20) * 20 as bigint) bin, count(*) n from g group by 1, 3 union all select doc, 'y', cast(floor(y / 30) * 30 as bigint), count(*) from g group by 1, 3""",
     "translate_stub": f"with {CUES} select file, seq, md5('» ' || text) new_text, 'json' how from cues",
     "label_excel": """
-with i as (select distinct p_partkey % 2000 i from part)
-select i, case when (i // 26 - 1) // 26 >= 1 then chr(cast(65 + ((i // 26 - 1) // 26 - 1) % 26 as integer)) else '' end || case when i >= 26 then chr(cast(65 + (i // 26 - 1) % 26 as integer)) else '' end || chr(cast(65 + i % 26 as integer)) as label from i""",
+with ks as (select k, cast((26.0::double ** k - 26) / 25 as bigint) below, cast((26.0::double ** (k + 1) - 26) / 25 as bigint) above from range(1, 9) r(k))
+select p_partkey i, array_to_string(list_transform(range(k), lambda j: chr(cast(65 + (p_partkey - below) // cast(26.0::double ** (k - 1 - j) as bigint) % 26 as integer))), '') as label
+from part join ks on p_partkey >= below and p_partkey < above""",
     "time_stamps": f"""
 with {USAGE}
 select seq, {stamp('hit * 977')} stamp, {hms('(miss * 13)')} shown, round(case when hit + miss > 0 then hit::double / (hit + miss)::double * 100.0::double else 0.0::double end, 6) rate,

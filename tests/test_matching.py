@@ -79,3 +79,29 @@ def test_no_python_in_plans(spark):
     segs = spark.createDataFrame([("f", 0, 0, 9, [(0, 9, "a")])], f"file string, seg int, start bigint, end bigint, words {WORDS}")
     for df in (matching.as_of_segments(cues, segs), matching.match_segments(cues, segs.withColumn("text", F.lit("a")))):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Pandas" not in df._jdf.queryExecution().toString()
+
+
+def test_anchors(spark):
+    """Dice of every pair, sample groups of any size, numbers of lines inside each script."""
+    r = random.Random(1)
+    line = lambda n: "".join(r.choice("abcdefé😀 ") for _ in range(n))
+    texts = [line(r.randint(0, 40)) for _ in range(60)]
+    samples = [(t, i, r.choice(texts) if r.random() < 0.7 else line(20)) for t in range(9) for i in range(7)]
+    script = [(d, i, x if r.random() < 0.5 else x[: len(x) // 2] + line(6)) for d in range(3) for i, x in enumerate(r.sample(texts, 40))]
+    grams = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    want = {}
+    for t in range(9):
+        mine = [x.strip() for k, _, x in samples if k == t and len(x.strip()) > 8][:5]
+        for d in range(3):
+            places = []
+            for a in map(grams, mine):
+                scores = [(2.0 * len(a & grams(x.strip())) / (len(a) + len(grams(x.strip()))), -i) for k, i, x in script if k == d and len(x.strip()) > 1]
+                if max(scores)[0] >= 0.5:
+                    places.append(-max(scores)[1])
+            if places:
+                places.sort()
+                want[t, d] = int((places[(len(places) - 1) // 2] + places[len(places) // 2]) / 2)
+    a, s = spark.createDataFrame(samples, "track int, seq int, text string"), spark.createDataFrame(script, "script int, line_no int, text string")
+    for group in (2048, 4):
+        assert {(x.track, x.script): x.anchor for x in matching.anchors(a, s, by=("script",), group=group).collect()} == want
+    assert matching.anchors(a.limit(0), s, by=("script",)).count() == 0 and len(want) > 20
