@@ -5,9 +5,12 @@ runs(ts timestamp, work, file, status) arrives in any order; state is bounded by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MOST_ATTEMPTS = 3
 KEEP_MS = 24 * 3600 * 1000  # state of a file is kept so long after its last run
@@ -55,25 +58,60 @@ def retry_table(runs: DataFrame) -> DataFrame:
     return seen.select("work", "file", "attempts", F.when(final, "failed_for_good").otherwise(F.col("last")).alias("status"), ((F.col("last") != "success") & ~final).alias("retry"))
 
 
-def _count_files(key, batches, state):
-    seen = set(state.get[0]) if state.exists else set()
-    rows = pd.concat(list(batches))
-    due = (state.get[1] if state.exists else False) or False
-    seen |= set(rows["file"])
-    complete = len(seen) >= int(rows["n"].iloc[0])
-    state.update((sorted(seen), complete))
-    if complete and not due:
-        yield pd.DataFrame({"work": [key[0]]})
-
-
-def completed_works(runs: DataFrame, expected: DataFrame) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Completion(StatefulProcessor):
+    """Files seen of a work until it is complete, then a mark that it has been named; a timer ends both."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getMapState("files", "file string", "seen boolean")
+        self.count = handle.getValueState("count", "n long")
+        self.named = handle.getValueState("named", "named boolean")
+        self.ends = handle.getValueState("ends", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.count.get()[0] if self.count.exists() else 0
+        seen, needed, last = before, 0, timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            needed, last = int(batch["n"].iloc[0]), max(last, int(batch["ts"].max().timestamp() * 1000))
+            for file in [] if self.named.exists() else batch["file"].unique():
+                if not self.files.containsKey((file,)):
+                    self.files.updateValue((file,), (True,))
+                    seen += 1
+        if self.ends.exists():
+            self.handle.deleteTimer(self.ends.get()[0])
+        self.ends.update((last + KEEP_MS,))
+        self.handle.registerTimer(last + KEEP_MS)
+        if not self.named.exists() and seen >= needed:
+            self.named.update((True,))
+            self.files.clear()
+            self.count.clear()
+            yield pd.DataFrame({"work": [key[0]]})
+        elif seen > before:
+            self.count.update((seen,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.files, self.count, self.named, self.ends):
+            state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def completed_works(runs: DataFrame, expected: DataFrame, late: str = "10 minutes") -> DataFrame:
     """T4: works whose number of distinct files reached expected(work, n), exactly.
 
-    On a stream a work is named once, when its last file arrives; state is the set of a work's files,
-    whose number is bounded by what is expected of it.
+    On a stream a work is named once, when its last file arrives.  Its files leave the state then; the mark
+    that it was named, or what is known of a work that never ends, goes a day after its last run, by event
+    time.  A run of a work that comes after that starts the work anew.  Needs the RocksDB state store, which
+    is set for the session.
     """
     if not runs.isStreaming:
         return runs.groupBy("work").agg(F.count_distinct("file").alias("seen")).join(expected, "work").filter("seen >= n").select("work")
+    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = dict(runs.dtypes)["work"]
-    rows = runs.select("work", "file").join(expected, "work")
-    return rows.groupBy("work").applyInPandasWithState(_count_files, f"work {kind}", "files array<string>, complete boolean", "append", "NoTimeout")
+    rows = runs.withWatermark("ts", late).select("work", "file", "ts").join(expected, "work")
+    return rows.groupBy("work").transformWithStateInPandas(_Completion(), f"work {kind}", "Append", "EventTime")

@@ -175,11 +175,20 @@ def test_works_complete_on_a_stream_when_their_last_file_arrives(spark, tmp_path
         spark.createDataFrame(part, "ts string, work string, file string, status string").selectExpr("cast(ts as timestamp) ts", "work", "file", "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     expected = spark.createDataFrame([("w", 2), ("v", 2)], "work string, n int")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = streams.completed_works(stream, expected).writeStream.format("memory").queryName("done_works").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = streams.completed_works(stream, expected).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination(120)
-    assert [r.work for r in spark.table("done_works").collect()] == ["w"]
+    assert [r.work for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["w"]
     batch = spark.read.parquet(str(tmp_path / "in"))
     assert [r.work for r in streams.completed_works(batch, expected).collect()] == ["w"]
+    rows_held = lambda q: [x for p in q.recentProgress for o in p["stateOperators"] for x in [o["numRowsTotal"]]]
+    assert rows_held(query)[-1] > 0
+    # Days later only runs of other works arrive: the marks and the work that never ended leave the state.
+    for day in (4, 5):
+        row = [(f"2024-01-0{day} 00:00:00", "other", "x", "success")]
+        spark.createDataFrame(row, "ts string, work string, file string, status string").selectExpr("cast(ts as timestamp) ts", "work", "file", "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = streams.completed_works(stream, expected).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(120)
+    assert rows_held(query)[-1] == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
 def test_retry_table_is_what_the_stream_leaves(spark, tmp_path):
