@@ -1,23 +1,29 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, and the folder that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all machines of a cluster share.
 
-    The folder is the session's ``spark.checkpoint.dir``, which all machines of a cluster share.  A local
-    session without the setting gets a folder of its own; on a cluster a missing setting is an error, as a
-    folder of one machine would be lost with it.
+    A local session without the setting gets a folder of its own; on a cluster a missing setting is an error,
+    as a folder of one machine would be lost with it.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

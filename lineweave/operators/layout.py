@@ -5,7 +5,7 @@ boxes(page, cx, cy, w, h, text); glyphs(doc, page, x, y, w, h, text, page_w, pag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,25 @@ QUALITY = r"[぀-ゟ゠-ヺ一-鿿⺀-⻿㈀-㋿㐀-䶿豈-﫿]"
 SYMBOLS = r"[♡♪/＝・…※✧⩌⩊]"
 
 
+PAGE = "page int, width double, height double, blocks array<struct<lines:array<struct<spans:array<struct<chars:array<struct<c:string,bbox:array<double>>>>>>>>>"
+
+
+def read_glyphs(spark: SparkSession, path: str) -> DataFrame:
+    """Glyphs of page files: rows (doc, page, seq, text, x, y, w, h, page_w, page_h), doc being the file.
+
+    A line of a file is a page as JSON: page, width, height, and blocks of lines of spans of chars (c, bbox), as
+    PDF libraries give them; each file is read by tasks of its own, and columns that are not asked for are not
+    parsed.  Blanks and control characters go, a missing box is all zeros, numbers keep one decimal; seq is the
+    order on the page.
+    """
+    inner = lambda outer, name: F.flatten(F.transform(outer, lambda x: F.coalesce(x[name], F.array())))
+    pages = spark.read.schema(PAGE).json(path).select(F.input_file_name().alias("doc"), "page", "width", "height", inner(inner(inner(F.col("blocks"), "lines"), "spans"), "chars").alias("chars"))
+    chars = pages.select("doc", "page", "width", "height", F.posexplode_outer("chars").alias("seq", "g")).filter(strip("g.c") != "")
+    at = lambda i: F.coalesce(F.get("g.bbox", F.lit(i)), F.lit(0.0))
+    one = lambda x: F.bround(x, 1)
+    return chars.select("doc", "page", "seq", F.col("g.c").alias("text"), one(at(0)).alias("x"), one(at(1)).alias("y"), one(at(2) - at(0)).alias("w"), one(at(3) - at(1)).alias("h"), one(F.col("width")).alias("page_w"), one(F.col("height")).alias("page_h"))
+
+
 def vertical_pages(boxes: DataFrame, by: str = "page") -> DataFrame:
     """Per page, whether boxes stand in columns."""
     n = boxes.groupBy(by).agg(F.count("*").alias("n"), F.avg((F.col("h") > F.col("w") * TALL).cast("double")).alias("tall"))

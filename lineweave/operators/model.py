@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.jsonrepair import answer_texts
 from ..functions.names import is_blank
+from .cut import checkpointed
 from .matching import merge_terms
 
 CONFIDENCE = 0.3  # script hints above it are shown
@@ -57,16 +58,23 @@ def call(requests: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFr
 def translate(rows: DataFrame, chunk: list[str], model: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Rows (*chunk, seq, new_text, how) aligned with the input rows."""
     answers = call(prompt(rows, chunk), model).withColumn("got", answer_texts(F.col("originals"), F.col("raw")))
-    each = answers.select(*chunk, "seqs", "got", F.posexplode("got.texts").alias("at", "new_text"))
+    # Outer, as the filter that Spark infers for an inner one would read every answer twice.
+    each = answers.select(*chunk, "seqs", "got", F.posexplode_outer("got.texts").alias("at", "new_text")).filter("at is not null")
     return each.select(*chunk, F.get("seqs", F.col("at")).alias("seq"), "new_text", F.col("got.how").alias("how"))
 
 
 def translate_with_retries(rows: DataFrame, chunk: list[str], models: list[Callable[[pd.Series], pd.Series]]) -> DataFrame:
-    """Chunks that give no texts go to the next model; what is left stays blank."""
+    """Chunks that give no texts go to the next model; what is left stays blank.
+
+    Answers that are followed by another round are written before they are read twice, so a model is asked
+    once for a chunk, and both readers see the same answer.
+    """
     out = None
     for i, model in enumerate(models):
         got = translate(rows, chunk, model)
-        good = got if i == len(models) - 1 else got.filter("how <> 'none'")
+        if i == len(models) - 1:
+            return got if out is None else out.unionByName(got)
+        good = checkpointed(got).filter("how <> 'none'")
         out = good if out is None else out.unionByName(good)
         rows = rows.join(good.select(*chunk).distinct(), chunk, "left_anti")
     return out

@@ -191,7 +191,17 @@ def is_free_talk(path: Column, words: tuple[str, ...] = ("フリートーク", "
     return F.exists(parts, lambda p: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.substring(p, F.lit(3), F.length(p)), w)))
 
 
+WORD_LINE = "start bigint, end bigint, text string, words array<struct<start:bigint,end:bigint,word:string>>"
+
+
 def read_words(spark, path: str) -> DataFrame:
-    """Word segments of JSON lines; a malformed line raises."""
-    schema = "start bigint, end bigint, text string, words array<struct<start:bigint,end:bigint,word:string>>"
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name())
+    """Word segments of JSON-lines files: rows (file, start, end, text, words, corrupt, replaced).
+
+    Blank lines go.  A line that is no such object gives a row with nothing but ``corrupt``, the line itself.
+    Bytes that are no UTF-8 become U+FFFD, and ``replaced`` says so.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
+    lines = lines.select("file", F.make_valid_utf8("raw").alias("line"), (~F.is_valid_utf8("raw")).alias("replaced")).filter(strip("line") != "")
+    read = lines.withColumn("r", F.from_json("line", WORD_LINE + ", corrupt string", {"columnNameOfCorruptRecord": "corrupt", "mode": "PERMISSIVE"}))
+    whole = F.col("r.corrupt").isNull() & F.rlike(strip("line"), F.lit(r"^\{"))
+    return read.select("file", *[F.when(whole, F.col(f"r.{c}")).alias(c) for c in ("start", "end", "text", "words")], F.when(~whole, F.col("line")).alias("corrupt"), "replaced")

@@ -7,6 +7,7 @@ the same queries in DuckDB's SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions.nested import running
 from .functions import jsonrepair, names, text, timing
+from .functions.nested import running
 from .operators import layout, matching, model, scripts, segment, usage, windows
+from .operators.cut import shared_folder
 from .plans import tracks as track_plans
 from .plans import works
 from .queries import cue_lines, cue_rows, doc_lines, read, timed_words, whole_files
@@ -428,6 +430,35 @@ def glyph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", "page", "line", F.length("text").alias("n"), F.length(F.replace("text", F.lit("O"), F.lit(""))).alias("other"))
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def glyph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages of glyph files, one letter of the name after another, written and read back."""
+    p = read(spark, sf_dir, "part")
+    box = lambda i: F.array(*[(i * 10 + F.col("p_size") + d).cast("double") for d in (0, 0.25, 8, 12.5)])
+    chars = F.transform(F.split("p_name", ""), lambda c, i: F.struct(c.alias("c"), F.when(i % 7 != 3, box(i)).alias("bbox")))
+    spans = lambda some: F.array(F.struct(F.array(F.struct(some.alias("chars"))).alias("spans")))
+    blocks = F.array(F.struct(spans(F.slice(chars, 1, 4)).alias("lines")), F.struct(F.lit(None).cast("array<struct<spans:array<struct<chars:array<struct<c:string,bbox:array<double>>>>>>>").alias("lines")), F.struct(spans(F.slice(chars, 5, 1000)).alias("lines")))
+    path = fresh_folder(spark, "glyphs")
+    p.select(F.col("p_partkey").cast("int").alias("page"), F.lit(595.28).alias("width"), F.lit(841.89).alias("height"), blocks.alias("blocks")).write.json(path)
+    return layout.read_glyphs(spark, path).drop("doc")
+
+
+def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed turns as lines of JSON, some blank, some broken, some with bytes that are no UTF-8, written and read back."""
+    t = timed_words(spark, sf_dir).withColumn("n", (F.col("file").cast("long") + F.col("seq")) % 6)
+    line = F.to_json(F.struct(F.get("words", F.lit(0))["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"), F.concat_ws(" ", "file", "seq").alias("text"), "words"))
+    bad = F.concat(F.lit('{"start": 5, "text": "').cast("binary"), F.unhex(F.lit("FF")), F.concat_ws(" ", "file", "seq").cast("binary"), F.lit('"}').cast("binary")).cast("string")
+    key = F.concat_ws(" ", "file", "seq")
+    value = F.when(F.col("n") == 1, F.concat(F.lit('{"text": "'), key)).when(F.col("n") == 2, F.concat(F.lit(" "), line, F.lit("\n \t\n"))).when(F.col("n") == 3, bad).when(F.col("n") == 4, F.concat(F.lit('["'), key, F.lit('"]'))).otherwise(line)
+    path = fresh_folder(spark, "words")
+    t.select(value.alias("value")).write.text(path)
+    got = scripts.read_words(spark, path)
+    return got.select("start", "end", "text", F.size("words").alias("n"), F.element_at("words", -1)["word"].alias("last"), "corrupt", "replaced")
+
+
 def dense_page_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document the three fullest pages, thinned out to 150 glyphs or a little more."""
     g = glyphs(spark, sf_dir)
@@ -556,7 +587,7 @@ WORK_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lrc_item_scan, spoken_text_scan, timeline_files, sibling_files, blank_cue_writer, translated_files, untranscribed_audio, track_stem_scan, live_by_time, script_discovery, word_sidecars,
         presplit_names, files_of_tracks, free_talk_works, noise_lines, decoded_scripts, raw_script_tracks, bar_tables, accepted_texts, ranged_scripts, resolved_scripts, cached_script_reuse,
         asr_first_lines, exported_scripts, json_files, term_files, alias_lists, world_files, world_people, work_context, same_reading_terms, blank_values, matched_segments, as_of_turns, segment_fit,
-        word_offsets, morpheme_cuts, cjk_gaps, float_stamps, glyph_rows, dense_page_glyphs, representative_files, body_blocks, run_log_files, retry_states, progress_counts, batch_manifest,
+        word_offsets, morpheme_cuts, cjk_gaps, float_stamps, glyph_rows, glyph_files, word_files, dense_page_glyphs, representative_files, body_blocks, run_log_files, retry_states, progress_counts, batch_manifest,
         manifest_lines, directory_deltas, polished_texts, title_answers, cut_label_answers, directory_texts, retried_chunks, indexed_answers,
     )
 }

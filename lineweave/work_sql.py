@@ -209,6 +209,15 @@ select event_id, printf('[%02d:%05.2f]', cast(floor(ms / 1000.0::double / 60) as
     "glyph_rows": f"""
 with {GLYPHS}, b as (select doc, page, y, count(*) n, count(*) filter (where text <> 'O') other from g where y <> 16 group by doc, page, y)
 select doc, page, cast(row_number() over (partition by doc, page order by y) as integer) line, cast(n as integer) n, cast(other as integer) other from b""",
+    "glyph_files": """
+with c as (select p_partkey, p_size, p_name[i + 1] c, i from (select *, unnest(range(length(p_name))) i from part))
+select cast(p_partkey as integer) page, cast(i as integer) seq, c as text, case when i % 7 <> 3 then i * 10 + p_size::double else 0 end x, case when i % 7 <> 3 then round_even(i * 10 + p_size + 0.25::double, 1) else 0 end y,
+       case when i % 7 <> 3 then 8.0::double else 0 end w, case when i % 7 <> 3 then round_even(12.25::double, 1) else 0 end h, 595.3::double page_w, 841.9::double page_h from c where c <> ' '""",
+    "word_files": f"""
+with {CUES}, t as (
+  select file, seq, file || ' ' || seq key, time_ms, string_split({strip("regexp_replace(text, '\\s+', ' ', 'g')")}, ' ') w, (cast(file as bigint) + seq) % 6 r from cues)
+select case when r in (0, 2, 5) then time_ms when r = 3 then 5 end as start, case when r in (0, 2, 5) then time_ms + (len(w) - 1) * 300 + (len(w) - 1) // 7 * 400 + 280 end as end, case when r in (0, 2, 5) then key when r = 3 then chr(65533) || key end as text,
+       cast(case when r in (0, 2, 5) then len(w) end as integer) n, case when r in (0, 2, 5) then w[-1] end as last, case r when 1 then '{{"text": "' || key when 4 then '["' || key || '"]' end corrupt, r = 3 replaced from t""",
     "dense_page_glyphs": f"""
 with {GLYPHS}, pages_ as (select doc, page, count(*) n, row_number() over (partition by doc order by count(*) desc, page) r from g group by doc, page having count(*) > 50),
 k as (select doc, page, part, row_number() over (partition by doc, page order by g.seq, part, x) - 1 at_, n from g join pages_ using (doc, page) where r <= 3)
