@@ -6,6 +6,8 @@ column expression: a table of a cue's cuts, and folds over it for the path searc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.nested import let, pairs_of, running
 from ..functions.text import compact
 from ..functions.timing import is_too_long
+from .cut import checkpointed
 
 # Limits of the segmenter.
 SAFE_GAP, HARD_GAP, CLEAR_GAP = 300, 800, 800
@@ -256,10 +259,44 @@ def plan_of(words: Column, cuts: Column, weaker: bool, proposed: Column | None,
     return let(ends, lambda x: with_ends(x["first"], x["last"]))
 
 
+def over_long(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int = 40) -> DataFrame:
+    """The cues that are to be cut, if their words spell their text."""
+    spelled = F.array_join(F.transform("words", lambda w: w["word"]), "")
+    return cue_tokens.filter((F.size("words") > 0) & is_too_long(spelled, F.col("words"), max_seconds, max_chars)).filter(compact(spelled) == compact("text"))
+
+
+def plan_in_rounds(cue_tokens: DataFrame, askers: list[Callable[[DataFrame], DataFrame]], max_seconds: float = 8.0, max_chars: int = 40) -> tuple[DataFrame, DataFrame]:
+    """C14: plans as of ``plan_cuts``, and per file what became of its cues, after rounds of proposals.
+
+    An asker takes cue tokens and returns rows (file, seq, proposed) for those it has an answer to; the others
+    are asked for again in the next round, until none is left or no asker.  An answer that cannot be used is
+    no reason to ask again: such cues, and those without an answer, are searched.  Answers are written before
+    they are read again, so nothing is asked twice.  Figures: (file, long, asked, unanswered, proposed,
+    searched, rejected, kept), asked being the requests of all rounds.
+    """
+    long = checkpointed(over_long(cue_tokens, max_seconds, max_chars))
+    rest, answers, asked = long, None, None
+    for ask in askers:
+        requests = rest.groupBy("file").agg(F.count("*").alias("asked"))
+        asked = requests if asked is None else asked.unionByName(requests)
+        got = checkpointed(ask(rest).select("file", "seq", "proposed"))
+        answers = got if answers is None else answers.unionByName(got)
+        rest = checkpointed(rest.join(got.select("file", "seq"), ["file", "seq"], "left_anti"))
+        if rest.isEmpty():
+            break
+    tokens = long if answers is None else long.drop("proposed").join(answers, ["file", "seq"], "left")
+    plans = checkpointed(plan_cuts(tokens, max_seconds, max_chars))
+    counts = [F.count_if(F.col("plan.how") == how).alias(how) for how in ("proposed", "searched", "rejected", "kept")]
+    figures = plans.groupBy("file").agg(F.count("*").alias("long"), *counts)
+    left = rest.groupBy("file").agg(F.count("*").alias("unanswered"))
+    total = plans.select("file").limit(0).withColumn("asked", F.lit(0).cast("long")) if asked is None else asked.groupBy("file").agg(F.sum("asked").alias("asked"))
+    figures = figures.join(total, "file", "left").join(left, "file", "left").na.fill(0, ["asked", "unanswered"])
+    return plans, figures.select("file", "long", "asked", "unanswered", "proposed", "searched", "rejected", "kept")
+
+
 def plan_cuts(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int = 40) -> DataFrame:
     """C13 + C11: plans for the over-long cues: rows (file, seq, words, legal, plan)."""
-    spelled = F.array_join(F.transform("words", lambda w: w["word"]), "")
-    long = cue_tokens.filter((F.size("words") > 0) & is_too_long(spelled, F.col("words"), max_seconds, max_chars)).filter(compact(spelled) == compact("text"))
+    long = over_long(cue_tokens, max_seconds, max_chars)
     morphemes = F.col("morphemes") if "morphemes" in long.columns else None
     proposed = F.col("proposed") if "proposed" in long.columns else None
     # A file's cues are searched by many tasks, however the files are stored.

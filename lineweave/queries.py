@@ -287,6 +287,19 @@ def resegment_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("file", "seq", "piece", "time_ms", "end_ms", "text")
 
 
+def resegment_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of long turns when one asker answers for most of them and another for some of the rest."""
+
+    def every_seventh(cues: DataFrame) -> DataFrame:
+        n = F.size("words")
+        return cues.filter("seq % 3 <> 1").withColumn("proposed", F.when(n > 7, F.sequence(F.lit(7), n - 1, F.lit(7))).otherwise(F.array().cast("array<int>")))
+
+    def third(cues: DataFrame) -> DataFrame:
+        return cues.filter("seq % 2 = 0").withColumn("proposed", F.array(F.lit(3)))
+
+    return segment.plan_in_rounds(timed_words(spark, sf_dir), [every_seventh, third])[1]
+
+
 def legal_cut_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = timed_words(spark, sf_dir).select("file", "seq", F.explode(segment.legal_cuts(F.col("words"))).alias("c"))
     return cuts.groupBy("file", "seq").agg(F.count_if(F.col("c.level") == "S").alias("stops"), F.count_if(F.col("c.level") == "P").alias("pauses"), F.sum("c.k").alias("places"))
@@ -521,7 +534,7 @@ def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             line_explode_stats, word_frequency_topk, lang_detect, page_noise_filter, repetition_filter, dropped_lines, usage_cost_by_work, usage_by_type, usage_totals, usage_reconcile,
             status_manifest, peak_cost_split, gap_sessions, asof_prev_event, interval_match, turn_context, chunk_fixed, chunk_budget, budget_cut, stride_sample, first_n_dedupe,
             numbered_lines, blank_tails, anti_semi_labels, dice_pairs, anchor_match, longest_prefix, name_tier_join, term_merge, natural_sort, usage_window_cum, lrc_roundtrip,
-            lrc_structure, srt_clean, resegment_local, legal_cut_levels, align_spans, layout_order, layout_glyphs, page_votes, glyph_histogram, json_ladder, translate_stub, script_marks,
+            lrc_structure, srt_clean, resegment_local, resegment_rounds, legal_cut_levels, align_spans, layout_order, layout_glyphs, page_votes, glyph_histogram, json_ladder, translate_stub, script_marks,
             pre_clean_merge, label_excel, time_stamps, work_roots, txt_over_pdf, script_names, variant_inherit, coverage_fill, error_kinds, usage_normal, chunk_tokens, box_columns,
             box_reading_order, line_quality, speech_time, split_and_render, name_similarity, normal_texts, archived_originals,
         )

@@ -338,6 +338,17 @@ with {CUES}, w as (select file, seq, string_split({strip("regexp_replace(text, '
 n as (select file, seq, len(w) * 280 ms, length(array_to_string(w, '')) chars from w)
 select file, seq, cast(ms as bigint) speech_ms, chars > 0 and (chars > 40 or (chars >= 6 and ms / 1000.0 > 8.5)) too_long from n""",
     "resegment_local": f"with recursive {PIECES} select file, seq, cast(piece as integer) piece, time_ms, end_ms, text from pieces where text <> ''",
+    "resegment_rounds": f"""
+with recursive {PIECES}, wishes as (
+  select *, case when seq % 3 <> 1 then range(7, n, 7) when seq % 2 = 0 then [3] end ks from long),
+legal_ks as (select file, seq, list(k) filter (not final) legal from legal group by file, seq),
+checked as (
+  select w.*, coalesce(len(ks) > 0 and len(list_filter(ks, lambda k: not coalesce(list_contains(legal, k), false))) = 0
+    and len(list_filter(range(len(ks) + 1), lambda i: length(array_to_string(w[coalesce(list_concat([0], ks)[i + 1], 0) + 1:list_concat(ks, [n])[i + 1]], '')) not between 2 and 40)) = 0, false) valid
+  from wishes w left join legal_ks using (file, seq)),
+ways as (select c.*, b.file is not null cut from checked c left join (select distinct file, seq from best) b using (file, seq))
+select file, count(*) long, cast(count(*) + count(*) filter (where seq % 3 = 1) as bigint) asked, count(*) filter (where ks is null) unanswered, count(*) filter (where valid) proposed,
+       count(*) filter (where not valid and cut) searched, count(*) filter (where not valid and not cut and chars > 40) rejected, count(*) filter (where not valid and not cut and chars <= 40) kept from ways group by file""",
     "split_and_render": f"""
 with recursive {PIECES}, items as (
   select file, seq, piece, coalesce(p.time_ms, t.time_ms) time_ms, end_ms from timed t left join pieces p using (file, seq)),
