@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonrepair import answer_texts
+from ..functions.jsonrepair import with_answer_texts
 from ..functions.names import is_blank
 from .cut import checkpointed
 from .matching import merge_terms
@@ -57,7 +57,7 @@ def call(requests: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFr
 
 def translate(rows: DataFrame, chunk: list[str], model: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Rows (*chunk, seq, new_text, how) aligned with the input rows."""
-    answers = call(prompt(rows, chunk), model).withColumn("got", answer_texts(F.col("originals"), F.col("raw")))
+    answers = with_answer_texts(call(prompt(rows, chunk), model), "originals", "raw", "got")
     # Outer, as the filter that Spark infers for an inner one would read every answer twice.
     each = answers.select(*chunk, "seqs", "got", F.posexplode_outer("got.texts").alias("at", "new_text")).filter("at is not null")
     return each.select(*chunk, F.get("seqs", F.col("at")).alias("seq"), "new_text", F.col("got.how").alias("how"))

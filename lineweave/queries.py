@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .functions import names, text, timing
 from .operators import align, asof, layout, matching, model, scripts, segment, usage, windows
-from .functions.jsonrepair import answer_texts
+from .functions.jsonrepair import with_answer_texts
 from .sources import files, subtitles
 
 BOXES = "(1, 300, 10, 10, 60, 'a'), (1, 300, 90, 10, 50, 'b'), (1, 302, 400, 12, 50, 'c'), (1, 45, 20, 11, 40, 'd'), (1, 75, 10, 10, 44, 'e'), (1, 150, 610, 500, 20, 'a line that is long and wide'), (1, 20, 612, 700, 20, 'another line long and wide'), (2, 10, 10, 50, 10, 'x'), (2, 70, 12, 50, 10, 'y'), (2, 10, 44, 60, 12, 'z')"
@@ -362,8 +362,8 @@ def json_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.transform("rows", lambda r, i: F.concat(F.lit('{"index": '), (i + 1).cast("string"), F.lit(', "text": "'), F.upper(r["plain"]), F.lit('"}')))
     broken = F.col("file").cast("long") % 3
     raw = F.when(broken == 0, F.concat(F.lit('{"translations": ['), F.array_join(items, ", "), F.lit("]}"))).when(broken == 1, F.array_join(items, "},\n")).otherwise(F.concat(F.lit('ok {"translations": ['), F.array_join(items, ", ")))
-    got = answer_texts(F.transform("rows", lambda r: r["plain"]), raw)
-    return grouped.withColumn("got", got).select("file", F.col("got.parsed").alias("parsed"), F.col("got.how").alias("how"), F.md5(F.array_join("got.texts", "|")).alias("texts"))
+    asked = grouped.select("file", F.transform("rows", lambda r: r["plain"]).alias("originals"), raw.alias("raw"))
+    return with_answer_texts(asked, "originals", "raw", "got").select("file", F.col("got.parsed").alias("parsed"), F.col("got.how").alias("how"), F.md5(F.array_join("got.texts", "|")).alias("texts"))
 
 
 def translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,6 +349,9 @@ checked as (
 ways as (select c.*, b.file is not null cut from checked c left join (select distinct file, seq from best) b using (file, seq))
 select file, count(*) long, cast(count(*) + count(*) filter (where seq % 3 = 1) as bigint) asked, count(*) filter (where ks is null) unanswered, count(*) filter (where valid) proposed,
        count(*) filter (where not valid and cut) searched, count(*) filter (where not valid and not cut and chars > 40) rejected, count(*) filter (where not valid and not cut and chars <= 40) kept from ways group by file""",
+    "json_ladder": rf"""
+with {CUES}, t as (select file, list(upper(replace(regexp_replace(text, '["\\\n]', ' ', 'g'), 'ß', 'SS')) order by seq) l from cues group by file)
+select file, cast(len(l) as integer) parsed, 'json' how, md5(array_to_string(l, '|')) texts from t""",
     "split_and_render": f"""
 with recursive {PIECES}, items as (
   select file, seq, piece, coalesce(p.time_ms, t.time_ms) time_ms, end_ms from timed t left join pieces p using (file, seq)),

@@ -29,7 +29,7 @@ def test_json_ladder():  # X21-X24, X31, F26
 
 def test_json_columns(spark):
     df = spark.createDataFrame([(["a", "b"], '{"translations":[{"index":2,"text":"B"}]}', "C:\\dir \\n")], "o array<string>, raw string, s string")
-    r = df.select(jr.answer_texts(F.col("o"), F.col("raw")).alias("p"), jr.answers_by_index(F.col("o"), F.col("raw")).alias("i"), jr.repair_backslashes(F.col("s")).alias("s")).first()
+    r = jr.with_answer_texts(df, "o", "raw", "p").select("p", jr.answers_by_index(F.col("o"), F.col("raw")).alias("i"), jr.repair_backslashes(F.col("s")).alias("s")).first()
     assert r.p.texts == ["B", ""] and r.i == ["", "B"] and r.s == "C:\\\\dir \\n"
 
 
