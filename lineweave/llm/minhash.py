@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, Scratch, components, mix, pieces, powers, row_key, span_hashes, spans_where, text_bytes, window_hashes, whole_row
+from .shared import SPACE, WORD, Scratch, components, mix, pieces, powers, row_key, span_hashes, spans_where, text_bytes, window_hashes, whole_row
 
 ROWS = 4  # minhashes in a half key
 MISS = 1e-4  # chance that a pair at the threshold meets in no table
@@ -238,3 +238,32 @@ def keep_one_of_each(docs: DataFrame, scratch: Scratch, shingle: int = 5, num: i
     kept = rows.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))).filter("nth = 1")
     return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+
+
+def audit_recall(docs: DataFrame, classes: DataFrame, scratch: Scratch, shingle: int = 5, num: int = 80, den: int = 100, every: int = 100) -> DataFrame:
+    """One row (links, found, recall): of the links of every doc_id divisible by ``every``, how many are in ``classes``.
+
+    The links are found without minhashes, among all documents: a linked document holds one of the rarest
+    n - need + 1 of a text's n shingles, need being the fewest that a link shares; those that do are compared
+    as whole sets.  A link is found if both ends have one component.  Shingles are told apart by 64 bits.
+    Null, empty and wordless texts have no links; of rows that share a doc_id the first text is taken.
+    """
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", words.alias("w")).filter("size(w) > 0")
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - (shingle - 1), F.lit(1)))
+    codes = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " "))))
+    sets = scratch.save(texts.select("doc_id", codes.alias("codes")).withColumn("n", F.size("codes")), "audit")
+    each = sets.select("doc_id", "n", F.explode("codes").alias("code"))
+    asked = sets.filter(F.col("doc_id") % every == 0)
+    counts = each.join(asked.select(F.explode("codes").alias("code")).distinct(), "code", "left_semi").groupBy("code").agg(F.count("*").alias("places"))
+    ranked = asked.select(F.col("doc_id").alias("q"), F.explode("codes").alias("code")).join(counts, "code").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("places", "code"))).alias("c"))
+    fewest = F.ceil(F.size("c") * F.lit(num) / den).cast("int")
+    index = ranked.select("q", F.size("c").alias("m"), F.explode(F.slice("c", F.lit(1), F.size("c") - fewest + 1)).alias("c")).select("q", "m", "c.code")
+    near = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num) & (F.col("doc_id") != F.col("q"))
+    met = each.join(index, "code").filter(near).select("q", "doc_id").distinct()
+    both = met.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("q"), F.col("codes").alias("mine")), "q").select("q", "doc_id", F.size(F.array_intersect("codes", "mine")).alias("both"), F.size("codes").alias("n"), F.size("mine").alias("m"))
+    links = both.filter(F.col("both") * den >= (F.col("n") + F.col("m") - F.col("both")) * num)
+    of = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    ends = links.join(of, "doc_id").join(of.select(F.col("doc_id").alias("q"), F.col("component_id").alias("own")), "q")
+    found = F.count_if(F.col("component_id") == F.col("own"))
+    return ends.agg(F.count("*").alias("links"), found.alias("found"), (found / F.nullif(F.count("*"), F.lit(0))).alias("recall"))

@@ -115,3 +115,19 @@ def test_recall_parameters():
     for num in (80, 85, 95):
         m, p = half_keys(num, 100), (num / 100) ** minhash.ROWS
         assert (1 - (1 - p) ** m) ** 2 >= 1 - minhash.MISS
+
+
+def test_audit(spark):
+    """The audit counts the links of its ids by brute force, and notices a class that is torn apart."""
+    r = random.Random(7)
+    base = [[f"{k}w{r.randrange(10**6)}" for _ in range(120)] for k in range(30)]
+    data = [(i, " ".join(w if r.random() < 0.995 else "x" for w in base[i % 30]), None, None, 0) for i in range(300)] + [(None, "a b c", None, None, 0), (301, None, None, None, 0), (310, " ", None, None, 0)]
+    docs = frame(spark, data)
+    classes = near_duplicate_classes(docs, Scratch(spark, "t"), 3, 85, 100)
+    sets = {d[0]: shingles(d[1], 3) for d in data if d[0] is not None}
+    want = sum(a % 10 == 0 and a != b and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for a, x in sets.items() for b, y in sets.items())
+    row = minhash.audit_recall(docs, classes, Scratch(spark, "t"), 3, 85, 100, every=10).first()
+    assert (row.links, row.found, row.recall) == (want, want, 1.0) and want > 50
+    torn = classes.selectExpr("doc_id", "if(doc_id < 150, component_id, doc_id) component_id")
+    assert minhash.audit_recall(docs, torn, Scratch(spark, "t"), 3, 85, 100, every=10).first().recall < 0.8
+    assert minhash.audit_recall(docs.limit(0), classes.limit(0), Scratch(spark, "t"), 3, 85, 100).first().links == 0
