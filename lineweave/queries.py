@@ -317,7 +317,7 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers as boxes on pages, tall, wide and square ones, and pages of a few known boxes."""
     text = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" of order number "), F.col("o_orderkey").cast("string"))).otherwise(""))
     orders = read(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") % 40 + 100).alias("page"), (F.col("o_totalprice") % 600).alias("cx"), (F.col("o_orderkey") % 900).cast("double").alias("cy"),
+        F.expr("o_orderkey div 128 + 100").alias("page"), (F.col("o_totalprice") % 600).alias("cx"), (F.col("o_orderkey") % 900).cast("double").alias("cy"),
         (F.col("o_orderkey") % 17 * 3).cast("double").alias("w"), (F.col("o_orderkey") % 13 * 3 + 5).cast("double").alias("h"), text.alias("text"),
     )
     known = spark.sql(f"SELECT cast(page as bigint) page, cast(cx as double) cx, cast(cy as double) cy, cast(w as double) w, cast(h as double) h, text FROM VALUES {BOXES} AS t(page, cx, cy, w, h, text)")
@@ -468,7 +468,7 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers as boxes on pages."""
-    b = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("page"), (F.col("o_totalprice") % 600).alias("cx"), (F.col("o_orderkey") % 900).cast("double").alias("cy"), F.lit(10.0).alias("w"), (F.col("o_orderkey") % 13 + 5).cast("double").alias("h"), F.col("o_orderpriority").alias("text"))
+    b = read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 128").alias("page"), (F.col("o_totalprice") % 600).alias("cx"), (F.col("o_orderkey") % 900).cast("double").alias("cy"), F.lit(10.0).alias("w"), (F.col("o_orderkey") % 13 + 5).cast("double").alias("h"), F.col("o_orderpriority").alias("text"))
     return layout.vertical_pages(b)
 
 

@@ -124,7 +124,7 @@ def _phrases(words: tuple[str, ...]) -> str:
 
 def _boxes() -> str:
     return f"""boxes as (select page, cx::double cx, cy::double cy, w::double w, h::double h, text from (values {BOXES}) t(page, cx, cy, w, h, text) union all
-  select o_custkey % 40 + 100, o_totalprice % 600, (o_orderkey % 900)::double, (o_orderkey % 17 * 3)::double, (o_orderkey % 13 * 3 + 5)::double,
+  select o_orderkey // 128 + 100, o_totalprice % 600, (o_orderkey % 900)::double, (o_orderkey % 17 * 3)::double, (o_orderkey % 13 * 3 + 5)::double,
          o_orderpriority || case when o_orderkey % 3 = 0 then ' of order number ' || o_orderkey else '' end from orders)"""
 
 
@@ -317,7 +317,7 @@ select event_id, event_id prompt_tokens, case when event_id % 2 = 0 then 3 else
        case when event_id % 2 = 0 then 2 else 0 end::bigint completion_tokens, case when event_id % 2 = 0 then 0 else 4 end::bigint reasoning_tokens from events""",
     "chunk_tokens": f"with {USAGE} select user_id file, cast(sum(hit) as bigint) all_hits, arg_max(hit, seq) last_hits from usage group by user_id",
     "box_columns": """
-with b as (select o_custkey % 40 page, o_totalprice % 600 cx, (o_orderkey % 13 + 5)::double h from orders),
+with b as (select o_orderkey // 128 page, o_totalprice % 600 cx, (o_orderkey % 13 + 5)::double h from orders),
 c as (select page, count(*) filter (where m >= 2) columns from (select page, round_even(cx / 30, 0) k, count(*) m from b group by 1, 2) group by page)
 select page, count(*) >= 4 and (avg((h > 12)::int) > 0.3 or max(columns) >= 2) vertical from b join c using (page) group by page""",
     "box_reading_order": f"""

@@ -248,7 +248,7 @@ def resolved_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cached_script_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier exports of works: a map of tracks, else split files of like names."""
-    p = parts(spark, sf_dir).withColumns({"work": F.col("k") % 91, "track": F.lpad(F.col("k").cast("string"), 8, "0")})
+    p = parts(spark, sf_dir).withColumns({"work": F.expr("k div 64"), "track": F.lpad(F.col("k").cast("string"), 8, "0")})
     tracks = p.select("work", "track", F.col("k").alias("seq"))
     entry = F.struct(F.when(F.col("work") % 6 == 3, F.concat(F.lit("other"), "track")).otherwise(F.col("track")).alias("key"), F.when(F.col("k") % 5 < 3, F.array("name", F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("value"))
     caches = p.filter("work % 3 = 0").groupBy("work").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("content"))
@@ -418,7 +418,7 @@ def float_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_extendedprice") % 500).alias("x"), (F.floor(F.col("l_quantity") / 13) * 8).alias("y"),
+        F.concat("l_returnflag", F.expr("l_orderkey div 4096").cast("string")).alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_extendedprice") % 500).alias("x"), (F.floor(F.col("l_quantity") / 13) * 8).alias("y"),
         F.col("l_linestatus").alias("text"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("part"),
     )
 
@@ -473,7 +473,7 @@ def representative_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def body_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that reach into the body of the page, in order, and glyphs inside it."""
-    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("page"), (F.col("o_orderkey") % 900).alias("y0"), (F.col("o_orderkey") % 900 + F.col("o_orderkey") % 70).alias("y1"), F.col("o_orderkey").alias("k"))
+    o = read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 128").alias("page"), (F.col("o_orderkey") % 900).alias("y0"), (F.col("o_orderkey") % 900 + F.col("o_orderkey") % 70).alias("y1"), F.col("o_orderkey").alias("k"))
     blocks = layout.in_body(o, 100, 700).groupBy("page").agg(F.count("*").alias("blocks"), F.md5(in_order(F.col("k").cast("string"), "y0", "k", sep=",")).alias("texts"))
     points = layout.in_body(o.select("page", F.col("y0").alias("y")), 100, 700).groupBy("page").agg(F.count("*").alias("glyphs"))
     return blocks.join(points, "page")

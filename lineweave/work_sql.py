@@ -23,7 +23,7 @@ LOG = """log as (
   select 'lib/w' || (user_id % 20) as work, 'f' || user_id || '.lrc' file, row_number() over (partition by user_id order by event_id) - 1 attempt, event_id % 9 lines, event_id,
          case when event_id % 3 = 0 then 'success' when event_id % 11 = 0 then 'skipped' else 'failed' end status, (event_id % 100)::double elapsed, event_type from events)"""
 LATEST = "latest as (select work, file, arg_max(status, attempt) status, arg_max(elapsed, attempt) elapsed from log group by work, file)"
-GLYPHS = "g as (select l_returnflag doc, l_linenumber page, l_extendedprice % 500 x, floor(l_quantity / 13) * 8 y, l_linestatus text, l_orderkey * 10 + l_linenumber seq, l_partkey part from lineitem)"
+GLYPHS = "g as (select l_returnflag || l_orderkey // 4096 doc, l_linenumber page, l_extendedprice % 500 x, floor(l_quantity / 13) * 8 y, l_linestatus text, l_orderkey * 10 + l_linenumber seq, l_partkey part from lineitem)"
 
 
 def quoted(pattern: str) -> str:
@@ -138,7 +138,7 @@ l as (select work, k, case when k % (work % 5 + 1) = 0 then 'c ' || name end c,
 s as (select *, count(c) over (partition by work) * 1.0::double / count(*) over (partition by work) cs, count(a) over (partition by work) * 1.0::double / count(*) over (partition by work) sa from l)
 select work, 't' || k track, coalesce(case when cs >= 0.3 then c when a is null and sa < 0.5 then m else a end, '') lines from s""",
     "cached_script_reuse": """
-with p as (select p_partkey % 91 as work, p_partkey k, lpad(p_partkey::varchar, 8, '0') track, p_name as name from part),
+with p as (select p_partkey // 64 as work, p_partkey k, lpad(p_partkey::varchar, 8, '0') track, p_name as name from part),
 n as (select *, count(*) over (partition by work) n, count(*) filter (where work % 3 = 1 and k % 4 < work % 5) over (partition by work) m from p),
 l as (
   select work, track, case when k % 5 < 3 then name || '|x' else '' end lines from n where work % 3 = 0 and work % 6 <> 3 union all
@@ -224,7 +224,7 @@ k as (select doc, page, part, row_number() over (partition by doc, page order by
 select doc, page, count(*) n, cast(sum(part) as bigint) parts from k where at_ % greatest(1, n // 150) = 0 group by doc, page""",
     "representative_files": "select seq % 50 grp, arg_max(seq::varchar, (n, -seq)) path from (select l_orderkey seq, count(*) n from lineitem group by l_orderkey) group by seq % 50",
     "body_blocks": """
-with o as (select o_custkey % 40 page, o_orderkey % 900 y0, o_orderkey % 900 + o_orderkey % 70 y1, o_orderkey k from orders),
+with o as (select o_orderkey // 128 page, o_orderkey % 900 y0, o_orderkey % 900 + o_orderkey % 70 y1, o_orderkey k from orders),
 b as (select page, count(*) blocks, md5(string_agg(k::varchar, ',' order by y0, k)) texts from o where y1 >= 100 and y0 <= 700 group by page)
 select page, blocks, texts, glyphs from b join (select page, count(*) glyphs from o where y0 between 100 and 700 group by page) using (page)""",
     "run_log_files": f"""
