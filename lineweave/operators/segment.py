@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import sheet_label
 from ..functions.nested import let, pairs_of, running
 from ..functions.text import compact
 from ..functions.timing import is_too_long
@@ -265,6 +266,23 @@ def over_long(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int =
     return cue_tokens.filter((F.size("words") > 0) & is_too_long(spelled, F.col("words"), max_seconds, max_chars)).filter(compact(spelled) == compact("text"))
 
 
+def cut_requests(cue_tokens: DataFrame, max_seconds: float = 8.0, max_chars: int = 40) -> DataFrame:
+    """M5: what a model is asked for each over-long cue: rows (file, seq, text, chars, ms, choices, prompt).
+
+    choices are the legal cuts: label (A, B, ...), k, level, letters and time up to the cut, and its preview.
+    ``prompt`` is the same as JSON, with the limits; its wording is left to the caller.
+    """
+    long = over_long(cue_tokens, max_seconds, max_chars)
+    morphemes, words = F.col("morphemes") if "morphemes" in long.columns else None, F.col("words")
+    long = long.repartition("file", "seq").withColumns({"cuts": cut_table(words, morphemes), "begin": F.get(words, F.lit(0))["start"].cast("long")})
+    shown = lambda c, i: F.struct(
+        sheet_label(i).alias("label"), c["k"].alias("k"), c["level"].alias("level"), c["c"].alias("chars"), (c["e"] - F.col("begin")).alias("ms"), cut_preview(words, c["k"]).alias("preview"),
+    )
+    choices = F.transform(F.filter("cuts", lambda c: c["level"].isNotNull()), shown)
+    rows = long.select("file", "seq", "text", F.length(compact("text")).alias("chars"), (F.element_at(words, -1)["end"].cast("long") - F.col("begin")).alias("ms"), choices.alias("choices"))
+    return rows.withColumn("prompt", F.to_json(F.struct("text", "chars", "ms", F.lit(max_chars).alias("max_chars"), F.lit(max_seconds).alias("max_seconds"), "choices")))
+
+
 def plan_in_rounds(cue_tokens: DataFrame, askers: list[Callable[[DataFrame], DataFrame]], max_seconds: float = 8.0, max_chars: int = 40) -> tuple[DataFrame, DataFrame]:
     """C14: plans as of ``plan_cuts``, and per file what became of its cues, after rounds of proposals.
 

@@ -300,6 +300,14 @@ def resegment_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.plan_in_rounds(timed_words(spark, sf_dir), [every_seventh, third])[1]
 
 
+def cut_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choices of each long turn, as a model is asked for them."""
+    rows = segment.cut_requests(timed_words(spark, sf_dir))
+    line = F.transform("choices", lambda c: F.concat_ws(" ", c["label"], c["level"], c["chars"].cast("string"), c["ms"].cast("string"), c["preview"]))
+    asked = F.get_json_object("prompt", "$.choices[0].label").alias("first")
+    return rows.select("file", "seq", "chars", "ms", F.size("choices").alias("n"), F.md5(F.array_join(line, "\n")).alias("choices"), asked)
+
+
 def legal_cut_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = timed_words(spark, sf_dir).select("file", "seq", F.explode(segment.legal_cuts(F.col("words"))).alias("c"))
     return cuts.groupBy("file", "seq").agg(F.count_if(F.col("c.level") == "S").alias("stops"), F.count_if(F.col("c.level") == "P").alias("pauses"), F.sum("c.k").alias("places"))
@@ -534,7 +542,7 @@ def _all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             line_explode_stats, word_frequency_topk, lang_detect, page_noise_filter, repetition_filter, dropped_lines, usage_cost_by_work, usage_by_type, usage_totals, usage_reconcile,
             status_manifest, peak_cost_split, gap_sessions, asof_prev_event, interval_match, turn_context, chunk_fixed, chunk_budget, budget_cut, stride_sample, first_n_dedupe,
             numbered_lines, blank_tails, anti_semi_labels, dice_pairs, anchor_match, longest_prefix, name_tier_join, term_merge, natural_sort, usage_window_cum, lrc_roundtrip,
-            lrc_structure, srt_clean, resegment_local, resegment_rounds, legal_cut_levels, align_spans, layout_order, layout_glyphs, page_votes, glyph_histogram, json_ladder, translate_stub, script_marks,
+            lrc_structure, srt_clean, resegment_local, resegment_rounds, cut_requests, legal_cut_levels, align_spans, layout_order, layout_glyphs, page_votes, glyph_histogram, json_ladder, translate_stub, script_marks,
             pre_clean_merge, label_excel, time_stamps, work_roots, txt_over_pdf, script_names, variant_inherit, coverage_fill, error_kinds, usage_normal, chunk_tokens, box_columns,
             box_reading_order, line_quality, speech_time, split_and_render, name_similarity, normal_texts, archived_originals,
         )

@@ -352,6 +352,12 @@ select file, count(*) long, cast(count(*) + count(*) filter (where seq % 3 = 1)
     "json_ladder": rf"""
 with {CUES}, t as (select file, list(upper(replace(regexp_replace(text, '["\\\n]', ' ', 'g'), 'ß', 'SS')) order by seq) l from cues group by file)
 select file, cast(len(l) as integer) parsed, 'json' how, md5(array_to_string(l, '|')) texts from t""",
+    "cut_requests": f"""
+with recursive {PIECES}, shown as (
+  select l.file, l.seq, l.k, case when t > 26 then chr(cast(64 + (t - 1) // 26 as integer)) else '' end || chr(cast(65 + (t - 1) % 26 as integer)) label, case when regexp_matches(l.l, '[。！？!?、，,…]$') then 'S' else 'P' end as level,
+         c, e - g.time_ms ms, right(array_to_string(w[1:k], ''), 16) || '|' || left(array_to_string(w[k + 1:], ''), 16) preview from legal l join long g using (file, seq) where not final),
+lists as (select file, seq, count(*) n, string_agg(label || ' ' || level || ' ' || c || ' ' || ms || ' ' || preview, chr(10) order by k) x from shown group by file, seq)
+select file, seq, cast(chars as integer) chars, (l.n - 1) * 300 + (l.n - 1) // 7 * 400 + 280 ms, cast(coalesce(s.n, 0) as integer) n, md5(coalesce(x, '')) choices, case when s.n > 0 then 'A' end as first from long l left join lists s using (file, seq)""",
     "split_and_render": f"""
 with recursive {PIECES}, items as (
   select file, seq, piece, coalesce(p.time_ms, t.time_ms) time_ms, end_ms from timed t left join pieces p using (file, seq)),
