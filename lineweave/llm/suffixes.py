@@ -442,8 +442,10 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, keep_fi
 
     Null and empty texts have no bytes and nothing to remove.  Rows with a null doc_id take part like
     others.  Repeated rows repeat each other, so without ``keep_first`` all of a text of ``length`` bytes
-    or more goes; with it, equal rows count as one document and stay together.  Matches never cross
-    documents.  An empty table gives no rows.
+    or more goes; with it, equal rows count as one document and stay together, and of equal strings the one
+    of the smallest doc_id, then of the smallest hash of the text, then the first in its text is kept.
+    Matches never cross documents.  A very long text is read whole, by one task at a time.  Other columns
+    are ignored, an empty table gives no rows.
     """
     spans = scratch.save(repeated_spans(docs, scratch, length, keep_first), "spans")
     scratch.drop("runs", "found")
