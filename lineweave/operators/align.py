@@ -313,10 +313,18 @@ def align_script(spoken: DataFrame, script: DataFrame, reading=None, limit: int
     s = script.select("track", "line_no", "text", align_normal("text", reading).alias("norm"))
     kinds = dict(a.dtypes)
     schema = f"track {kinds['track']}, seq {kinds['seq']}, norm string, lo int, hi int, sb string"
-    length = (F.sum(F.length("norm") + 1) - 1).cast("long")
-    ends = a.groupBy("track").agg(length.alias("a1")).join(s.groupBy("track").agg(length.alias("b1")), "track").filter("a1 > 0 and b1 > 0")
-    ends = checkpointed(ends.filter((F.col("a1") > limit) | (F.col("b1") > limit)))  # a row for each long track
-    if ends.isEmpty():
+
+    def long_tracks(spoken: DataFrame, script: DataFrame, text: str) -> DataFrame:
+        length = (F.sum(F.coalesce(F.length(text), F.lit(0)) + 1) - 1).cast("long")
+        ends = spoken.groupBy("track").agg(length.alias("a1")).join(script.groupBy("track").agg(length.alias("b1")), "track").filter("a1 > 0 and b1 > 0")
+        return ends.filter((F.col("a1") > limit) | (F.col("b1") > limit))  # a row for each long track
+
+    # Normal forms are no longer than the texts (readings may be), which tells without making them.
+    if reading is None and long_tracks(spoken, script, "text").isEmpty():
+        ends = None
+    else:
+        ends = checkpointed(long_tracks(a, s, "norm"))
+    if ends is None or ends.isEmpty():
         got = a.groupBy("track").cogroup(s.groupBy("track")).applyInPandas(_align, schema)
     else:
         short = [df.join(ends.select("track"), "track", "left_anti") for df in (a, s)]
