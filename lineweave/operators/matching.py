@@ -172,15 +172,16 @@ def tiered_names(wanted: DataFrame, have: DataFrame, compose: bool = False) -> D
     A key inside another has all its bigrams there, so the rarest bigram of either side meets all bigrams
     of the other (one-letter keys have their letter for it).
     """
-    w = wanted.withColumn("key", name_key(F.col("name"), compose))
-    h = have.withColumn("match_key", name_key(F.col("match"), compose)).filter("match_key <> ''")
+    # Steps that several others read are written once.
+    w = checkpointed(wanted.withColumn("key", name_key(F.col("name"), compose)))
+    h = checkpointed(have.withColumn("match_key", name_key(F.col("match"), compose)).filter("match_key <> ''"))
     exact = w.join(h, F.col("key") == F.col("match_key")).withColumn("tier", F.lit(1))
-    rest = w.join(exact.select("name", "seq"), ["name", "seq"], "left_anti").filter("key <> ''")
+    rest = checkpointed(w.join(exact.select("name", "seq"), ["name", "seq"], "left_anti").filter("key <> ''"))
     own = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(bigrams(c))
     every = lambda c: F.array_union(bigrams(c), F.filter(F.split(c, ""), lambda x: x != ""))
     keys = rest.select("key").distinct().unionByName(h.select(F.col("match_key").alias("key")).distinct())
     counts = keys.select(F.explode(every(F.col("key"))).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
-    rare = keys.distinct().select("key", F.explode(own(F.col("key"))).alias("g")).join(counts, "g").groupBy("key").agg(F.min_by("g", F.struct("c", "g")).alias("g"))
+    rare = checkpointed(keys.distinct().select("key", F.explode(own(F.col("key"))).alias("g")).join(counts, "g").groupBy("key").agg(F.min_by("g", F.struct("c", "g")).alias("g")))
     theirs = h.select("match_key").distinct()
     inside = rest.select("key").distinct().join(rare, "key").join(theirs.select("match_key", F.explode(every(F.col("match_key"))).alias("g")), "g").filter(F.contains("match_key", F.col("key")))
     around = theirs.join(rare.withColumnRenamed("key", "match_key"), "match_key").join(rest.select("key").distinct().select("key", F.explode(every(F.col("key"))).alias("g")), "g").filter(F.contains("key", F.col("match_key")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import bigrams, strip, without_brackets
+from ..operators.cut import checkpointed
 from ..operators.matching import merge_terms
 from ..operators.scripts import characters, coverage, is_free_talk
 from ..operators.windows import first_rows, stride_sample, within_budget
@@ -39,12 +40,14 @@ def cached_scripts(json_caches: DataFrame, split_files: DataFrame, tracks: DataF
     cached = json_caches.select("work", F.explode(F.from_json("content", "map<string,array<string>>")).alias("track", "lines"))
     known = cached.join(tracks.select("work", "track"), ["work", "track"], "left_semi").select("work").distinct()
     full = cached.filter(F.size("lines") > 0).select("work").distinct().join(known, "work", "left_semi")
+    full = checkpointed(full)  # steps that several others read are written once
     first = tracks.join(full, "work", "left_semi").join(cached, ["work", "track"], "left").select("work", "track", F.coalesce("lines", none).alias("lines"))
 
-    left = tracks.join(full, "work", "left_anti")
+    left = checkpointed(tracks.join(full, "work", "left_anti"))
     wanted = left.groupBy("work").agg(F.count("*").alias("n"))
     enough = split_files.groupBy("work").agg(F.count("*").alias("m")).join(wanted, "work").filter("m >= n * 0.5").select("work")
-    some = split_files.join(enough, "work", "left_semi")
+    enough = checkpointed(enough)
+    some = checkpointed(split_files.join(enough, "work", "left_semi"))
     stems, names = some.select("work", F.col("stem").alias("name")).distinct(), left.select("work", F.col("track").alias("name")).distinct()
     held = holding(stems, names).select("work", F.col("name").alias("stem"), F.col("holder").alias("track"))
     held = held.unionByName(holding(names, stems).select("work", F.col("holder").alias("stem"), F.col("name").alias("track"))).withColumn("tier", F.lit(0))
