@@ -122,9 +122,9 @@ def _phrases(words: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def _boxes() -> str:
+def _boxes(page: str = "o_orderkey // 128 + 100") -> str:
     return f"""boxes as (select page, cx::double cx, cy::double cy, w::double w, h::double h, text from (values {BOXES}) t(page, cx, cy, w, h, text) union all
-  select o_orderkey // 128 + 100, o_totalprice % 600, (o_orderkey % 900)::double, (o_orderkey % 17 * 3)::double, (o_orderkey % 13 * 3 + 5)::double,
+  select {page}, o_totalprice % 600, (o_orderkey % 900)::double, (o_orderkey % 17 * 3)::double, (o_orderkey % 13 * 3 + 5)::double,
          o_orderpriority || case when o_orderkey % 3 = 0 then ' of order number ' || o_orderkey else '' end from orders)"""
 
 
@@ -321,7 +321,7 @@ with b as (select o_orderkey // 128 page, o_totalprice % 600 cx, (o_orderkey % 1
 c as (select page, count(*) filter (where m >= 2) columns from (select page, round_even(cx / 30, 0) k, count(*) m from b group by 1, 2) group by page)
 select page, count(*) >= 4 and (avg((h > 12)::int) > 0.3 or max(columns) >= 2) vertical from b join c using (page) group by page""",
     "box_reading_order": f"""
-with {_boxes()}, k as (select *, h > w * 1.2 tall, case when h > w * 1.2 then 'v' when w > h then case when length(text) < 20 then 'v' else 'w' end else 's' end kind from boxes),
+with {_boxes("o_custkey % 40 + 100")}, k as (select *, h > w * 1.2 tall, case when h > w * 1.2 then 'v' when w > h then case when length(text) < 20 then 'v' else 'w' end else 's' end kind from boxes),
 j as (select *, round_even(cx / 30, 0) col, case when cy - lag(cy) over (partition by page, kind <> 'w', round_even(cx / 30, 0) order by cy) > 100 then 1 else 0 end jump from k),
 g as (select *, sum(jump) over (partition by page, kind <> 'w', col order by cy rows unbounded preceding) grp from j),
 t as (
