@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from .cut import checkpointed
 from .matching import merge_terms
 
 CONFIDENCE = 0.3  # script hints above it are shown
+AT_ONCE = 256  # requests that a model is given at once
 
 
 def echo_model(prompts: pd.Series) -> pd.Series:
@@ -46,13 +48,19 @@ def prompt(rows: DataFrame, chunk: list[str], max_terms: int = 30) -> DataFrame:
 
 
 def call(requests: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Add ``raw``, the model's answer; a batch at a time, on the executors."""
+    """Add ``raw``, the model's answer; AT_ONCE requests at a time, on the executors.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Other columns pass as Arrow, so a worker holds one batch as it came and Python's values of a few prompts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(raw=model(batch["prompt"]))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
+                raw = pa.array(model(some.column("prompt").to_pandas()), pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*some.columns, raw], [*some.schema.names, "raw"])
 
-    return requests.mapInPandas(run, T.StructType([*requests.schema.fields, T.StructField("raw", T.StringType())]))
+    return requests.mapInArrow(run, T.StructType([*requests.schema.fields, T.StructField("raw", T.StringType())]))
 
 
 def translate(rows: DataFrame, chunk: list[str], model: Callable[[pd.Series], pd.Series]) -> DataFrame:
