@@ -12,6 +12,9 @@ ones in any case, the result is the same.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,26 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import align_normal, dice
+from ..functions.text import align_normal
 from .cut import checkpointed
 
 JOINT = "␟"
 
 
-def _joined(lines: list[str]) -> tuple[str, np.ndarray]:
-    owner = [np.array([], np.int64)]
-    for i, line in enumerate(lines):
-        owner.append(np.full(len(line), i))
-        owner.append(np.full(int(i < len(lines) - 1), -1))
-    return JOINT.join(lines), np.concatenate(owner).astype(np.int64)
-
+def _blocks_by_rank(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Blocks of texts that repeat themselves much, in no order.
 
-def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
-    """What difflib's ``get_matching_blocks`` gives without junk: (place in a, place in b, size), no empty one.
-
-    The longest common string, the earliest in a and then in b, splits both sides, and so on.  Ranks of all
-    strings of 2, 4, 8... characters are made once; two of them tell any length apart exactly, so a split
-    costs some sorts of its range in place of a walk over all pairs of places.
+    Ranks of all strings of 2, 4, 8... characters are made once; two of them tell any length apart exactly,
+    so a split costs some sorts of its range in place of a walk over all pairs of places.
     """
     n = len(a)
     both = np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -72,8 +66,76 @@ def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
             i, j = a0 + where[0], b0 + where[1]
             found.append((i, j, least))
             todo += [(a0, i, b0, j, least), (i + least, a1, j + least, b1, least)]
+    return found
+
+
+#: Lengths of common strings that are looked for in one go, in what longer ones have left.
+STEPS = (16, 6, 2, 1)
+
+
+def _common(a: str, b: str, size: int) -> list[tuple[int, int, int]] | None:
+    """Maximal common strings of ``size`` letters and more: (-length, i, j); None if places of equal letters are too many pairs."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - size + 1):
+        places.setdefault(b[j : j + size], []).append(j)
+    left, begun, runs = 4096 + 8 * (len(a) + len(b)), {}, []
+    for i in range(len(a) - size + 1):
+        met = places.get(a[i : i + size])
+        if met:
+            left -= len(met)
+            if left < 0:
+                return None
+            for j in met:
+                if i and j and a[i - 1] == b[j - 1]:
+                    begun[j - i][1] = i
+                else:
+                    begun[j - i] = run = [i, i, j]
+                    runs.append(run)
+    return [(first - last - size, first, j) for first, last, j in runs]
+
+
+def _free_blocks(a: str, b: str, step: int = 0) -> list[tuple[int, int, int]]:
+    """Blocks in no order: common strings from the longest on, cut to what the chosen ones leave free; then shorter ones between."""
+    if set(a).isdisjoint(b):
+        return []
+    size = STEPS[step]
+    heap = _common(a, b, size)
+    if heap is None:
+        return _blocks_by_rank(a, b)
+    heapq.heapify(heap)
+    # Free parts in order, each as large as what stands between two chosen strings: where they start and end in a and b.
+    starts, free, found = [0], [(0, len(a), 0, len(b))], []
+    while heap:
+        n, i, j = heapq.heappop(heap)
+        end, k = i - n, max(0, bisect_right(starts, i) - 1)
+        a0, a1, b0, b1 = free[k]
+        if i >= a0 and j >= b0 and end <= a1 and j - n <= b1:
+            found.append((i, j, -n))
+            starts[k : k + 1] = [a0, end]
+            free[k : k + 1] = [(a0, i, b0, j), (end, a1, j - n, b1)]
+            continue
+        while k < len(free) and free[k][0] < end:
+            a0, a1, b0, b1 = free[k]
+            skip, stop = max(0, a0 - i, b0 - j), min(-n, a1 - i, b1 - j)
+            if stop - skip >= size:
+                heapq.heappush(heap, (skip - stop, i + skip, j + skip))
+            k += 1
+    if step + 1 < len(STEPS):
+        for a0, a1, b0, b1 in free:
+            if a0 < a1 and b0 < b1:
+                found += [(a0 + i, b0 + j, n) for i, j, n in _free_blocks(a[a0:a1], b[b0:b1], step + 1)]
+    return found
+
+
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """What difflib's ``get_matching_blocks`` gives without junk: (place in a, place in b, size), no empty one.
+
+    The longest common string, the earliest in a and then in b, splits both sides, and so on.  Common strings
+    are found once for each of a few lengths and taken from a heap, which costs some steps a letter; where a
+    text repeats itself so much that they are too many, ranks of strings are compared instead.
+    """
     out: list[tuple[int, int, int]] = []
-    for i, j, size in sorted(found):
+    for i, j, size in sorted(_free_blocks(a, b)):
         if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
             out[-1] = (*out[-1][:2], out[-1][2] + size)
         else:
@@ -83,10 +145,11 @@ def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
 
 def spans(spoken: list[str], script: list[str]) -> dict[int, tuple[int, int]]:
     """Closed range of script lines for each spoken line that has letters."""
-    a, a_line = _joined(spoken)
-    s, s_line = _joined(script)
+    a, s = JOINT.join(spoken), JOINT.join(script)
     if not a or not s:
         return {}
+    s_line = np.repeat(np.arange(len(script)), [len(line) + 1 for line in script])[: len(s)]
+    s_line[np.cumsum([len(line) + 1 for line in script])[:-1] - 1] = -1
     found = matching_blocks(a, s)
     begin = np.array([m[0] for m in found])
     place = lambda p: between(p, found, begin, (0, 0), (len(a), len(s)), False, not found)
@@ -97,23 +160,38 @@ def spans(spoken: list[str], script: list[str]) -> dict[int, tuple[int, int]]:
             p += step
         return int(s_line[p])
 
-    out = {}
-    for i in range(len(spoken)):
-        where = np.flatnonzero(a_line == i)
-        if len(where):
-            lo, hi = line_at(place(int(where[0])), 1), line_at(place(int(where[-1])), -1)
+    out, at = {}, 0
+    for i, line in enumerate(spoken):
+        if line:
+            lo, hi = line_at(place(at), 1), line_at(place(at + len(line) - 1), -1)
             lo, hi = max(lo, 0), hi if hi >= 0 else len(script) - 1
             if lo <= hi:
                 out[i] = (lo, hi)
+        at += len(line) + 1
+    return out
+
+
+def _align(spoken: pa.Table, script: pa.Table) -> pa.Table:
+    spoken, script = spoken.sort_by("seq"), script.sort_by("line_no")
+    letters = lambda rows: [x or "" for x in rows.column("norm").to_pylist()]
+    got, lines = spans(letters(spoken), letters(script)), script.column("text").to_pylist()
+    said = ["｜".join(x for x in lines[lo : hi + 1][:6] if x is not None) for lo, hi in got.values()]
+    out = spoken.select(["track", "seq", "norm"]).take(pa.array(list(got), pa.int64()))
+    for name, values, kind in (("lo", [lo for lo, _ in got.values()], pa.int32()), ("hi", [hi for _, hi in got.values()], pa.int32()), ("sb", said, pa.string())):
+        out = out.append_column(name, pa.array(values, kind))
     return out
 
 
-def _align(spoken: pd.DataFrame, script: pd.DataFrame) -> pd.DataFrame:
-    spoken, script = spoken.sort_values("seq"), script.sort_values("line_no")
-    got = spans(spoken["norm"].tolist(), script["norm"].tolist())
-    seqs, tracks, lines = spoken["seq"].tolist(), spoken["track"].tolist(), script["text"].tolist()
-    rows = [(tracks[i], seqs[i], spoken["norm"].iloc[i], lo, hi, "｜".join(lines[lo : hi + 1][:6])) for i, (lo, hi) in got.items()]
-    return pd.DataFrame(rows, columns=["track", "seq", "norm", "lo", "hi", "sb"])
+def _likeness(batches):
+    """Dice of ``norm`` and ``other``, as ``dice`` has it, by sets of bigrams."""
+    pairs = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    for batch in batches:
+        conf = []
+        for one, other in zip(batch.column("norm").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            x, y = pairs(one), pairs(other)
+            conf.append(2.0 * len(x & y) / (len(x) + len(y)) if x and y else 0.0)
+        names = ["track", "seq", "sb", "conf", "lo", "hi"]
+        yield pa.RecordBatch.from_arrays([pa.array(conf, pa.float64()) if c == "conf" else batch.column(c) for c in names], names)
 
 
 # --- long tracks ---------------------------------------------------------------------------------------
@@ -325,10 +403,10 @@ def align_script(spoken: DataFrame, script: DataFrame, reading=None, limit: int
     else:
         ends = checkpointed(long_tracks(a, s, "norm"))
     if ends is None or ends.isEmpty():
-        got = a.groupBy("track").cogroup(s.groupBy("track")).applyInPandas(_align, schema)
+        got = a.groupBy("track").cogroup(s.groupBy("track")).applyInArrow(_align, schema)
     else:
         short = [df.join(ends.select("track"), "track", "left_anti") for df in (a, s)]
-        got = short[0].groupBy("track").cogroup(short[1].groupBy("track")).applyInPandas(_align, schema).unionByName(_long_spans(a, s, ends, limit, seed))
-    # Bound to a name, as the expression would else be worked out again for every bigram.
-    conf = F.get(F.transform(F.array(align_normal("sb", reading)), lambda x: dice(F.col("norm"), x)), F.lit(0))
-    return got.select("track", "seq", "sb", F.bround(conf, 3).alias("conf"), "lo", "hi")
+        got = short[0].groupBy("track").cogroup(short[1].groupBy("track")).applyInArrow(_align, schema).unionByName(_long_spans(a, s, ends, limit, seed))
+    scored = got.select("track", "seq", "sb", "norm", align_normal("sb", reading).alias("other"), "lo", "hi")
+    scored = scored.mapInArrow(_likeness, f"track {kinds['track']}, seq {kinds['seq']}, sb string, conf double, lo int, hi int")
+    return scored.withColumn("conf", F.bround("conf", 3))
