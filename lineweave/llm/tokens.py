@@ -10,8 +10,10 @@ any store and any Spark reader serves them and a lost task rewrites only its blo
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -66,22 +68,29 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, first: np.ndarray) -> tuple[
     state = np.full(LANES, LOW, np.uint64)
     out, states, positions, n = [], [], [], 0
     shift, word = np.uint64(63 - SCALE), np.uint64(32)
-    for t in range(steps - 1, -1, -1):
-        row = grid[t]
-        live = slice(0, LANES) if row[-1] >= 0 else slice(0, int((row >= 0).sum()))
-        sym = row[live]
-        f, x = freq[sym], state[live]
-        full = x >= (f << shift)
-        if full.any():
-            words = (x[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out.append(words)
-            n += len(words)
-            x = np.where(full, x >> word, x)
-        q = x // f
-        state[live] = (q << np.uint64(SCALE)) + (x - q * f) + first[sym]
-        if t % STRIDE == 0:
-            states.append(state.copy())
-            positions.append(n)
+    scale = np.uint64(1 << SCALE)
+    for low in range((steps - 1) // STRIDE * STRIDE, -1, -STRIDE):
+        top = min(low + STRIDE, steps)
+        syms = grid[low:top]
+        f_ = freq[syms]
+        full_at, jump, start = f_ << shift, scale - f_, first[syms]
+        for t in range(top - low - 1, -1, -1):
+            row = syms[t]
+            live = slice(0, LANES) if row[-1] >= 0 else slice(0, int((row >= 0).sum()))
+            x = state[live]
+            full = x >= full_at[t, live]
+            words = x[full]
+            if len(words):
+                out.append(words.astype(np.uint32))  # the lower half
+                n += len(words)
+                x[full] = words >> word
+            # (q << SCALE) + (x - q * f) + first
+            q = x // f_[t, live]
+            q *= jump[t, live]
+            x += q
+            x += start[t, live]
+        states.append(state.copy())
+        positions.append(n)
     stream = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
     # The decoder reads forward: positions from the front, checkpoints in step order.
     return np.array(states[::-1], np.uint64).tobytes(), [n - p for p in positions[::-1]], stream.astype("<u4").tobytes()
@@ -97,19 +106,26 @@ def decode_block(n_ids: int, states: bytes, positions: list[int], words: bytes,
     parts, at = len(x), np.array(positions, np.int64)
     grid = np.zeros((parts, STRIDE, LANES), np.uint32)
     places = np.arange(parts)[:, None] * STRIDE * LANES + np.arange(LANES)[None, :]
+    word, scale, mask = np.uint64(32), np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
     for t in range(STRIDE):
-        live = places + t * LANES < n_ids
-        slot = (x & np.uint64((1 << SCALE) - 1)).astype(np.int64)
+        slot = x & mask
         sym = symbol[slot]
-        new = freq[sym] * (x >> np.uint64(SCALE)) + slot.astype(np.uint64) - first[sym]
-        x = np.where(live, new, x)
         grid[:, t, :] = sym
-        low = live & (x < LOW)
-        if low.any():
-            # lanes of a step were emitted together, in lane order
-            where = at[:, None] + np.cumsum(low, 1) - 1
-            x = np.where(low, (x << np.uint64(32)) | stream[np.minimum(where, len(stream) - 1)], x)
-            at += low.sum(1)
+        new = freq[sym]
+        new *= x >> scale
+        new += slot
+        new -= first[sym]
+        low = new < LOW
+        if int(places[-1, -1]) + t * LANES >= n_ids:
+            live = places + t * LANES < n_ids
+            new, low = np.where(live, new, x), low & live
+        x = new
+        # lanes of a step were emitted together, in lane order
+        count = low.sum(1)
+        before = np.cumsum(count) - count
+        where = np.arange(int(count.sum())) + np.repeat(at - before, count)
+        x[low] = (x[low] << word) | stream[np.minimum(where, len(stream) - 1)]
+        at += count
     return grid.reshape(-1)[:n_ids]
 
 
@@ -126,6 +142,13 @@ def _tables(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 ENCODE_BYTES = 1 << 20
 
 
+#: Longer texts are left to the tokenizer's own cut: one queue of merges would take too much memory.
+WHOLE_CHARS = 1 << 17
+
+LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
+CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
+
+
 @functools.lru_cache(1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
@@ -134,6 +157,132 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Merger:
+    """The tokenizer of a byte-level file without its cut into words: merges run over the whole text.
+
+    The library copies each word of a text with all its offsets before it merges it, which costs more than
+    the merges.  Merges go by rank, so words have the same ids in a merged text as alone if no merge went
+    across a word's end.  Pieces only grow: none did if every word's end is the end of an id.  Texts for
+    which this does not hold are left to the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        own = _tokenizer(path)
+        self.tokenizer = type(own).from_str(own.to_str())
+        # Of several white space characters the last stands apart; vocabularies hold them together.
+        gaps, self.whole = pre_tokenizers.Split(Regex(r"\s+(?!\S)"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.gaps = pre_tokenizers.Sequence([gaps, self.whole])
+        self.added = [t.content for t in own.get_added_tokens_decoder().values()]
+        vocab = own.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of an id: one character each
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        # Classes of code points are the library's own.
+        self.kinds = [(kind, normalizers.Replace(Regex(p), "\0")) for kind, p in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s"))]
+        self.known = np.zeros(0x110000, np.uint8)
+        self.known[0] = OTHER
+        self._learn(np.arange(1, 128, dtype=np.uint32))
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        """Whether the file has byte-level words by the library's own pattern and plain merges."""
+        d = json.loads(_tokenizer(path).to_str())
+        cut, model = d["pre_tokenizer"] or {}, d["model"]
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        return (
+            (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+            and model["type"] == "BPE" and not any(model.get(k) for k in odd)
+            and not any(d[k] for k in ("normalizer", "post_processor", "truncation", "padding"))
+        )
+
+    def _learn(self, points: np.ndarray) -> None:
+        text = points.astype("<u4").tobytes().decode("utf-32-le")
+        self.known[points] = OTHER
+        for kind, mark in self.kinds:
+            hit = np.frombuffer(mark.normalize_str(text).encode("utf-32-le"), "<u4") == 0
+            self.known[points[hit]] = kind
+
+    def word_starts(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a word of the library's byte-level pattern starts at a code point, and whether inside white space; first: a text does."""
+        kind = self.known[points]
+        if not kind.all():
+            self._learn(np.unique(points[kind == 0]))
+            kind = self.known[points]
+        gap, blank = kind == SPACE, points == 32
+        out = first.copy()
+        out[1:] |= kind[1:] != kind[:-1]
+        out[1:] &= first[1:] | gap[1:] | ~blank[:-1]  # a blank goes with what follows
+        apart = np.zeros(len(points), bool)
+        apart[1:-1] = gap[1:-1] & gap[:-2] & ~gap[2:] & ~first[1:-1] & ~first[2:]
+        out |= apart
+        at = np.flatnonzero(points == 39)
+        if len(at):
+            texts = np.append(np.flatnonzero(first), len(points))
+            end = texts[np.searchsorted(texts, at, "right")]
+            alone = first[at] | ~((kind[at - 1] == OTHER) | blank[at - 1])
+            for i, to in zip(at[alone].tolist(), end[alone].tolist(), strict=True):
+                tail = "".join(map(chr, points[i + 1 : min(i + 3, to)].tolist()))
+                size = next((len(c) for c in CONTRACTIONS if tail.startswith(c)), 0)
+                if size:
+                    out[i + 1 : i + 1 + size] = False
+                    out[i + 1 + size : i + 2 + size] = True
+        return out, apart
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, None where they are not certain to be the tokenizer's."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        chars = np.cumsum([0, *map(len, texts)])
+        first = np.zeros(len(points), bool)
+        first[chars[:-1][np.diff(chars) > 0]] = True
+        starts, apart = self.word_starts(points, first)
+
+        def texts_at(places):
+            return np.unique(np.searchsorted(chars, places, "right") - 1)
+
+        out: list = [None] * len(texts)
+        gapped = texts_at(np.flatnonzero(apart))
+        for cut, some in ((self.gaps, gapped), (self.whole, np.setdiff1d(np.arange(len(texts)), gapped))):
+            self.tokenizer.pre_tokenizer = cut
+            for i, own in zip(some.tolist(), _ids(self.tokenizer, [texts[i] for i in some]), strict=True):
+                out[i] = own
+        at = np.zeros(len(points) + 1, np.int64)  # of each code point in bytes
+        np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+        ends = np.append(0, np.cumsum(self.width[np.concatenate(out)]))
+        if (ends[np.cumsum([0, *map(len, out)])] != at[chars]).any():
+            return [None] * len(texts)  # some byte has no id
+        cut = np.zeros(len(at) + int(at[-1]), bool)
+        cut[ends] = True
+        for i in texts_at(np.flatnonzero(starts & ~cut[at[:-1]])).tolist():
+            out[i] = None
+        return out
+
+
+@functools.lru_cache(1)
+def _merger(path: str) -> Merger | None:
+    return Merger(path) if Merger.fits(path) else None
+
+
+def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(array("I", e.ids), np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text, encoded whole by the tokenizer; see `Merger`."""
+    merger = _merger(path)
+    if merger is None:
+        return _ids(_tokenizer(path), texts)
+    out: list = [None] * len(texts)
+    plain = [i for i, x in enumerate(texts) if len(x) <= WHOLE_CHARS and not any(a in x for a in merger.added)]
+    for i, own in zip(plain, merger.ids([texts[i] for i in plain]) if plain else [], strict=True):
+        out[i] = own
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, own in zip(rest, _ids(_tokenizer(path), [texts[i] for i in rest]) if rest else [], strict=True):
+        out[i] = own
+    return out
+
+
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, n_tokens, width, ids): ids as little-endian binary of 2 bytes each if all fit, else 4.
 
@@ -141,11 +290,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
     """
 
     def run(batches):
-        encode = _tokenizer(tokenizer_path).encode_batch_fast
         for batch in batches:
             for part in pieces(batch, ENCODE_BYTES):
-                texts = [text or "" for text in part.column("text").to_pylist()]
-                ids = [np.append(np.array(e.ids, np.uint32), np.uint32(end_id)) for e in encode(texts, add_special_tokens=False)]
+                ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(tokenizer_path, [text or "" for text in part.column("text").to_pylist()])]
                 wide = [int(x.max()) >= 65536 for x in ids]
                 data = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -178,8 +325,9 @@ def write_ans(docs: DataFrame, path: str, tokenizer_path: str, scratch: Scratch,
     def tally(batches):
         count = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for data, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.bincount(_unpack(data, width))
+            data, width = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for w in (2, 4):
+                own = np.bincount(_unpack(b"".join(data[i] for i in np.flatnonzero(width == w)), w))
                 if len(own) > len(count):
                     count = np.concatenate([count, np.zeros(len(own) - len(count), np.int64)])
                 count[: len(own)] += own

@@ -88,3 +88,37 @@ def test_awkward_rows(spark):
     data = [(None, None), (None, "a"), (3, "b"), (3, "b"), (2, ""), (1, "word " * 30_000)]
     docs = spark.createDataFrame([(*r, 7, "x") for r in data], "doc_id long, text string, ids long, width string")
     check(spark, docs, data, "t")
+
+
+PIECES = ["a", "the", " ", "  ", "\n", "'", "s", "'t", "re", "'ve", "'ll", "'d", "m", "S", "\u00e9", "\u6f22", "\u00a0", "\u2028", "\x85", "\x1c", "\0", "1", "\u00b2", "!", "(", "\u2019", "\U0001f642", "\u0301", "_"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), min_size=1, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_op3_words_start_where_the_library_starts_them(texts):
+    """op3 of round 3: word ends that no merge may cross are those of the library's own pattern."""
+    merger, t = tokens._merger(PATH), Tokenizer_()
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    at = np.cumsum([0, *map(len, texts)])
+    first = np.zeros(len(points), bool)
+    first[[a for a, x in zip(at, texts) if x]] = True
+    starts, _ = merger.word_starts(points, first)
+    assert [np.flatnonzero(starts[a:b]).tolist() for a, b in zip(at, at[1:])] == [[o[0] for _, o in t.pre_tokenizer.pre_tokenize_str(x)] for x in texts]
+    assert [x.tolist() for x in tokens.encode_texts(PATH, texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_op3_only_crossed_texts_are_cut_by_the_library(monkeypatch):
+    """op3 of round 3: a text is cut into words by the library only if a merge crossed a word's end."""
+    cut, own = [], tokens._ids
+    monkeypatch.setattr(tokens, "_ids", lambda t, texts: (cut.extend(texts if t is tokens._tokenizer(PATH) else []), own(t, texts))[1])
+    texts = ["The end, of. It.\nThen\n\n  caf\u00e9 don't", " 'so it's", "", "x" * (tokens.WHOLE_CHARS + 1), "a<|endoftext|>"]
+    got = [x.tolist() for x in tokens.encode_texts(PATH, texts)]
+    assert got == [Tokenizer_().encode(x, add_special_tokens=False).ids for x in texts]
+    assert texts[0] not in cut and "" not in cut and texts[3] in cut and texts[4] in cut
+
+
+def test_op3_files_that_cut_otherwise_are_left_alone():
+    assert tokens._merger(PATH) is not None
+    for name in OTHERS:
+        d = Tokenizer.from_file(public_tokenizers.path(name)).pre_tokenizer
+        assert type(d).__name__ == "ByteLevel" or not tokens.Merger.fits(public_tokenizers.path(name))
